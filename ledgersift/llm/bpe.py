@@ -259,3 +259,12 @@ class Tokenizer:
                 yield pd.Series([encoder.decode(x) for x in batch], dtype=object)
 
         return decode(F.coalesce(ids, F.lit("")))
+
+
+def report(docs, tokenizer: Tokenizer):
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the decoded text)."""
+    ids = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("_ids"))
+    both = ids.withColumn("_text", tokenizer.decode(F.col("_ids")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    count = F.when(F.col("_ids") == "", 0).otherwise(F.length("_ids") - F.length(F.translate("_ids", ",", "")) + 1).cast("long")
+    return both.select("doc_id", count.alias("n_tokens"), digest("_ids").alias("ids_sha256"), digest("_text").alias("decoded_sha256"))
