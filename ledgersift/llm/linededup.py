@@ -36,13 +36,13 @@ def _starts(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> Column:
+def segment_keys(line: Column, length: Column, edits: int) -> list[Column]:
     """Keys of a line's own segments."""
-    return F.array(*[F.xxhash64(F.lit(k), length, F.substring(line, start + 1, size)) for k, (start, size) in enumerate(_starts(length, edits))])
+    return [F.xxhash64(F.lit(k), length, F.substring(line, start + 1, size)) for k, (start, size) in enumerate(_starts(length, edits))]
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of the substrings that segments of a line as long, or up to ``edits`` shorter, can be; a segment moves by few places only.
+def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
+    """Keys of the substrings that segments of a line up to ``edits`` shorter can be (those of an equally long one are its own, if not moved).
 
     Segment k begins at most k edits off its place, and what follows it leaves edits - k for the rest (multi-match-aware bounds).
     """
@@ -51,10 +51,10 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
         other = length - shorter
         for k, (start, size) in enumerate(_starts(other, edits)):
             for move in range(-edits, edits + 1):
-                if max(-k, shorter - (edits - k)) <= move <= min(k, shorter + (edits - k)):
+                if (shorter or move) and max(-k, shorter - (edits - k)) <= move <= min(k, shorter + (edits - k)):
                     at = start + move
                     keys.append(F.when((at >= 0) & (at + size <= length), F.xxhash64(F.lit(k), other, F.substring(line, at + 1, size))))
-    return F.array_compact(F.array(*keys))
+    return keys
 
 
 def _core(a: Column, b: Column) -> Column:
@@ -67,7 +67,7 @@ def _core(a: Column, b: Column) -> Column:
             F.right(x, half) == F.right(y, half), F.struct(F.left(x, F.length(x) - half).alias("x"), F.left(y, F.length(y) - half).alias("y"))
         ).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.struct(a.alias("x"), b.alias("y")), cut)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct(a.alias("x"), b.alias("y")), cut)
 
 
 def bounded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -94,7 +94,11 @@ def bounded_distance(a: Column, b: Column, edits: int) -> Column:
     def run(t: Column) -> Column:
         # t: columns after which the tracked cell has come to the last row
         start = F.struct(F.lit(full & ~((1 << edits) - 1)).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("j"), F.lit(edits).alias("e"), F.concat(gap, t["a"], gap).alias("w"), (F.size(t["a"]) - edits).alias("t"))
-        return F.aggregate(t["b"], start, step, lambda s: s["e"])
+        distance = F.aggregate(t["b"], start, step, lambda s: s["e"])
+        if edits > 1:
+            return distance
+        # one edit leaves one of two halves equal, so what can't be halved any more is a character long
+        return F.when(F.least(F.size(t["a"]), F.size(t["b"])) <= 1 + edits, distance).otherwise(edits + 1)
 
     split = F.transform(F.array(_core(a, b)), lambda s: F.struct(chars(s["x"]).alias("a"), chars(s["y"]).alias("b")))
     return F.get(F.transform(split, run), F.lit(0))
@@ -136,9 +140,9 @@ BROADCAST_IDS = 200_000
 HOT_KEY, FINE_PARTS = 40, 16
 
 
-def _roles(own: Column, other: Column) -> Column:
+def _roles(own: list[Column], other: list[Column]) -> Column:
     """(key, role): a line's own parts have role 0; what a shorter line's parts can be in it has role 1."""
-    return F.concat(F.transform(own, lambda k: F.struct(k.alias("key"), F.lit(0).alias("role"))), F.transform(other, lambda k: F.struct(k.alias("key"), F.lit(1).alias("role"))))
+    return F.array(*[F.struct(k.alias("key"), F.lit(role).alias("role")) for role, keys in enumerate((own, other)) for k in keys])
 
 
 def _segment_roles(line: Column, length: Column, edits: int) -> Column:
@@ -148,15 +152,18 @@ def _segment_roles(line: Column, length: Column, edits: int) -> Column:
 def _all_but_one_roles(line: Column, length: Column) -> Column:
     """With one edit, all but one of FINE_PARTS segments are equal; those behind an inserted character stand one place further."""
 
-    def keys(size: Column, shift: int) -> Column:
+    def keys(size: Column, shift: int) -> list[Column]:
         cut = [(size * i / FINE_PARTS).cast("int") for i in range(FINE_PARTS + 1)]
-        return F.array(*[F.xxhash64(F.lit(i), size, F.left(line, cut[i]), F.substring(line, cut[i + 1] + 1 + shift, length)) for i in range(FINE_PARTS)])
+        return [F.xxhash64(F.lit(i), size, F.left(line, cut[i]), F.substring(line, cut[i + 1] + 1 + shift, length)) for i in range(FINE_PARTS)]
 
     return _roles(keys(length, 0), keys(length - 1, 1))
 
 
-def _keyed(lines: DataFrame, roles: Column) -> DataFrame:
-    return lines.select("_r", F.explode(roles).alias("k")).select("_r", F.col("k.key").alias("_key"), F.col("k.role").alias("_role"))
+def _keyed(lines: DataFrame, roles) -> DataFrame:
+    """_r, _key, _role: once for each line text, combined in the tasks before rows move."""
+    sized = lines.select("_r", "_line", F.length("_line").alias("_n"))
+    keys = sized.select("_r", roles(F.col("_line"), F.col("_n")).alias("_ks")).select("_r", F.explode("_ks").alias("k"))
+    return keys.select("_r", F.col("k.key").alias("_key"), F.col("k.role").alias("_role")).filter(F.col("_key").isNotNull()).distinct()
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:
@@ -167,17 +174,16 @@ def _pairs(keyed: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """Pairs (_a, _b) of line hashes whose lines differ by 1 to ``edits`` edits."""
-    segments = _segment_roles(F.col("_line"), F.length("_line"), edits)
-    keyed = _keyed(lines, segments)
+    keyed = _keyed(lines, lambda line, n: _segment_roles(line, n, edits))
     shared = keyed.groupBy("_key").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.min("_role").alias("_owned")).filter((F.col("_lo") != F.col("_hi")) & (F.col("_owned") == 0)).select("_key")
-    active = cut(keyed.join(shared, "_key", "left_semi").distinct())
+    active = cut(keyed.join(shared, "_key", "left_semi"))
     ids = active.select("_r").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = cut(lines.select("_r", "_line").join(F.broadcast(ids) if few else ids, "_r", "left_semi").groupBy("_r").agg(F.max("_line").alias("_line")))
     if edits == 1:
         sized = active.groupBy("_key").agg(F.count("*").alias("_n"))
         hot = active.join(sized.filter(F.col("_n") > HOT_KEY), "_key", "left_semi").select("_r").distinct()
-        fine = _keyed(texts.join(hot, "_r", "left_semi"), _all_but_one_roles(F.col("_line"), F.length("_line"))).distinct()
+        fine = _keyed(texts.join(hot, "_r", "left_semi"), _all_but_one_roles)
         found = _pairs(active.join(sized.filter(F.col("_n") <= HOT_KEY), "_key", "left_semi")).unionByName(_pairs(fine))
     else:
         found = _pairs(active)
