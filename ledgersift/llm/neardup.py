@@ -24,7 +24,7 @@ SKETCH_BITS, SLICES, IDF_RANGE = 18, 64, 0.1
 #: Candidate texts up to this number are looked up by a broadcast set of 8-byte hashes, more by a shuffle.
 BROADCAST_IDS = 200_000
 #: Rounds in which each bucket compares one member with the others; what is then still open is compared pair by pair.
-ROUNDS = 4
+ROUNDS = 2
 
 _DRAWS = 1 << 15
 _rng = np.random.default_rng(91)
@@ -160,37 +160,41 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def links(docs: DataFrame, table, least: float = SIMILARITY) -> DataFrame:
-    """Labels of the texts that have near copies among different texts.
+def links(docs: DataFrame, table, least: float = SIMILARITY) -> DataFrame | None:
+    """Labels of the texts that have near copies among different texts; None without any.
 
-    Each bucket compares its smallest member with all others; members that are in one component need no further test.
+    In each round a bucket compares its smallest open member with all others; those near it are closed. Texts that are still
+    in different components at the end, though they share a bucket, are compared pair by pair, so no link is lost.
     """
     bands = _bands(docs, table)
     several = bands.groupBy("_key").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi")).filter(F.col("_lo") != F.col("_hi")).select("_key")
-    open_ = cut(bands.join(several, "_key", "left_semi"))
-    tested = found = labels = None
-    for turn in range(ROUNDS + 1):
-        named = open_.withColumn("_label", F.col("_r")) if labels is None else open_.join(labels, "_r", "left").withColumn("_label", F.coalesce("_label", "_r"))
-        named = cut(named)
-        mixed = named.groupBy("_key").agg(F.min("_r").alias("_center"), F.min_by("_label", "_r").alias("_own"), F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
-        if mixed.isEmpty():
+    members = cut(bands.join(several, "_key", "left_semi"))
+    ordered = lambda x, y: (F.least(x, y).alias("_a"), F.greatest(x, y).alias("_b"))
+    tested = found = None
+    open_ = members
+    for _ in range(ROUNDS):
+        centers = open_.groupBy("_key").agg(F.min("_r").alias("_center"))
+        pairs = members.join(centers, "_key").filter(F.col("_r") != F.col("_center")).select(*ordered(F.col("_r"), F.col("_center"))).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["_a", "_b"], "left_anti"))
+        if pairs.isEmpty():
             break
-        rows = named.join(mixed.select("_key", "_center", "_own"), "_key")
-        if turn < ROUNDS:
-            pairs = rows.filter((F.col("_r") != F.col("_center")) & (F.col("_label") != F.col("_own"))).select(F.col("_center").alias("_a"), F.col("_r").alias("_b"))
-        else:
-            other = named.select("_key", F.col("_r").alias("_b"), F.col("_label").alias("_other"))
-            pairs = rows.join(other, "_key").filter((F.col("_r") < F.col("_b")) & (F.col("_label") != F.col("_other"))).select(F.col("_r").alias("_a"), "_b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["_a", "_b"], "left_anti")
-        pairs = cut(pairs)
-        near = _verify(pairs, docs, table, least)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = cut(near if found is None else found.unionByName(near))
-        labels = components(found)
-        open_ = rows.filter(F.col("_r") != F.col("_center")).select("_r", "_key")
-    return labels
+        near = cut(_verify(pairs, docs, table, least))
+        tested, found = (pairs, near) if tested is None else (tested.unionByName(pairs), found.unionByName(near))
+        rest = open_.join(centers, "_key").filter(F.col("_r") != F.col("_center")).select("_key", "_r", *ordered(F.col("_r"), F.col("_center")))
+        open_ = cut(rest.join(found, ["_a", "_b"], "left_anti").select("_key", "_r"))
+    if found is None or found.isEmpty():
+        return None
+    labels = components(found)
+    named = members.join(labels, "_r", "left").withColumn("_label", F.coalesce("_label", "_r"))
+    mixed = named.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).filter(F.col("_lo") != F.col("_hi")).select("_key")
+    left = named.join(mixed, "_key", "left_semi")
+    other = left.select("_key", F.col("_r").alias("_b"), F.col("_label").alias("_other"))
+    pairs = left.withColumnRenamed("_r", "_a").join(other, "_key").filter((F.col("_a") < F.col("_b")) & (F.col("_label") != F.col("_other"))).select("_a", "_b").distinct()
+    pairs = cut(pairs.join(tested, ["_a", "_b"], "left_anti"))
+    if pairs.isEmpty():
+        return labels
+    near = cut(_verify(pairs, docs, table, least))
+    return labels if near.isEmpty() else components(found.unionByName(near))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
