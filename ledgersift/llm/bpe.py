@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Cached results per Python worker and kind (chunks, pre-tokens); two generations of this many at most.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Remembered pair tests per Python worker.
-MEMO_PAIRS = 400_000
+MEMO_PAIRS = 250_000
 #: Chunks longer than this are encoded without being cached.
 CACHE_CHARS = 64
 
@@ -116,13 +116,20 @@ class Recent:
         return got
 
 
+class Decoder:
+    """Bytes of each id; needs no more than the vocabulary's size."""
+
+    def __init__(self, vocabulary: dict):
+        self.text_ids = {str(i): b for b, i in vocabulary["ids"]} | {str(i): s.encode() for s, i in vocabulary["special"].items()}
+
+    def decode(self, ids: str) -> str:
+        return b"".join(map(self.text_ids.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
+
+
 class Encoder:
     """Exact byte-level BPE of one vocabulary; token ids after the single bytes rise in the order of the merges."""
 
     def __init__(self, vocabulary: dict):
-        self.bytes_of = {i: b for b, i in vocabulary["ids"]}
-        self.bytes_of |= {i: s.encode() for s, i in vocabulary["special"].items()}
-        self.text_ids = {str(i): b for i, b in self.bytes_of.items()}
         self.special = {s: str(i) for s, i in vocabulary["special"].items()}
         self.rank = {(a, b): k for k, (a, b, _) in enumerate(vocabulary["merges"])}
         self.made = {c: (k, a, b) for k, (a, b, c) in enumerate(vocabulary["merges"])}
@@ -216,19 +223,15 @@ class Encoder:
         parts = (self.special.get(x) or self._plain(x) for x in self.cut(text) if x)
         return ",".join(parts)
 
-    def decode(self, ids: str) -> str:
-        return b"".join(map(self.text_ids.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
-
 
-_encoders: dict[str, Encoder] = {}
+_kept: dict[tuple, Encoder | Decoder] = {}
 
 
-def _encoder(key: str, shared) -> Encoder:
-    """One encoder for a vocabulary in each Python worker."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
+def _once(kind: type, key: str, shared):
+    """One encoder or decoder for a vocabulary in each Python worker."""
+    if (kind, key) not in _kept:
+        _kept[kind, key] = kind(shared.value)
+    return _kept[kind, key]
 
 
 class Tokenizer:
@@ -243,7 +246,7 @@ class Tokenizer:
 
         @F.pandas_udf("string")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder = _encoder(key, shared)
+            encoder = _once(Encoder, key, shared)
             for batch in batches:
                 yield pd.Series([encoder.encode(x) for x in batch], dtype=object)
 
@@ -254,9 +257,9 @@ class Tokenizer:
 
         @F.pandas_udf("string")
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder = _encoder(key, shared)
+            decoder = _once(Decoder, key, shared)
             for batch in batches:
-                yield pd.Series([encoder.decode(x) for x in batch], dtype=object)
+                yield pd.Series([decoder.decode(x) for x in batch], dtype=object)
 
         return decode(F.coalesce(ids, F.lit("")))
 
