@@ -8,6 +8,8 @@ told apart by their order alone. An empty table has no rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,13 @@ def spill(arcs: list[tuple[int, int]], counts: list[int], room: list[int]) -> li
     return out
 
 
+def _frame(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from the driver that no Python worker has to read."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
 def assign(rows: DataFrame, keys: list[str], shards: int, virtual: int = VIRTUAL_NODES, parts: int = PARTS) -> DataFrame:
     """Add shard (int) and slot (long, gapless from 0 in each shard) to rows; ``keys`` place a row and break ties.
 
@@ -80,7 +89,9 @@ def assign(rows: DataFrame, keys: list[str], shards: int, virtual: int = VIRTUAL
         ).otherwise(s),
         lambda s: s["lo"] % len(arcs),
     )
-    placed = rows.withColumn("_p", point(*[F.col(k) for k in keys[:1]])).withColumn("_ends", ends).withColumn("_arc", found).drop("_ends").withColumn("_part", F.pmod(F.xxhash64(*keys, F.lit("part")), F.lit(parts)).cast("int"))
+    placed = rows.withColumn("_p", point(*[F.col(k) for k in keys[:1]])).withColumn("_ends", ends)
+    # a generated column, so that the optimizer does not carry the search into the joins on it
+    placed = placed.select(*rows.columns, "_p", F.explode(F.array(found)).alias("_arc")).withColumn("_part", F.pmod(F.xxhash64(*keys, F.lit("part")), F.lit(parts)).cast("int"))
     counted = placed.groupBy("_arc", "_part").count().collect()  # at most arcs x parts rows
     by_arc = [0] * len(arcs)
     for r in counted:
@@ -90,8 +101,8 @@ def assign(rows: DataFrame, keys: list[str], shards: int, virtual: int = VIRTUAL
     for r in sorted(counted, key=lambda r: (r["_arc"], r["_part"])):
         ahead.append((r["_arc"], r["_part"], so_far.get(r["_arc"], 0)))
         so_far[r["_arc"]] = so_far.get(r["_arc"], 0) + r["count"]
-    before = spark.createDataFrame(ahead, "_arc int, _part int, _before long")
-    pieces = spark.createDataFrame(plan, "_arc int, _from long, _to long, shard int, _slot long")
+    before = _frame(spark, ahead, "_arc int, _part int, _before long")
+    pieces = _frame(spark, plan, "_arc int, _from long, _to long, shard int, _slot long")
     rank = F.row_number().over(Window.partitionBy("_arc", "_part").orderBy("_p", *keys)) - 1
     ranked = placed.withColumn("_rank", rank).join(F.broadcast(before), ["_arc", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     got = ranked.join(F.broadcast(pieces), (ranked["_arc"] == pieces["_arc"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(pieces["_arc"])
