@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgersift.functions import cleanse, screen
 from ledgersift.operators import evaluate, review, rules, worklog
 from ledgersift.plans.params import LEDGER as P
+from ledgersift.plans.zones import zone
 from ledgersift.sources import ledger
 
 QUERIES: dict = {}
@@ -91,21 +92,18 @@ journal = ledger.tables_journal
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.flags(journal(spark, sf_dir), P)
+    return rules.flags(zone(journal(spark, sf_dir)), P)
 
 
 def xref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.cross_reference(found(spark, sf_dir), journal(spark, sf_dir))
+    lines = zone(journal(spark, sf_dir))
+    return zone(review.cross_reference(rules.flags(lines, P), lines))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.entry_rollup(xref(spark, sf_dir), journal(spark, sf_dir))
 
 
-def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.capped(review.material(entries(spark, sf_dir), P), P).select("entry_ref", "rules_hit", "abs_amount", "currency", "selection_basis")
-
-
 UN = "UN AS (SELECT entry_ref, rules_hit, abs_amount, currency, selection_basis FROM BA WHERE base_amount >= 100000 ORDER BY rules_hit DESC, base_amount DESC, entry_ref LIMIT 2000)"
 
 
