@@ -92,7 +92,7 @@ def term_count(c: Column, term: str) -> Column:
 
 
 def neutralise(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)<(/?\s*untrusted_data\s*)>", r"\\\\u003c$1\\\\u003e")
+    return F.regexp_replace(c, r"(?i)<(/?\s*untrusted_data\s*)>", r"\\u003c$1\\u003e")
 
 
 def wrap(c: Column) -> Column:
