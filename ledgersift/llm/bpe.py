@@ -22,6 +22,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_ENTRIES = 150_000
 #: Remembered pair tests per Python worker.
 MEMO_PAIRS = 250_000
+#: Stands for the start of a pre-token where a token before it is asked for.
+START = -1
 #: Chunks longer than this are encoded without being cached.
 CACHE_CHARS = 64
 
@@ -137,8 +139,12 @@ class Encoder:
         self.find = regex.compile(PATTERN).findall
         self.odd_blank = regex.compile(r" (?:\s|\Z)").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.words, self.chunks = Recent(self._word), Recent(self.chunk)
-        self.pairs: dict[int, bool] = {}
+        self.words, self.chunks = Recent(self._word), Recent(lambda x: self.chunk(" " + x))
+        self.lengths = {token: len(entry) for entry, token in vocabulary["ids"]}
+        self.follows: dict[int, dict[int, bool]] = {token: {} for token in self.lengths}
+        self.ending = [tuple((n, token, self.follows[token]) for n, token in x) for x in self.automaton.ending]
+        self.automaton.ending.clear()  # its lists are in self.ending
+        self.forget()
 
     def stands(self, left: int, right: int) -> bool:
         """Whether BPE leaves ``left`` and ``right`` side by side when given their joined bytes.
@@ -163,43 +169,48 @@ class Encoder:
                 used_right, b = kb[0], kb[1]
 
     def pretoken(self, data: bytes) -> list[int]:
-        edges, link, size, ending = self.automaton.next, self.automaton.link, self.automaton.size, self.automaton.ending
-        pairs = self.pairs
-        if len(pairs) > MEMO_PAIRS:
-            pairs.clear()
-        last: list[int] = []
-        back: list[int] = []
+        edges, link, size, ending = self.automaton.next, self.automaton.link, self.automaton.size, self.ending
+        if self.tested > MEMO_PAIRS:
+            self.forget()
+        last = [START]  # the last token of each prefix
         state = matched = 0
-        for i, byte in enumerate(data):
+        for end, byte in enumerate(data, 1):
             while (to := edges[state].get(byte)) is None:
                 state = link[state]
                 matched = size[state]
             state = to
             matched += 1
-            for length, token in ending[state]:
-                if length > matched:
-                    continue
-                if length > i:
-                    break
-                key = last[i - length] << 32 | token
-                ok = pairs.get(key)
-                if ok is None:
-                    ok = pairs[key] = self.stands(last[i - length], token)
-                if ok:
-                    break
+            for length, token, after in ending[state]:
+                if length <= matched:
+                    before = last[end - length]
+                    ok = after.get(before)
+                    if ok is None:
+                        ok = after[before] = self.stands(before, token)
+                        self.tested += 1
+                    if ok:
+                        break
             last.append(token)
-            back.append(length)
-        out, i = [], len(data) - 1
-        while i >= 0:
-            out.append(last[i])
-            i -= back[i]
+        out, end, lengths = [], len(data), self.lengths
+        while end:
+            out.append(last[end])
+            end -= lengths[last[end]]
         out.reverse()
         return out
 
+    def forget(self) -> None:
+        """Start the pair tests anew: for each token, what it may follow; the start of a pre-token always."""
+        self.tested = 0
+        for after in self.follows.values():
+            after.clear()
+            after[START] = True
+
     def chunk(self, text: str) -> str:
         """Decimal ids, joined by commas, of a chunk of text that is pre-tokenized on its own."""
+        parts = self.find(text)
+        if len(parts) == 1:
+            return self._word(text)
         recall = self.words.recall
-        return ",".join([recall(x) for x in self.find(text)])
+        return ",".join([recall(x) for x in parts])
 
     def _word(self, text: str) -> str:
         return ",".join(map(str, self.pretoken(text.encode("utf-8", "surrogatepass"))))
@@ -209,9 +220,9 @@ class Encoder:
         if self.odd_blank(text):
             return self.chunk(text)
         first, *rest = text.split(" ")
-        recall = self.chunks.recall
-        out = [recall(first)] if first else []
-        out += [recall(" " + x) for x in rest]
+        recall, at_hand = self.chunks.recall, self.chunks.young.get
+        out = [self.chunk(first)] if first else []
+        out += [at_hand(x) or recall(x) for x in rest]
         return ",".join(out)
 
     def encode(self, text: str | None) -> str:
