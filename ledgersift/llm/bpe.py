@@ -8,12 +8,13 @@ back-pointers then give the exact ids. Null texts are treated as empty, and empt
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
@@ -142,8 +143,9 @@ class Encoder:
         self.words, self.chunks = Recent(self._word), Recent(lambda x: self.chunk(" " + x))
         self.lengths = {token: len(entry) for entry, token in vocabulary["ids"]}
         self.follows: dict[int, dict[int, bool]] = {token: {} for token in self.lengths}
-        self.ending = [tuple((n, token, self.follows[token]) for n, token in x) for x in self.automaton.ending]
-        self.automaton.ending.clear()  # its lists are in self.ending
+        entry = {token: (n, token, self.follows[token]) for token, n in self.lengths.items()}
+        self.ending = [tuple(entry[token] for _, token in x) for x in self.automaton.ending]
+        self.automaton.ending.clear()  # self.ending takes its place
         self.forget()
 
     def stands(self, left: int, right: int) -> bool:
@@ -274,11 +276,24 @@ class Tokenizer:
 
         return decode(F.coalesce(ids, F.lit("")))
 
+    def digests(self, text: Column) -> Column:
+        """Struct of n_tokens, ids_sha256 and decoded_sha256: what encode() and then decode() give, digested where they are made, so that only digests move."""
+        key, shared = self.key, self.shared
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+        @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            encoder, decoder = _once(Encoder, key, shared), _once(Decoder, key, shared)
+            for batch in batches:
+                rows = []
+                for x in batch:
+                    ids = encoder.encode(x)
+                    rows.append((ids.count(",") + 1 if ids else 0, digest(ids), digest(decoder.decode(ids))))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return of(F.coalesce(text, F.lit("")))
+
 
-def report(docs, tokenizer: Tokenizer):
+def report(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the decoded text)."""
-    ids = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("_ids"))
-    both = ids.withColumn("_text", tokenizer.decode(F.col("_ids")))
-    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    count = F.when(F.col("_ids") == "", 0).otherwise(F.length("_ids") - F.length(F.translate("_ids", ",", "")) + 1).cast("long")
-    return both.select("doc_id", count.alias("n_tokens"), digest("_ids").alias("ids_sha256"), digest("_text").alias("decoded_sha256"))
+    return docs.select("doc_id", tokenizer.digests(F.col("text")).alias("_got")).select("doc_id", "_got.*")
