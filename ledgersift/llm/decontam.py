@@ -179,7 +179,9 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, name: str = "_matches",
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """doc_id, item_id, start, end, edits of the best place of each item in each document that holds it."""
     base = with_matches(docs.select("doc_id", "text"), benchmark, "_matches", share)
-    return base.select("doc_id", F.explode("_matches").alias("m")).select("doc_id", F.col("m.item").alias("item_id"), F.col("m.start").alias("match_start"), F.col("m.end").alias("match_end"), F.col("m.edits").alias("edits"))
+    # the outer form, for explode() has the optimizer filter by size first, which evaluates the function twice
+    found = base.select("doc_id", F.explode_outer("_matches").alias("m")).filter(F.col("m").isNotNull())
+    return found.select("doc_id", F.col("m.item").alias("item_id"), F.col("m.start").alias("match_start"), F.col("m.end").alias("match_end"), F.col("m.edits").alias("edits"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
