@@ -9,6 +9,7 @@ equal texts. A class is a connected component of the links at or above the thres
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,10 @@ BANDS, ROWS = 16, 4
 SKETCH_BITS, SLICES, IDF_RANGE = 18, 64, 0.1
 #: Candidate texts up to this number are looked up by a broadcast set of 8-byte hashes, more by a shuffle.
 BROADCAST_IDS = 200_000
-#: Rounds in which each bucket compares one member with the others; what is then still open is compared pair by pair.
-ROUNDS = 2
+#: Room for rounding in the bounds on weights.
+SLACK = 1e-5
+#: Texts whose weights a task keeps while it compares pairs.
+KEPT_TEXTS = 64
 
 _DRAWS = 1 << 15
 _rng = np.random.default_rng(91)
@@ -139,8 +142,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, table, least: float) -> DataFrame
 
     @F.pandas_udf("boolean")
     def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        of = lru_cache(KEPT_TEXTS)(lambda text: weighted(text, table.value))
         for x, y in batches:
-            yield pd.Series([similarity(weighted(a, table.value), weighted(b, table.value)) >= least for a, b in zip(x, y, strict=True)], dtype=bool)
+            yield pd.Series([similarity(of(a), of(b)) >= least for a, b in zip(x, y, strict=True)], dtype=bool)
 
     both = pairs.join(texts.withColumnsRenamed({"_r": "_a", "_text": "_ta"}), "_a").join(texts.withColumnsRenamed({"_r": "_b", "_text": "_tb"}), "_b")
     return both.filter(near("_ta", "_tb")).select("_a", "_b")
@@ -160,41 +164,71 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _prefixes(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFrame:
+    """_r, _label, _key, _w, _rest, _lead: the rarest shingles of each text, as far as a near copy can have its first shared shingle there.
+
+    Shingles are in one order for all texts, rare ones first; _w is the weight of the text, _rest that of this shingle and all after it.
+    The first shared shingle of a pair at or above the similarity has a _rest of at least least / (1 + least) of both weights together
+    in both texts: thus least of the own weight, and in the lighter text even 2 * least / (1 + least) of it (_lead).
+    """
+    lead = 2 * least / (1 + least)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r, label, text in zip(batch["_r"], batch["_label"], batch["_text"], strict=True):
+                h, w = weighted(text, table.value)
+                order = np.lexsort((h, -table.value[_cells(h)]))
+                rest = np.cumsum(w[order][::-1], dtype=np.float64)[::-1]
+                rest = rest[rest >= (least - SLACK) * rest[0]]
+                yield pd.DataFrame({"_r": r, "_label": label, "_key": h[order[: len(rest)]].view(np.int64), "_w": rest[0], "_rest": rest, "_lead": rest >= (lead - SLACK) * rest[0]})
+
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.select("_r", "_text").join(F.broadcast(ids) if few else ids, "_r").dropDuplicates(["_r"])
+    return texts.select("_r", "_label", "_text").mapInPandas(rows, "_r long, _label long, _key long, _w double, _rest double, _lead boolean")
+
+
+def _open_pairs(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFrame:
+    """The pairs (_a, _b) of texts with different labels that can be at or above the similarity, by their rarest shingles."""
+    both = cut(_prefixes(docs, ids, table, least))
+    light = both.filter("_lead").select("_key", F.col("_r").alias("_x"), F.col("_label").alias("_lx"), F.col("_w").alias("_wx"), F.col("_rest").alias("_sx"))
+    heavy = both.select(F.col("_key").alias("_same"), F.col("_r").alias("_y"), F.col("_label").alias("_ly"), F.col("_w").alias("_wy"), F.col("_rest").alias("_sy"))
+    ordered = (F.col("_wx") < F.col("_wy")) | ((F.col("_wx") == F.col("_wy")) & (F.col("_x") < F.col("_y")))
+    enough = F.least("_sx", "_sy") >= (least / (1 + least) - SLACK) * (F.col("_wx") + F.col("_wy"))
+    fits = (F.col("_key") == F.col("_same")) & (F.col("_lx") != F.col("_ly")) & ordered & (F.col("_wx") >= (least - SLACK) * F.col("_wy")) & enough
+    return light.join(heavy, fits).select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
+
+
 def links(docs: DataFrame, table, least: float = SIMILARITY) -> DataFrame | None:
     """Labels of the texts that have near copies among different texts; None without any.
 
-    In each round a bucket compares its smallest open member with all others; those near it are closed. Texts that are still
-    in different components at the end, though they share a bucket, are compared pair by pair, so no link is lost.
+    First each bucket compares one member with all others: the one that shares most buckets with other texts, as the source of many
+    copies does. Texts that are still in different components, though they share a bucket, are then compared by their rarest
+    shingles, which leaves out only pairs that cannot reach the similarity, so no link is lost.
     """
     bands = _bands(docs, table)
-    several = bands.groupBy("_key").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi")).filter(F.col("_lo") != F.col("_hi")).select("_key")
-    members = cut(bands.join(several, "_key", "left_semi"))
-    ordered = lambda x, y: (F.least(x, y).alias("_a"), F.greatest(x, y).alias("_b"))
-    tested = found = None
-    open_ = members
-    for _ in range(ROUNDS):
-        centers = open_.groupBy("_key").agg(F.min("_r").alias("_center"))
-        pairs = members.join(centers, "_key").filter(F.col("_r") != F.col("_center")).select(*ordered(F.col("_r"), F.col("_center"))).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["_a", "_b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        near = cut(_verify(pairs, docs, table, least))
-        tested, found = (pairs, near) if tested is None else (tested.unionByName(pairs), found.unionByName(near))
-        rest = open_.join(centers, "_key").filter(F.col("_r") != F.col("_center")).select("_key", "_r", *ordered(F.col("_r"), F.col("_center")))
-        open_ = cut(rest.join(found, ["_a", "_b"], "left_anti").select("_key", "_r"))
-    if found is None or found.isEmpty():
+    several = bands.groupBy("_key").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") != F.col("_hi")).select("_key", "_n")
+    members = cut(bands.join(several, "_key"))
+    shared = members.groupBy("_r").agg(F.sum("_n").alias("_shared"))
+    centers = members.join(shared, "_r").groupBy("_key").agg(F.max_by("_r", F.struct("_shared", "_r")).alias("_center"))
+    members = members.select("_key", "_r")
+    pairs = members.join(centers, "_key").filter(F.col("_r") != F.col("_center"))
+    pairs = cut(pairs.select(F.least("_r", "_center").alias("_a"), F.greatest("_r", "_center").alias("_b")).distinct())
+    if pairs.isEmpty():
         return None
-    labels = components(found)
-    named = members.join(labels, "_r", "left").withColumn("_label", F.coalesce("_label", "_r"))
+    found = cut(_verify(pairs, docs, table, least))
+    labels = None if found.isEmpty() else components(found)
+    named = members.withColumn("_label", F.col("_r")) if labels is None else members.join(labels, "_r", "left").withColumn("_label", F.coalesce("_label", "_r"))
     mixed = named.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).filter(F.col("_lo") != F.col("_hi")).select("_key")
-    left = named.join(mixed, "_key", "left_semi")
-    other = left.select("_key", F.col("_r").alias("_b"), F.col("_label").alias("_other"))
-    pairs = left.withColumnRenamed("_r", "_a").join(other, "_key").filter((F.col("_a") < F.col("_b")) & (F.col("_label") != F.col("_other"))).select("_a", "_b").distinct()
-    pairs = cut(pairs.join(tested, ["_a", "_b"], "left_anti"))
-    if pairs.isEmpty():
+    ids = cut(named.join(mixed, "_key", "left_semi").select("_r", "_label").distinct())
+    if ids.isEmpty():
+        return labels
+    more = cut(_open_pairs(docs, ids, table, least).join(pairs, ["_a", "_b"], "left_anti"))
+    if more.isEmpty():
+        return labels
+    near = cut(_verify(more, docs, table, least))
+    if near.isEmpty():
         return labels
-    near = cut(_verify(pairs, docs, table, least))
-    return labels if near.isEmpty() else components(found.unionByName(near))
+    return components(found.unionByName(near))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

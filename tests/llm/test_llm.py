@@ -141,6 +141,36 @@ def test_near_dedup_finds_groups(spark):
     assert neardup.dedup(frame(spark, texts)).count() == 20
 
 
+def test_near_dedup_loses_no_link_to_a_shared_passage(spark):
+    """Texts around one passage, many just under the similarity, and copies that only their source links: as brute force over all pairs."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage, source = word(100), word(120)
+    texts = [" ".join(word(int(k)) + passage + word(int(k))) for k in rng.integers(1, 15, 60)]
+    for at in range(0, 120, 3):
+        copy = list(source)
+        copy[at] = f"x{at}"
+        copy[(at + 57) % 120] = f"y{at}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(source), *texts[:5]]
+    docs = frame(spark, texts)
+    table = neardup.idf(*neardup.frequencies(docs))
+    sets = [neardup.weighted(x, table) for x in texts]
+    least = list(range(len(texts)))
+    changed = True
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or neardup.similarity(sets[i], sets[j]) >= neardup.SIMILARITY]
+    while changed:
+        changed = False
+        for i, j in edges:
+            if least[i] != least[j]:
+                least[i] = least[j] = min(least[i], least[j])
+                changed = True
+    got = {x.doc_id: x.class_id for x in neardup.report(docs).collect()}
+    first = min(got)
+    assert [got[i + first] - first for i in range(len(texts))] == least
+    assert 2 < len(set(least)) < len(texts)
+
+
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(8)
     items = [(i, sentence(r, 30)) for i in range(5)]
