@@ -100,7 +100,7 @@ class Matcher:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self._slot(flat)] = True
         # the sparsest run of hits that can hold a match: need of (m + e - q + 1) positions
-        self.window = max((len(c) + e for (_, c), e in zip(self.items, self.limit, strict=True)), default=0)
+        self.window = max((len(c) + e - Q + 1 for (_, c), e in zip(self.items, self.limit, strict=True)), default=0)
         self.least = int(self.need.min()) if len(self.need) else 1
 
     @staticmethod
@@ -116,10 +116,12 @@ class Matcher:
         at = np.flatnonzero(self.seen[self._slot(h)])
         if len(at) < self.least:
             return []
-        # at least ``least`` hits within the longest window, on one side or the other
-        near = np.searchsorted(at, at + self.window) - np.arange(len(at)) >= self.least
-        near |= np.arange(len(at)) - np.searchsorted(at, at - self.window, side="right") + 1 >= self.least
-        at = at[near]
+        # every hit that lies in any window of at least ``least`` hits: whole runs are marked
+        run = np.flatnonzero(at[self.least - 1 :] - at[: len(at) - self.least + 1] < self.window)
+        near = np.zeros(len(at) + 1, np.int64)
+        near[run] += 1
+        near[run + self.least] -= 1
+        at = at[np.cumsum(near[:-1]) > 0]
         lo, hi = np.searchsorted(self.hash, h[at], side="left"), np.searchsorted(self.hash, h[at], side="right")
         n = hi - lo
         total = int(n.sum())

@@ -190,6 +190,32 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.clean(docs, bench).count() == 6
 
 
+def test_decontamination_finds_lone_items_at_their_bounds():
+    """Items in text that shares no other q-gram with the benchmark: as brute force finds them."""
+    r = random.Random(12)
+    filler = lambda n: "".join(r.choices("stuvwxyz", k=n))
+    short = "abcdefghijkl"
+    assert decontam.Matcher([(1, short)]).find(filler(300) + short + filler(300)) == [(1, 300, 312, 0)]
+    items = [(n, "".join(r.choices("abcdefgh", k=n))) for n in (8, 9, 15, 40, 100, 101, 130)]
+    for i, item in items:
+        matcher = decontam.Matcher([(i, item)])
+        e = matcher.limit[0]
+        for edits in range(e + 1):
+            body = list(item)
+            for k in range(edits):
+                body[(k + 1) * len(item) // (edits + 1)] = "#"
+            body = "".join(body)
+            text = filler(200) + body + filler(200)
+            got = matcher.find(text)
+            # brute force: the least edits of the item at any place of the text
+            row = [0] * (len(text) + 1)
+            for x in item:
+                last, row = row, [row[0] + 1]
+                for j, y in enumerate(text, 1):
+                    row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            assert min(row) == edits and [(g[0], g[3]) for g in got] == [(i, edits)]
+
+
 def test_shards_are_even_and_gapless(spark):
     docs = frame(spark, [f"t{i % 50}" for i in range(1003)])
     rows = sharding.documents(docs, 10).collect()
