@@ -232,7 +232,11 @@ def links(docs: DataFrame, table, least: float = SIMILARITY) -> DataFrame | None
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, _r, _q (hashes of the text) and class_id of every row; class_id is null only where all ids of the class are."""
+    """doc_id, _r, _q (hashes of the text), _class, _own (together the key of the class) and class_id of every row.
+
+    The key comes from the texts alone; class_id, the smallest doc_id, is null where all ids of the class are, and the same for
+    different classes that hold the same smallest id.
+    """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_r", F.xxhash64("_text")).withColumn("_q", F.xxhash64(F.lit("second"), "_text"))
     table = spark.sparkContext.broadcast(idf(*frequencies(docs)))
@@ -240,21 +244,22 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     ids = base.select("doc_id", "_r", "_q")
     texts = ids.groupBy("_r", "_q").agg(F.min("doc_id").alias("_least"))
     if labels is None:
-        named = texts.withColumn("class_id", F.col("_least"))
-    else:
-        # equal hashes of different texts stay apart
-        marked = texts.join(labels, "_r", "left").withColumn("_label", F.coalesce("_label", F.xxhash64("_r", "_q")))
-        named = marked.join(marked.groupBy("_label").agg(F.min("_least").alias("class_id")), "_label")
-    return ids.join(named.select("_r", "_q", "class_id"), ["_r", "_q"])
+        return ids.join(texts.select("_r", "_q", F.col("_r").alias("_class"), F.col("_q").alias("_own"), F.col("_least").alias("class_id")), ["_r", "_q"])
+    # equal hashes of different texts stay apart; no text without links has a label as its _r
+    marked = texts.join(labels, "_r", "left").withColumn("_class", F.coalesce("_label", "_r")).withColumn("_own", F.when(F.col("_label").isNull(), F.col("_q")).otherwise(0))
+    named = marked.join(marked.groupBy("_class", "_own").agg(F.min("_least").alias("class_id")), ["_class", "_own"])
+    return ids.join(named.select("_r", "_q", "_class", "_own", "class_id"), ["_r", "_q"])
 
 
 def report(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id of every row."""
-    return classes(docs, least).select("doc_id", "class_id")
+    """doc_id, class_id, class_key of every row; class_key tells classes apart whose ids are null or repeated."""
+    return classes(docs, least).select("doc_id", "class_id", F.concat_ws("-", F.hex("_class"), F.hex("_own")).alias("class_key"))
 
 
 def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document of each class, that with the smallest doc_id, with all columns (rows without an id: the first by text hash; equal rows: one)."""
-    kept = classes(docs, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.min("_r").alias("_keep")).withColumnsRenamed({"doc_id": "_kept_id"})
-    both = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_keep"))).select(*docs.columns)
-    return both.dropDuplicates(["doc_id", "text"])
+    """One document of each class, that with the smallest doc_id (null ids last), then text hash, with all columns."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_r").alias("r"), F.col("_q").alias("q"))
+    kept = classes(docs, least).groupBy("_class", "_own").agg(F.min(place).alias("k")).select(F.col("k.id").alias("_kept_id"), F.col("k.r").alias("_kept_r"), F.col("k.q").alias("_kept_q"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text) == F.col("_kept_r")) & (F.xxhash64(F.lit("second"), text) == F.col("_kept_q"))
+    return docs.join(kept, same).dropDuplicates(["_kept_id", "_kept_r", "_kept_q"]).select(*docs.columns)

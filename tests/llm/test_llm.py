@@ -141,6 +141,19 @@ def test_near_dedup_finds_groups(spark):
     assert neardup.dedup(frame(spark, texts)).count() == 20
 
 
+def test_near_dedup_keeps_one_text_of_each_class_without_or_with_equal_ids(spark):
+    r = random.Random(13)
+    a, b, c, d, e = (sentence(r, 120) for _ in range(5))
+    near = " ".join(["changed", *a.split()[1:]])
+    rows = [(None, a), (None, b), (None, b), (None, None), (None, ""), (7, c), (7, d), (7, d), (3, near), (None, near), (7, e), (9, e)]
+    for rows, want in ((rows, [(None, ""), (None, b), (3, near), (7, c), (7, d), (7, e)]), ([x for x in rows if x[1] not in (a, near)], [(None, ""), (None, b), (7, c), (7, d), (7, e)])):
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+        kept = [(x.doc_id, x.text or "") for x in neardup.dedup(docs).collect()]
+        assert sorted(kept, key=str) == sorted(want, key=str)
+        got = neardup.report(docs).collect()
+        assert len(got) == len(rows) and len({x.class_key for x in got}) == len(want)
+
+
 def test_near_dedup_loses_no_link_to_a_shared_passage(spark):
     """Texts around one passage, many just under the similarity, and copies that only their source links: as brute force over all pairs."""
     rng = np.random.default_rng(5)
