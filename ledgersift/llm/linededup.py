@@ -5,7 +5,9 @@ a substring near the same place; substrings are looked up by length, segment num
 bit-parallel edit distance in a band of ``2 * edits + 1`` diagonals, held in one 64-bit word.
 
 The first line of a class stays: a line goes if the same line stands earlier (smaller doc_id, then place), or if a line within
-``edits`` edits of it does. Lines under ``least`` characters, blank ones above all, always stay. Null texts have no lines; null ids come last.
+``edits`` edits of it does. Blank lines always stay. Lines under ``least`` characters are not compared with edits; the same line
+standing earlier takes them out if they have ``exact`` characters (``least`` where not given, as in the registered SQL). Null texts
+have no lines; null ids come last.
 """
 
 from __future__ import annotations
@@ -191,12 +193,12 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     return within(sides, "_la", "_lb", edits).select("_a", "_b")
 
 
-def removed(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def removed(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """_id, _th, _gone (array of line numbers from 0) of the documents that lose lines."""
-    lines = lines_of(docs).filter(F.length("_line") >= least).filter(F.trim("_line") != "").withColumn("_r", F.xxhash64("_line")).withColumn("_q", F.xxhash64(F.lit("second"), "_line"))
+    lines = lines_of(docs).filter(F.length("_line") >= (least if exact is None else min(exact, least))).filter(F.trim("_line") != "").withColumn("_r", F.xxhash64("_line")).withColumn("_q", F.xxhash64(F.lit("second"), "_line"))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_at").alias("at"))
     firsts = lines.groupBy("_r", "_q").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
-    near = cut(near_lines(lines, edits))
+    near = cut(near_lines(lines.filter(F.length("_line") >= least), edits))
     first = firsts.select(F.col("_r"), F.col("_first"))
     both = near.join(first.withColumnsRenamed({"_r": "_a", "_first": "_fa"}), "_a").join(first.withColumnsRenamed({"_r": "_b", "_first": "_fb"}), "_b")
     late = both.select(F.when(F.col("_fa") < F.col("_fb"), F.col("_b")).otherwise(F.col("_a")).alias("_r")).distinct().withColumn("_late", F.lit(True))
@@ -206,23 +208,23 @@ def removed(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
     return gone.groupBy("_id", "_th").agg(F.collect_set("_at").alias("_gone"))
 
 
-def with_kept(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def with_kept(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """All rows and columns of docs, plus _all (lines, null for a null text) and _kept (the lines that stay)."""
-    gone = removed(docs, edits, least).withColumnsRenamed({"_id": "_gone_id", "_th": "_gone_th"})
+    gone = removed(docs, edits, least, exact).withColumnsRenamed({"_id": "_gone_id", "_th": "_gone_th"})
     both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_th")), "left").drop("_gone_id", "_gone_th")
     lines = F.split("text", "\n")
     flags = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
     return both.withColumn("_kept", F.filter(lines, lambda x, i: ~F.array_contains(flags, i))).withColumn("_all", F.size(lines)).withColumn("_lost", F.size(flags)).drop("_gone")
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """docs with the lines that stay; other columns as they are."""
-    return with_kept(docs, edits, least).withColumn("text", F.array_join("_kept", "\n")).select(*docs.columns)
+    return with_kept(docs, edits, least, exact).withColumn("text", F.array_join("_kept", "\n")).select(*docs.columns)
 
 
-def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of each document (a null text has no lines and the digest of the empty text)."""
-    kept = with_kept(docs.select("doc_id", "text"), edits, least)
+    kept = with_kept(docs.select("doc_id", "text"), edits, least, exact)
     return kept.select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("_all")).cast("long").alias("n_lines"), F.col("_lost").cast("long").alias("n_removed"), F.sha2(F.coalesce(F.array_join("_kept", "\n"), F.lit("")).cast("binary"), 256).alias("kept_sha256")
     )

@@ -124,6 +124,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert {x.doc_id: x.kept_sha256 for x in linededup.report(frame(spark, texts)).collect()} == want
 
 
+def test_pipeline_line_dedup_takes_short_repeats(spark):
+    import corpus_pipeline
+
+    long = "a line of more than twenty characters"
+    texts = ["ok\n\nok\n" + long, "}\nok\noh\n  \n" + long + "!", "}\n\n  \noh no"]
+    got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.dedup_lines(spark, frame(spark, texts), "").collect()}
+    want = ["ok\n\n" + long, "}\noh\n  ", "\n  \noh no"]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
 def test_near_dedup_finds_groups(spark):
     r = random.Random(7)
     texts = [sentence(r, 120) for _ in range(20)]
