@@ -1,8 +1,8 @@
 """Secret scans: candidate strings scored by a random forest, in DataFrame operations.
 
-Candidates are runs of 16 or more key characters with a digit. Their features are length, transitions between kinds of
+Candidates are runs of 16 or more key characters with a digit, and of 8 or more right after a key word. Their features are length, transitions between kinds of
 characters, coverage by dictionary words, how path-like they are and what path they come from, and the words beside them.
-The forest is trained by Spark on labelled findings and sorts false positives out. Texts that are null or empty have no candidates.
+The forest is trained by Spark on labelled findings (those whose format decides) and sorts false positives out. Texts that are null or empty have no candidates.
 """
 
 from __future__ import annotations
@@ -13,13 +13,30 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_./+@=-])(?=[A-Za-z_./+@=-]{0,40}[0-9])[A-Za-z0-9_./+@=-]{16,}"
+#: Words that name a secret beside it.
+KEY_WORDS = "pass|passwd|password|pwd|secret|token|key|apikey|api_key|auth|credential|bearer"
+_CHAR = "[A-Za-z0-9_./+@=-]"
+#: A run of 16 or more with a digit anywhere, or one of 8 or more that is given to a key word.
+CANDIDATE = (
+    rf"(?<!{_CHAR})(?={_CHAR}{{8}})(?:(?=[A-Za-z_./+@=-]*+[0-9]){_CHAR}{{16,}}"
+    rf"|(?:(?<=(?i:{KEY_WORDS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)|(?=(?i:{KEY_WORDS})={_CHAR}{{8}})){_CHAR}{{8,}})"
+)
+#: Formats that decide alone: vendors' prefixes and signed tokens.
+SECRET = (
+    r"^((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[\w-]{16,}|(sk|rk|pk)_(live|test)_[A-Za-z0-9]{10,}|sk-[\w-]{20,}"
+    r"|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|SG\.[\w-]{10,}\.[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}(\.[\w-]*)?)$"
+)
+#: Formats that are no secrets unless given to a key word: numbers and dates, UUIDs, addresses, paths, words joined by signs.
+HARMLESS = (
+    r"^([0-9./+@=_-]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[^@]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+|(\.{0,2}/|www\.).+|.+\.[a-z]{1,5}[0-9]?"
+    r"|([A-Za-z][a-z]*|[0-9]{1,4})([._/=+@-]+([A-Za-z][a-z]*|[0-9]{1,4}))+|[A-Za-z]?[a-z]+[0-9]{0,4})$"
+)
+#: Bits a character of a value given to a key word.
+ENTROPY = 3.5
 #: Training findings and dictionary words are bounded; the words are the commonest around all candidates.
 SAMPLE_ROWS, DICTIONARY_WORDS, TREES, DEPTH = 20_000, 200, 20, 6
 #: Characters of context looked at on either side.
 CONTEXT = 48
-#: Words that name a secret beside it.
-KEY_WORDS = "pass|passwd|password|pwd|secret|token|key|apikey|api_key|auth|credential|bearer"
 FEATURES = (
     "f_length", "f_digit", "f_upper", "f_lower", "f_hex", "f_symbol", "f_distinct", "f_letter_digit", "f_digit_letter", "f_case", "f_dictionary", "f_path", "f_slashes", "f_at", "f_assigned", "f_key_word", "f_quoted", "f_longest_run",
 )
@@ -75,12 +92,23 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
     return found.withColumns({k: F.coalesce(x, F.lit(0.0)) for k, x in value.items()})
 
 
+def entropy(v: Column) -> Column:
+    """Bits a character."""
+    n = F.length(v).cast("double")
+    share = lambda c: (n - F.length(F.replace(v, c, F.lit("")))) / n
+    return F.aggregate(F.filter(F.array_distinct(F.split(v, "")), lambda c: c != ""), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+
+
 def rule_label(found: DataFrame) -> Column:
-    """Labels by known formats: an access-key id, or a hexadecimal value given to a key word, is a secret; all else is not."""
-    key_id = F.col("value").rlike("^AKIA[A-Z0-9]{16}$")
-    assigned = F.lower(F.col("before")).rlike(rf"({KEY_WORDS})\s*[=:]\s*[\"']?$") & F.col("value").rlike("^[0-9a-f]{16,}$")
-    inline = F.col("value").rlike(rf"(?i)^({KEY_WORDS})=[0-9a-z]{{12,}}$")
-    return (key_id | assigned | inline).cast("double")
+    """Labels where the format decides: 1 for known secret formats and random values given to a key word, 0 for known harmless ones, else null."""
+    inline = rf"(?i)^({KEY_WORDS})="
+    v = F.regexp_replace(F.regexp_replace("value", inline, ""), r"[.]+$", "")
+    keyed = F.coalesce(F.lower("before").rlike(rf"({KEY_WORDS})[\"']?\s*[=:]\s*[\"']?$"), F.lit(False)) | F.col("value").rlike(inline)
+    # base64 may begin like a path
+    base64 = v.rlike("^[A-Za-z0-9+/]{20,}={0,2}$") & v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]")
+    random = (F.length(v) >= 16) & v.rlike("[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]") & v.rlike("[A-Za-z]") & (~v.rlike(HARMLESS) | base64) & (entropy(v) >= ENTROPY)
+    known = v.rlike(SECRET) | (keyed & (v.rlike("^[0-9a-fA-F]{16,}$") | random)) | F.col("value").rlike(rf"(?i)^({KEY_WORDS})=[0-9a-z]{{12,}}$")
+    return F.when(known, 1.0).when(~keyed & v.rlike(HARMLESS), 0.0)
 
 
 def train(findings: DataFrame, words: list[str], rows: int = SAMPLE_ROWS) -> RandomForestClassificationModel | None:

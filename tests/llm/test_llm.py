@@ -315,3 +315,22 @@ def test_secrets(spark):
     got = {x.doc_id: x.score >= 0.5 for x in found.collect()}
     assert got == {i: i % 2 == 1 for i in range(120)}
     assert "****" in secrets.redact(docs, found).filter("doc_id = 1").first().text
+
+
+def test_secrets_of_other_formats(spark):
+    """Prefixed, mixed-case and late-digit secrets are candidates, are not taught as harmless, and are found."""
+    r = random.Random(14)
+    mixed = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    of = lambda n, s=mixed: "".join(r.choices(s, k=n))
+    late = of(45, "abcdefghijklmnopqrstuvwxyzABCDEFGH") + "7" + of(3)
+    forms = [
+        lambda: f'api_key = "sk_live_{of(24)}"', lambda: f"use ghp_{of(36)} here", lambda: f"bearer: eyJ{of(20)}.eyJ{of(40)}.{of(43)}",
+        lambda: f'secret = "{of(40, mixed + "/+")}"', lambda: f"order {r.randrange(10**16, 10**17)}", lambda: f"see /data/{of(5)}/part-{r.randrange(10**6)}/file here",
+    ]
+    texts = [sentence(r, 8) + " " + forms[i % 6]() + " " + sentence(r, 5) for i in range(180)] + [f'token = "{late}"', 'key = "AbCdEfGhIjKlMnOpQrStUvWx"', "password: hunter2ab", "x9qTzLm4vBn8wKc2Rd7"]
+    docs = frame(spark, texts)
+    found = secrets.candidates(docs)
+    labels = {x.doc_id: x.label for x in found.withColumn("label", secrets.rule_label(found)).collect()}
+    assert labels == {i: float(i % 6 < 4) for i in range(180)} | {180: 1.0, 181: 1.0, 182: None, 183: None}
+    scored = {x.doc_id: x.score >= 0.5 for x in secrets.scan(docs).filter("doc_id < 180").collect()}
+    assert scored == {i: i % 6 < 4 for i in range(180)}
