@@ -23,6 +23,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_ENTRIES = 150_000
 #: Remembered pair tests per Python worker.
 MEMO_PAIRS = 250_000
+#: The walk over prefixes of these lengths is kept, for pre-tokens often begin alike; at most so many walks in a Python worker.
+PREFIX_BYTES, KEPT_PREFIXES = (12, 9, 7, 5), 60_000
 #: Stands for the start of a pre-token where a token before it is asked for.
 START = -1
 #: Chunks longer than this are encoded without being cached.
@@ -44,11 +46,14 @@ def read_vocabulary(spark: SparkSession, path: str) -> dict:
     letters = byte_letters()
     raw = lambda token: bytes(letters[c] for c in token)
     vocab = data["model"]["vocab"]
+    added = data["added_tokens"]
+    if odd := [x["content"] for x in added if x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized")]:
+        raise ValueError(f"added tokens that take blanks or whole words, or are matched after normalising, are not supported: {odd}")
     merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
     return {
         "ids": [(raw(token), i) for token, i in vocab.items()],
         "merges": [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges],
-        "special": {x["content"]: x["id"] for x in data["added_tokens"]},
+        "special": {x["content"]: x["id"] for x in added},
     }
 
 
@@ -106,7 +111,7 @@ class Recent:
     def __init__(self, make):
         self.make, self.young, self.old = make, {}, {}
 
-    def recall(self, text: str) -> str:
+    def recall(self, text: str):
         got = self.young.get(text)
         if got is None:
             got = self.old.get(text)
@@ -138,9 +143,11 @@ class Encoder:
         self.made = {c: (k, a, b) for k, (a, b, c) in enumerate(vocabulary["merges"])}
         self.automaton = SuffixAutomaton(vocabulary["ids"])
         self.find = regex.compile(PATTERN).findall
-        self.odd_blank = regex.compile(r" (?:\s|\Z)").search
+        self.blank_runs = regex.compile(r"\s{3,}|\s{2,}\Z").finditer
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.words, self.chunks = Recent(self._word), Recent(lambda x: self.chunk(" " + x))
+        self.tokens = dict(vocabulary["ids"])
+        self.prefixes: dict[bytes, tuple[int, int, list[int]]] = {}
         self.lengths = {token: len(entry) for entry, token in vocabulary["ids"]}
         self.follows: dict[int, dict[int, bool]] = {token: {} for token in self.lengths}
         entry = {token: (n, token, self.follows[token]) for token, n in self.lengths.items()}
@@ -171,12 +178,18 @@ class Encoder:
                 used_right, b = kb[0], kb[1]
 
     def pretoken(self, data: bytes) -> list[int]:
+        if (whole := self.tokens.get(data)) is not None:
+            return [whole]  # its longest match is all of it, and any token may begin a pre-token
         edges, link, size, ending = self.automaton.next, self.automaton.link, self.automaton.size, self.ending
         if self.tested > MEMO_PAIRS:
             self.forget()
-        last = [START]  # the last token of each prefix
-        state = matched = 0
-        for end, byte in enumerate(data, 1):
+        last, state, matched = [START], 0, 0  # the last token of each prefix
+        for n in PREFIX_BYTES:
+            if (known := self.prefixes.get(data[:n])) is not None:
+                state, matched, last = known[0], known[1], known[2].copy()
+                break
+        for end in range(len(last), len(data) + 1):
+            byte = data[end - 1]
             while (to := edges[state].get(byte)) is None:
                 state = link[state]
                 matched = size[state]
@@ -192,6 +205,10 @@ class Encoder:
                     if ok:
                         break
             last.append(token)
+            if end in PREFIX_BYTES and end < len(data):
+                if len(self.prefixes) >= KEPT_PREFIXES:
+                    self.prefixes.clear()
+                self.prefixes[data[:end]] = (state, matched, last.copy())
         out, end, lengths = [], len(data), self.lengths
         while end:
             out.append(last[end])
@@ -209,32 +226,52 @@ class Encoder:
     def chunk(self, text: str) -> str:
         """Decimal ids, joined by commas, of a chunk of text that is pre-tokenized on its own."""
         parts = self.find(text)
-        if len(parts) == 1:
-            return self._word(text)
         recall = self.words.recall
         return ",".join([recall(x) for x in parts])
 
     def _word(self, text: str) -> str:
         return ",".join(map(str, self.pretoken(text.encode("utf-8", "surrogatepass"))))
 
-    def _plain(self, text: str) -> str:
-        """A blank that stands between two non-blanks or ends a run of other blanks always begins a pre-token, so texts are cut there."""
-        if self.odd_blank(text):
-            return self.chunk(text)
+    def _words(self, text: str, out: list[str]) -> None:
+        """Ids of a text without long blank runs; any of its single blanks begins a pre-token, so it is cut there."""
         first, *rest = text.split(" ")
         recall, at_hand = self.chunks.recall, self.chunks.young.get
-        out = [self.chunk(first)] if first else []
+        if first:
+            out.append(self.chunk(first))
         out += [at_hand(x) or recall(x) for x in rest]
-        return ",".join(out)
 
-    def encode(self, text: str | None) -> str:
-        """Decimal ids joined by commas."""
+    def _plain(self, text: str, out: list[str]) -> None:
+        """A run of three blanks or more (two at the end) is a pre-token but for its last blank, which belongs to what follows."""
+        last = 0
+        for run in self.blank_runs(text):
+            start, end = run.span()
+            if start > last:
+                self._words(text[last:start], out)
+            if end == len(text):
+                out.append(self.words.recall(run.group()))
+                return
+            out.append(self.words.recall(run.group()[:-1]))
+            last = end - 1
+        self._words(text[last:] if last else text, out)
+
+    def pieces(self, text: str | None) -> list[str]:
+        """Decimal ids, joined by commas within a piece of the text."""
+        out: list[str] = []
         if not text:
-            return ""
+            return out
         if self.cut is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        parts = (self.special.get(x) or self._plain(x) for x in self.cut(text) if x)
-        return ",".join(parts)
+            self._plain(text, out)
+            return out
+        for x in self.cut(text):
+            if x in self.special:
+                out.append(self.special[x])
+            elif x:
+                self._plain(x, out)
+        return out
+
+    def encode(self, text: str | None) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(self.pieces(text))
 
 
 _kept: dict[tuple, Encoder | Decoder] = {}
