@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,18 +16,87 @@ _BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np
 _tables = {"power": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a folder of our own only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+#: A key with over one HOT_PARTS-th of all rows is hot; there are fewer than HOT_PARTS such keys, whatever the input.
+HOT_PARTS = 2048
+#: Tasks over which a hot key is spread.
+SALTS = 64
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only on a local master, where driver and tasks share a machine."""
+    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = tempfile.mkdtemp(prefix="spark-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(known)
+        known = spark.sparkContext.getCheckpointDir()
+    return known
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Materialise ``df`` in the shared checkpoint folder, partitioned as it is, and cut its lineage."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back: as cut(), but columns and filters reach the scan."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """Inner join of rows with groups (written, one row a key, ``size`` rows each), hot keys apart.
+
+    Hot keys are broadcast, fewer than HOT_PARTS rows; of all others none has more than one HOT_PARTS-th of the rows.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot, rest = groups.filter(F.col(size) * HOT_PARTS > total).drop(size), groups.filter(F.col(size) * HOT_PARTS <= total).drop(size)
+    of_rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(of_rest)
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys that hold over one HOT_PARTS-th of ``total`` rows: fewer than HOT_PARTS."""
+    return store(rows.groupBy(key).count().filter(F.col("count") * HOT_PARTS > max(total, HOT_PARTS)).select(key, F.lit(True).alias("_hot")))
+
+
+def join_salted(rows: DataFrame, key: str, spread: str, table: DataFrame, hot: DataFrame) -> DataFrame:
+    """Inner join of rows with table (one wide row a key), the rows of hot_keys() dealt over SALTS tasks by ``spread``.
+
+    Rows of a hot key in table are repeated SALTS times.
+    """
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+    return dealt.join(table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(salts)).drop("_hot"), [key, "_salt"]).drop("_salt")
+
+
+def lower_bound(values: Column, n: int, before) -> Column:
+    """Number of the first of ``n`` sorted values for which ``before(value)`` is false; n if there is none (binary search)."""
+
+    def step(s: Column, _) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up, down = F.struct((middle + 1).alias("lo"), s["hi"].alias("hi")), F.struct(s["lo"].alias("lo"), middle.alias("hi"))
+        return F.when(s["lo"] < s["hi"], F.when(before(F.get(values, middle)), up).otherwise(down)).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), start, step, lambda s: s["lo"])
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """All columns in one, _row, so that no name of theirs can clash with an operator's own."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+
+
+def unpack(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs out of _row, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
 def fold_of(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null for a null id)."""
     return F.crc32(id_col.cast("string").cast("binary")) % folds
