@@ -2,22 +2,26 @@
 
 An item of m characters that occurs in a text within e edits shares at least m - q + 1 - q * e q-grams with it, all
 within a diagonal band. Shared q-grams are counted in overlapping bands; bands that reach the bound are verified by banded
-alignment. Texts are compared in lower case with runs of blanks as one space. e is a fixed share of m.
-Null and empty texts match nothing; items too short for the bound to be positive (under q + 1 characters, no edits allowed) match exactly or,
-under q characters, not at all. Equal items are all reported.
+alignment. Texts are compared in lower case with runs of blanks as one space; places are given in the text as it is. e is a fixed
+share of m, less where the bound would not be positive. Items under q characters have no q-gram and match exactly, where no word
+goes on at either end. Null and empty texts match nothing, null and blank items occur nowhere. Equal items are all reported, equal rows
+each for itself; items without an id count, with a null id. Empty tables give no matches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgersift.llm.common import store
+
 Q, EDIT_SHARE = 8, 0.08
-#: Items are matched in blocks of about this many characters, one pass for each, so what is broadcast is bounded.
+#: Items are matched in blocks of about this many characters, one pass over the texts for each, so what is broadcast is bounded.
 BLOCK_CHARS = 2_000_000
 _BITS = 22
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -28,6 +32,21 @@ def normal(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
+def source_places(text: str) -> list[int]:
+    """For each code point of the normal text the place in the text that it comes from."""
+    out: list[int] = []
+    blank = -1
+    for i, c in enumerate(text):
+        if c.isspace():
+            blank = i if blank < 0 else blank
+            continue
+        if blank >= 0 and out:
+            out.append(blank)
+        blank = -1
+        out += [i] * len(c.lower())
+    return out
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -82,8 +101,9 @@ def align(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int, int
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE):
-        self.items = [(i, points(normal(t))) for i, t in items]
-        self.items = [(i, c) for i, c in self.items if len(c) >= Q]
+        plain = [(i, normal(t)) for i, t in items]
+        self.short = [(i, t) for i, t in plain if 0 < len(t) < Q]
+        self.items = [(i, points(t)) for i, t in plain if len(t) >= Q]
         self.limit = []
         for _, c in self.items:
             e = int(len(c) * share)
@@ -107,11 +127,34 @@ class Matcher:
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h * _M) >> np.uint64(64 - _BITS)).astype(np.int64)
 
+    def occurs(self, text: str | None) -> bool:
+        """Whether any item does."""
+        body = normal(text)
+        return any(True for _ in self._exact(body)) or bool(self._similar(body))
+
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the best match of each item that occurs, in the normal text's code points."""
-        if not self.items or not text or len(text) < Q:
+        """(item, start, end, edits) of the best match of each item that occurs, in the text's code points."""
+        body = normal(text)
+        found = [*self._exact(body), *self._similar(body)]
+        if not found or body == text:
+            return found
+        at = source_places(text)
+        return [(i, at[a], at[b - 1] + 1 if b else 0, e) for i, a, b, e in found]
+
+    def _exact(self, body: str) -> Iterator[tuple[int, int, int, int]]:
+        for i, item in self.short:
+            p = body.find(item)
+            while p >= 0:
+                end = p + len(item)
+                if not (p and item[0].isalnum() and body[p - 1].isalnum()) and not (item[-1].isalnum() and body[end : end + 1].isalnum()):
+                    yield i, p, end, 0
+                    break
+                p = body.find(item, p + 1)
+
+    def _similar(self, body: str) -> list[tuple[int, int, int, int]]:
+        if not self.items or len(body) < Q:
             return []
-        codes = points(normal(text))
+        codes = points(body)
         h = grams(codes)
         at = np.flatnonzero(self.seen[self._slot(h)])
         if len(at) < self.least:
@@ -136,7 +179,9 @@ class Matcher:
             d, w = diagonal[own], where[own]
             e = self.limit[k]
             c = self.items[k][1]
-            for band in np.unique(d // (e + 1)):
+            bands, hits = np.unique(d // (e + 1), return_counts=True)
+            both = hits + np.append(np.where(np.diff(bands) == 1, hits[1:], 0), 0)
+            for band in bands[both >= self.need[k]]:
                 # diagonals band * (e + 1) .. (band + 2) * (e + 1) - 1: any e + 1 neighbours lie in such a band
                 inside = (d >= band * (e + 1)) & (d < (band + 2) * (e + 1))
                 if len(np.unique(w[inside])) < self.need[k]:
@@ -149,43 +194,61 @@ class Matcher:
         return [(self.items[k][0], *v) for k, v in best.items()]
 
 
-def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of about ``chars`` characters; one block at a time is in the driver."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).na.drop()
+def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks, and the items in blocks of about ``chars`` characters; one block at a time is in the driver."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).filter(F.col("t").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = -(-total // chars)
-    for b in range(n):
-        yield [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
+    return n, ([(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()] for b in range(n))
 
 
-def _udf(items: list[tuple[int, str]], share: float, session):
-    shared = session.sparkContext.broadcast(items)
-
+def _found(shared, share: float):
     @F.pandas_udf(MATCH)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(shared.value, share)
         for batch in batches:
             yield pd.Series([[{"item": i, "start": a, "end": b, "edits": e} for i, a, b, e in matcher.find(x)] for x in batch], dtype=object)
 
-    return of
+    return of(F.coalesce("text", F.lit("")))
+
+
+def _free(shared, share: float):
+    @F.pandas_udf("boolean")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, share)
+        for batch in batches:
+            yield pd.Series([not matcher.occurs(x) for x in batch], dtype=bool)
+
+    return of(F.coalesce("text", F.lit("")))
+
+
+def _passes(frame: DataFrame, benchmark: DataFrame, share: float, chars: int, step) -> Iterator[DataFrame]:
+    """Frames that ``step`` makes of the last one it made and one broadcast block; each but a single one is written before the next block is sent."""
+    n, items = blocks(benchmark, chars)
+    for block in items:
+        shared = frame.sparkSession.sparkContext.broadcast(block)
+        frame = step(frame, shared)
+        if n > 1:
+            frame = store(frame)
+            shared.unpersist()
+        yield frame
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, name: str = "_matches", share: float = EDIT_SHARE) -> DataFrame:
-    """docs and an array of matches (item, start, end, edits)."""
-    found = F.array().cast(MATCH)
-    for items in blocks(benchmark):
-        found = F.concat(found, _udf(items, share, docs.sparkSession)(F.coalesce("text", F.lit(""))))
-    return docs.withColumn(name, found)
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, item_id, match_start, match_end (code points of the text), edits of the best place of each item in each document that holds it."""
 
+    def step(_, shared) -> DataFrame:
+        # the outer form, for explode() has the optimizer filter by size first, which evaluates the function twice
+        found = docs.select("doc_id", F.explode_outer(_found(shared, share)).alias("m")).filter(F.col("m").isNotNull())
+        return found.select("doc_id", F.col("m.item").alias("item_id"), F.col("m.start").alias("match_start"), F.col("m.end").alias("match_end"), F.col("m.edits").alias("edits"))
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """doc_id, item_id, start, end, edits of the best place of each item in each document that holds it."""
-    base = with_matches(docs.select("doc_id", "text"), benchmark, "_matches", share)
-    # the outer form, for explode() has the optimizer filter by size first, which evaluates the function twice
-    found = base.select("doc_id", F.explode_outer("_matches").alias("m")).filter(F.col("m").isNotNull())
-    return found.select("doc_id", F.col("m.item").alias("item_id"), F.col("m.start").alias("match_start"), F.col("m.end").alias("match_end"), F.col("m.edits").alias("edits"))
+    none = docs.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("match_start", "int"), ("match_end", "int"), ("edits", "int"))]).limit(0)
+    return reduce(DataFrame.unionByName, list(_passes(docs, benchmark, share, chars, step)) or [none])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents, all columns, that hold no item."""
-    return with_matches(docs, benchmark, "_decontam_matches", share).filter(F.size("_decontam_matches") == 0).drop("_decontam_matches")
+    left = docs
+    for left in _passes(docs, benchmark, share, chars, lambda d, shared: d.filter(_free(shared, share))):
+        pass
+    return left
