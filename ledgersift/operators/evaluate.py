@@ -1,38 +1,87 @@
-"""Scores of the rules against labelled documents."""
+"""Scores of the rules, the review universe and the assessments against labelled documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgersift.operators.review import document_amounts
+from ledgersift.operators.rules import RULES, line_rules
 from ledgersift.plans.params import Params
 
+#: manual_entries describes a population and is not scored.
+SCORED = RULES[1:]
+
 
 def hash_labels(journal: DataFrame) -> DataFrame:
-    """(entry_ref, rule): labels for three of ten documents, by their number."""
-    k = F.substring("entry_ref", 3, 20).cast("long") % 10
-    return journal.select("entry_ref").distinct().filter(k < 3).select("entry_ref", F.when(k == 0, "balance_check").when(k == 1, "round_amounts").otherwise("period_end").alias("rule"))
+    """(entry_ref, rule): a label for nine of thirty documents, by their number; one rule each."""
+    k = (F.substring("entry_ref", 3, 20).cast("long") % 30).cast("int")
+    rule = F.element_at(F.array(*map(F.lit, SCORED)), k + 1)
+    return journal.select("entry_ref").distinct().filter(k < len(SCORED)).select("entry_ref", rule.alias("rule"))
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """1 where there is nothing to divide by."""
+    return F.when(whole == 0, 1.0).otherwise(part / whole)
+
+
+def with_scores(counts: DataFrame) -> DataFrame:
+    """tp, fp, fn and precision, recall and F1 to 4 places."""
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    f1 = F.when(p + r == 0, 1.0).otherwise(2 * p * r / (p + r))
+    return counts.withColumns({"precision": F.round(p, 4), "recall": F.round(r, 4), "f1": F.round(f1, 4)})
 
 
-def by_rule(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """True and false positives and misses of each rule; a flag on a document labelled for another rule counts for neither."""
+def by_rule(found: DataFrame, labels: DataFrame, rules: tuple[str, ...] | None = None) -> DataFrame:
+    """Scores of each rule, zeros kept for given ``rules`` (else of those that occur); a flag on a document labelled for another rule counts for neither side."""
+    known = labels.select("rule").unionByName(found.select("rule")).distinct() if rules is None else found.sparkSession.createDataFrame([(r,) for r in rules], "rule string")
     f = found.select("rule", "entry_ref").distinct().withColumn("flagged", F.lit(True))
     any_label = labels.select("entry_ref").distinct().withColumn("known", F.lit(True))
-    rows = f.join(labels.withColumn("labelled", F.lit(True)), ["rule", "entry_ref"], "full_outer").join(any_label, "entry_ref", "left")
+    rows = f.join(labels.distinct().withColumn("labelled", F.lit(True)), ["rule", "entry_ref"], "full_outer").join(any_label, "entry_ref", "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
-    counts = rows.groupBy("rule").agg(F.count_if(flag("flagged") & flag("labelled")).alias("tp"), F.count_if(flag("flagged") & ~flag("labelled") & ~flag("known")).alias("fp"), F.count_if(flag("labelled") & ~flag("flagged")).alias("fn"))
-    ratio = lambda a, b: F.round(F.when(F.col(a) + F.col(b) == 0, 1.0).otherwise(F.col(a) / (F.col(a) + F.col(b))), 4)
-    return counts.select("rule", "tp", "fp", "fn", ratio("tp", "fp").alias("precision"), ratio("tp", "fn").alias("recall"))
+    counts = rows.groupBy("rule").agg(
+        F.count_if(flag("flagged") & flag("labelled")).alias("tp"), F.count_if(flag("flagged") & ~flag("known")).alias("fp"), F.count_if(flag("labelled") & ~flag("flagged")).alias("fn")
+    )
+    return with_scores(known.join(counts, "rule", "left").na.fill(0, ["tp", "fp", "fn"]))
 
 
-def total(found: DataFrame, labels: DataFrame) -> DataFrame:
-    f = found.select("entry_ref").distinct()
-    hit = labels.join(f, "entry_ref", "left_semi").agg(F.count("*").alias("tp"))
-    extra = f.join(labels.select("entry_ref"), "entry_ref", "left_anti").agg(F.count("*").alias("fp"))
-    return hit.crossJoin(extra).crossJoin(labels.join(f, "entry_ref", "left_anti").agg(F.count("*").alias("fn")))
+def total(found: DataFrame, labels: DataFrame, rules: tuple[str, ...] = SCORED) -> DataFrame:
+    """Scores of all scored rules together: a document is found if any of them flags it."""
+    f = found.filter(F.col("rule").isin(*rules)).select("entry_ref").distinct().withColumn("flagged", F.lit(True))
+    both = f.join(labels.select("entry_ref").distinct().withColumn("labelled", F.lit(True)), "entry_ref", "full_outer")
+    flagged, labelled = F.col("flagged").isNotNull(), F.col("labelled").isNotNull()
+    return with_scores(both.agg(F.count_if(flagged & labelled).alias("tp"), F.count_if(flagged & ~labelled).alias("fp"), F.count_if(~flagged & labelled).alias("fn")))
+
+
+def universe_recall(labels: DataFrame, journal: DataFrame, universe: DataFrame, p: Params) -> DataFrame:
+    """Of the labelled documents at or above materiality, how many the review universe holds."""
+    large = labels.select("entry_ref").distinct().join(document_amounts(journal).filter(F.col("abs_amount") >= p.materiality), "entry_ref", "left_semi")
+    both = large.join(universe.select("entry_ref").withColumn("chosen", F.lit(True)), "entry_ref", "left")
+    counts = both.agg(F.count("*").alias("eligible"), F.count_if(F.col("chosen")).alias("selected"))
+    return counts.withColumn("recall", F.round(ratio(F.col("selected"), F.col("eligible")), 4))
+
+
+def agreement(assessed: DataFrame, labels: DataFrame) -> DataFrame:
+    """How assessments agree with labels: share of labelled entries to inspect, share of labelled ones among those to inspect, clean ones accepted."""
+    rows = assessed.select("entry_ref", "action").join(labels.select("entry_ref").distinct().withColumn("labelled", F.lit(True)), "entry_ref", "left").na.fill(False, ["labelled"])
+    bad, look = F.col("labelled"), F.col("action") == "inspect"
+    counts = rows.agg(
+        F.count("*").alias("assessed"), F.count_if(bad).alias("labelled"), F.count_if(bad & look).alias("labelled_inspect"), F.count_if(look).alias("inspected"),
+        F.count_if(~bad).alias("clean"), F.count_if(~bad & (F.col("action") == "accept_flag")).alias("clean_accepted"),
+    )
+    recall, precision = ratio(F.col("labelled_inspect"), F.col("labelled")), ratio(F.col("labelled_inspect"), F.col("inspected"))
+    return counts.withColumns({"inspect_recall": F.round(recall, 4), "inspect_precision": F.round(precision, 4)})
 
 
 def round_sweep(journal: DataFrame, multiples: tuple[int, ...], p: Params) -> DataFrame:
     """Flags of the round-amount rule under several multiples, in one scan."""
     rows = journal.filter(F.abs("amount") >= p.round_min).select(F.round(F.abs("amount"), 0).cast("bigint").alias("a"), F.explode(F.array(*map(F.lit, multiples))).alias("variant"))
     return rows.filter(F.col("a") % F.col("variant") == 0).groupBy("variant").agg(F.count("*").alias("flagged"))
+
+
+def sweep(journal: DataFrame, labels: DataFrame, variants: dict[str, Params], rules: tuple[str, ...] = RULES[1:4]) -> DataFrame:
+    """Scores of row-local rules under several sets of parameters: (variant, rule, tp, fp, fn, precision, recall, f1)."""
+    one = lambda name, p: by_rule(line_rules(journal, p), labels, rules).select(F.lit(name).alias("variant"), "*")
+    return reduce(DataFrame.unionByName, [one(name, p) for name, p in variants.items()])

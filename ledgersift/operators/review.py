@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,25 +84,59 @@ def allocation(entries: DataFrame, p: Params) -> DataFrame:
     return second.withColumn("extra", take("more", F.col("left"))).select("ccy", "n", F.round("volume", 2).alias("volume"), (F.col("floor") + F.col("extra")).cast("long").alias("alloc"))
 
 
-def stratified(entries: DataFrame, p: Params) -> DataFrame:
-    """All entries with their place within the currency and whether they are chosen."""
+def _placed(entries: DataFrame, p: Params, most: int) -> DataFrame:
+    """The first ``most`` entries of each currency; the limit on the place is applied before rows move."""
     w = Window.partitionBy("ccy").orderBy(F.desc("abs_amount"), "entry_ref")
-    rows = entries.withColumn("ccy", F.upper(F.coalesce("currency", F.lit(p.base_currency)))).withColumn("place", F.row_number().over(w))
-    return rows.join(F.broadcast(allocation(entries, p).select("ccy", "alloc")), "ccy").withColumn("chosen", F.col("place") <= F.col("alloc"))
+    rows = entries.withColumn("ccy", F.upper(F.coalesce("currency", F.lit(p.base_currency))))
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
+def stratified(entries: DataFrame, p: Params) -> DataFrame:
+    """The chosen entries with their place within the currency; no currency gets more than top_n or its minimum."""
+    most = max(p.top_n, p.minimum_per_currency)
+    return _placed(entries, p, most).join(F.broadcast(allocation(entries, p).select("ccy", "alloc")), "ccy").filter(F.col("place") <= F.col("alloc"))
 
 
 def excluded_currencies(entries: DataFrame, p: Params) -> DataFrame:
-    rows = stratified(entries, p)
-    by = rows.groupBy("ccy").agg(F.count_if(~F.col("chosen")).alias("entries"), F.sum("abs_amount").alias("volume"), F.max(F.when(~F.col("chosen"), F.col("abs_amount"))).alias("largest"))
-    total = F.sum("volume").over(Window.partitionBy())
-    return by.withColumn("volume_share", F.round(F.col("volume") / total, 6)).filter("entries > 0").select("ccy", "entries", "volume_share", F.round("largest", 2).alias("largest"))
+    """Currencies with entries left out: how many, the currency's share of all volume, the largest one left out."""
+    alloc = allocation(entries, p)
+    largest = _placed(entries, p, max(p.top_n, p.minimum_per_currency) + 1).join(F.broadcast(alloc.select("ccy", "alloc")), "ccy")
+    largest = largest.filter(F.col("place") == F.col("alloc") + 1).select("ccy", F.round("abs_amount", 2).alias("largest"))
+    volume = entries.groupBy(F.upper(F.coalesce("currency", F.lit(p.base_currency))).alias("ccy")).agg(F.sum("abs_amount").alias("volume"))
+    share = F.round(F.col("volume") / F.sum("volume").over(Window.partitionBy()), 6)  # one row a currency
+    return alloc.drop("volume").join(volume.withColumn("volume_share", share), "ccy").join(largest, "ccy").select("ccy", (F.col("n") - F.col("alloc")).alias("entries"), "volume_share", "largest")
 
 
 def universe(entries: DataFrame, p: Params) -> DataFrame:
     """Material entries up to the cap if all currencies have rates, else an allocation by currency."""
     if fx_missing(entries, p).isEmpty():
         return capped(material(entries, p), p).select("entry_ref", "rules_hit", "abs_amount", "currency", "selection_basis")
-    return stratified(entries, p).filter("chosen").select("entry_ref", "rules_hit", "abs_amount", "currency", "selection_basis")
+    return stratified(entries, p).select("entry_ref", "rules_hit", "abs_amount", "currency", "selection_basis")
+
+
+def selection_notes(entries: DataFrame, p: Params) -> DataFrame:
+    """What the selection did: (note_id, note); the fallback by currency, honoured forced currencies, representative entries, the cap."""
+    spark = entries.sparkSession
+    missing = fx_missing(entries, p)
+    fallback = missing.agg(F.array_join(F.array_sort(F.collect_list("ccy")), ", ").alias("c")).filter("c <> ''")
+    rows = [fallback.select(F.lit("currency_stratified_fallback").alias("note_id"), F.concat(F.lit("no rates for "), "c", F.lit("; first entries by currency taken, capped in all")).alias("note"))]
+    present = entries.select(F.upper(F.coalesce("currency", F.lit(p.base_currency))).alias("ccy")).distinct()
+    forced = present.filter(F.col("ccy").isin(*p.forced)).agg(F.array_join(F.array_sort(F.collect_list("ccy")), ", ").alias("c")).filter("c <> ''")
+    rows.append(forced.select(F.lit("forced_currencies").alias("note_id"), F.concat(F.lit("forced currencies present: "), "c").alias("note")))
+    basis = entries.filter("selection_basis = 'representative'").agg(F.count("*").alias("n")).filter("n > 0")
+    rows.append(basis.select(F.lit("representative").alias("note_id"), F.concat(F.col("n").cast("string"), F.lit(" sampled entries past the materiality filter")).alias("note")))
+    above = material(entries, p).agg(F.count("*").alias("n")).filter(F.col("n") > p.universe_cap)
+    rows.append(above.select(F.lit("cap").alias("note_id"), F.concat(F.col("n").cast("string"), F.lit(f" material entries, the first {p.universe_cap} taken")).alias("note")))
+    return reduce(DataFrame.unionByName, rows, spark.createDataFrame([], "note_id string, note string"))
+
+
+def active_limitations(entries: DataFrame, p: Params, warnings: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """Ids of the limitations to accept: the fallback by currency, each currency with entries left out by it, critical warnings not acknowledged."""
+    missing = fx_missing(entries, p).agg((F.count("*") > 0).alias("fallback"))
+    fallback = missing.filter("fallback").select(F.lit("currency_stratified_fallback").alias("id"))
+    left_out = excluded_currencies(entries, p).crossJoin(F.broadcast(missing)).filter("fallback").select(F.concat(F.lit("currency_excluded_"), "ccy").alias("id"))
+    critical = warnings.filter("severity = 'critical'").join(acknowledged.select("warning_id"), "warning_id", "left_anti")
+    return fallback.unionByName(left_out).unionByName(critical.select(F.concat(F.lit("dq_"), F.regexp_replace("warning_id", "^dq_", "")).alias("id")))
 
 
 def _band(mad: Column, n: Column) -> Column:
@@ -126,13 +163,14 @@ def benford(journal: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return by.select(*keys, "n", F.round("_mad", 6).alias("mad"), _band(F.col("_mad"), F.col("n")).alias("band"))
 
 
-def outliers(journal: DataFrame, z: float = 4.0, keys: tuple[str, ...] = ("account",), least: int = 30) -> DataFrame:
-    """z-scores of log amounts within groups of ``least`` lines or more, from means and deviations rounded to 4 places."""
+def outliers(journal: DataFrame, z: float = 4.0, keys: tuple[str, ...] = ("account",), least: int = 30, most: int = 200) -> DataFrame:
+    """The ``most`` lines furthest out: z-scores of log amounts within groups of ``least`` lines or more, from means and deviations rounded to 4 places."""
     rows = journal.filter((F.col("amount") != 0) & F.col("account").isNotNull()).withColumn("x", F.log10(F.abs("amount") + 1))
     by = rows.groupBy(*keys).agg(F.round(F.avg("x"), 4).alias("mean"), F.stddev_pop("x").alias("_std"), F.count("*").alias("n")).filter(F.col("n") >= least)
     std = F.round(F.when(F.col("_std") == 0, 1e-9).otherwise(F.col("_std")), 4)
     score = (F.col("x") - F.col("mean")) / F.when(std == 0, 1e-9).otherwise(std)
-    return rows.join(by, list(keys)).withColumn("z", F.round(score, 3)).filter(F.abs("z") >= z)
+    far = rows.join(by, list(keys)).withColumn("_z", score).filter(F.abs("_z") >= z)
+    return far.orderBy(F.desc(F.abs("_z")), "entry_ref", "line_no").limit(most).withColumn("z", F.round("_z", 3)).drop("_z")
 
 
 def sample(journal: DataFrame, p: Params, stratum: Column | None = None) -> DataFrame:
@@ -164,7 +202,8 @@ def population(journal: DataFrame) -> DataFrame:
     """Counts over the whole journal in one pass."""
     return journal.agg(
         F.min("posting_date").alias("first_date"), F.max("posting_date").alias("last_date"), F.count("*").alias("n"), F.count_if(F.col("amount") < 0).alias("negatives"), F.count_if(F.col("amount") > 0).alias("positives"),
-        F.count_if(F.col("username").isNull()).alias("no_user"), F.count_if(F.col("currency").isNull()).alias("no_currency"),
+        F.count_if(F.col("username").isNull()).alias("no_user"), F.count_if(F.col("description").isNull()).alias("no_description"),
+        F.count_if(F.col("currency").isNull()).alias("no_currency"),
     )
 
 
@@ -174,11 +213,13 @@ def warnings(journal: DataFrame, p: Params) -> DataFrame:
     through = F.lit(p.declared_through or p.period_end)
     seen = F.greatest(F.datediff(F.least("last_date", through), F.lit(p.period_end)), F.lit(0))
     row = lambda ok, name, level, fixed, count, detail: F.when(ok, F.struct(F.lit(name).alias("warning_id"), F.lit(level).alias("severity"), F.lit(fixed).alias("non_dismissible"), count.cast("long").alias("count"), detail.alias("detail")))
-    parts = F.concat_ws("; ", F.when(F.col("no_user") > 0, F.concat(F.lit("user "), F.col("no_user").cast("string"), F.lit("/"), F.col("n").cast("string"))), F.when(F.col("no_currency") > 0, F.concat(F.lit("currency "), F.col("no_currency").cast("string"), F.lit("/"), F.col("n").cast("string"))))
+    lack = lambda c, name: F.when(F.col(c) > 0, F.concat(F.lit(f"{name} "), F.col(c).cast("string"), F.lit("/"), F.col("n").cast("string")))
+    missing = {"no_user": "user", "no_description": "description", "no_currency": "currency"}
+    parts = F.concat_ws("; ", *[lack(c, name) for c, name in missing.items()])
     made = F.array(
         row((F.col("negatives") == 0) & (F.col("positives") > 0), "dq_sign_convention", "warning", False, F.col("positives"), F.lit("no negative amounts")),
         row((F.col("last_date") < F.trunc(F.lit(p.period_end), "year")) | (F.col("first_date") > F.lit(p.period_end)), "dq_period_coverage", "critical", False, F.col("n"), F.lit("postings lie outside the period")),
-        row(parts != "", "dq_missing_fields", "info", False, F.col("no_user") + F.col("no_currency"), parts),
+        row(parts != "", "dq_missing_fields", "info", False, F.col("no_user") + F.col("no_description") + F.col("no_currency"), parts),
         row(F.col("last_date") < through, "dq_extract_shortfall_declared", "critical", True, F.datediff(through, "last_date"), F.lit("extract ends before the declared date")),
         row(F.least("last_date", through) < F.date_add(F.lit(p.period_end), p.match_days), "dq_no_post_close_coverage", "warning", False, seen, F.lit("too few days after period end")),
         row(F.col("unbalanced") > 0, "dq_unbalanced_docs", "warning", False, F.col("unbalanced"), F.lit("documents do not balance")),
@@ -186,7 +227,30 @@ def warnings(journal: DataFrame, p: Params) -> DataFrame:
     return s.select(F.inline(F.array_compact(made)))
 
 
-def self_check(journal: DataFrame, p: Params) -> DataFrame:
-    """For each entry: balanced, lines 1..n, one user and one currency."""
-    by = journal.groupBy("entry_ref").agg(F.sum("amount").alias("net"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi"), F.count("*").alias("n"), F.countDistinct("line_no").alias("d"), F.countDistinct("username").alias("u"), F.countDistinct("currency").alias("c"))
-    return by.select("entry_ref", (F.abs("net") <= p.balance_tolerance).alias("balanced"), ((F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("d") == F.col("n"))).alias("contiguous"), (F.col("u") <= 1).alias("one_user"), (F.col("c") <= 1).alias("one_currency"))
+def self_check(journal: DataFrame, p: Params, first: dt.date, last: dt.date) -> DataFrame:
+    """For each entry: balanced, lines 1..n, one user, one kind of entry, one currency, all postings within the window."""
+    by = journal.groupBy("entry_ref").agg(
+        F.sum("amount").alias("net"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi"), F.count("*").alias("n"), F.countDistinct("line_no").alias("d"),
+        F.countDistinct("username").alias("u"), F.countDistinct("is_manual").alias("k"), F.countDistinct("currency").alias("c"), F.min("posting_date").alias("a"), F.max("posting_date").alias("z"),
+    )
+    contiguous = (F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("d") == F.col("n"))
+    return by.select(
+        "entry_ref", (F.abs("net") <= p.balance_tolerance).alias("balanced"), contiguous.alias("contiguous"), (F.col("u") <= 1).alias("one_user"),
+        (F.col("k") <= 1).alias("one_kind"), (F.col("c") <= 1).alias("one_currency"), ((F.col("a") >= F.lit(first)) & (F.col("z") <= F.lit(last))).alias("in_window"),
+    )
+
+
+def duplicate_extracts(new: DataFrame, known: DataFrame) -> DataFrame:
+    """Warning rows dq_duplicate_extract for extracts (path, sha256) whose digest an earlier run (run_id, sha256) has."""
+    both = new.join(known.withColumnRenamed("run_id", "earlier"), "sha256")
+    return both.groupBy("path").agg(F.count("*").alias("count"), F.min("earlier").alias("first")).select(
+        F.lit("dq_duplicate_extract").alias("warning_id"), F.lit("critical").alias("severity"), F.lit(False).alias("non_dismissible"), "count",
+        F.concat(F.lit("same content as run "), F.col("first").cast("string"), F.lit(": "), "path").alias("detail"),
+    )
+
+
+#: Account groups are the first two characters; bands are powers of ten of the amount.
+def account_band(account: Column, amount: Column) -> Column:
+    """A stratum for sampling: account group and amount band."""
+    size = F.when(amount == 0, -1).otherwise(F.floor(F.log10(F.abs(amount)))).cast("int")
+    return F.concat_ws("/", F.coalesce(F.substring(account, 1, 2), F.lit("--")), size.cast("string"))

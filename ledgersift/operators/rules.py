@@ -12,6 +12,8 @@ from ledgersift.plans.params import Params
 
 RULES = ("manual_entries", "period_end", "round_amounts", "date_divergence", "entry_splitting", "balance_check", "unusual_users", "unusual_pairs", "reversals", "high_risk_system_pairs")
 GATING = RULES[:9]
+#: Entries that any of these rules flags are left out of the baseline of account pairs.
+BASELINE_OUT = RULES[:7]
 OUT = ("rule", "entry_ref", "line_no", "username", "amount", "flag_reason")
 
 
@@ -73,12 +75,16 @@ def unusual_users(journal: DataFrame, p: Params) -> DataFrame:
 
 
 def document_pairs(journal: DataFrame) -> DataFrame:
-    """entry_ref, debit, credit, line_no, username: account pairs of opposite sign within a document; line and user are the lower line's."""
-    a = journal.select("entry_ref", F.col("line_no").alias("l1"), F.col("username").alias("u1"), F.col("account").alias("a1"), F.col("amount").alias("m1"))
-    b = journal.select("entry_ref", F.col("line_no").alias("l2"), F.col("account").alias("a2"), F.col("amount").alias("m2"))
-    both = a.join(b, "entry_ref").filter("l1 < l2 AND ((m1 > 0 AND m2 < 0) OR (m1 < 0 AND m2 > 0))")
-    debit, credit = F.when(F.col("m1") > 0, F.col("a1")).otherwise(F.col("a2")), F.when(F.col("m1") > 0, F.col("a2")).otherwise(F.col("a1"))
-    return both.groupBy("entry_ref", debit.alias("debit"), credit.alias("credit")).agg(F.min("l1").alias("line_no"), F.min("u1").alias("username"))
+    """entry_ref, debit, credit, line_no, username: account pairs of opposite sign within a document; line and user are the lower line's.
+
+    Lines meet the document's accounts of the other side, not its lines: a line is the lower one of some pair if it stands before
+    the last line on that account and side.
+    """
+    rows = journal.select("entry_ref", "line_no", "username", "account", F.signum("amount").cast("int").alias("side")).filter("side <> 0")
+    sides = rows.groupBy("entry_ref", F.col("account").alias("other"), (-F.col("side")).alias("meets")).agg(F.max("line_no").alias("last"))
+    both = rows.join(sides, "entry_ref").filter("side = meets AND line_no < last")
+    debit, credit = F.when(F.col("side") > 0, F.col("account")).otherwise(F.col("other")), F.when(F.col("side") > 0, F.col("other")).otherwise(F.col("account"))
+    return both.groupBy("entry_ref", debit.alias("debit"), credit.alias("credit")).agg(F.min("line_no").alias("line_no"), F.min("username").alias("username"))
 
 
 def unusual_pairs(journal: DataFrame, p: Params, flagged: DataFrame | None = None) -> DataFrame:
@@ -115,22 +121,67 @@ def reversals(journal: DataFrame, p: Params) -> DataFrame:
 def high_risk_system_pairs(journal: DataFrame, p: Params) -> DataFrame:
     """System lines of configured users on accounts that make up little of their postings."""
     rows = journal.filter(~F.col("is_manual") & F.col("username").isin(*p.high_risk_users))
-    both, user = Window.partitionBy("username", "account"), Window.partitionBy("username")
-    share = F.count("*").over(both) / F.count("*").over(user)
-    return _flag(rows.withColumn("share", share).filter(F.col("share") < p.account_share), "high_risk_system_pairs", F.concat(F.lit("rare account "), "account", F.lit(" for "), "username"))
+    # counted by user and account first, so no task holds all lines of one user
+    counts = rows.groupBy("username", "account").agg(F.count("*").alias("n"))
+    rare = counts.join(counts.groupBy("username").agg(F.sum("n").alias("of")), "username").filter(F.col("n") / F.col("of") < p.account_share)
+    rare = rare.select(F.col("username").alias("_user"), F.col("account").alias("_account"))
+    hits = rows.join(rare, (F.col("username") == F.col("_user")) & F.col("account").eqNullSafe(F.col("_account")), "left_semi")
+    return _flag(hits, "high_risk_system_pairs", F.concat(F.lit("rare account "), F.coalesce("account", F.lit("(none)")), F.lit(" for "), "username"))
+
+
+EMPTY = "rule string, entry_ref string, line_no int, username string, amount decimal(18,2), flag_reason string"
+_MAKERS = {
+    "entry_splitting": entry_splitting, "balance_check": balance_check, "unusual_users": unusual_users, "reversals": reversals,
+    "high_risk_system_pairs": high_risk_system_pairs,
+}
 
 
-def flags(journal: DataFrame, p: Params, rules: tuple[str, ...] = RULES, baseline: tuple[str, ...] = ("manual_entries",)) -> DataFrame:
-    """All flags of the chosen rules; unknown names are an error. Entries with flags of ``baseline`` are left out of the pair baseline."""
+def parts(journal: DataFrame, p: Params, rules: tuple[str, ...] = RULES) -> list[DataFrame]:
+    """Flags of the chosen rules but for unusual_pairs, the row-local ones in one frame; unknown names are an error."""
     if unknown := set(rules) - set(RULES):
         raise ValueError("unknown rules: " + ", ".join(sorted(unknown)))
-    parts = [line_rules(journal, p).filter(F.col("rule").isin(*rules))] if set(rules) & set(RULES[:4]) else []
-    makers = {"entry_splitting": entry_splitting, "balance_check": balance_check, "unusual_users": unusual_users, "reversals": reversals, "high_risk_system_pairs": high_risk_system_pairs}
-    parts += [make(journal, p) for name, make in makers.items() if name in rules]
+    local = [line_rules(journal, p).filter(F.col("rule").isin(*rules))] if set(rules) & set(RULES[:4]) else []
+    return local + [make(journal, p) for name, make in _MAKERS.items() if name in rules]
+
+
+def _union(frames: list[DataFrame], journal: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames) if frames else journal.sparkSession.createDataFrame([], EMPTY)
+
+
+def flagged_entries(journal: DataFrame, p: Params, rules: tuple[str, ...] = BASELINE_OUT) -> DataFrame:
+    return _union(parts(journal, p, rules), journal).select("entry_ref").distinct()
+
+
+def flags(journal: DataFrame, p: Params, rules: tuple[str, ...] = RULES, baseline: tuple[str, ...] = BASELINE_OUT) -> DataFrame:
+    """All flags of the chosen rules. Entries with flags of ``baseline`` are left out of the pair baseline."""
+    made = parts(journal, p, rules)
     if "unusual_pairs" in rules:
-        flagged = line_rules(journal, p).filter(F.col("rule").isin(*baseline))
-        parts.append(unusual_pairs(journal, p, flagged))
-    return reduce(DataFrame.unionByName, parts) if parts else journal.sparkSession.createDataFrame([], "rule string, entry_ref string, line_no int, username string, amount decimal(18,2), flag_reason string")
+        made.append(unusual_pairs(journal, p, flagged_entries(journal, p, baseline)))
+    return _union(made, journal)
+
+
+def run(journal: DataFrame, p: Params, rules: tuple[str, ...] = RULES, write=None, makers: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Flags of all rules that work, and a row for each rule (rule, position, outcome, note).
+
+    With ``write`` each rule's flags are written by themselves, so one that fails loses no other; its message becomes the note, and the
+    pair rule leaves out the entries of those that worked. Unknown names are an error.
+    """
+    if unknown := set(rules) - set(RULES):
+        raise ValueError("unknown rules: " + ", ".join(sorted(unknown)))
+    known = {r: line_rule(r) for r in RULES[:4]} | _MAKERS | (makers or {})
+    done, notes = {}, []
+    for name in (r for r in RULES if r in rules):
+        try:
+            if name == "unusual_pairs" and name not in (makers or {}):
+                out = [done[r].select("entry_ref") for r in BASELINE_OUT if r in done]
+                made = unusual_pairs(journal, p, reduce(DataFrame.unionByName, out).distinct() if out else None)
+            else:
+                made = known[name](journal, p)
+            done[name] = write(made) if write else made
+            notes.append((name, RULES.index(name), "ok", None))
+        except Exception as problem:  # noqa: BLE001 - whatever a rule raises, the others go on
+            notes.append((name, RULES.index(name), "failed", str(problem).split("\n")[0][:200]))
+    return _union(list(done.values()), journal), journal.sparkSession.createDataFrame(notes, "rule string, position int, outcome string, note string")
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +43,36 @@ def _link(prev: Column, payload: Column) -> Column:
     return F.sha2(F.concat(prev, F.char(F.lit(0)), payload).cast("binary"), 256)
 
 
-def chain(log: DataFrame) -> DataFrame:
-    """row_hash of every row: the digest of the hash before it in its chain and its own payload. Chains are independent; one is sequential by nature."""
-    by = log.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("id", "payload"))).alias("rows"))
-    step = lambda acc, r: F.concat(acc, F.array(F.struct(r["id"].alias("id"), r["payload"].alias("payload"), _link(F.coalesce(F.try_element_at(acc, F.lit(-1))["row_hash"], F.lit(GENESIS)), r["payload"]).alias("row_hash"))))
-    empty = F.array().cast("array<struct<id:bigint,payload:string,row_hash:string>>")
-    return by.select("chain", F.inline(F.aggregate("rows", empty, step)))
+def _append(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of rows that come sorted by chain and id; only the last hash of a chain is kept between rows. Stored rows come with theirs."""
+    last, prev = None, GENESIS
+    for batch in batches:
+        out = []
+        for chain_id, i, payload, stored in zip(batch["chain"], batch["id"], batch["payload"], batch["stored"], strict=True):
+            if last is None or chain_id != last[0]:
+                last, prev = (chain_id,), GENESIS
+            if stored is not None:
+                prev = stored
+                continue
+            prev = hashlib.sha256(f"{prev}\0{payload}".encode("utf-8", "surrogatepass")).hexdigest()
+            out.append((chain_id, i, payload, prev))
+        yield pd.DataFrame(out, columns=["chain", "id", "payload", "row_hash"])
+
+
+def chain(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """row_hash of every row of log: the digest of the hash before it in its chain and its own payload.
+
+    Chains go on from the last row of ``stored`` (chain, id, row_hash) that has a hash, else from GENESIS. Rows are sorted by chain and id
+    and streamed, so a chain of any length takes little memory; one chain is sequential by nature and is one task's work. Rows without
+    chain or id come first in their order, a null payload counts as "null".
+    """
+    rows = log.select(F.col("chain").cast("string").alias("_c"), F.col("id").cast("long").alias("id"), F.coalesce("payload", F.lit("null")).alias("payload"), F.lit(None).cast("string").alias("stored"), F.lit(1).alias("_new"))
+    if stored is not None:
+        before = stored.filter(F.col("row_hash").isNotNull()).groupBy(F.col("chain").cast("string").alias("_c")).agg(F.max_by("row_hash", "id").alias("stored"))
+        rows = rows.unionByName(before.select("_c", F.lit(None).cast("long").alias("id"), F.lit("").alias("payload"), "stored", F.lit(0).alias("_new")))
+    dealt = rows.repartition("_c").sortWithinPartitions("_c", "_new", "id", "payload").select(F.col("_c").alias("chain"), F.col("id").cast("string").alias("id"), "payload", "stored")
+    made = dealt.mapInPandas(_append, "chain string, id string, payload string, row_hash string")
+    return made.select(F.col("chain").cast(log.schema["chain"].dataType).alias("chain"), F.col("id").cast("long").alias("id"), "payload", "row_hash")
 
 
 def verify(rows: DataFrame) -> DataFrame:
@@ -66,12 +95,23 @@ def decision_problems(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn("problem", problem).filter(F.col("problem").isNotNull())
 
 
+#: What a reviewer can say of a suspected injection.
+DISPOSITIONS = ("confirmed_suspicious", "false_positive", "not_relevant")
+
+
 def acknowledgement_problems(acks: DataFrame, warnings: DataFrame) -> DataFrame:
     both = acks.join(warnings.select("warning_id", "non_dismissible"), "warning_id", "left")
     problem = F.when(F.coalesce(F.trim("reason"), F.lit("")) == "", "needs a reason").when(F.coalesce("non_dismissible", F.lit(False)), "cannot be dismissed")
     return both.withColumn("problem", problem).filter(F.col("problem").isNotNull())
 
 
+def disposition_problems(rows: DataFrame) -> DataFrame:
+    """Dispositions of suspected injections (event_ref, disposition, reason) that are unknown or without reason."""
+    known = F.coalesce(F.col("disposition").isin(*DISPOSITIONS), F.lit(False))
+    problem = F.when(~known, "unknown disposition").when(F.coalesce(F.trim("reason"), F.lit("")) == "", "needs a reason")
+    return rows.withColumn("problem", problem).filter(F.col("problem").isNotNull())
+
+
 def limitations(acks: DataFrame, warnings: DataFrame) -> DataFrame:
     """Acknowledged critical warnings become limitations."""
     critical = warnings.filter("severity = 'critical'").select("warning_id")
@@ -106,11 +146,23 @@ def first_assessments(assessed: DataFrame) -> DataFrame:
     return assessed.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def inconsistent(assessed: DataFrame, xref: DataFrame, most: int = 10) -> DataFrame:
-    """Bands of like entries (same rules hit, same size of amount) that were given both low and high concern."""
+def coverage(assessed: DataFrame, universe: DataFrame) -> DataFrame:
+    """Entries of the universe, those that have an assessment, and their share (1 for an empty universe)."""
+    both = universe.select("entry_ref").join(assessed.select("entry_ref").distinct().withColumn("_has", F.lit(True)), "entry_ref", "left")
+    counts = both.agg(F.count("*").alias("entries"), F.count_if(F.col("_has")).alias("assessed"))
+    return counts.withColumn("coverage", F.round(F.when(F.col("entries") == 0, 1.0).otherwise(F.col("assessed") / F.col("entries")), 4))
+
+
+def inconsistent(assessed: DataFrame, xref: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
+    """Bands of like entries that were given both low and high concern: same rules hit, same size of amount, same account pair.
+
+    ``pairs`` are the account pairs of documents; an entry's is that of its lowest line.
+    """
     size = xref.groupBy("entry_ref").agg(F.max("rules_hit").alias("hits"), F.floor(F.log10(F.max("abs_amount") + 1)).alias("band"))
-    by = assessed.join(size, "entry_ref").groupBy("hits", "band").agg(F.collect_set("concern").alias("concerns"))
-    return by.filter(F.array_contains("concerns", "low") & F.array_contains("concerns", "high")).orderBy("hits", "band").limit(most)
+    pair = pairs.groupBy("entry_ref").agg(F.min(F.struct("line_no", F.concat_ws("/", "debit", "credit").alias("pair"))).alias("p")).select("entry_ref", F.col("p.pair").alias("pair"))
+    by = assessed.join(size, "entry_ref").join(pair, "entry_ref", "left").groupBy("hits", "band", F.coalesce("pair", F.lit("-")).alias("pair"))
+    both = by.agg(F.count("*").alias("entries"), F.bool_or(F.col("concern") == "low").alias("_low"), F.bool_or(F.col("concern") == "high").alias("_high"))
+    return both.filter("_low AND _high").orderBy("hits", "band", "pair").limit(most).drop("_low", "_high")
 
 
 def rule_assessments(universe: DataFrame) -> DataFrame:
@@ -130,6 +182,12 @@ def decide(universe: DataFrame, assessed: DataFrame, p: Params, default: str = "
     return rows.withColumn("m", made).select("entry_ref", F.when(F.col("m.x") < p.min_confidence, default).otherwise(F.col("m.d")).alias("decision"), F.col("m.x").alias("confidence"))
 
 
+def bypassed(universe: DataFrame, assessed: DataFrame, p: Params) -> DataFrame:
+    """Entries by what became of them: assessed, without assessment, and decided by default for want of confidence."""
+    made = decide(universe, assessed, p).join(assessed.select("entry_ref", F.lit(True).alias("_has")).distinct(), "entry_ref", "left")
+    return made.agg(F.count("*").alias("entries"), F.count_if(F.col("_has").isNull()).alias("unassessed"), F.count_if(F.col("confidence") < p.min_confidence).alias("bypassed"))
+
+
 def pilot_decide(assessed: DataFrame) -> DataFrame:
     return assessed.select("entry_ref", F.when((F.col("concern") == "high") | (F.col("priority") >= 4), "inspect").otherwise("accept").alias("decision"))
 
@@ -147,15 +205,57 @@ def triage_list(assessed: DataFrame, most: int) -> DataFrame:
     return top.select("entry_ref", "priority", F.row_number().over(Window.orderBy(F.desc("priority"), "entry_ref")).alias("place"))
 
 
-def funnel(xref: DataFrame, universe: DataFrame, decisions: DataFrame) -> DataFrame:
+def funnel(xref: DataFrame, universe: DataFrame, decisions: DataFrame, excluded: DataFrame) -> DataFrame:
     one = xref.agg(F.countDistinct("entry_ref").alias("flagged")).crossJoin(universe.agg(F.count("*").alias("selected"))).crossJoin(decisions.agg(F.count("*").alias("decided")))
-    return one.withColumn("pending", F.col("selected") - F.col("decided"))
+    return one.crossJoin(excluded.agg(F.count("*").alias("excluded_currencies"))).withColumn("pending", F.col("selected") - F.col("decided"))
+
+
+def _facts(rows: list[tuple[str, DataFrame, Column]]) -> DataFrame:
+    """(fact_key, fact_value) of aggregates of one row each."""
+    made = [df.agg(value.cast("string").alias("fact_value")).select(F.lit(key).alias("fact_key"), "fact_value") for key, df, value in rows]
+    return reduce(DataFrame.unionByName, made)
+
 
+def rule_facts(found: DataFrame) -> DataFrame:
+    return found.groupBy("rule").agg(F.count("*").alias("v")).select(F.concat(F.lit("rule_"), "rule").alias("fact_key"), F.col("v").cast("string").alias("fact_value"))
 
-def facts(journal: DataFrame, found: DataFrame, xref: DataFrame, universe: DataFrame) -> DataFrame:
-    fact = lambda df, key: df.select(F.lit(key).alias("fact_key"), F.col("v").cast("string").alias("fact_value"))
-    out = fact(journal.agg(F.count("*").alias("v")), "population_lines").unionByName(fact(xref.agg(F.countDistinct("entry_ref").alias("v")), "flagged_documents")).unionByName(fact(universe.agg(F.count("*").alias("v")), "universe_size"))
-    return out.unionByName(found.groupBy("rule").agg(F.count("*").alias("v")).select(F.concat(F.lit("rule_"), "rule").alias("fact_key"), F.col("v").cast("string").alias("fact_value")))
+
+def facts(run_id: str, p: Params, journal: DataFrame, found: DataFrame, xref: DataFrame, universe: DataFrame, material: DataFrame, decisions: DataFrame, followups: DataFrame, divergent: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The figures that a narrative may cite, as (fact_key, fact_value); ``fallback`` has rows if the universe was chosen by currency."""
+    n = F.count("*")
+    rows = [
+        ("run_id", journal.limit(0), F.lit(run_id)), ("period_end", journal.limit(0), F.lit(p.period_end.isoformat())), ("population_lines", journal, n), ("flagged_documents", xref, F.countDistinct("entry_ref")),
+        ("universe_size", universe, n), ("total_flagged_before_cap", material, n), ("selection_basis", fallback, F.when(n > 0, "currency-stratified fallback").otherwise("targeted")),
+        *[(f"decisions_{d}", decisions, F.count_if(F.col("decision") == d)) for d in ("inspect", "accept", "override")],
+        ("followups_recorded", followups, n), ("consistency_warnings", divergent, n),
+    ]
+    return _facts(rows).unionByName(rule_facts(found))
+
+
+def executive_figures(journal: DataFrame, found: DataFrame, xref: DataFrame, universe: DataFrame, decisions: DataFrame, assessed: DataFrame) -> DataFrame:
+    """One row of the figures that a summary opens with."""
+    one = journal.agg(F.count("*").alias("population")).crossJoin(xref.agg(F.countDistinct("entry_ref").alias("flagged_documents"))).crossJoin(universe.agg(F.count("*").alias("universe")))
+    by = decisions.agg(*[F.count_if(F.col("decision") == d).alias(d) for d in ("inspect", "accept", "override")])
+    return one.crossJoin(by).crossJoin(assessed.agg(F.count_if(F.col("concern") == "high").alias("high_concern"))).crossJoin(found.agg(F.count_if(F.col("rule") == "balance_check").alias("unbalanced")))
+
+
+def metrics(known: DataFrame, digits: DataFrame) -> DataFrame:
+    """(metric, value): the facts that count something, and the first-digit test."""
+    counts = known.filter(F.col("fact_value").rlike("^[0-9]+$")).select(F.col("fact_key").alias("metric"), F.col("fact_value").try_cast("double").alias("value"))
+    return counts.unionByName(digits.select(F.lit("benford_n").alias("metric"), F.col("n").cast("double").alias("value"))).unionByName(digits.select(F.lit("benford_mad").alias("metric"), F.col("mad").alias("value")))
+
+
+def run_kpis(runs: DataFrame) -> DataFrame:
+    """Over a run list: runs, those with errors, those without, all events."""
+    return runs.agg(F.count("*").alias("runs"), F.count_if(F.col("errors") > 0).alias("with_errors"), F.count_if(F.col("errors") == 0).alias("clean"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
+
+
+def timeline(events: DataFrame) -> DataFrame:
+    """Events of each run in order, with their place and the seconds since the one before."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = micros - F.lag(micros).over(w)
+    return events.select("user_id", "event_id", "event_type", F.row_number().over(w).alias("place"), F.round(gap / 1e6, 3).alias("seconds"))
 
 
 def citation_problems(sections: DataFrame, known: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
@@ -178,10 +278,31 @@ def resolve_citations(sections: DataFrame, known: DataFrame) -> DataFrame:
     return sections.crossJoin(F.broadcast(values)).withColumn("text", text).drop("m")
 
 
-def gates(universe: DataFrame, decisions: DataFrame, failed_rules: DataFrame, accepted: DataFrame, problems: DataFrame, active: DataFrame) -> DataFrame:
-    """One row of four gates: review, procedures, citations, limitations."""
-    count = lambda df, name: df.agg((F.count("*") == 0).alias(name))
-    return count(undecided(universe, decisions), "review").crossJoin(count(failed_rules.join(accepted, "id", "left_anti"), "procedures")).crossJoin(count(problems, "citations")).crossJoin(count(active.join(accepted, "id", "left_anti"), "limitations"))
+def gates(universe: DataFrame, decisions: DataFrame, failed_rules: DataFrame, accepted: DataFrame, sections: DataFrame, problems: DataFrame, active: DataFrame) -> DataFrame:
+    """Four rows (gate, passed, problems, example): review of all entries, failed rules accepted as gaps, citations, active limitations accepted.
+
+    ``failed_rules``, ``accepted`` and ``active`` hold ids; the citation gate also fails without any section.
+    """
+    none = sections.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("no narrative").alias("what"))
+    rows = [
+        ("review", undecided(universe, decisions).select(F.col("entry_ref").alias("what"))),
+        ("procedures", failed_rules.join(accepted, "id", "left_anti").select(F.col("id").alias("what"))),
+        ("citations", problems.select(F.concat_ws(": ", "problem", "what").alias("what")).unionByName(none)),
+        ("limitations", active.join(accepted, "id", "left_anti").select(F.col("id").alias("what"))),
+    ]
+    made = [df.agg((F.count("*") == 0).alias("passed"), F.count("*").alias("problems"), F.min("what").alias("example")).select(F.lit(name).alias("gate"), "*") for name, df in rows]
+    return reduce(DataFrame.unionByName, made)
+
+
+def workpaper(known: DataFrame, resolved: DataFrame, limits: DataFrame, acks: DataFrame, chains: DataFrame) -> DataFrame:
+    """All tables of a workpaper as rows (sheet, position, name, content): facts, narrative, accepted limitations, acknowledgements, integrity of chains."""
+    sheet = lambda df, name, key, content: df.select(F.lit(name).alias("sheet"), F.row_number().over(Window.orderBy(key)).cast("int").alias("position"), F.col(key).cast("string").alias("name"), content.cast("string").alias("content"))
+    integrity = chains.agg(F.coalesce(F.bool_and("intact"), F.lit(True)).alias("intact"), F.count("*").alias("chains")).withColumn("key", F.lit("chain_integrity_verified"))
+    # a workpaper is small: facts, sections, limitations and acknowledgements of one run
+    return (
+        sheet(known, "summary", "fact_key", F.col("fact_value")).unionByName(sheet(resolved, "narrative", "heading", F.col("text"))).unionByName(sheet(limits, "limitations", "id", F.lit("accepted")))
+        .unionByName(sheet(acks, "data quality", "warning_id", F.col("reason"))).unionByName(sheet(integrity, "governance", "key", F.col("intact")))
+    )
 
 
 def rule_matrix(found: DataFrame, journal: DataFrame) -> DataFrame:
@@ -201,7 +322,9 @@ def drill_down(found: DataFrame) -> DataFrame:
 
 
 def export_rows(xref: DataFrame, journal: DataFrame) -> DataFrame:
-    return xref.drop("amount", "selection_basis").join(journal.select("entry_ref", "line_no", "amount", "posting_date", "account", "username", "currency"), ["entry_ref", "line_no"])
+    """Flagged lines with 13 columns of the journal and the cross-reference, and abs_amount, by which write_export() orders them."""
+    lines = journal.select("entry_ref", "line_no", "posting_date", "username", "is_manual", "entry_type_source", "account", "amount", "currency", "description", F.coalesce("source_doc", "entry_ref").alias("source_doc"))
+    return xref.select("entry_ref", "line_no", "rules_hit", "abs_amount", "flag_reasons", "selection_basis").join(lines, ["entry_ref", "line_no"])
 
 
 def write_export(rows: DataFrame, path: str) -> None:

@@ -1,287 +1,260 @@
-"""The ledger operators as queries over the given tables, each beside SQL that must give the same rows."""
+"""Journal, rules, cross-reference, universe, statistics, data quality and ingest as queries, each beside SQL that must give the same rows."""
 
 from __future__ import annotations
 
-from functools import partial
+import datetime as dt
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgersift.functions import cleanse, screen
-from ledgersift.operators import evaluate, review, rules, worklog
+from ledgersift.operators import review, rules
 from ledgersift.plans.params import LEDGER as P
-from ledgersift.plans.zones import zone
+from ledgersift.plans.shared import FLAG_SQL, P_CAP, P_SAMPLE, RAW_MAP, Run, query, raw_lines
+from ledgersift.plans.zones import shared_folder
 from ledgersift.sources import ledger
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-#: The journal made from the order tables, as in sources.ledger.tables_journal.
-J = """J AS (
- SELECT 'JE' || l_orderkey AS entry_ref,
-  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) AS INT) AS line_no,
-  CAST(l_shipdate AS DATE) AS posting_date, CAST(o_orderdate AS DATE) AS document_date, CAST(l_shipdate AS DATE) + l_linenumber AS entry_created_date,
-  CAST(1000 + l_partkey % 50 AS VARCHAR) AS account, CASE WHEN l_suppkey % 10 < 3 THEN 'SAP' ELSE 'U' END || l_suppkey AS username,
-  CASE WHEN l_returnflag = 'N' THEN TRUE WHEN l_returnflag = 'R' THEN FALSE ELSE l_suppkey % 10 >= 3 END AS is_manual,
-  CASE WHEN l_returnflag IN ('N', 'R') THEN 'source' ELSE 'derived' END AS entry_type_source,
-  CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE -l_extendedprice END AS DECIMAL(18,2)) AS amount,
-  CASE r_name WHEN 'AMERICA' THEN 'USD' WHEN 'EUROPE' THEN 'EUR' WHEN 'AFRICA' THEN 'MAD' WHEN 'ASIA' THEN 'JPY' WHEN 'MIDDLE EAST' THEN 'GBP' END AS currency
- FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)"""
-
-FLAG_SQL = {
-    "manual_entries": "SELECT 'manual_entries' AS rule, entry_ref, line_no, username, amount, 'manual entry (' || entry_type_source || ')' AS flag_reason FROM J WHERE is_manual",
-    "period_end": "SELECT 'period_end' AS rule, entry_ref, line_no, username, amount, CASE WHEN posting_date > DATE '2000-12-31' THEN 'manual entry after period end' ELSE 'manual entry near period end' END AS flag_reason FROM J WHERE is_manual AND posting_date BETWEEN DATE '2000-12-26' AND DATE '2001-01-10'",
-    "round_amounts": "SELECT 'round_amounts' AS rule, entry_ref, line_no, username, amount, 'round amount (multiple of 100)' AS flag_reason FROM J WHERE abs(amount) >= 10000 AND CAST(abs(amount) AS BIGINT) % 100 = 0",
-    "date_divergence": "SELECT 'date_divergence' AS rule, entry_ref, line_no, username, amount, CASE WHEN abs(posting_date - document_date) > 1500 THEN 'document and posting date ' || abs(posting_date - document_date) || ' days apart' ELSE 'created after period end' END AS flag_reason FROM J WHERE abs(posting_date - document_date) > 1500 OR entry_created_date > DATE '2000-12-31'",
-    "entry_splitting": """SELECT 'entry_splitting' AS rule, entry_ref, line_no, username, amount, n || ' amounts under the threshold on account ' || account AS flag_reason FROM
- (SELECT *, count(*) OVER (PARTITION BY account, b) AS n, sum(abs(amount)) OVER (PARTITION BY account, b) AS s FROM
-  (SELECT *, (posting_date - DATE '2000-01-01') // 30 AS b FROM J WHERE is_manual AND abs(amount) >= 35000 AND abs(amount) < 50000)) WHERE n >= 3 AND s > 50000""",
-    "balance_check": "SELECT 'balance_check' AS rule, entry_ref, min(line_no) AS line_no, min(username) AS username, CAST(sum(amount) AS DECIMAL(18,2)) AS amount, 'document nets to ' || CAST(sum(amount) AS DECIMAL(18,2)) || ' over ' || count(*) || ' lines' AS flag_reason FROM J GROUP BY entry_ref HAVING abs(sum(amount)) > 100000",
-    "unusual_users": """SELECT 'unusual_users' AS rule, entry_ref, line_no, J.username, amount, why || ': ' || J.username AS flag_reason FROM J JOIN
- (SELECT username, 'rare manual user' AS why FROM J WHERE is_manual GROUP BY username HAVING count(*) <= 270 UNION ALL SELECT unnest(['U5', 'U7', 'SAP1', 'SAP2']), 'high-risk user') t ON t.username = J.username WHERE is_manual""",
-    "unusual_pairs": """SELECT 'unusual_pairs' AS rule, p.entry_ref, p.line_no, p.username, CAST(NULL AS DECIMAL(18,2)) AS amount, 'unusual pair ' || p.debit || '/' || p.credit AS flag_reason
- FROM DP p LEFT JOIN (SELECT debit, credit, count(*) AS freq FROM DB GROUP BY debit, credit) f ON f.debit = p.debit AND f.credit = p.credit
- LEFT JOIN DB b ON b.entry_ref = p.entry_ref AND b.debit = p.debit AND b.credit = p.credit WHERE coalesce(freq, 0) - CASE WHEN b.entry_ref IS NULL THEN 0 ELSE 1 END < 1""",
-    "reversals": """SELECT 'reversals' AS rule, entry_ref, line_no, username, amount, 'reversed ' || (rp - DATE '2000-12-31') || ' days after period end by ' || username AS flag_reason FROM RM
- UNION ALL SELECT 'reversals', r_entry, r_line, username, r_amount, 'reverses an entry of the period' FROM (SELECT DISTINCT r_entry, r_line, username, r_amount FROM RM) t WHERE NOT EXISTS (SELECT 1 FROM RM WHERE RM.entry_ref = t.r_entry AND RM.line_no = t.r_line)""",
-    "high_risk_system_pairs": """SELECT 'high_risk_system_pairs' AS rule, entry_ref, line_no, username, amount, 'rare account ' || account || ' for ' || username AS flag_reason FROM
- (SELECT *, count(*) OVER (PARTITION BY username, account) * 1.0 / count(*) OVER (PARTITION BY username) AS share FROM J WHERE NOT is_manual AND username IN ('U5', 'U7', 'SAP1', 'SAP2')) WHERE share < 0.01""",
-}
-PAIRS = """DP AS (SELECT a.entry_ref, CASE WHEN a.amount > 0 THEN a.account ELSE b.account END AS debit, CASE WHEN a.amount > 0 THEN b.account ELSE a.account END AS credit, min(a.line_no) AS line_no, min(a.username) AS username
- FROM J a JOIN J b ON a.entry_ref = b.entry_ref AND a.line_no < b.line_no AND ((a.amount > 0 AND b.amount < 0) OR (a.amount < 0 AND b.amount > 0)) GROUP BY ALL),
-DB AS (SELECT DISTINCT entry_ref, debit, credit FROM DP WHERE entry_ref IN (SELECT entry_ref FROM J WHERE NOT is_manual) AND entry_ref NOT IN (SELECT entry_ref FROM J WHERE is_manual)),
-RM AS (SELECT o.entry_ref, o.line_no, o.username, o.amount, r.entry_ref AS r_entry, r.line_no AS r_line, r.amount AS r_amount, r.posting_date AS rp FROM J o JOIN J r ON o.account = r.account AND o.username = r.username
- WHERE o.posting_date <= DATE '2000-12-31' AND r.posting_date > DATE '2000-12-31' AND r.posting_date <= DATE '2001-01-30' AND abs(r.amount + o.amount) <= 200)"""
-F_ALL = "FL AS (" + " UNION ALL ".join(f"SELECT * FROM ({FLAG_SQL[r]})" for r in rules.RULES) + ")"
-X = """LH AS (SELECT entry_ref, line_no, count(DISTINCT rule) AS rules_hit, string_agg(DISTINCT flag_reason, ' | ' ORDER BY flag_reason) AS flag_reasons FROM FL WHERE rule <> 'high_risk_system_pairs' GROUP BY entry_ref, line_no),
-DA AS (SELECT entry_ref, max(abs(amount)) AS abs_amount, max(amount) AS amount FROM J GROUP BY entry_ref),
-XR AS (SELECT LH.entry_ref, line_no, rules_hit, abs_amount, amount, flag_reasons, 'targeted' AS selection_basis FROM LH LEFT JOIN DA ON LH.entry_ref = DA.entry_ref)"""
-U = """EN AS (SELECT XR.entry_ref, max(rules_hit) AS rules_hit, CAST(max(abs_amount) AS DOUBLE) AS abs_amount, min(selection_basis) AS selection_basis, min(c.currency) AS currency FROM XR LEFT JOIN (SELECT entry_ref, min(currency) AS currency FROM J GROUP BY entry_ref) c ON c.entry_ref = XR.entry_ref GROUP BY XR.entry_ref),
-FX AS (SELECT * FROM (VALUES ('EUR', 1.08), ('GBP', 1.27), ('JPY', 0.0091), ('MAD', 0.1), ('USD', 1.0)) t(ccy, rate)),
-BA AS (SELECT EN.*, upper(coalesce(currency, 'USD')) AS ccy, abs_amount * CAST(coalesce(rate, 1.0) AS DOUBLE) AS base_amount FROM EN LEFT JOIN FX ON ccy = upper(coalesce(currency, 'USD')))"""
-ALLOC = """AL AS (SELECT ccy, n, round(volume, 2) AS volume, CAST(fl + greatest(0, least(more, room - coalesce(sum(more) OVER (ORDER BY o, volume DESC, ccy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS alloc FROM
- (SELECT *, least(20, n) - fl AS more, 2000 - sum(fl) OVER () AS room FROM
-  (SELECT *, greatest(0, least(want, 2000 - coalesce(sum(want) OVER (ORDER BY o, volume DESC, ccy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS fl FROM
-   (SELECT *, least(1, n) AS want, CASE WHEN ccy = 'JPY' THEN 0 ELSE 1 END AS o FROM (SELECT ccy, count(*) AS n, sum(abs_amount) AS volume FROM BA GROUP BY ccy))))),
-ST AS (SELECT r.*, alloc, place <= alloc AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY ccy ORDER BY abs_amount DESC, entry_ref) AS place FROM BA) r JOIN AL ON AL.ccy = r.ccy)"""
-
-
-def query(name: str, sql: str | None = None, parts: str = ""):
-    """Register a query; ``parts`` names the shared subqueries that its SQL reads (j, p, f, x, u, a)."""
-
-    def add(make):
-        QUERIES[name] = make
-        if sql:
-            shared = [t for k, t in (("j", J), ("p", PAIRS), ("f", F_ALL), ("x", X), ("u", U), ("a", ALLOC)) if k in parts]
-            own = sql.strip()
-            if own.upper().startswith("WITH "):
-                own = own[5:]
-                SQL[name] = "WITH " + ", ".join([*shared, own])
-            else:
-                SQL[name] = ("WITH " + ", ".join(shared) + " " if shared else "") + own
-        return make
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-journal = ledger.tables_journal
-
-
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.flags(zone(journal(spark, sf_dir)), P)
-
-
-def xref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = zone(journal(spark, sf_dir))
-    return zone(review.cross_reference(rules.flags(lines, P), lines))
-
-
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.entry_rollup(xref(spark, sf_dir), journal(spark, sf_dir))
-
-
-UN = "UN AS (SELECT entry_ref, rules_hit, abs_amount, currency, selection_basis FROM BA WHERE base_amount >= 100000 ORDER BY rules_hit DESC, base_amount DESC, entry_ref LIMIT 2000)"
-
-
-P_CAP = P.__class__(**(P.__dict__ | {"overflow": "document_limitation"}))
+query("journal", "SELECT * FROM J", "j")(lambda z: z.lines)
+for _rule in rules.RULES:
+    if _rule != "unusual_pairs":
+        query(f"rule_{_rule}", FLAG_SQL[_rule], "jp")(lambda z, _rule=_rule: rules.flags(z.lines, P, (_rule,)))
+query("rule_unusual_pairs", FLAG_SQL["unusual_pairs"], "jp")(lambda z: rules.flags(z.journal, P, ("unusual_pairs",)))
+query("flags_all", "SELECT * FROM FL", "jpf")(lambda z: z.found)
+query(
+    "rule_set",
+    """SELECT rule, 'ok' AS outcome, count(*) AS flagged FROM FL WHERE rule IN ('period_end', 'balance_check') GROUP BY rule
+    UNION ALL SELECT 'reversals', 'failed', 0""",
+    "jpf",
+)(lambda z: _rule_set(z))
 
 
-def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.capped(review.material(entries(spark, sf_dir), P_CAP), P_CAP).select("entry_ref", "rules_hit", "abs_amount", "currency", "selection_basis")
+def _rule_set(z: Run):
+    """A chosen set of rules, one of which is made to fail: the others keep their flags."""
 
+    def broken(journal, p):
+        raise RuntimeError("out of order")
 
-chosen = _universe
+    found, notes = rules.run(z.journal, P, ("reversals", "period_end", "balance_check"), makers={"reversals": broken})
+    return notes.join(found.groupBy("rule").agg(F.count("*").alias("flagged")), "rule", "left").select("rule", "outcome", F.coalesce("flagged", F.lit(0)).alias("flagged"))
 
-query("journal", "SELECT * FROM J", "j")(journal)
-for _rule in rules.RULES:
-    _make = {"entry_splitting": rules.entry_splitting, "balance_check": rules.balance_check, "unusual_users": rules.unusual_users, "reversals": rules.reversals, "high_risk_system_pairs": rules.high_risk_system_pairs}.get(_rule)
-    if _rule == "unusual_pairs":
-        _run = lambda s, d: rules.unusual_pairs(journal(s, d), P, journal(s, d).filter("is_manual"))
-    else:
-        _run = partial(lambda f, s, d: f(journal(s, d), P), _make or rules.line_rule(_rule))
-    query(f"rule_{_rule}", FLAG_SQL[_rule], "jp")(_run)
-query("flags_all", "SELECT * FROM FL", "jpf")(found)
-query("rule_summary", "SELECT r AS rule, CAST(i AS INT) AS position, (SELECT count(*) FROM FL WHERE FL.rule = r) AS flagged FROM (SELECT unnest([" + ",".join(f"'{r}'" for r in rules.RULES) + "]) AS r, unnest(range(10)) AS i)", "jpf")(lambda s, d: rules.summary(found(s, d)))
-query("line_hits", "SELECT * FROM LH", "jpfx")(lambda s, d: review.line_hits(found(s, d)))
-query("document_amounts", "SELECT entry_ref, max(abs(amount)) AS abs_amount, max(amount) AS amount FROM J GROUP BY entry_ref", "j")(lambda s, d: review.document_amounts(journal(s, d)))
-query("cross_reference", "SELECT * FROM XR", "jpfx")(xref)
-query("flagged_documents", "SELECT count(DISTINCT entry_ref) AS documents FROM XR", "jpfx")(lambda s, d: xref(s, d).agg(F.countDistinct("entry_ref").alias("documents")))
-query("top_ranked", "SELECT * FROM XR ORDER BY rules_hit DESC, abs_amount DESC, entry_ref, line_no LIMIT 10", "jpfx")(lambda s, d: review.ranked(xref(s, d)).limit(10))
-query("top_flags_per_rule", "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY rule ORDER BY abs(amount) DESC NULLS LAST, entry_ref, line_no, flag_reason) AS INT) AS position FROM FL) WHERE position <= 20", "jpf")(lambda s, d: review.top_flags(found(s, d)))
-query("entry_rollup", "SELECT * FROM EN", "jpfxu")(entries)
-query("fx_missing", "SELECT DISTINCT ccy FROM BA WHERE ccy NOT IN (SELECT ccy FROM FX)", "jpfxu")(lambda s, d: review.fx_missing(entries(s, d), P))
-query("base_amounts", "SELECT entry_ref, ccy, round(base_amount, 4) AS base_amount FROM BA", "jpfxu")(lambda s, d: review.base_amounts(entries(s, d), P).select("entry_ref", "ccy", F.round("base_amount", 4).alias("base_amount")))
-query("material_entries", "SELECT entry_ref, round(base_amount, 4) AS base_amount FROM BA WHERE base_amount >= 100000", "jpfxu")(lambda s, d: review.material(entries(s, d), P).select("entry_ref", F.round("base_amount", 4).alias("base_amount")))
-query("universe", f"WITH {UN} SELECT * FROM UN", "jpfxu")(chosen)
-query("currency_allocation", "SELECT * FROM AL", "jpfxua")(lambda s, d: review.allocation(entries(s, d), P))
-query("currency_top", "SELECT entry_ref, ccy, CAST(place AS INT) AS place FROM ST WHERE chosen", "jpfxua")(lambda s, d: review.stratified(entries(s, d), P).filter("chosen").select("entry_ref", "ccy", "place"))
-query("excluded_currencies", "SELECT ccy, entries, round(v / t, 6) AS volume_share, round(largest, 2) AS largest FROM (SELECT ccy, CAST(sum(CASE WHEN chosen THEN 0 ELSE 1 END) AS BIGINT) AS entries, sum(abs_amount) AS v, sum(sum(abs_amount)) OVER () AS t, max(CASE WHEN NOT chosen THEN abs_amount END) AS largest FROM ST GROUP BY ccy) WHERE entries > 0", "jpfxua")(lambda s, d: review.excluded_currencies(entries(s, d), P))
 
-BEN = """WITH D AS (SELECT {k} CAST(left(CAST(CAST(floor(abs(amount)) AS BIGINT) AS VARCHAR), 1) AS INT) AS digit, count(*) AS cnt FROM J WHERE abs(amount) >= 1 GROUP BY ALL),
-T AS (SELECT {k} CAST(sum(cnt) AS BIGINT) AS n FROM D GROUP BY ALL), N AS (SELECT CAST(unnest(range(1, 10)) AS INT) AS digit),
-G AS (SELECT T.*, N.digit, coalesce(D.cnt, 0) AS cnt, log10(1 + 1 / N.digit) AS p FROM T CROSS JOIN N LEFT JOIN D ON D.digit = N.digit {on})"""
-DIGITS = "SELECT {k} digit, cnt, n, round(cnt / n, 6) AS share, round(p, 6) AS expected, round(greatest(p - 1.96 * sqrt(greatest(p * (1 - p), 1e-12) / n), 0.0), 6) AS low, round(p + 1.96 * sqrt(greatest(p * (1 - p), 1e-12) / n), 6) AS high FROM G"
-MAD = "SELECT {k} n, round(m, 6) AS mad, CASE WHEN n < 100 THEN 'insufficient' WHEN m < 0.004 THEN 'close' WHEN m < 0.008 THEN 'acceptable' WHEN m < 0.01 THEN 'marginal' ELSE 'nonconforming' END AS band FROM (SELECT {k} max(n) AS n, sum(abs(cnt / n - p)) / 9 AS m FROM G GROUP BY ALL{having})"
-query("benford_digits", BEN.format(k="", on="") + DIGITS.format(k=""), "j")(lambda s, d: review.benford_digits(journal(s, d)).drop("_gap"))
-query("benford", BEN.format(k="", on="") + MAD.format(k="", having=""), "j")(lambda s, d: review.benford(journal(s, d)))
-query("benford_by_account", BEN.format(k="account,", on="AND D.account = T.account") + MAD.format(k="account,", having=""), "j")(lambda s, d: review.benford(journal(s, d), ("account",)))
+query(
+    "rule_summary",
+    """SELECT r AS rule, CAST(i AS INT) AS position, (SELECT count(*) FROM FL WHERE FL.rule = r) AS flagged
+    FROM (SELECT unnest([""" + ",".join(f"'{r}'" for r in rules.RULES) + "]) AS r, unnest(range(10)) AS i)",
+    "jpf",
+)(lambda z: rules.summary(z.found))
+query("line_hits", "SELECT * FROM LH", "jpfx")(lambda z: review.line_hits(z.found))
+query("document_amounts", "SELECT entry_ref, max(abs(amount)) AS abs_amount, max(amount) AS amount FROM J GROUP BY entry_ref", "j")(lambda z: review.document_amounts(z.lines))
+query("cross_reference", "SELECT * FROM XR", "jpfx")(lambda z: z.xref)
+query("flagged_documents", "SELECT count(DISTINCT entry_ref) AS documents FROM XR", "jpfx")(lambda z: z.xref.agg(F.countDistinct("entry_ref").alias("documents")))
+query("top_ranked", "SELECT * FROM XR ORDER BY rules_hit DESC, abs_amount DESC, entry_ref, line_no LIMIT 10", "jpfx")(lambda z: review.ranked(z.xref).limit(10))
+TOP = """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY rule ORDER BY abs(amount) DESC NULLS LAST, entry_ref, line_no, flag_reason) AS INT) AS position
+    FROM FL) WHERE position <= """
+query("top_flags_per_rule", TOP + "20", "jpf")(lambda z: review.top_flags(z.found))
+query("top_volume_per_rule", TOP + "5", "jpf")(lambda z: review.top_flags(z.found, 5))
+query("entry_rollup", "SELECT * FROM EN", "jpfxu")(lambda z: z.entries)
+query("fx_missing", "SELECT DISTINCT ccy FROM BA WHERE ccy NOT IN (SELECT ccy FROM FX)", "jpfxu")(lambda z: review.fx_missing(z.entries, P))
+query("base_amounts", "SELECT entry_ref, ccy, round(base_amount, 4) AS base_amount FROM BA", "jpfxu")(
+    lambda z: review.base_amounts(z.entries, P).select("entry_ref", "ccy", F.round("base_amount", 4).alias("base_amount"))
+)
+query("material_entries", "SELECT entry_ref, round(base_amount, 4) AS base_amount FROM BA WHERE base_amount >= 100000", "jpfxu")(
+    lambda z: review.material(z.entries, P).select("entry_ref", F.round("base_amount", 4).alias("base_amount"))
+)
+query("universe", "SELECT * FROM UN", "jpfxun")(lambda z: z.universe)
+query("currency_allocation", "SELECT * FROM AL", "jpfxua")(lambda z: review.allocation(z.entries, P))
+query("currency_top", "SELECT entry_ref, ccy, CAST(place AS INT) AS place FROM ST WHERE chosen", "jpfxua")(
+    lambda z: review.stratified(z.entries, P).select("entry_ref", "ccy", "place")
+)
+query(
+    "excluded_currencies",
+    """SELECT ccy, entries, round(v / t, 6) AS volume_share, round(largest, 2) AS largest
+    FROM (SELECT ccy, CAST(sum(CASE WHEN chosen THEN 0 ELSE 1 END) AS BIGINT) AS entries, sum(abs_amount) AS v,
+    sum(sum(abs_amount)) OVER () AS t, max(CASE WHEN NOT chosen THEN abs_amount END) AS largest FROM ST GROUP BY ccy) WHERE entries > 0""",
+    "jpfxua",
+)(lambda z: review.excluded_currencies(z.entries, P))
+query(
+    "selection_notes",
+    """SELECT 'forced_currencies' AS note_id, 'forced currencies present: ' || string_agg(DISTINCT ccy, ', ' ORDER BY ccy) AS note FROM BA WHERE ccy IN ('JPY') HAVING count(*) > 0
+    UNION ALL SELECT 'cap', count(*) || ' material entries, the first 2000 taken' FROM BA WHERE base_amount >= 100000 HAVING count(*) > 2000
+    UNION ALL SELECT 'currency_stratified_fallback', 'no rates for ' || string_agg(DISTINCT ccy, ', ' ORDER BY ccy) || '; first entries by currency taken, capped in all'
+    FROM BA WHERE ccy NOT IN (SELECT ccy FROM FX) HAVING count(*) > 0""",
+    "jpfxu",
+)(lambda z: review.selection_notes(z.entries, P))
+
+BEN = """WITH D AS (SELECT {k} CAST(left(CAST(CAST(floor(abs(amount)) AS BIGINT) AS VARCHAR), 1) AS INT) AS digit, count(*) AS cnt
+    FROM J WHERE abs(amount) >= 1 GROUP BY ALL),
+T AS (SELECT {k} CAST(sum(cnt) AS BIGINT) AS n FROM D
+    GROUP BY ALL), N AS (SELECT CAST(unnest(range(1, 10)) AS INT) AS digit),
+G AS (SELECT T.*, N.digit, coalesce(D.cnt, 0) AS cnt, log10(1 + 1 / N.digit) AS p FROM T CROSS JOIN N LEFT
+    JOIN D ON D.digit = N.digit {on})"""
+DIGITS = """SELECT {k} digit, cnt, n, round(cnt / n, 6) AS share, round(p, 6) AS expected, round(greatest(p - 1.96 * sqrt(greatest(p * (1 - p),
+    1e-12) / n), 0.0), 6) AS low, round(p + 1.96 * sqrt(greatest(p * (1 - p), 1e-12) / n), 6) AS high
+    FROM G"""
+MAD = """SELECT {k} n, round(m, 6) AS mad, CASE WHEN n < 100 THEN 'insufficient' WHEN m < 0.004 THEN 'close' WHEN m < 0.008 THEN 'acceptable' WHEN m < 0.01 THEN 'marginal' ELSE 'nonconforming' END AS band
+    FROM (SELECT {k} max(n) AS n, sum(abs(cnt / n - p)) / 9 AS m FROM G GROUP BY ALL{having})"""
+query("benford_digits", BEN.format(k="", on="") + DIGITS.format(k=""), "j")(lambda z: review.benford_digits(z.lines).drop("_gap"))
+query("benford", BEN.format(k="", on="") + MAD.format(k="", having=""), "j")(lambda z: review.benford(z.lines))
+query("benford_by_account", BEN.format(k="account,", on="AND D.account = T.account") + MAD.format(k="account,", having=""), "j")(
+    lambda z: review.benford(z.lines, ("account",))
+)
 OUT = """WITH R AS (SELECT *, log10(CAST(abs(amount) AS DOUBLE) + 1) AS x{w} FROM J WHERE amount <> 0 AND account IS NOT NULL),
-B AS (SELECT {k}, round(avg(x), 4) AS mean, round(CASE WHEN stddev_pop(x) = 0 THEN 1e-9 ELSE stddev_pop(x) END, 4) AS sd FROM R GROUP BY {k} HAVING count(*) >= 30)
-SELECT entry_ref, line_no, {o}, round((x - mean) / CASE WHEN sd = 0 THEN 1e-9 ELSE sd END, 3) AS z FROM R JOIN B USING ({k}) WHERE abs(round((x - mean) / CASE WHEN sd = 0 THEN 1e-9 ELSE sd END, 3)) >= {z}"""
-query("outliers", OUT.format(w="", k="account", o="account", z=4), "j")(lambda s, d: review.outliers(journal(s, d)).select("entry_ref", "line_no", "account", "z"))
-query("outliers_by_weekday", OUT.format(w=", CAST(dayofweek(posting_date) + 1 AS INT) AS wd", k="account, wd", o="account, wd", z=3), "j")(lambda s, d: review.outliers(journal(s, d).withColumn("wd", F.dayofweek("posting_date")), 3.0, ("account", "wd")).select("entry_ref", "line_no", "account", "wd", "z"))
+B AS (SELECT {k}, round(avg(x), 4) AS mean, round(CASE WHEN stddev_pop(x) = 0 THEN 1e-9 ELSE stddev_pop(x) END, 4) AS sd FROM R GROUP BY {k} HAVING count(*) >= 30),
+Z AS (SELECT entry_ref, line_no, {o}, (x - mean) / CASE WHEN sd = 0 THEN 1e-9 ELSE sd END AS z FROM R JOIN B USING ({k}))
+SELECT entry_ref, line_no, {o}, round(z, 3) AS z FROM Z WHERE abs(z) >= {z} ORDER BY abs(Z.z) DESC, entry_ref, line_no LIMIT 200"""
+query("outliers", OUT.format(w="", k="account", o="account", z=4), "j")(lambda z: review.outliers(z.lines).select("entry_ref", "line_no", "account", "z"))
+WEEKDAY = OUT.format(w=", CAST(dayofweek(posting_date) + 1 AS INT) AS wd", k="account, wd", o="account, wd", z=3)
+query("outliers_by_weekday", WEEKDAY, "j")(
+    lambda z: review.outliers(z.lines.withColumn("wd", F.dayofweek("posting_date")), 3.0, ("account", "wd")).select("entry_ref", "line_no", "account", "wd", "z")
+)
 SAMPLE = """WITH DS AS (SELECT entry_ref, min(strftime(posting_date, '%Y-%m')) AS stratum FROM J GROUP BY entry_ref),
-SH AS (SELECT stratum, n, target, last, greatest(1, CAST(round_even(n / tot * target, 0) AS INT)) AS want FROM (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS tot, least(200, sum(count(*)) OVER ()) AS target, row_number() OVER (ORDER BY stratum DESC) = 1 AS last FROM DS GROUP BY stratum)),
-SA AS (SELECT stratum, least(n, CASE WHEN last THEN room ELSE least(want, room) END) AS alloc FROM (SELECT *, greatest(0, target - coalesce(sum(want) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room FROM SH)),
-SM AS (SELECT r.entry_ref, r.stratum, 'representative' AS selection_basis FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('42:' || entry_ref), entry_ref) AS place FROM DS) r JOIN SA ON SA.stratum = r.stratum WHERE place <= alloc)"""
-P_SAMPLE = P.__class__(**(P.__dict__ | {"sample_size": 200}))
-query("sample", SAMPLE + " SELECT * FROM SM", "j")(lambda s, d: review.sample(journal(s, d), P_SAMPLE))
-query("sample_coverage", SAMPLE + " SELECT stratum, count(*) AS selected FROM SM GROUP BY stratum", "j")(lambda s, d: review.sample(journal(s, d), P_SAMPLE).groupBy("stratum").agg(F.count("*").alias("selected")))
-query("sample_joins_xref", SAMPLE + " SELECT entry_ref, line_no, rules_hit, selection_basis FROM XR UNION ALL SELECT SM.entry_ref, min(J.line_no), 0, 'representative' FROM SM JOIN J ON J.entry_ref = SM.entry_ref WHERE SM.entry_ref NOT IN (SELECT entry_ref FROM XR) GROUP BY SM.entry_ref", "jpfx")(
-    lambda s, d: review.with_sample(xref(s, d), review.sample(journal(s, d), P_SAMPLE), journal(s, d)).select("entry_ref", "line_no", "rules_hit", "selection_basis")
+SH AS (SELECT stratum, n, target, last, greatest(1, CAST(round_even(n / tot * target, 0) AS INT)) AS want
+    FROM (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS tot, least(200, sum(count(*)) OVER ()) AS target,
+    row_number() OVER (ORDER BY stratum DESC) = 1 AS last
+    FROM DS GROUP BY stratum)),
+SA AS (SELECT stratum, least(n, CASE WHEN last THEN room ELSE least(want, room) END) AS alloc
+    FROM (SELECT *, greatest(0, target - coalesce(sum(want) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room
+    FROM SH)),
+SM AS (SELECT r.entry_ref, r.stratum, 'representative' AS selection_basis
+    FROM (SELECT *, row_number() OVER (PARTITION BY stratum
+    ORDER BY sha256('42:' || entry_ref), entry_ref) AS place FROM DS) r JOIN SA ON SA.stratum = r.stratum
+    WHERE place <= alloc)"""
+query("sample", SAMPLE + " SELECT * FROM SM", "j")(lambda z: review.sample(z.journal, P_SAMPLE))
+query("sample_coverage", SAMPLE + " SELECT stratum, count(*) AS selected FROM SM GROUP BY stratum", "j")(
+    lambda z: review.sample(z.journal, P_SAMPLE).groupBy("stratum").agg(F.count("*").alias("selected"))
 )
-query("account_group_bands", "SELECT left(account, 2) AS account_group, CAST(floor(log10(CAST(abs(amount) AS DOUBLE))) AS INT) AS amount_band, count(*) AS lines FROM J WHERE amount <> 0 GROUP BY ALL", "j")(
-    lambda s, d: journal(s, d).filter("amount <> 0").groupBy(F.substring("account", 1, 2).alias("account_group"), F.floor(F.log10(F.abs("amount"))).cast("int").alias("amount_band")).agg(F.count("*").alias("lines"))
+BAND = "left(account, 2) || '/' || CASE WHEN amount = 0 THEN -1 ELSE CAST(floor(log10(CAST(abs(amount) AS DOUBLE))) AS INT) END"
+query("sample_by_band", SAMPLE.replace("strftime(posting_date, '%Y-%m')", BAND) + " SELECT * FROM SM", "j")(
+    lambda z: review.sample(z.journal, P_SAMPLE, review.account_band(F.col("account"), F.col("amount")))
 )
-
-# data quality
-query("population", "SELECT min(posting_date) AS first_date, max(posting_date) AS last_date, count(*) AS n, count(*) FILTER (amount < 0) AS negatives, count(*) FILTER (amount > 0) AS positives, count(*) FILTER (username IS NULL) AS no_user, count(*) FILTER (currency IS NULL) AS no_currency FROM J", "j")(lambda s, d: review.population(journal(s, d)))
-query("currency_mix", "SELECT coalesce(currency, '(blank)') AS currency, count(*) AS lines FROM J GROUP BY 1", "j")(lambda s, d: journal(s, d).groupBy(F.coalesce("currency", F.lit("(blank)")).alias("currency")).agg(F.count("*").alias("lines")))
 query(
-    "dq_warnings",
-    """WITH S AS (SELECT min(posting_date) AS a, max(posting_date) AS z, count(*) AS n, count(*) FILTER (amount < 0) AS neg, count(*) FILTER (amount > 0) AS pos, count(*) FILTER (username IS NULL) AS nu, count(*) FILTER (currency IS NULL) AS nc FROM J),
- B AS (SELECT count(*) AS u FROM (SELECT entry_ref FROM J GROUP BY entry_ref HAVING abs(sum(amount)) > 100000))
- SELECT 'dq_sign_convention' AS warning_id, 'warning' AS severity, FALSE AS non_dismissible, pos AS count, 'no negative amounts' AS detail FROM S WHERE neg = 0 AND pos > 0
- UNION ALL SELECT 'dq_period_coverage', 'critical', FALSE, n, 'postings lie outside the period' FROM S WHERE z < DATE '2000-01-01' OR a > DATE '2000-12-31'
- UNION ALL SELECT 'dq_missing_fields', 'info', FALSE, nu + nc, concat_ws('; ', CASE WHEN nu > 0 THEN 'user ' || nu || '/' || n END, CASE WHEN nc > 0 THEN 'currency ' || nc || '/' || n END) FROM S WHERE nu + nc > 0
- UNION ALL SELECT 'dq_extract_shortfall_declared', 'critical', TRUE, DATE '2002-01-31' - z, 'extract ends before the declared date' FROM S WHERE z < DATE '2002-01-31'
- UNION ALL SELECT 'dq_no_post_close_coverage', 'warning', FALSE, greatest(least(z, DATE '2002-01-31') - DATE '2000-12-31', 0), 'too few days after period end' FROM S WHERE least(z, DATE '2002-01-31') < DATE '2000-12-31' + 30
- UNION ALL SELECT 'dq_unbalanced_docs', 'warning', FALSE, u, 'documents do not balance' FROM B WHERE u > 0""",
-    "j",
-)(lambda s, d: review.warnings(journal(s, d), P))
-query("self_check", "SELECT entry_ref, abs(sum(amount)) <= 100000 AS balanced, min(line_no) = 1 AND max(line_no) = count(*) AND count(DISTINCT line_no) = count(*) AS contiguous, count(DISTINCT username) <= 1 AS one_user, count(DISTINCT currency) <= 1 AS one_currency FROM J GROUP BY entry_ref", "j")(lambda s, d: review.self_check(journal(s, d), P))
+    "sample_joins_xref",
+    SAMPLE + """ SELECT entry_ref, line_no, rules_hit, selection_basis FROM XR UNION ALL SELECT SM.entry_ref, min(J.line_no), 0, 'representative'
+    FROM SM JOIN J ON J.entry_ref = SM.entry_ref WHERE SM.entry_ref NOT IN (SELECT entry_ref FROM XR) GROUP BY SM.entry_ref""",
+    "jpfx",
+)(lambda z: review.with_sample(z.xref, review.sample(z.journal, P_SAMPLE), z.journal).select("entry_ref", "line_no", "rules_hit", "selection_basis"))
+query(
+    "universe_basis",
+    SAMPLE + """, SB AS (SELECT SM.entry_ref, 0 AS rules_hit, 'representative' AS selection_basis, max(abs(amount)) AS abs_amount, min(currency) AS currency
+    FROM SM JOIN J ON J.entry_ref = SM.entry_ref WHERE SM.entry_ref NOT IN (SELECT entry_ref FROM XR) GROUP BY SM.entry_ref)
+    SELECT entry_ref, rules_hit, selection_basis FROM BA WHERE base_amount >= 100000 UNION ALL SELECT entry_ref, rules_hit, selection_basis FROM SB""",
+    "jpfxu",
+)(lambda z: _with_sample(z).select("entry_ref", "rules_hit", "selection_basis"))
 
 
-# ingest of a text rendering of the order lines, with faults at fixed places
-def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, t = F.col("l_partkey"), table(spark, sf_dir, "lineitem")
-    date = F.when(k % 97 == 0, "not a date").when(k % 5 == 0, F.date_format("l_shipdate", "dd.MM.yyyy")).when(k % 5 == 1, F.date_format("l_shipdate", "yyyyMMdd")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
-    cents = F.format_string("%.2f", F.col("l_extendedprice"))
-    amount = F.when(k % 89 == 0, "").when(k % 7 == 0, F.replace(cents, F.lit("."), F.lit(","))).otherwise(cents)
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    lines = t.withColumn("_n", F.row_number().over(order))
-    ref = F.when(k % 83 == 0, "  ").otherwise(F.concat(F.lit("JE"), F.col("l_orderkey").cast("string")))
-    user = F.when(k % 11 == 0, " ").otherwise(F.concat(F.when(F.col("l_suppkey") % 10 < 3, "SAP").otherwise("U"), F.col("l_suppkey").cast("string")))
-    kind = F.when(F.col("l_returnflag") == "N", "Manual").when(F.col("l_returnflag") == "R", "system").otherwise(" ")
-    return lines.select((F.col("l_orderkey") * 1000 + F.col("_n")).alias("staging_seq"), ref.alias("BELNR"), F.col("l_linenumber").cast("string").alias("LINE"), date.alias("BUDAT"), amount.alias("DMBTR"), user.alias("UNAME"), kind.alias("BLART"))
+def _with_sample(z: Run):
+    """Material entries and sampled ones, which keep their basis whatever their amount."""
+    both = review.with_sample(z.xref, review.sample(z.journal, P_SAMPLE), z.journal)
+    return review.material(review.entry_rollup(both, z.journal), P_CAP)
 
 
-MAP = {"entry_ref": "belnr", "posting_date": "budat", "amount": "dmbtr", "username": "uname", "entry_type": "blart"}
-RAW = """WITH R AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) AS staging_seq,
-  CASE WHEN l_partkey % 83 <> 0 THEN 'JE' || l_orderkey END AS entry_ref, l_linenumber AS line_no, CASE WHEN l_partkey % 97 <> 0 THEN CAST(l_shipdate AS DATE) END AS posting_date,
-  CASE WHEN l_partkey % 89 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS amount, CASE WHEN l_partkey % 11 <> 0 THEN CASE WHEN l_suppkey % 10 < 3 THEN 'SAP' ELSE 'U' END || l_suppkey END AS username,
-  l_returnflag, l_suppkey, CASE WHEN l_partkey % 83 = 0 THEN 'missing entry_ref' WHEN l_partkey % 97 = 0 THEN 'unparseable posting_date: not a date' WHEN l_partkey % 89 = 0 THEN 'missing amount' END AS reason FROM lineitem),
- T AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'reject' WHEN row_number() OVER (PARTITION BY entry_ref, line_no, reason IS NULL ORDER BY staging_seq) > 1 THEN 'duplicate' ELSE 'canonical' END AS status FROM R)"""
-ingested = lambda s, d: ledger.typed(ledger.bind_columns(raw_text(s, d), MAP), P)
-query("ingest_journal", RAW + " SELECT staging_seq, entry_ref, line_no, posting_date, username, CASE l_returnflag WHEN 'N' THEN TRUE WHEN 'R' THEN FALSE ELSE username IS NOT NULL AND l_suppkey % 10 >= 3 END AS is_manual, CASE WHEN l_returnflag IN ('N', 'R') THEN 'source' ELSE 'derived' END AS entry_type_source, amount, entry_ref AS source_doc FROM T WHERE status = 'canonical'")(
-    lambda s, d: ledger.journal_of(ingested(s, d)).select("staging_seq", "entry_ref", "line_no", "posting_date", "username", "is_manual", "entry_type_source", "amount", "source_doc")
-)
-query("ingest_rejects", RAW + " SELECT staging_seq, reason FROM T WHERE status = 'reject'")(lambda s, d: ingested(s, d).filter("status = 'reject'").select("staging_seq", "reason"))
-query("ingest_reject_payload")(lambda s, d: ledger.rejects_of(ingested(s, d), raw_text(s, d)))
-query("ingest_duplicates", RAW + " SELECT 'dq_duplicate_line_keys' AS warning_id, count(*) AS count FROM T WHERE status = 'duplicate'")(lambda s, d: ingested(s, d).filter("status = 'duplicate'").agg(F.count("*").alias("count")).select(F.lit("dq_duplicate_line_keys").alias("warning_id"), "count"))
-query("ingest_reconciliation", RAW + " SELECT raw, canonical, rejects, duplicates, round(rejects / raw, 6) AS reject_rate, raw = canonical + rejects + duplicates AS reconciles, round(rejects / raw, 6) > 0.02 AS paused FROM (SELECT count(*) AS raw, count(*) FILTER (status = 'canonical') AS canonical, count(*) FILTER (status = 'reject') AS rejects, count(*) FILTER (status = 'duplicate') AS duplicates FROM T)")(
-    lambda s, d: ledger.reconcile(ingested(s, d), P)
-)
-query("table_fingerprint")(lambda s, d: ledger.content_hash(table(s, d, "lineitem")))
+query(
+    "account_group_bands",
+    """SELECT left(account, 2) AS account_group, CAST(floor(log10(CAST(abs(amount) AS DOUBLE))) AS INT) AS amount_band, count(*) AS lines
+    FROM J WHERE amount <> 0 GROUP BY ALL""",
+    "j",
+)(
+    lambda z: z.lines.filter("amount <> 0").groupBy(F.substring("account", 1, 2).alias("account_group"), F.floor(F.log10(F.abs("amount"))).cast("int").alias("amount_band"))
+    .agg(F.count("*").alias("lines"))
+)
 
-# text screening over documents
-_docs = lambda s, d: table(s, d, "documents")
-PII_SQL = r"regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[SSN]', 'g'), '\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b', '[IBAN]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')"
-query("text_masked", f"SELECT doc_id, md5({PII_SQL}) AS masked_md5, (length(text) - length(replace({PII_SQL}, '[EMAIL]', ''))) AS shrink FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", F.md5(screen.mask(F.col("text")).cast("binary")).alias("masked_md5"), (F.length("text") - F.length(F.replace(screen.mask(F.col("text")), F.lit("[EMAIL]"), F.lit("")))).cast("long").alias("shrink"))
+# data quality
+query(
+    "population",
+    """SELECT min(posting_date) AS first_date, max(posting_date) AS last_date, count(*) AS n, count(*) FILTER (amount < 0) AS negatives, count(*) FILTER (amount > 0) AS positives,
+    count(*) FILTER (username IS NULL) AS no_user, count(*) FILTER (description IS NULL) AS no_description, count(*) FILTER (currency IS NULL) AS no_currency FROM J""",
+    "j",
+)(lambda z: review.population(z.lines))
+query("currency_mix", "SELECT coalesce(currency, '(blank)') AS currency, count(*) AS lines FROM J GROUP BY 1", "j")(
+    lambda z: z.lines.groupBy(F.coalesce("currency", F.lit("(blank)")).alias("currency")).agg(F.count("*").alias("lines"))
 )
-query("text_cards_phones")(lambda s, d: _docs(s, d).select("doc_id", screen.card_count(F.col("text")).alias("cards"), F.md5(screen.mask_phone(screen.mask_cards(F.col("text"))).cast("binary")).alias("masked_md5")))
-query("text_redacted", "SELECT doc_id, md5(replace(replace(text, 'Licensed under', '[REDACTED_TERM_1]'), 'All rights', '[REDACTED_TERM_2]')) AS redacted_md5, CAST((length(text) - length(replace(text, 'Licensed under', ''))) // 14 AS INT) AS term_1 FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", F.md5(screen.redact(F.col("text"), P.redact).cast("binary")).alias("redacted_md5"), screen.term_count(F.col("text"), P.redact[0]).alias("term_1"))
+DQ = """WITH S AS (SELECT min(posting_date) AS a, max(posting_date) AS z, count(*) AS n, count(*) FILTER (amount < 0) AS neg,
+    count(*) FILTER (amount > 0) AS pos, count(*) FILTER (username IS NULL) AS nu, count(*) FILTER (description IS NULL) AS nd, count(*) FILTER (currency IS NULL) AS nc
+    FROM J),
+ B AS (SELECT count(*) AS u FROM (SELECT entry_ref FROM J GROUP BY entry_ref
+    HAVING abs(sum(amount)) > 100000))
+ SELECT 'dq_sign_convention' AS warning_id, 'warning' AS severity, FALSE AS non_dismissible, pos AS count, 'no negative amounts' AS detail
+    FROM S WHERE neg = 0 AND pos > 0
+ UNION ALL SELECT 'dq_period_coverage', 'critical', FALSE, n, 'postings lie outside the period' FROM S
+    WHERE z < DATE '2000-01-01' OR a > DATE '2000-12-31'
+ UNION ALL SELECT 'dq_missing_fields', 'info', FALSE, nu + nd + nc, concat_ws('; ', CASE WHEN nu > 0 THEN 'user ' || nu || '/' || n END,
+    CASE WHEN nd > 0 THEN 'description ' || nd || '/' || n END, CASE WHEN nc > 0 THEN 'currency ' || nc || '/' || n END) FROM S
+    WHERE nu + nd + nc > 0
+ UNION ALL SELECT 'dq_extract_shortfall_declared', 'critical', TRUE, DATE '2002-01-31' - z, 'extract ends before the declared date'
+    FROM S WHERE z < DATE '2002-01-31'
+ UNION ALL SELECT 'dq_no_post_close_coverage', 'warning', FALSE, greatest(least(z, DATE '2002-01-31') - DATE '2000-12-31', 0),
+    'too few days after period end'
+    FROM S WHERE least(z, DATE '2002-01-31') < DATE '2000-12-31' + 30
+ UNION ALL SELECT 'dq_unbalanced_docs', 'warning', FALSE, u, 'documents do not balance' FROM B WHERE u > 0"""
+query("dq_warnings", DQ, "j")(lambda z: review.warnings(z.lines, P))
+# the same checks where they all apply: only debits, and a period that the postings miss
+DEBITS = DQ.replace("FROM J)", "FROM J WHERE amount > 0)").replace("FROM J GROUP BY", "FROM J WHERE amount > 0 GROUP BY")
+LATE = {"DATE '2000-12-31'": "DATE '1990-12-31'", "DATE '2000-01-01'": "DATE '1990-01-01'"}
+for _a, _b in LATE.items():
+    DEBITS = DEBITS.replace(_a, _b)
+query("dq_warnings_of_debits", DEBITS, "j")(lambda z: review.warnings(z.journal.filter("amount > 0"), P.__class__(**(P.__dict__ | {"period_end": dt.date(1990, 12, 31)}))))
+query(
+    "self_check",
+    """SELECT entry_ref, abs(sum(amount)) <= 100000 AS balanced, min(line_no) = 1 AND max(line_no) = count(*) AND count(DISTINCT line_no) = count(*) AS contiguous,
+    count(DISTINCT username) <= 1 AS one_user, count(DISTINCT is_manual) <= 1 AS one_kind, count(DISTINCT currency) <= 1 AS one_currency,
+    min(posting_date) >= DATE '1994-01-01' AND max(posting_date) <= DATE '2000-12-31' AS in_window FROM J GROUP BY entry_ref""",
+    "j",
+)(lambda z: review.self_check(z.lines, P, dt.date(1994, 1, 1), P.period_end))
+
+# ingest of a text rendering of the order lines
+RAW = """WITH R AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) AS staging_seq,
+  CASE WHEN l_partkey % 83 <> 0 THEN 'JE' || l_orderkey END AS entry_ref, l_linenumber AS line_no,
+    CASE WHEN l_partkey % 97 <> 0 THEN CAST(l_shipdate AS DATE) END AS posting_date,
+  CASE WHEN l_partkey % 89 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS amount,
+    CASE WHEN l_partkey % 11 <> 0 THEN CASE WHEN l_suppkey % 10 < 3 THEN 'SAP' ELSE 'U' END || l_suppkey END AS username,
+  l_returnflag, l_suppkey, l_partkey AS k, l_shipdate AS d, l_extendedprice AS e, CASE WHEN l_partkey % 83 = 0 THEN 'missing entry_ref' WHEN l_partkey % 97 = 0 THEN 'unparseable posting_date: not a date' WHEN l_partkey % 89 = 0 THEN 'missing amount' END AS reason
+    FROM lineitem),
+ T AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'reject' WHEN row_number() OVER (PARTITION BY entry_ref, line_no, reason IS NULL
+    ORDER BY staging_seq) > 1 THEN 'duplicate' ELSE 'canonical' END AS status FROM R)"""
+query(
+    "ingest_journal",
+    RAW + """ SELECT staging_seq, entry_ref, line_no, posting_date, username,
+    CASE l_returnflag WHEN 'N' THEN TRUE WHEN 'R' THEN FALSE ELSE username IS NOT NULL AND l_suppkey % 10 >= 3 END AS is_manual,
+    CASE WHEN l_returnflag IN ('N', 'R') THEN 'source' ELSE 'derived' END AS entry_type_source, amount, entry_ref AS source_doc FROM T WHERE status = 'canonical'""",
+)(lambda z: ledger.journal_of(z.ingested).select("staging_seq", "entry_ref", "line_no", "posting_date", "username", "is_manual", "entry_type_source", "amount", "source_doc"))
+query("ingest_rejects", RAW + " SELECT staging_seq, reason FROM T WHERE status = 'reject'")(lambda z: z.ingested.filter("status = 'reject'").select("staging_seq", "reason"))
+query(
+    "ingest_reject_payload",
+    RAW + """ SELECT T.staging_seq, reason, '{"belnr":' || coalesce('"' || entry_ref || '"', 'null') || ',"line":"' || line_no || '","budat":"' || CASE WHEN k % 97 = 0 THEN 'not a date'
+    WHEN k % 5 = 0 THEN strftime(d, '%d.%m.%Y') WHEN k % 5 = 1 THEN strftime(d, '%Y%m%d') ELSE strftime(d, '%Y-%m-%d') END || '","dmbtr":'
+    || CASE WHEN k % 89 = 0 THEN 'null' WHEN k % 7 = 0 THEN '"' || replace(printf('%.2f', e), '.', ',') || '"' ELSE '"' || printf('%.2f', e) || '"' END
+    || ',"uname":' || coalesce('"' || username || '"', 'null') || ',"blart":' || CASE l_returnflag WHEN 'N' THEN '"Manual"' WHEN 'R' THEN '"system"' ELSE 'null' END || '}' AS raw_json
+    FROM T WHERE status = 'reject'""",
+)(lambda z: ledger.rejects_of(z.ingested))
+query("ingest_duplicates", RAW + " SELECT 'dq_duplicate_line_keys' AS warning_id, count(*) AS count FROM T WHERE status = 'duplicate'")(
+    lambda z: z.ingested.filter("status = 'duplicate'").agg(F.count("*").alias("count")).select(F.lit("dq_duplicate_line_keys").alias("warning_id"), "count")
 )
-query("text_wrapped", r"SELECT doc_id, md5('<untrusted_data>' || regexp_replace(text, '(?i)<(/?\s*untrusted_data\s*)>', '\\u003c\1\\u003e', 'g') || '</untrusted_data>') AS wrapped_md5 FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.md5(screen.wrap(F.col("text")).cast("binary")).alias("wrapped_md5")))
-query("text_injections", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{t}'" for t, p in screen.INJECTIONS) + " END AS tag FROM documents")(lambda s, d: _docs(s, d).select("doc_id", screen.injection_tag(F.col("text")).alias("tag")))
-query("text_controls", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{2028}\x{2029}]')) AS INT) AS controls FROM documents")(lambda s, d: _docs(s, d).select("doc_id", screen.control_count(F.col("text")).alias("controls")))
-query("text_events")(lambda s, d: screen.events(_docs(s, d), "doc_id", "text", P.redact))
-query("text_scrub_totals", r"SELECT 'pii' AS kind, 'email' AS detail, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS BIGINT) AS total FROM documents")(
-    lambda s, d: screen.events(_docs(s, d), "doc_id", "text", P.redact).filter("detail = 'email'").groupBy("kind", "detail").agg(F.sum("count").alias("total"))
+query(
+    "ingest_reconciliation",
+    RAW + """ SELECT raw, canonical, rejects, duplicates, round(rejects / raw, 6) AS reject_rate, raw = canonical + rejects + duplicates AS reconciles, rejects / raw > 0.02 AS paused
+    FROM (SELECT count(*) AS raw, count(*) FILTER (status = 'canonical') AS canonical, count(*) FILTER (status = 'reject') AS rejects,
+    count(*) FILTER (status = 'duplicate') AS duplicates FROM T)""",
+)(lambda z: ledger.reconcile(z.ingested, P))
+# blank line numbers are filled with the place of the row among the good ones of its document
+NUMBERED = RAW.replace("l_linenumber AS line_no,", "CASE WHEN l_partkey % 6 <> 0 THEN l_linenumber END AS given,").replace(" T AS (SELECT *,", """ Q AS (SELECT *, coalesce(given,
+    row_number() OVER (PARTITION BY entry_ref, reason IS NULL ORDER BY staging_seq)) AS line_no FROM R), T AS (SELECT *,""").replace("AS status FROM R)", "AS status FROM Q)")
+query("ingest_line_numbers", NUMBERED + " SELECT staging_seq, CAST(line_no AS INT) AS line_no, status FROM T WHERE status <> 'reject'")(
+    lambda z: ledger.typed(ledger.bind_columns(raw_lines(z.table("lineitem"), 6), RAW_MAP), P).filter("status <> 'reject'").select("staging_seq", "line_no", "status")
 )
-query("text_sanitised")(lambda s, d: _docs(s, d).select("doc_id", screen.sanitise(F.col("text"), P.redact).alias("text")))
-
-# run log, chains, decisions, gates, evaluation
-query("run_log", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS flagged FROM events WHERE event_type = 'error'")(lambda s, d: worklog.run_log(table(s, d, "events"), "error"))
-query("run_list", "SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, max(event_id) + 1 AS next_seq FROM events GROUP BY user_id")(lambda s, d: worklog.run_list(table(s, d, "events")))
-query("decision_chain")(lambda s, d: worklog.chain(worklog.conversation_log(table(s, d, "conversations"))))
-query("chain_verified", "SELECT conv_id AS chain, count(*) AS length, TRUE AS intact, CAST(NULL AS INT) AS first_bad FROM conversations GROUP BY conv_id")(lambda s, d: worklog.verify(worklog.chain(worklog.conversation_log(table(s, d, "conversations")))))
-query("canonical_json", "SELECT conv_id AS chain, turn AS id, sha256('{\"role\":\"' || role || '\",\"turn\":' || turn || '}') AS payload_sha256 FROM conversations")(lambda s, d: worklog.payload_digest(table(s, d, "conversations")))
-# assessments made by rule from the universe, so that every later step follows the data
-A = """AS_ AS (SELECT entry_ref, rules_hit, abs_amount, currency, CASE CAST(substr(entry_ref, 3) AS BIGINT) % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS concern,
- CASE CAST(substr(entry_ref, 3) AS BIGINT) % 3 WHEN 0 THEN 'accept_flag' WHEN 1 THEN 'inspect' ELSE 'override' END AS action, CAST(1 + CAST(substr(entry_ref, 3) AS BIGINT) % 5 AS INT) AS priority FROM UN WHERE CAST(substr(entry_ref, 3) AS BIGINT) % 7 <> 0),
-DC AS (SELECT entry_ref, CASE WHEN conf < 0.6 THEN 'inspect' ELSE d END AS decision, conf AS confidence FROM (SELECT UN.entry_ref, CASE WHEN concern IS NULL THEN 'inspect' WHEN concern = 'high' THEN 'inspect' WHEN action = 'accept_flag' THEN 'accept' WHEN action = 'override' THEN 'accept' ELSE 'inspect' END AS d,
- CASE WHEN concern IS NULL THEN 1.0 WHEN concern = 'high' THEN 0.95 WHEN action = 'accept_flag' AND concern IN ('none', 'low') THEN 0.9 WHEN action = 'accept_flag' THEN 0.7 WHEN action = 'inspect' THEN 0.85 ELSE 0.8 END AS conf FROM UN LEFT JOIN AS_ ON AS_.entry_ref = UN.entry_ref))"""
 
 
-def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return worklog.rule_assessments(chosen(spark, sf_dir))
+query(
+    "csv_extract",
+    RAW + " SELECT status, coalesce(reason, '') AS reason, count(*) AS \"rows\" FROM T GROUP BY ALL",
+)(lambda z: _from_csv(z))
 
 
-def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return worklog.decide(chosen(spark, sf_dir), assessments(spark, sf_dir), P)
+def _from_csv(z: Run):
+    """The text rendering written as CSV in the shared folder and read as an extract."""
+    path = f"{shared_folder(z.spark)}/extract-{uuid.uuid4().hex}"
+    z.raw_text.drop("staging_seq").write.option("header", True).csv(path)
+    rows = ledger.typed(ledger.bind_columns(ledger.read_extract(z.spark, path), RAW_MAP), P)
+    return rows.groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("rows"))
 
 
-WA = f"WITH {UN}, {A} "
-query("assessment_counts", WA + "SELECT concern, action, count(*) AS assessments FROM AS_ GROUP BY ALL", "jpfxu")(lambda s, d: assessments(s, d).groupBy("concern", "action").agg(F.count("*").alias("assessments")))
-query("decisions", WA + "SELECT entry_ref, decision, CAST(confidence AS DOUBLE) AS confidence FROM DC", "jpfxu")(decided)
-query("pilot_decisions", WA + "SELECT entry_ref, CASE WHEN concern = 'high' OR priority >= 4 THEN 'inspect' ELSE 'accept' END AS decision FROM AS_", "jpfxu")(lambda s, d: worklog.pilot_decide(assessments(s, d)))
-query("review_completeness", WA + "SELECT UN.entry_ref FROM UN WHERE entry_ref NOT IN (SELECT entry_ref FROM AS_)", "jpfxu")(lambda s, d: worklog.undecided(chosen(s, d), assessments(s, d)))
-query("review_funnel", WA + "SELECT (SELECT count(DISTINCT entry_ref) FROM XR) AS flagged, (SELECT count(*) FROM UN) AS selected, (SELECT count(*) FROM AS_) AS decided, (SELECT count(*) FROM UN) - (SELECT count(*) FROM AS_) AS pending", "jpfxu")(lambda s, d: worklog.funnel(xref(s, d), chosen(s, d), assessments(s, d)))
-query("universe_decisions", WA + "SELECT UN.entry_ref, rules_hit, coalesce(CASE WHEN concern = 'high' OR priority >= 4 THEN 'inspect' WHEN priority IS NOT NULL THEN 'accept' END, 'pending') AS decision FROM UN LEFT JOIN (SELECT entry_ref, concern, priority FROM AS_) a USING (entry_ref)", "jpfxu")(
-    lambda s, d: worklog.with_decisions(chosen(s, d), worklog.pilot_decide(assessments(s, d))).select("entry_ref", "rules_hit", "decision")
-)
-query("triage_list", WA + "SELECT entry_ref, priority, CAST(row_number() OVER (ORDER BY priority DESC, entry_ref) AS INT) AS place FROM AS_ ORDER BY place LIMIT 50", "jpfxu")(lambda s, d: worklog.triage_list(assessments(s, d), 50))
-query("packs", f"WITH {UN} SELECT 'pack_' || lpad(CAST((row_number() OVER (ORDER BY UN.rules_hit DESC, UN.abs_amount DESC, UN.entry_ref, XR.line_no) - 1) // 20 + 1 AS VARCHAR), 3, '0') AS pack, UN.entry_ref, XR.line_no FROM UN JOIN XR ON XR.entry_ref = UN.entry_ref", "jpfxu")(lambda s, d: worklog.packs(chosen(s, d), xref(s, d), P))
-query("facts", f"WITH {UN} SELECT 'population_lines' AS fact_key, CAST((SELECT count(*) FROM J) AS VARCHAR) AS fact_value UNION ALL SELECT 'flagged_documents', CAST((SELECT count(DISTINCT entry_ref) FROM XR) AS VARCHAR) UNION ALL SELECT 'universe_size', CAST((SELECT count(*) FROM UN) AS VARCHAR) UNION ALL SELECT 'rule_' || rule, CAST(count(*) AS VARCHAR) FROM FL GROUP BY rule", "jpfxu")(
-    lambda s, d: worklog.facts(journal(s, d), found(s, d), xref(s, d), chosen(s, d))
-)
-query("rule_matrix", "SELECT rule, count(*) AS flagged, round(count(*) / (SELECT count(*) FROM J), 6) AS share, CASE WHEN count(*) <= 5000 THEN 'review driver' ELSE 'ranked' END AS outcome FROM FL GROUP BY rule", "jpf")(lambda s, d: worklog.rule_matrix(found(s, d), journal(s, d)).filter("flagged > 0"))
-query("monthly_profile", "SELECT rule, strftime(posting_date, '%Y-%m') AS month, CAST(sum(abs(J.amount)) AS DOUBLE) AS volume FROM FL JOIN J ON J.entry_ref = FL.entry_ref AND J.line_no = FL.line_no GROUP BY ALL", "jpf")(lambda s, d: worklog.monthly(found(s, d), journal(s, d)))
-query("drill_down", "SELECT entry_ref, " + ", ".join(f"bool_or(rule = '{r}') AS {r}" for r in rules.RULES) + " FROM FL GROUP BY entry_ref", "jpf")(lambda s, d: worklog.drill_down(found(s, d)))
-query("export", "SELECT XR.entry_ref, XR.line_no, rules_hit, abs_amount, J.amount, flag_reasons, posting_date, account, username, currency FROM XR JOIN J ON J.entry_ref = XR.entry_ref AND J.line_no = XR.line_no", "jpfx")(lambda s, d: worklog.export_rows(xref(s, d), journal(s, d)))
-LAB = "WITH LB AS (SELECT entry_ref, CASE CAST(substr(entry_ref, 3) AS BIGINT) % 10 WHEN 0 THEN 'balance_check' WHEN 1 THEN 'round_amounts' ELSE 'period_end' END AS rule FROM (SELECT DISTINCT entry_ref FROM J) WHERE CAST(substr(entry_ref, 3) AS BIGINT) % 10 < 3)"
-EV = """, E AS (SELECT coalesce(f.rule, l.rule) AS rule, f.entry_ref IS NOT NULL AS flagged, l.entry_ref IS NOT NULL AS labelled, o.entry_ref IS NOT NULL AS known FROM (SELECT DISTINCT rule, entry_ref FROM FL WHERE rule IN ('balance_check', 'round_amounts', 'period_end')) f
- FULL JOIN LB l ON l.rule = f.rule AND l.entry_ref = f.entry_ref LEFT JOIN LB o ON o.entry_ref = f.entry_ref),
- C AS (SELECT rule, count(*) FILTER (flagged AND labelled) AS tp, count(*) FILTER (flagged AND NOT labelled AND NOT known) AS fp, count(*) FILTER (labelled AND NOT flagged) AS fn FROM E GROUP BY rule)
- SELECT rule, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END, 4) AS "precision", round(CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END, 4) AS recall FROM C"""
-query("evaluation", LAB + EV, "jpf")(lambda s, d: evaluate.by_rule(found(s, d).filter(F.col("rule").isin("balance_check", "round_amounts", "period_end")), evaluate.hash_labels(journal(s, d))))
-query("evaluation_total", LAB + " SELECT (SELECT count(*) FROM LB WHERE entry_ref IN (SELECT entry_ref FROM FL)) AS tp, (SELECT count(DISTINCT entry_ref) FROM FL WHERE entry_ref NOT IN (SELECT entry_ref FROM LB)) AS fp, (SELECT count(*) FROM LB WHERE entry_ref NOT IN (SELECT entry_ref FROM FL)) AS fn", "jpf")(lambda s, d: evaluate.total(found(s, d), evaluate.hash_labels(journal(s, d))))
-query("parameter_sweep", "SELECT v AS variant, count(*) AS flagged FROM J, (SELECT unnest([100, 500, 1000]) AS v) WHERE abs(amount) >= 10000 AND CAST(abs(amount) AS BIGINT) % v = 0 GROUP BY v", "j")(lambda s, d: evaluate.round_sweep(journal(s, d), (100, 500, 1000), P))
-query("reproducibility")(lambda s, d: ledger.content_hash(found(s, d)))
+query("table_fingerprint")(lambda z: ledger.content_hash(z.table("lineitem")))

@@ -1,15 +1,26 @@
-"""Zone boundaries: the journal and the cross-reference are written once and read again by what follows."""
+"""Zone boundaries: what several steps of a run read is computed once, written as Parquet and read from there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def zone(df: DataFrame) -> DataFrame:
-    """Write to the shared folder in spark.checkpoint.dir (one of our own only where none is set) and read from there."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only on a local master, where driver and tasks share a machine."""
+    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+        known = spark.sparkContext.getCheckpointDir()
+    return known
+
+
+def zone(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read from there, so that columns and filters of later steps reach the scan."""
+    path = f"{shared_folder(df.sparkSession)}/zone-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,21 +12,23 @@ from ledgersift.plans.params import Params
 
 MANDATORY = ("entry_ref", "posting_date", "amount")
 FIELDS = ("entry_ref", "line_no", "posting_date", "document_date", "entry_created_date", "username", "entry_type", "account", "account_name", "amount", "currency", "description", "source_doc")
-#: Header names by field, in order of preference.
+#: Header names by field, in order of preference; they are compared by their letters and digits.
 ALIASES = {
-    "entry_ref": ("belnr", "entry", "entryref", "journalid", "ref", "documentno"),
-    "line_no": ("buzei", "line", "lineno", "lineitem"),
-    "posting_date": ("budat", "postdate", "postingdate", "date"),
-    "document_date": ("bldat", "docdat", "documentdate"),
-    "entry_created_date": ("cpudt", "created", "entrydate"),
-    "account": ("hkont", "account", "acct", "glaccount"),
-    "username": ("uname", "user", "username", "enteredby"),
-    "description": ("sgtxt", "descr", "description", "text", "desc"),
-    "source_doc": ("xblnr", "doc", "docref", "sourcedoc"),
-    "amount": ("dmbtr", "amount", "value"),
-    "currency": ("waers", "currency", "cur"),
-    "entry_type": ("blart", "entrytype", "type"),
+    "amount": ("amount", "amt", "dmbtr", "werrs", "value", "gross", "fcy", "local_amount", "amount_lc", "credit_amount", "debit_amount", "base_amount"),
+    "currency": ("currency", "ccy", "waers", "curr", "cur", "currency_code", "cukey"),
+    "posting_date": ("posting_date", "postingdate", "bdate", "budat", "posted", "post_date", "date_posted", "fiscal_date", "pstng_date", "book_date"),
+    "document_date": ("document_date", "docdate", "bldat", "doc_date", "invoice_date", "documentdate", "date_doc"),
+    "account": ("account", "acct", "hkont", "account_number", "acct_no", "gl_account", "account_no", "glaccount", "code", "account_code", "g/l_account", "gl", "gl_acct", "gl account"),
+    "username": ("username", "user", "uname", "usnam", "user_id", "posted_by", "created_by", "user_name", "maker", "userid", "auser"),
+    "description": ("description", "descr", "sgtxt", "text", "narrative", "line_text", "memo", "remark", "remarks", "description_text", "item_text", "txt", "label"),
+    "source_doc": ("source_doc", "srcdoc", "belnr", "doc_number", "document_no", "reference", "ref_doc", "source_document", "document_number", "docnum", "doc_no"),
+    "entry_ref": ("entry_ref", "entryref", "key", "id", "entry_id", "uuid", "unique_id", "record_id", "voucher", "entry_key"),
+    "entry_created_date": ("entry_created_date", "created", "cpudt", "entry_date", "create_date", "created_on", "creation_date", "created_at", "timestamp", "aedat"),
+    "entry_type": ("entry_type", "entrytype", "blart", "type", "doc_type", "document_type", "posting_type", "entrycategory", "voucher_type"),
 }
+SAP_CODES = ("belnr", "budat", "bldat", "cpudt", "hkont", "sgtxt", "uname", "blart", "waers", "dmbtr")
+#: Of so many fields the matched share is the confidence.
+PROPOSED_FIELDS = 12
 
 
 def read_extract(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +39,7 @@ def read_extract(spark: SparkSession, path: str) -> DataFrame:
 def bind_columns(df: DataFrame, column_map: dict[str, str]) -> DataFrame:
     """Canonical names by case-insensitive header lookup; unmapped fields are null. entry_ref falls back to source_doc.
 
-    Missing mandatory fields are an error that names them all.
+    Missing mandatory fields are an error that names them all. raw_json is the whole raw row with lower-case keys and blanks as null.
     """
     heads = {c.upper(): c for c in reversed(df.columns)}
     wanted = {"line_no": "LINE", "currency": "CURRENCY"} | column_map
@@ -45,21 +47,30 @@ def bind_columns(df: DataFrame, column_map: dict[str, str]) -> DataFrame:
     found.setdefault("entry_ref", found.get("source_doc"))
     if missing := [f for f in MANDATORY if not found.get(f)]:
         raise ValueError("no column for " + ", ".join(missing))
-    return df.select("staging_seq", *[(F.col(f"`{found[f]}`") if found.get(f) else F.lit(None).cast("string")).alias(f) for f in FIELDS])
+    cells = F.struct(*[cleanse.blank_to_null(F.col(f"`{c}`")).alias(c.lower()) for c in df.columns if c != "staging_seq"])
+    fields = [(F.col(f"`{found[f]}`") if found.get(f) else F.lit(None).cast("string")).alias(f) for f in FIELDS]
+    return df.select("staging_seq", *fields, F.to_json(cells, {"ignoreNullFields": "false"}).alias("raw_json"))
 
 
 def propose_maps(headers: DataFrame) -> DataFrame:
-    """(extract, field, header, confidence, system) for rows (extract, pos, header): exact aliases first, then headers that contain one of 3 letters or more."""
+    """(extract, field, header, confidence, system) for rows (extract, pos, header) of many extracts.
+
+    A field takes a header that equals one of its aliases, else one that contains one of 3 letters or more; earlier aliases and exact ones
+    go first, and a header serves one field. Without an own header entry_ref takes that of source_doc.
+    """
     spark = headers.sparkSession
-    names = spark.createDataFrame([(f, i, a) for f, xs in ALIASES.items() for i, a in enumerate(xs)], "field string, rank int, alias string")
-    tidy = headers.withColumn("h", F.regexp_replace(F.lower("header"), "[^a-z0-9]", ""))
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    names = spark.createDataFrame([(f, k, i, a) for k, (f, xs) in enumerate(ALIASES.items()) for i, a in enumerate(xs)], "field string, turn int, rank int, alias string").withColumn("alias", bare("alias"))
+    tidy = headers.withColumn("h", bare("header"))
     hits = tidy.join(F.broadcast(names), (F.col("h") == F.col("alias")) | ((F.length("alias") >= 3) & F.col("h").contains(F.col("alias"))))
     ranked = hits.withColumn("_loose", (F.col("h") != F.col("alias")).cast("int"))
-    by_field, by_header = Window.partitionBy("extract", "field").orderBy("_loose", "rank", "pos"), Window.partitionBy("extract", "header").orderBy("_loose", "rank", "field")
-    best = ranked.withColumn("_n", F.row_number().over(by_header)).filter("_n = 1").withColumn("_n", F.row_number().over(by_field)).filter("_n = 1")
-    whole = Window.partitionBy("extract")
-    sap = F.sum(F.col("alias").isin("belnr", "budat", "bldat", "cpudt", "hkont", "sgtxt", "uname", "blart", "waers", "dmbtr").cast("int")).over(whole)
-    return best.select("extract", "field", "header", F.round(F.count("*").over(whole) / 12, 4).alias("confidence"), F.when(sap >= 3, "sap").otherwise("generic").alias("system"))
+    by_header, by_field = Window.partitionBy("extract", "header").orderBy("_loose", "turn", "rank"), Window.partitionBy("extract", "field").orderBy("_loose", "rank", "pos")
+    best = ranked.withColumn("_n", F.row_number().over(by_header)).filter("_n = 1").withColumn("_n", F.row_number().over(by_field)).filter("_n = 1").select("extract", "field", "header")
+    has_ref = best.filter("field = 'entry_ref'").select("extract")
+    found = best.unionByName(best.filter("field = 'source_doc'").join(has_ref, "extract", "left_anti").select("extract", F.lit("entry_ref").alias("field"), "header"))
+    sap = tidy.groupBy("extract").agg(F.countDistinct(F.when(F.col("h").isin(*SAP_CODES), F.col("h"))).alias("codes"))
+    share = F.round(F.count("*").over(Window.partitionBy("extract")) / PROPOSED_FIELDS, 4)
+    return found.withColumn("confidence", share).join(sap, "extract").select("extract", "field", "header", "confidence", F.when(F.col("codes") >= 3, "sap").otherwise("generic").alias("system"))
 
 
 def typed(bound: DataFrame, p: Params) -> DataFrame:
@@ -77,28 +88,30 @@ def typed(bound: DataFrame, p: Params) -> DataFrame:
     )
     out = out.withColumn("reason", reason)
     good = F.col("reason").isNull()
-    number = F.row_number().over(Window.partitionBy("entry_ref", good).orderBy("staging_seq"))
+    # only rejects carry their raw row on; each of them is a group of its own, so those without a reference are not numbered together
+    out = out.withColumn("raw_json", F.when(~good, F.col("raw_json")))
+    group = (F.when(good, F.col("entry_ref")), F.when(~good, F.col("staging_seq")))
+    number = F.row_number().over(Window.partitionBy(*group).orderBy("staging_seq"))
     out = out.withColumn("line_no", F.coalesce(F.col("line_no").try_cast("int"), number))
-    again = F.row_number().over(Window.partitionBy("entry_ref", "line_no", good).orderBy("staging_seq")) > 1
+    again = F.row_number().over(Window.partitionBy(*group, F.when(good, F.col("line_no"))).orderBy("staging_seq")) > 1
     return out.withColumn("status", F.when(~good, "reject").when(again, "duplicate").otherwise("canonical"))
 
 
 def journal_of(typed_rows: DataFrame) -> DataFrame:
-    return typed_rows.filter("status = 'canonical'").drop("reason", "status", "raw_date", "raw_amount", "entry_type")
+    return typed_rows.filter("status = 'canonical'").drop("reason", "status", "raw_date", "raw_amount", "entry_type", "raw_json")
 
 
-def rejects_of(typed_rows: DataFrame, raw: DataFrame) -> DataFrame:
-    """staging_seq, reason and the whole raw row as JSON with lower-case keys and blanks as null."""
-    cells = F.struct(*[cleanse.blank_to_null(F.col(f"`{c}`")).alias(c.lower()) for c in raw.columns if c != "staging_seq"])
-    payload = raw.select("staging_seq", F.to_json(cells, {"ignoreNullFields": "false"}).alias("raw_json"))
-    return typed_rows.filter("status = 'reject'").select("staging_seq", "reason").join(payload, "staging_seq")
+def rejects_of(typed_rows: DataFrame) -> DataFrame:
+    """staging_seq, reason and the whole raw row of each reject."""
+    return typed_rows.filter("status = 'reject'").select("staging_seq", "reason", "raw_json")
 
 
 def reconcile(typed_rows: DataFrame, p: Params) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     one = typed_rows.agg(F.count("*").alias("raw"), n("canonical").alias("canonical"), n("reject").alias("rejects"), n("duplicate").alias("duplicates"))
-    rate = F.when(F.col("raw") > 0, F.round(F.col("rejects") / F.col("raw"), 6)).otherwise(0.0)
-    return one.withColumns({"reject_rate": rate, "reconciles": F.col("raw") == F.col("canonical") + F.col("rejects") + F.col("duplicates"), "paused": rate > p.reject_limit})
+    rate = F.when(F.col("raw") > 0, F.col("rejects") / F.col("raw")).otherwise(0.0)
+    whole = F.col("raw") == F.col("canonical") + F.col("rejects") + F.col("duplicates")
+    return one.withColumns({"reject_rate": F.round(rate, 6), "reconciles": whole, "paused": rate > p.reject_limit})
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
@@ -106,6 +119,36 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def read_assessments(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each assessment of nested reports {pack, assessments: [{entry_ref, rationale_concern, concern_note, recommended_action, priority}]}."""
+    return assessments_of(spark.read.schema(REPORT).option("multiLine", True).json(path))
+
+
+def assessments_of(reports: DataFrame) -> DataFrame:
+    """pack, position (from 0), entry_ref, concern, note, action, priority; a report without assessments gives no row."""
+    rows = reports.select("pack", F.posexplode("assessments").alias("position", "a"))
+    names = {"entry_ref": "entry_ref", "concern": "rationale_concern", "note": "concern_note", "action": "recommended_action", "priority": "priority"}
+    return rows.select("pack", "position", *[F.col(f"a.{c}").alias(n) for n, c in names.items()])
+
+
+REPORT = "pack string, assessments array<struct<entry_ref:string,rationale_concern:string,concern_note:string,recommended_action:string,priority:int>>"
+NARRATIVE = "sections array<struct<heading:string,text:string>>, cited_fact_keys array<string>"
+
+
+def read_narrative(spark: SparkSession, path: str) -> DataFrame:
+    """position, heading, text of each section."""
+    return spark.read.schema(NARRATIVE).option("multiLine", True).json(path).select(F.posexplode("sections").alias("position", "s")).select("position", "s.heading", "s.text")
+
+
+def decisions_of(files: DataFrame, text: str = "value") -> DataFrame:
+    """entry_ref, decision, reason from JSON objects {entry_ref: {decision, reason}}, one a row; unreadable ones give no rows."""
+    return files.select(F.explode(F.from_json(F.col(text), "map<string,struct<decision:string,reason:string>>")).alias("entry_ref", "d")).select("entry_ref", "d.decision", "d.reason")
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    return decisions_of(spark.read.text(path, wholetext=True))
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """Row count and order-insensitive hash of a table."""
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash"))
@@ -136,4 +179,6 @@ def tables_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         cleanse.type_source(kind).alias("entry_type_source"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice")).cast("decimal(18,2)").alias("amount"),
         "currency",
+        F.when(F.col("l_partkey") % 13 != 0, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias("description"),
+        F.lit(None).cast("string").alias("source_doc"),
     )
