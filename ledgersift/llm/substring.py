@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgersift.llm.common import WordHasher, join_groups, pack, split_words, store, unpack
+from ledgersift.llm.common import WordHasher, join_groups, mix, pack, split_words, store, unpack
 
 WINDOW, K = 50, 8
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -49,13 +49,14 @@ class Anchored:
         padded = np.concatenate((np.zeros(reach - 1, np.uint64), self.least, np.zeros(reach - 1, np.uint64)))
         self.at = np.flatnonzero(_slide(np.maximum, padded, reach) == self.kmers)
 
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+    def around(self) -> np.ndarray:
+        """For each anchor one hash of the runs into it and out of it."""
         at = self.at
         into = self.hasher.runs(np.append(0, at[:-1]), at + self.k - 1)
         out = self.hasher.runs(at, np.append(at[1:] + self.k - 1, self.n - 1))
         into[0] ^= _START
         out[-1] ^= _END
-        return into, out
+        return mix(into * _START + out)
 
     def own(self) -> np.ndarray:
         """For each window the number of its first anchor of least hash."""
@@ -76,11 +77,10 @@ def _anchors(window: int):
                 if len(words) < window:
                     continue
                 a = Anchored(words, window)
-                into, out = a.edges()
                 m = len(a.at)
-                parts.append((np.full(m, i), np.full(m, th), a.at, a.kmers[a.at].view(np.int64), into.view(np.int64), out.view(np.int64)))
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 6
-            yield pd.DataFrame(dict(zip(("_id", "_th", "_pos", "_h", "_in", "_out"), cols, strict=True)))
+                parts.append((np.full(m, i), np.full(m, th), a.at, a.kmers[a.at].view(np.int64), a.around().view(np.int64)))
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 5
+            yield pd.DataFrame(dict(zip(("_id", "_th", "_pos", "_h", "_runs"), cols, strict=True)))
 
     return of
 
@@ -151,10 +151,9 @@ def _base(docs: DataFrame) -> DataFrame:
 def paths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """_paths() of all documents with an id, written; texts move once."""
     base = _base(docs).filter(F.col("_id").isNotNull())
-    anchors = store(base.mapInPandas(_anchors(window), "_id long, _th long, _pos int, _h long, _in long, _out long"))
-    groups = anchors.groupBy("_h").agg(*[f(c).alias(f"_{n}{c}") for c in ("_id", "_in", "_out") for n, f in (("min", F.min), ("max", F.max))], F.count("*").alias("_n"))
-    branches = (F.col("_min_in") != F.col("_max_in")) | (F.col("_min_out") != F.col("_max_out"))
-    nodes = store(groups.filter(F.col("_min_id") < F.col("_max_id")).select("_h", F.col("_min_id").alias("_d"), branches.alias("_b"), "_n"))
+    anchors = store(base.mapInPandas(_anchors(window), "_id long, _th long, _pos int, _h long, _runs long"))
+    groups = anchors.groupBy("_h").agg(*[f(c).alias(f"_{n}{c}") for c in ("_id", "_runs") for n, f in (("min", F.min), ("max", F.max))], F.count("*").alias("_n"))
+    nodes = store(groups.filter(F.col("_min_id") < F.col("_max_id")).select("_h", F.col("_min_id").alias("_d"), (F.col("_min_runs") != F.col("_max_runs")).alias("_b"), "_n"))
     shared = join_groups(anchors.select("_id", "_th", "_pos", "_h"), nodes, ["_h"], "_n").repartition("_id", "_th")
     shared = shared.groupBy("_id", "_th", "_pos").agg(F.min("_d").alias("_d"), F.max("_b").alias("_b"))  # equal rows once
     along = Window.partitionBy("_id", "_th").orderBy("_pos")
