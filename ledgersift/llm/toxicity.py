@@ -1,10 +1,14 @@
 """Toxicity: a linear-chain conditional random field over tokens, with spans and document scores.
 
-Documents carry the labels, so tokens are labelled from them first: a token is toxic where its document is and
-where its form or one of its prefixes is far commoner in toxic documents. The field has two states; what it
-observes of a token is the evidence class of its form. Runs of tokens without evidence are passed with powers of
-one matrix, so forward-backward stays exact and costs as much as there are tokens with evidence.
-A document's score is its largest marginal; a null, empty or wordless text has the score 0 and no spans.
+The field has two states, plain and toxic; what it observes of a token is the evidence class of its form: how surely the form, or one
+of its prefixes, is commoner in toxic documents (log-odds less two standard errors). No table labels tokens, only documents, so
+the tokens' labels are hidden states that the fit infers: of a document labelled 0 every token is labelled plain; of one labelled 1 it
+is known that some token is toxic, and the field is fitted to the likelihood of just that, over all tokens of whole texts.
+
+Runs of tokens without evidence are passed with powers of one matrix, so forward-backward stays exact and costs as much as there
+are tokens with evidence. A document's score is the probability, over all its tokens, that any is toxic; spans are runs of tokens
+by their marginals. A null, empty or wordless text has the score 0 and no spans. Equal texts count once in the fit, with the label of
+the smallest doc_id; the result does not depend on the order of rows. Without labelled rows all scores are 0.
 """
 
 from __future__ import annotations
@@ -18,18 +22,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgersift.llm.common import labelled_sample
+from ledgersift.llm.common import labelled_sample, store
 
-#: The lexicon and the field are fitted on at most this many labelled documents.
-SAMPLE_ROWS = 20_000
-#: Entries kept in the lexicon, by evidence; the model's size does not depend on the input.
-LEXICON_ENTRIES = 4_000
+#: The lexicon and the field are fitted on at most this many labelled documents, the field's weights on so many of those.
+SAMPLE_ROWS, FIT_SEQUENCES = 20_000, 2_000
 PREFIXES = (4, 5, 6)
-#: Least number of labelled documents that hold a form, and the log-odds at which the evidence classes 1, 2, ... begin.
-MIN_DOCUMENTS, CLASSES = 6, (3.5, 4.5, 5.5, 6.5)
-#: Tokens of a document that the fit looks at, the documents it looks at, and its steps.
-FIT_TOKENS, FIT_SEQUENCES, FIT_STEPS, FIT_RATE = 120, 1_000, 120, 0.3
-CACHE_FORMS = 300_000
+#: Standard errors taken off a form's log-odds, and the value at which the evidence classes 1, 2, ... begin.
+DOUBT, CLASSES = 2.0, (1.0, 2.0, 3.0, 4.0)
+FIT_STEPS, FIT_RATE, FIT_DECAY = 60, 0.3, 1e-4
+#: Words whose class a task remembers, and gaps whose matrix it remembers.
+CACHE_FORMS, CACHE_GAPS = 300_000, 20_000
 
 _words = re.compile(r"\w+")
 
@@ -40,16 +42,20 @@ def forms(word: str) -> set[str]:
 
 @dataclass(frozen=True)
 class Field:
-    """evidence: form -> class; emit: log weights [class, state]; move: log weights [state, state]; start: [state]. State 1 is toxic."""
+    """evidence: form -> class. All weights are relative to plain: emit [class] and start of toxic, move from state to state."""
 
     evidence: dict[str, int]
     emit: np.ndarray
+    start: float
     move: np.ndarray
-    start: np.ndarray
+
+
+def unpack_field(evidence: dict[str, int], w: np.ndarray) -> Field:
+    return Field(evidence, w[4:], float(w[0]), np.array([[0.0, w[1]], [w[2], w[3]]]))
 
 
 def lexicon(sample: DataFrame) -> dict[str, int]:
-    """Evidence classes of forms, from counts of documents by label (Spark counts, the strongest LEXICON_ENTRIES return)."""
+    """Evidence classes of the forms that have any, from counts of all forms by document label (Spark counts)."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -60,8 +66,9 @@ def lexicon(sample: DataFrame) -> dict[str, int]:
     n1, n0 = int(sizes["t"]), int(sizes["n"] - sizes["t"])
     counts = sample.select("_text", "_label").mapInPandas(of, "form string, toxic int").groupBy("form").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    rows = counts.filter(F.col("a") >= MIN_DOCUMENTS).withColumn("odds", odds).filter(F.col("odds") >= CLASSES[0]).orderBy(F.desc("odds"), "form").limit(LEXICON_ENTRIES).collect()
-    return {r["form"]: int(np.searchsorted(CLASSES, r["odds"], side="right")) for r in rows}
+    sure = odds - DOUBT * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    rows = counts.withColumn("sure", sure).filter(F.col("sure") >= CLASSES[0]).collect()  # a model: forms of at most SAMPLE_ROWS documents
+    return {r["form"]: int(np.searchsorted(CLASSES, r["sure"], side="right")) for r in rows}
 
 
 class _Classes(dict):
@@ -79,96 +86,154 @@ class _Classes(dict):
         return got
 
 
-def _fit(seqs: list[np.ndarray], tags: list[np.ndarray], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gradient ascent on the conditional likelihood, all sequences side by side."""
-    emit, move, start = np.zeros((classes, 2)), np.zeros((2, 2)), np.zeros(2)
-    if not seqs:
-        return emit, move, start
-    steps, count = max(map(len, seqs)), len(seqs)
-    x, y, on = np.zeros((steps, count), np.int64), np.zeros((steps, count), np.int64), np.zeros((steps, count), bool)
-    for i, (s, t) in enumerate(zip(seqs, tags, strict=True)):
-        x[: len(s), i], y[: len(s), i], on[: len(s), i] = s, t, True
-    total = on.sum()
-    weight = [np.bincount((x * 2 + y)[on], minlength=2 * classes).reshape(classes, 2), np.bincount((y[:-1] * 2 + y[1:])[on[1:]], minlength=4).reshape(2, 2), np.bincount(y[0], minlength=2)]
-    speed = [np.zeros_like(w, float) for w in (emit, move, start)]
-    for _ in range(FIT_STEPS):
-        e, m = np.exp(emit - emit.max()), np.exp(move - move.max())
-        f, b, scale = np.zeros((steps, count, 2)), np.ones((steps, count, 2)), np.ones((steps, count))
-        f[0] = np.exp(start - start.max()) * e[x[0]]
-        for i in range(steps):
-            if i:
-                f[i] = np.where(on[i][:, None], (f[i - 1] @ m) * e[x[i]], f[i - 1])
-            scale[i] = f[i].sum(axis=1)
-            f[i] /= scale[i][:, None]
-        pair = np.zeros((2, 2))
-        for i in range(steps - 1, 0, -1):
-            ahead = e[x[i]] * b[i]
-            b[i - 1] = np.where(on[i][:, None], ahead @ m.T, b[i])
-            joint = f[i - 1][:, :, None] * m[None] * ahead[:, None, :]
-            pair += (joint / joint.sum(axis=(1, 2), keepdims=True))[on[i]].sum(axis=0)
-            b[i - 1] /= b[i - 1].sum(axis=1, keepdims=True)
-        post = f * b
-        post /= post.sum(axis=2, keepdims=True)
-        hoped = np.stack([np.bincount(x[on], post[..., s][on], classes) for s in (0, 1)], axis=1)
-        for k, (w, seen, due) in enumerate(zip((emit, move, start), weight, (hoped, pair, post[0].sum(axis=0)), strict=True)):
-            step = (seen - due) / total - 1e-6 * w
-            speed[k] = 0.9 * speed[k] + step / (np.abs(step).max() + 1e-3) * FIT_RATE * 0.1
-            w += speed[k]
-    return emit, move, start
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices, whose axes come first."""
+    out = np.empty((2, 2, *np.broadcast_shapes(a.shape[2:], b.shape[2:])))
+    for i in (0, 1):
+        for j in (0, 1):
+            np.multiply(a[i, 0], b[0, j], out=out[i, j])
+            out[i, j] += a[i, 1] * b[1, j]
+    return out
+
+
+def _scaled(m: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    total = m.sum(axis=(0, 1))
+    return m / total, log + np.log(total)
+
+
+class Likelihood:
+    """Log-likelihood of document labels, for several weight vectors side by side.
+
+    A document is a product of factors: its first token, then for each token with evidence the gap before it and the token, then the
+    gap to its end. Factors are multiplied in pairs, again and again; which ones is worked out once.
+    """
+
+    def __init__(self, seqs: list[np.ndarray], toxic: list[int], classes: int):
+        self.toxic = np.array(toxic, bool)
+        gap, token, first, sizes = [], [], [], []
+        for x in seqs:
+            at = np.flatnonzero(x[1:]) + 1
+            gap += [0, *(np.diff(np.append(0, at)) - 1), len(x) - 1 - (at[-1] if len(at) else 0)]
+            token += [int(x[0]), *x[at], -1]
+            first += [True, *[False] * (len(at) + 1)]
+            sizes.append(len(at) + 2)
+        self.gaps, self.gap = np.unique(np.array(gap, np.int64), return_inverse=True)
+        token = np.array(token, np.int64)
+        self.kind = np.where(token < 0, 2 * classes, token + classes * np.array(first, bool))
+        self.levels = []
+        sizes = np.array(sizes, np.int64)
+        while len(sizes) and sizes.max() > 1:
+            starts, half = np.cumsum(sizes) - sizes, -(-sizes // 2)
+            place = np.arange(half.sum()) - np.repeat(np.cumsum(half) - half, half)
+            left = np.repeat(starts, half) + 2 * place
+            there = 2 * place + 1 < np.repeat(sizes, half)
+            self.levels.append((left, left[there] + 1, there))
+            sizes = half
+
+    def log_z(self, w: np.ndarray) -> np.ndarray:
+        """[weights, documents]: log of the weight of all paths, that of the plain path being 1."""
+        e = np.exp(w).T
+        k, one = len(w), np.ones(len(w))
+        emit = e[4:]
+        move = np.array([[one, e[1]], [e[2], e[3]]])
+        plain = move * np.array([one, emit[0]])
+        # powers of the plain token's matrix for all gaps that occur, by squaring
+        power, log = np.zeros((2, 2, k, len(self.gaps))), np.zeros((k, len(self.gaps)))
+        power[0, 0] = power[1, 1] = 1
+        square, square_log = plain, np.zeros(k)
+        for bit in range(int(self.gaps.max(initial=0)).bit_length()):
+            on = (self.gaps >> bit) & 1 == 1
+            power[..., on], log[:, on] = _scaled(_times(power[..., on], square[..., None]), log[:, on] + square_log[:, None])
+            square, square_log = _scaled(_times(square, square), 2 * square_log)
+        # by kind of factor: a class after a gap, a class at the start, or the end, which leaves all as it is
+        kinds = np.zeros((2, 2, k, 2 * len(emit) + 1))
+        kinds[..., : len(emit)] = move[..., None] * np.array([np.ones_like(emit.T), emit.T])
+        kinds[0, 0, :, len(emit) : -1], kinds[0, 1, :, len(emit) : -1] = 1, (e[0] * emit).T
+        kinds[0, 0, :, -1] = kinds[1, 1, :, -1] = 1
+        m, log = _scaled(_times(power[..., self.gap], kinds[..., self.kind]), log[:, self.gap])
+        for left, right, there in self.levels:
+            product, sums = m[..., left], log[:, left]
+            product[..., there] = _times(product[..., there], m[..., right])
+            sums[:, there] += log[:, right]
+            m, log = _scaled(product, sums)
+        return log + np.log(m[0].sum(axis=0))
+
+    def of(self, w: np.ndarray) -> np.ndarray:
+        z = np.maximum(self.log_z(w), 1e-12)
+        return np.where(self.toxic, np.log(-np.expm1(-z)), -z).mean(axis=1) - FIT_DECAY * (w**2).sum(axis=1)
+
+
+def _fit(seqs: list[np.ndarray], toxic: list[int], classes: int) -> np.ndarray:
+    """Weights (start, three moves, emit by class) by ascent on the likelihood with differences as gradient; the same for the same rows."""
+    w = np.array([-3.0, -3.0, 0.0, 0.5, *np.linspace(-4, 3, classes)])
+    if not seqs or not any(toxic):
+        return np.concatenate((w[:4], np.full(classes, -30.0)))  # nothing is toxic
+    likelihood, h = Likelihood(seqs, toxic, classes), 1e-4
+    speed, size = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, FIT_STEPS + 1):
+        around = likelihood.of(np.concatenate((w + h * np.eye(len(w)), w - h * np.eye(len(w)))))
+        slope = (around[: len(w)] - around[len(w) :]) / (2 * h)
+        speed, size = 0.9 * speed + 0.1 * slope, 0.99 * size + 0.01 * slope**2
+        w = w + FIT_RATE * (speed / (1 - 0.9**t)) / (np.sqrt(size / (1 - 0.99**t)) + 1e-8)
+    return w
+
+
+def observe(text: str | None, classes: _Classes) -> np.ndarray:
+    return np.array([classes[w] for w in _words.findall((text or "").lower())], np.int8)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Field:
     """Fit on at most ``rows`` labelled documents outside the held-out fold (the field's weights on FIT_SEQUENCES of them)."""
     ids = labelled_sample(labels, "doc_id", label, folds, held_out, rows)
     sample = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(ids), "_id")
-    sample = sample.dropDuplicates(["_text"])  # copies are no evidence of their own
+    sample = store(sample.groupBy("_text").agg(F.min(F.struct("_id", "_label")).alias("m")).select("_text", F.col("m._id").alias("_id"), F.col("m._label").alias("_label")))
     other = F.pmod(F.xxhash64("_id", F.lit("field")), F.lit(3)) == 0  # the field is fitted on rows that the lexicon has not seen
     evidence = lexicon(sample.filter(~other))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = _Classes(evidence)
         for batch in batches:
-            out = []
-            for text, y in zip(batch["_text"], batch["_label"], strict=True):
-                got = np.array([classes[w] for w in _words.findall((text or "").lower())], np.int8)
-                hit = np.flatnonzero(got)
-                at = max(0, (hit[0] if len(hit) else 0) - 20)
-                out.append((got[at : at + FIT_TOKENS].tobytes(), int(y)))
-            yield pd.DataFrame(out, columns=["x", "y"])
-
-    seqs, tags = [], []
-    if evidence:
-        # all sequences with evidence, and one of ten of the others
-        for x, y in sample.filter(other).mapInPandas(of, "x binary, y int").orderBy(F.xxhash64("x", "y")).limit(rows).collect():
-            s = np.frombuffer(x, np.int8).astype(np.int64)
-            if len(s) and (s.any() or len(seqs) % 10 == 0):
-                seqs.append(s)
-                tags.append(((s >= 2) if y else np.zeros_like(s, bool)).astype(np.int64))
-    return Field(evidence, *_fit(seqs[:FIT_SEQUENCES], tags[:FIT_SEQUENCES], len(CLASSES) + 1))
+            yield pd.DataFrame([(observe(text, classes).tobytes(), int(y)) for text, y in zip(batch["_text"], batch["_label"], strict=True)], columns=["x", "y"])
+
+    chosen = sample.filter(other).orderBy(F.xxhash64("_id", F.lit("order")), "_id").limit(FIT_SEQUENCES)
+    got = sorted((bytes(x), y) for x, y in chosen.mapInPandas(of, "x binary, y int").collect() if x) if evidence else []
+    return unpack_field(evidence, _fit([np.frombuffer(x, np.int8) for x, _ in got], [y for _, y in got], len(CLASSES) + 1))
 
 
 class Tagger:
-    """Exact marginals of a field; the powers of the matrix of a token without evidence are kept."""
+    """Exact forward-backward of a field; the powers of the matrix of a token without evidence are kept."""
 
     def __init__(self, field: Field):
         self.classes = _Classes(field.evidence)
-        self.emit, self.start = np.exp(field.emit - field.emit.max()), np.exp(field.start - field.start.max())
-        self.move = np.exp(field.move - field.move.max())
+        self.emit = np.stack([np.ones(len(field.emit)), np.exp(field.emit)], 1)
+        self.start, self.move = np.array([1.0, np.exp(field.start)]), np.exp(field.move)
         self.plain = self.move * self.emit[0][None, :]
-        self.steps = {0: np.eye(2)}
+        self.steps = {0: (np.eye(2), 0.0)}
         self.quiet: dict[int, float] = {0: 0.0}
         self.known = bool(field.evidence)
 
-    def _power(self, n: int) -> np.ndarray:
-        """n tokens without evidence; scaled, as only ratios matter."""
+    def _power(self, n: int) -> tuple[np.ndarray, float]:
+        """n tokens without evidence: a scaled matrix and the log of the scale."""
         if n not in self.steps:
-            if len(self.steps) > 20_000:
-                self.steps = {0: np.eye(2)}
-            half = self._power(n // 2)
+            if len(self.steps) > CACHE_GAPS:
+                self.steps = {0: (np.eye(2), 0.0)}
+            half, log = self._power(n // 2)
             m = half @ half @ (self.plain if n % 2 else np.eye(2))
-            self.steps[n] = m / m.sum()
+            self.steps[n] = m / m.sum(), 2 * log + float(np.log(m.sum()))
         return self.steps[n]
 
+    def any_toxic(self, x: list[int]) -> float:
+        """1 less the share of the path that is plain throughout."""
+        v, log, last = self.start * self.emit[x[0]], 0.0, 0
+        for i, c in enumerate(x):
+            if c and i:
+                m, scale = self._power(i - last - 1)
+                v = v @ m @ self.move * self.emit[c]
+                total = v.sum()
+                v, log, last = v / total, log + scale + float(np.log(total)), i
+        m, scale = self._power(len(x) - 1 - last)
+        return float(-np.expm1(-max(0.0, log + scale + float(np.log((v @ m).sum())))))
+
     def marginals(self, x: list[int]) -> tuple[list[int], np.ndarray]:
         """Positions to look at (with evidence, beside evidence, first and last) and P(toxic) there; others lie between their neighbours."""
         n = len(x)
@@ -177,10 +242,10 @@ class Tagger:
         f[0] = self.start * self.emit[x[0]]
         f[0] /= f[0].sum()
         for k in range(1, len(at)):
-            v = f[k - 1] @ self._power(at[k] - at[k - 1] - 1) @ self.move * self.emit[x[at[k]]]
+            v = f[k - 1] @ self._power(at[k] - at[k - 1] - 1)[0] @ self.move * self.emit[x[at[k]]]
             f[k] = v / v.sum()
         for k in range(len(at) - 1, 0, -1):
-            v = self._power(at[k] - at[k - 1] - 1) @ (self.move @ (self.emit[x[at[k]]] * b[k]))
+            v = self._power(at[k] - at[k - 1] - 1)[0] @ (self.move @ (self.emit[x[at[k]]] * b[k]))
             b[k - 1] = v / v.sum()
         p = f * b
         return at, p[:, 1] / p.sum(axis=1)
@@ -191,9 +256,9 @@ class Tagger:
         classes = self.classes
         x = [classes[w] for w in _words.findall(text.lower())]
         if any(x):
-            return float(self.marginals(x)[1].max())
+            return self.any_toxic(x)
         if len(x) not in self.quiet:
-            self.quiet[len(x)] = float(self.marginals(x)[1].max())
+            self.quiet[len(x)] = self.any_toxic(x)
         return self.quiet[len(x)]
 
     def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
@@ -204,7 +269,10 @@ class Tagger:
         found = list(_words.finditer(lower))
         if not found:
             return []
-        at, p = self.marginals([self.classes[m.group()] for m in found])
+        x = [self.classes[m.group()] for m in found]
+        if not any(x) and self.emit[0, 1] < 1:
+            return []  # a token without evidence is likelier plain than toxic wherever it stands
+        at, p = self.marginals(x)
         out: list[list] = []
         last = -2
         for i, q in zip(at, p, strict=True):
@@ -218,7 +286,7 @@ class Tagger:
 
 
 def score(text: Column, field: Field) -> Column:
-    """The largest marginal of a text's tokens."""
+    """Probability that any of a text's tokens is toxic."""
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -239,3 +307,15 @@ def spans(text: Column, field: Field, least: float = 0.5) -> Column:
             yield pd.Series([[{"start": a, "end": b, "p": p} for a, b, p in tagger.spans(x, least)] for x in batch], dtype=object)
 
     return of(F.coalesce(text, F.lit("")))
+
+
+def tags(text: Column, field: Field, least: float = 0.5) -> Column:
+    """Struct of score and offsets: the spans as "start-end", joined by blanks."""
+
+    @F.pandas_udf("score double, offsets string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tagger = Tagger(field)
+        for batch in batches:
+            yield pd.DataFrame([(tagger.score(x), " ".join(f"{a}-{b}" for a, b, _ in tagger.spans(x, least))) for x in batch], columns=["score", "offsets"])
+
+    return of(F.coalesce(text, F.lit("")))
