@@ -45,9 +45,26 @@ def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back: as cut(), but columns and filters reach the scan."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def stored() -> int:
+    """How many tables store() has written so far."""
+    return len(_written)
+
+
+def drop_stored(spark: SparkSession, since: int) -> None:
+    """Delete the tables that store() wrote after the first ``since``, but for the last one."""
+    for path in _written[since:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _written[since:-1]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
     """Inner join of rows with groups (written, one row a key, ``size`` rows each), hot keys apart.
 
@@ -64,15 +81,15 @@ def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
     return store(rows.groupBy(key).count().filter(F.col("count") * HOT_PARTS > max(total, HOT_PARTS)).select(key, F.lit(True).alias("_hot")))
 
 
-def join_salted(rows: DataFrame, key: str, spread: str, table: DataFrame, hot: DataFrame) -> DataFrame:
-    """Inner join of rows with table (one wide row a key), the rows of hot_keys() dealt over SALTS tasks by ``spread``.
+def join_salted(rows: DataFrame, key: list[str], spread: str, table: DataFrame, hot: DataFrame) -> DataFrame:
+    """Inner join of rows with table (one row a key), the rows of the keys in ``hot`` (key and _hot, fewer than HOT_PARTS) dealt over SALTS tasks by ``spread``.
 
     Rows of a hot key in table are repeated SALTS times.
     """
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0)
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-    return dealt.join(table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(salts)).drop("_hot"), [key, "_salt"]).drop("_salt")
+    return dealt.join(table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(salts)).drop("_hot"), [*key, "_salt"]).drop("_salt")
 
 
 def lower_bound(values: Column, n: int, before) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgersift.llm.common import shingles
+from ledgersift.llm.common import SALTS, lower_bound, shingles, store
 
 K, WORDS = 128, 5
 
@@ -106,28 +106,41 @@ def merged(sketches: DataFrame, key: str, sketch_col: str, k: int = K, salts: in
     return salted.repartition("g").mapInPandas(part, schema).select(F.col("g").alias(key), F.col("s").alias(sketch_col))
 
 
-def with_next(docs: DataFrame, of, schema: str, buckets: int | None = None) -> DataFrame:
+#: Documents are dealt over ranges of about so many by id; a range is sorted and streamed, so their greatest number bounds no work.
+RANGE_ROWS, MOST_RANGES = 10_000, 16_384
+
+
+def with_next(docs: DataFrame, of, schema: str, ranges: int | None = None) -> DataFrame:
     """Apply ``of(id, text, next_text)`` to each document and the next one by descending id (after the last: the first).
 
     Texts move once: ids are cut into ranges at approximate quantiles, each range is sorted in a task, and a range's
-    first document is also sent to the end of the range before it. Equal ids are ordered by text; null ids come last.
+    first document is also sent to the end of the range before it. Equal ids are ordered by a hash of their texts, then by text, and
+    null ids, which come last, likewise; an id with many rows is cut into SALTS ranges of that hash. Equal rows follow each other.
+    An empty table has no rows.
     """
     spark = docs.sparkSession
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    rows = docs.count()
+    n = ranges or min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS))
+    base = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_th", F.xxhash64("_text"))
     cuts = sorted(set(base.select(F.col("_id").cast("double").alias("_id")).na.drop().approxQuantile("_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    # bucket 0 has the largest ids; null ids come after all
-    bucket = F.when(F.col("_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c > F.col("_id"))) if cuts else 0)
-    rows = base.withColumn("_bucket", bucket.cast("int")).withColumn("_tail", F.lit(0))
-    top = rows.groupBy("_bucket").agg(F.max("_id").alias("_top"))
-    order = [r["_bucket"] for r in top.select("_bucket").orderBy("_bucket").collect()]  # at most n + 1 numbers
+    # range 0 has the largest ids; null ids come after all
+    known = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    above = F.lit(len(cuts)) - lower_bound(known, len(cuts), lambda c: c <= F.col("_id")) if cuts else F.lit(0)
+    often = base.groupBy("_id").count().filter(F.col("count") * n > max(4 * rows, n)).select("_id", F.lit(True).alias("_often"))  # fewer than n / 4 ids
+    part = F.when(F.col("_often"), F.floor((F.col("_th") / F.lit(2.0**63) + 1) * (SALTS / 2)).cast("int")).otherwise(0)
+    place = F.when(F.col("_id").isNull(), len(cuts) + 1).otherwise(above).cast("long") * (SALTS + 1) + part
+    dealt = base.join(F.broadcast(often.withColumnRenamed("_id", "_many")), F.col("_id").eqNullSafe(F.col("_many")), "left").select("_id", "_th", "_text", place.alias("_range"), F.lit(0).alias("_tail"))
+    top = store(dealt.groupBy("_range").agg(F.max(F.struct("_id", F.bitwise_not("_th").alias("_last"))).alias("m")).select(F.col("_range").alias("_of"), F.col("m._id").alias("_top"), F.bitwise_not("m._last").alias("_first")))
+    order = [r[0] for r in top.select("_of").orderBy("_of").collect()]  # numbers of ranges, at most MOST_RANGES x SALTS
     if not order:
         return spark.createDataFrame([], schema)
-    before = F.create_map(*(F.lit(x) for i, b in enumerate(order) for x in (b, order[i - 1])))
-    heads = rows.join(F.broadcast(top.select(F.col("_bucket").alias("_b"), "_top")), (F.col("_bucket") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_top"))).drop("_b", "_top")
-    # of equal largest ids, the least text is the first document
-    heads = heads.groupBy("_bucket").agg(F.min(F.struct("_text", "_id")).alias("m")).select(F.col("m._id").alias("_id"), F.col("m._text").alias("_text"), before[F.col("_bucket")].alias("_bucket"), F.lit(1).alias("_tail"))
-    moved = rows.unionByName(heads).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_bucket").sortWithinPartitions("_bucket", "_tail", F.desc_nulls_last("_id"), "_text")
+    before = spark.createDataFrame([(b, order[i - 1]) for i, b in enumerate(order)], "_of long, _before long")
+    ends = F.broadcast(top.join(F.broadcast(before), "_of"))
+    heads = dealt.join(ends, (F.col("_range") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_top")) & (F.col("_th") == F.col("_first")))
+    heads = heads.groupBy("_before").agg(F.min("_text").alias("_text")).select(F.lit(None).cast("long").alias("_id"), F.xxhash64("_text").alias("_th"), "_text", F.col("_before").alias("_range"), F.lit(1).alias("_tail"))
+    moved = dealt.unionByName(heads).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_range").sortWithinPartitions("_range", "_tail", F.desc_nulls_last("_id"), "_th", "_text")
+    # ids as text, for pandas would make floats of ids beside a null
+    moved = moved.select(F.col("_id").cast("string").alias("_id"), "_text", "_tail")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -136,8 +149,8 @@ def with_next(docs: DataFrame, of, schema: str, buckets: int | None = None) -> D
             for i, text, tail in zip(batch["_id"], batch["_text"], batch["_tail"], strict=True):
                 if held is not None:
                     out.append(of(held[0], held[1], text))
-                held = None if tail else (None if pd.isna(i) else int(i), text)
-            yield pd.DataFrame(out, columns=names)
+                held = None if tail else (None if i is None else int(i), text)
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     names = T.StructType.fromDDL(schema).names
     return moved.mapInPandas(walk, schema)

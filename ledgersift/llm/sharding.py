@@ -13,6 +13,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgersift.llm.common import lower_bound
+
 VIRTUAL_NODES = 48
 #: Each arc is ranked in so many parts, so that no arc, however hot, is sorted by one task.
 PARTS = 16
@@ -76,19 +78,8 @@ def assign(rows: DataFrame, keys: list[str], shards: int, virtual: int = VIRTUAL
     spark = rows.sparkSession
     arcs = nodes(spark, shards, virtual)
     ends = F.array(*[F.lit(p) for p, _ in arcs])
-    # binary search for the first node at or after the point; beyond the last one the ring closes
-    low, high = F.lit(0), F.lit(len(arcs))
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(len(arcs).bit_length())),
-        F.struct(low.alias("lo"), high.alias("hi")),
-        lambda s, _: F.when(
-            s["lo"] < s["hi"],
-            F.when(F.element_at(F.col("_ends"), F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1) < F.col("_p"), F.struct((F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
-                F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))
-            ),
-        ).otherwise(s),
-        lambda s: s["lo"] % len(arcs),
-    )
+    # the first node at or after the point; beyond the last one the ring closes
+    found = lower_bound(F.col("_ends"), len(arcs), lambda end: end < F.col("_p")) % len(arcs)
     placed = rows.withColumn("_p", point(*[F.col(k) for k in keys[:1]])).withColumn("_ends", ends)
     # a generated column, so that the optimizer does not carry the search into the joins on it
     placed = placed.select(*rows.columns, "_p", F.explode(F.array(found)).alias("_arc")).withColumn("_part", F.pmod(F.xxhash64(*keys, F.lit("part")), F.lit(parts)).cast("int"))
