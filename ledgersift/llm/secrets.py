@@ -1,8 +1,12 @@
 """Secret scans: candidate strings scored by a random forest, in DataFrame operations.
 
-Candidates are runs of 16 or more key characters with a digit, and of 8 or more right after a key word. Their features are length, transitions between kinds of
-characters, coverage by dictionary words, how path-like they are and what path they come from, and the words beside them.
-The forest is trained by Spark on labelled findings (those whose format decides) and sorts false positives out. Texts that are null or empty have no candidates.
+Candidates are what is assigned to a key word, of any length, and all other runs of TOKEN or more key characters. Their features
+are length, transitions between kinds of characters, coverage by dictionary words, how path-like they are and what path they come
+from, and the words beside them. The forest is trained by Spark on labelled findings and sorts false positives out; no format is
+taken for a secret or for harmless by itself. Without other findings, those of findings.labelled() are taken.
+
+Texts that are null or empty have no candidates. Repeated rows give their candidates again, ids may be null or repeated, and columns
+of any name may stand beside doc_id, text and the path. An empty table has no candidates.
 """
 
 from __future__ import annotations
@@ -13,50 +17,44 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgersift.llm import findings as fixture
+from ledgersift.llm.common import pack, unpack
+
 #: Words that name a secret beside it.
 KEY_WORDS = "pass|passwd|password|pwd|secret|token|key|apikey|api_key|auth|credential|bearer"
-_CHAR = "[A-Za-z0-9_./+@=-]"
-#: A run of 16 or more with a digit anywhere, or one of 8 or more that is given to a key word.
+#: Least length of a candidate that nothing is assigned to.
+TOKEN = 16
+_CHAR = "[A-Za-z0-9_./+@-]"
+#: A value behind a key word and a sign (or behind "bearer"), or a long run of key characters. The single blank or sign is looked for first.
 CANDIDATE = (
-    rf"(?<!{_CHAR})(?={_CHAR}{{8}})(?:(?=[A-Za-z_./+@=-]*+[0-9]){_CHAR}{{16,}}"
-    rf"|(?:(?<=(?i:{KEY_WORDS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)|(?=(?i:{KEY_WORDS})={_CHAR}{{8}})){_CHAR}{{8,}})"
-)
-#: Formats that decide alone: vendors' prefixes and signed tokens.
-SECRET = (
-    r"^((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[\w-]{16,}|(sk|rk|pk)_(live|test)_[A-Za-z0-9]{10,}|sk-[\w-]{20,}"
-    r"|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|SG\.[\w-]{10,}\.[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}(\.[\w-]*)?)$"
-)
-#: Formats that are no secrets unless given to a key word: numbers and dates, UUIDs, addresses, paths, words joined by signs.
-HARMLESS = (
-    r"^([0-9./+@=_-]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[^@]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+|(\.{0,2}/|www\.).+|.+\.[a-z]{1,5}[0-9]?"
-    r"|([A-Za-z][a-z]*|[0-9]{1,4})([._/=+@-]+([A-Za-z][a-z]*|[0-9]{1,4}))+|[A-Za-z]?[a-z]+[0-9]{0,4})$"
+    rf"(?<=[=:\s\"'])(?<=(?i:{KEY_WORDS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?|(?i:bearer) )[^\s\"'`,;=:][^\s\"'`,;]*"
+    rf"|(?<!{_CHAR}){_CHAR}{{{TOKEN},}}={{0,2}}"
 )
-#: Bits a character of a value given to a key word.
-ENTROPY = 3.5
 #: Training findings and dictionary words are bounded; the words are the commonest around all candidates.
-SAMPLE_ROWS, DICTIONARY_WORDS, TREES, DEPTH = 20_000, 200, 20, 6
-#: Characters of context looked at on either side.
+SAMPLE_ROWS, DICTIONARY_WORDS, TREES, DEPTH = 20_000, 200, 30, 8
+#: Characters of context on either side. The features ask for what touches the value: a sign, a quote and the one key word before them.
 CONTEXT = 48
 FEATURES = (
-    "f_length", "f_digit", "f_upper", "f_lower", "f_hex", "f_symbol", "f_distinct", "f_letter_digit", "f_digit_letter", "f_case", "f_dictionary", "f_path", "f_slashes", "f_at", "f_assigned", "f_key_word", "f_quoted", "f_longest_run",
+    "f_length", "f_digit", "f_upper", "f_lower", "f_hex", "f_symbol", "f_distinct", "f_letter_digit", "f_digit_letter", "f_case", "f_dictionary", "f_path", "f_slashes", "f_at", "f_assigned", "f_key_word", "f_quoted", "f_longest_run", "f_entropy", "f_sum_word", "f_mixed",
 )
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, path, start (code points from 0), value, before, after of all candidates."""
-    base = docs.select("doc_id", F.col(path).cast("string").alias("path"), "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("_found")).filter(F.size("_found") > 0)
-    parts = base.withColumn("_parts", F.split("text", CANDIDATE, -1)).drop("text")
-    # each candidate with the text before it and after it, and the lengths of all that precedes
-    numbered = parts.select("doc_id", "path", "_found", "_parts", F.posexplode("_found").alias("_i", "value"))
-    length = lambda arr, n: F.aggregate(F.slice(arr, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    return numbered.select(
-        "doc_id",
-        "path",
-        (length(F.col("_parts"), F.col("_i") + 1) + length(F.col("_found"), F.col("_i"))).alias("start"),
-        "value",
-        F.right(F.get("_parts", F.col("_i")), F.lit(CONTEXT)).alias("before"),
-        F.left(F.get("_parts", F.col("_i") + 1), F.lit(CONTEXT)).alias("after"),
-    )
+    base = docs.select("doc_id", F.col(path).cast("string").alias("path"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("_found"), F.split("text", CANDIDATE, -1).alias("_parts"))
+    base = base.filter(F.size("_found") > 0)
+    # starts are running sums of lengths; sums over 1, 2, 4, ... neighbours at once, so a text with many candidates costs little more a candidate
+    lengths = F.transform("_found", lambda _, i: F.length(F.get("_parts", i)) + F.coalesce(F.length(F.get("_found", i - 1)), F.lit(0)))
+
+    def double(sums: Column, k: Column) -> Column:
+        reach = F.pow(F.lit(2), k).cast("int")
+        return F.when(reach < F.size(sums), F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - reach), F.lit(0)))).otherwise(sums)
+
+    starts = F.aggregate(F.sequence(F.lit(0), F.lit(30)), lengths, double)
+    beside = F.transform("_parts", lambda x: F.struct(F.left(x, F.lit(CONTEXT)).alias("l"), F.right(x, F.lit(CONTEXT)).alias("r")))
+    ready = base.select("doc_id", "path", "_found", starts.alias("_starts"), beside.alias("_beside"))
+    rows = F.transform("_found", lambda v, i: F.struct(F.get("_starts", i).alias("start"), v.alias("value"), F.get("_beside", i)["r"].alias("before"), F.get("_beside", i + 1)["l"].alias("after")))
+    return ready.select("doc_id", "path", F.inline(rows))
 
 
 def dictionary(found: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
@@ -84,10 +82,13 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "f_path": F.coalesce(F.col("path"), F.lit("")).rlike("(?i)test|example|sample|doc|fixture").cast("double"),
         "f_slashes": many("[/.]"),
         "f_at": many("@"),
-        "f_assigned": (F.col("before").rlike(r"[=:]\s*[\"']?$") | v.rlike(r"^[A-Za-z_]+=")).cast("double"),
-        "f_key_word": (F.lower(F.col("before")).rlike(rf"({KEY_WORDS})\W*$") | F.lower(v).rlike(rf"^({KEY_WORDS})=")).cast("double"),
+        "f_assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double"),
+        "f_key_word": F.lower("before").rlike(rf"({KEY_WORDS})\W*$").cast("double"),
+        "f_sum_word": F.lower("before").rlike(r"(commit|revision|sha1|sha256|md5|checksum|digest|hash|etag|id|order|invoice|version)\W*$").cast("double"),
         "f_quoted": (F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).cast("double"),
         "f_longest_run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(v, F.lit("[0-9]+|[A-Za-z]+"), F.lit(0)), lambda x: F.length(x))), F.lit(0)).cast("double"),
+        "f_entropy": entropy(v),
+        "f_mixed": (v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]")).cast("double"),
     }
     return found.withColumns({k: F.coalesce(x, F.lit(0.0)) for k, x in value.items()})
 
@@ -99,21 +100,9 @@ def entropy(v: Column) -> Column:
     return F.aggregate(F.filter(F.array_distinct(F.split(v, "")), lambda c: c != ""), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
 
 
-def rule_label(found: DataFrame) -> Column:
-    """Labels where the format decides: 1 for known secret formats and random values given to a key word, 0 for known harmless ones, else null."""
-    inline = rf"(?i)^({KEY_WORDS})="
-    v = F.regexp_replace(F.regexp_replace("value", inline, ""), r"[.]+$", "")
-    keyed = F.coalesce(F.lower("before").rlike(rf"({KEY_WORDS})[\"']?\s*[=:]\s*[\"']?$"), F.lit(False)) | F.col("value").rlike(inline)
-    # base64 may begin like a path
-    base64 = v.rlike("^[A-Za-z0-9+/]{20,}={0,2}$") & v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]")
-    random = (F.length(v) >= 16) & v.rlike("[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]") & v.rlike("[A-Za-z]") & (~v.rlike(HARMLESS) | base64) & (entropy(v) >= ENTROPY)
-    known = v.rlike(SECRET) | (keyed & (v.rlike("^[0-9a-fA-F]{16,}$") | random)) | F.col("value").rlike(rf"(?i)^({KEY_WORDS})=[0-9a-z]{{12,}}$")
-    return F.when(known, 1.0).when(~keyed & v.rlike(HARMLESS), 0.0)
-
-
 def train(findings: DataFrame, words: list[str], rows: int = SAMPLE_ROWS) -> RandomForestClassificationModel | None:
     """Fit on at most ``rows`` findings (columns of candidates() and a double label), chosen by a hash; None without findings."""
-    sample = findings.filter(F.col("label").isNotNull()).orderBy(F.xxhash64("doc_id", "start", "value"), "doc_id", "start").limit(rows)
+    sample = findings.filter(F.col("label").isNotNull()).orderBy(F.xxhash64("doc_id", "start", "value"), "doc_id", "start", "value", "label").limit(rows)
     x = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(features(sample, words)).select("_x", "label").cache()
     try:
         if x.isEmpty():
@@ -131,16 +120,16 @@ def score(found: DataFrame, words: list[str], model: RandomForestClassificationM
     return model.transform(x).withColumn("score", F.get(vector_to_array("_p"), F.lit(1))).drop("_x", "_raw", "_p", "_best", *FEATURES)
 
 
-def scan(docs: DataFrame, path: str = "source") -> DataFrame:
-    """All candidates with scores, the forest trained on findings labelled by rule_label()."""
+def scan(docs: DataFrame, path: str = "source", findings: DataFrame | None = None) -> DataFrame:
+    """All candidates with scores, the forest trained on labelled findings (columns of candidates() and label)."""
     found = candidates(docs, path)
     words = dictionary(found)
-    return score(found, words, train(found.withColumn("label", rule_label(found)), words))
+    return score(found, words, train(fixture.labelled(docs.sparkSession).filter("NOT held_out") if findings is None else findings, words))
 
 
 def redact(docs: DataFrame, scored: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs with the found secrets' characters replaced by asterisks; doc_id must be unique."""
-    hits = scored.filter(F.col("score") >= least).groupBy(F.col("doc_id").alias("_hit")).agg(F.array_sort(F.collect_set(F.struct("start", F.length("value").alias("n")))).alias("_spans"))
-    both = docs.join(hits, F.col("doc_id") == F.col("_hit"), "left")
-    cover = F.aggregate("_spans", F.col("text"), lambda t, s: F.overlay(t, F.repeat(F.lit("*"), s["n"]), s["start"] + 1, s["n"]))
-    return both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cover)).select(*docs.columns)
+    """docs with the found secrets' characters replaced by asterisks; doc_id must be unique, rows with a null one stay as they are."""
+    hits = scored.filter(F.col("score") >= least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", F.length("value").alias("n")))).alias("spans"))
+    both = pack(docs).join(hits, F.col("_row.doc_id") == F.col("doc_id"), "left")
+    cover = F.aggregate("spans", F.col("_row.text"), lambda t, s: F.overlay(t, F.repeat(F.lit("*"), s["n"]), s["start"] + 1, s["n"]))
+    return unpack(both, docs, text=F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(cover))
