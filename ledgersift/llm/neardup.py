@@ -1,9 +1,13 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-A text's shingles are runs of five words; a shingle's weight is (1 + ln tf) * idf. Document frequencies come from all documents,
-in a count sketch of fixed size; idf is damped to 1 .. 1 + IDF_RANGE, for the shingles of a large group of copies are
-frequent only because of the group. Equal texts are one class from the start. Null texts are empty texts; texts without words are in no class but that of
-equal texts. A class is a connected component of the links at or above the threshold; its id is its smallest doc_id.
+A text's shingles are runs of five words; a shingle's weight is (1 + ln tf) * (1 + ln idf). Its idf is the mean of its words', with
+idf = 1 + ln((n + 1) / (df + 1)) of a word: how many documents hold the shingle itself tells above all how many copies there are, and
+would take weight from what large groups share. Document frequencies come from all documents, in a count sketch of fixed size, less
+what other words put into a cell on average; that average over n depends on the length of documents, not on their number, and words
+rarer than it weigh alike.
+Equal texts are one class from the start. Null texts are empty texts; texts without words are in no class but that of
+equal texts. A class is a connected component of the links at or above the threshold; its id is its smallest doc_id. Empty tables
+have no rows, and repeated rows are in one class.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgersift.llm.common import cut, mix, shingles
+from ledgersift.llm.common import WordHasher, cut, hot_keys, join_groups, join_salted, mix, pack, shingles, split_words, store, unpack
 
 SIMILARITY, WORDS = 0.8, 5
 #: 16 bands of 4 samples find a pair of similarity 0.8 with probability 0.9998.
 BANDS, ROWS = 16, 4
-SKETCH_BITS, SLICES, IDF_RANGE = 18, 64, 0.1
+SKETCH_BITS, SLICES = 20, 64
 #: Candidate texts up to this number are looked up by a broadcast set of 8-byte hashes, more by a shuffle.
 BROADCAST_IDS = 200_000
 #: Room for rounding in the bounds on weights.
@@ -43,7 +47,7 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of documents, and the counts of documents by shingle in the cells of the sketch."""
+    """Number of documents, and the counts of documents by word in the cells of the sketch."""
     size = (1 << SKETCH_BITS) // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,22 +55,22 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         for batch in batches:
             n += len(batch)
             for text in batch["_text"]:
-                np.add.at(total, _cells(np.unique(shingles(text, WORDS))), 1)
+                np.add.at(total, _cells(np.unique(shingles(text, 1))), 1)
         if n:
-            parts = total.reshape(SLICES, size)
-            yield pd.DataFrame({"s": range(SLICES), "n": [n, *[0] * (SLICES - 1)], "b": [x.tobytes() for x in parts]})
+            parts = [x.astype(np.min_scalar_type(int(x.max()))) for x in total.reshape(SLICES, size)]
+            yield pd.DataFrame({"s": range(SLICES), "n": [n, *[0] * (SLICES - 1)], "w": [x.itemsize for x in parts], "b": [x.tobytes() for x in parts]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, list] = {}
         for batch in batches:
-            for s, n, b in zip(batch["s"], batch["n"], batch["b"], strict=True):
+            for s, n, w, b in zip(batch["s"], batch["n"], batch["w"], batch["b"], strict=True):
                 got = sums.setdefault(s, [0, np.zeros(size, np.int64)])
                 got[0] += n
-                got[1] += np.frombuffer(b, np.int64)
+                got[1] += np.frombuffer(b, f"<u{w}").astype(np.int64)
         if sums:
-            yield pd.DataFrame([(s, n, x.tobytes()) for s, (n, x) in sums.items()], columns=["s", "n", "b"])
+            yield pd.DataFrame([(s, n, 8, x.tobytes()) for s, (n, x) in sums.items()], columns=["s", "n", "w", "b"])
 
-    schema = "s int, n long, b binary"
+    schema = "s int, n long, w int, b binary"
     rows = docs.select(F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(count, schema).repartition("s").mapInPandas(add, schema).collect()
     total = np.zeros((SLICES, size), np.int64)
     for r in rows:
@@ -75,16 +79,27 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def idf(n: int, counts: np.ndarray) -> np.ndarray:
-    return (1 + IDF_RANGE * np.log((n + 1) / (np.minimum(counts, n) + 1)) / np.log(n + 2)).astype(np.float32)
-
-
-def weighted(text: str | None, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles in order of hash, and their weights."""
-    h, tf = np.unique(shingles(text, WORDS), return_counts=True)
-    return h, (1 + np.log(tf)).astype(np.float32) * table[_cells(h)]
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """What each cell of the sketch gives a word."""
+    others = counts.sum() / len(counts)
+    df = np.minimum(np.maximum(counts - others, others), n)
+    return (1 + np.log((n + 1) / (df + 1))).astype(np.float32)
+
+
+def weighted(text: str | None, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles in order of hash, their weights, and the part of the weights that is the same in all texts."""
+    words = split_words(text)
+    if not words:
+        return np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.float32)
+    hasher, width = WordHasher(words), min(WORDS, len(words))
+    of_words = table[_cells(hasher.windows(1))]
+    n = len(words) - width + 1
+    mean = sum(of_words[i : i + n] for i in range(width)) / np.float32(width)  # in the same order for equal words, so equal shingles weigh the same
+    h, first, tf = np.unique(hasher.windows(width), return_index=True, return_counts=True)
+    base = (1 + np.log(mean[first])).astype(np.float32)
+    return h, (1 + np.log(tf)).astype(np.float32) * base, base
+
+
+def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
     """Weighted Jaccard similarity; 0 without shingles."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     least = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
@@ -120,18 +135,18 @@ def band_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _bands(docs: DataFrame, table) -> DataFrame:
-    """_r, _key for each text with shingles."""
+    """_r, _key for each text with shingles, written."""
 
     @F.pandas_udf("array<long>")
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
             for text in batch:
-                h, w = weighted(text, table.value)
+                h, w, _ = weighted(text, table.value)
                 out.append(band_keys(h, w).view(np.int64) if len(h) else np.empty(0, np.int64))
             yield pd.Series(out, dtype=object)
 
-    return docs.select("_r", keys("_text").alias("_k")).groupBy("_r").agg(F.max("_k").alias("_k")).select("_r", F.explode("_k").alias("_key"))
+    return store(docs.select("_r", keys("_text").alias("_k")).groupBy("_r").agg(F.max("_k").alias("_k"))).select("_r", F.explode("_k").alias("_key"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, table, least: float) -> DataFrame:
@@ -146,19 +161,27 @@ def _verify(pairs: DataFrame, docs: DataFrame, table, least: float) -> DataFrame
         for x, y in batches:
             yield pd.Series([similarity(of(a), of(b)) >= least for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    both = pairs.join(texts.withColumnsRenamed({"_r": "_a", "_text": "_ta"}), "_a").join(texts.withColumnsRenamed({"_r": "_b", "_text": "_tb"}), "_b")
+    # the text that copies were made from is in a pair with each of them
+    total = pairs.count()
+    both = join_salted(pairs, ["_a"], "_b", texts.withColumnsRenamed({"_r": "_a", "_text": "_ta"}), hot_keys(pairs, "_a", total))
+    both = join_salted(both, ["_b"], "_a", texts.withColumnsRenamed({"_r": "_b", "_text": "_tb"}), hot_keys(pairs, "_b", total))
     return both.filter(near("_ta", "_tb")).select("_a", "_b")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """_r, _label (the smallest hash of the component) of all linked texts; labels spread along links and are halved by jumps."""
+    """_r, _label (the smallest hash of the component) of all linked texts; labels spread along links and are halved by jumps.
+
+    A text that many are linked to, and a label that many have, are hot keys of the two joins, and dealt over tasks.
+    """
     both = cut(links.unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct())
+    hot = hot_keys(both, "_b", both.count())
     labels = cut(both.groupBy(F.col("_a").alias("_r")).agg(F.least(F.min("_b"), F.min("_a")).alias("_label")))
+    n = labels.count()
     while True:
-        seen = both.join(labels.withColumnsRenamed({"_r": "_b"}), "_b").groupBy(F.col("_a").alias("_r")).agg(F.min("_label").alias("_near"))
-        lower = labels.join(seen, "_r").select("_r", F.least("_label", "_near").alias("_next"), F.col("_label").alias("_was"))
-        jumped = lower.join(lower.select(F.col("_r").alias("_next"), F.col("_next").alias("_jump")), "_next", "left").select("_r", F.least("_next", F.coalesce("_jump", "_next")).alias("_label"), "_was")
-        done = cut(jumped)
+        seen = join_salted(both, ["_b"], "_a", labels.withColumnsRenamed({"_r": "_b"}), hot).groupBy(F.col("_a").alias("_r")).agg(F.min("_label").alias("_near"))
+        lower = store(labels.join(seen, "_r").select("_r", F.least("_label", "_near").alias("_next"), F.col("_label").alias("_was")))
+        jumps = lower.select(F.col("_r").alias("_next"), F.col("_next").alias("_jump"))  # every label is a linked text
+        done = cut(join_salted(lower, ["_next"], "_r", jumps, hot_keys(lower, "_next", n)).select("_r", F.least("_next", "_jump").alias("_label"), "_was"))
         labels = done.select("_r", "_label")
         if done.filter(F.col("_label") != F.col("_was")).isEmpty():
             return labels
@@ -176,8 +199,8 @@ def _prefixes(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFrame
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r, label, text in zip(batch["_r"], batch["_label"], batch["_text"], strict=True):
-                h, w = weighted(text, table.value)
-                order = np.lexsort((h, -table.value[_cells(h)]))
+                h, w, base = weighted(text, table.value)
+                order = np.lexsort((h, -base))
                 rest = np.cumsum(w[order][::-1], dtype=np.float64)[::-1]
                 rest = rest[rest >= (least - SLACK) * rest[0]]
                 yield pd.DataFrame({"_r": r, "_label": label, "_key": h[order[: len(rest)]].view(np.int64), "_w": rest[0], "_rest": rest, "_lead": rest >= (lead - SLACK) * rest[0]})
@@ -206,20 +229,22 @@ def links(docs: DataFrame, table, least: float = SIMILARITY) -> DataFrame | None
     shingles, which leaves out only pairs that cannot reach the similarity, so no link is lost.
     """
     bands = _bands(docs, table)
-    several = bands.groupBy("_key").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") != F.col("_hi")).select("_key", "_n")
-    members = cut(bands.join(several, "_key"))
+    several = bands.groupBy("_key").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") != F.col("_hi"))
+    several = store(several.select("_key", "_n", F.col("_n").alias("_rows")))
+    members = store(join_groups(bands, several, ["_key"], "_rows"))
     shared = members.groupBy("_r").agg(F.sum("_n").alias("_shared"))
-    centers = members.join(shared, "_r").groupBy("_key").agg(F.max_by("_r", F.struct("_shared", "_r")).alias("_center"))
+    centers = store(members.join(shared, "_r").groupBy("_key").agg(F.max_by("_r", F.struct("_shared", "_r")).alias("_center"), F.max("_n").alias("_rows")))
     members = members.select("_key", "_r")
-    pairs = members.join(centers, "_key").filter(F.col("_r") != F.col("_center"))
+    pairs = join_groups(members, centers, ["_key"], "_rows").filter(F.col("_r") != F.col("_center"))
     pairs = cut(pairs.select(F.least("_r", "_center").alias("_a"), F.greatest("_r", "_center").alias("_b")).distinct())
     if pairs.isEmpty():
         return None
     found = cut(_verify(pairs, docs, table, least))
     labels = None if found.isEmpty() else components(found)
     named = members.withColumn("_label", F.col("_r")) if labels is None else members.join(labels, "_r", "left").withColumn("_label", F.coalesce("_label", "_r"))
-    mixed = named.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).filter(F.col("_lo") != F.col("_hi")).select("_key")
-    ids = cut(named.join(mixed, "_key", "left_semi").select("_r", "_label").distinct())
+    named = store(named)
+    mixed = named.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") != F.col("_hi"))
+    ids = cut(join_groups(named, store(mixed.select("_key", "_n")), ["_key"], "_n").select("_r", "_label").distinct())
     if ids.isEmpty():
         return labels
     more = cut(_open_pairs(docs, ids, table, least).join(pairs, ["_a", "_b"], "left_anti"))
@@ -259,7 +284,7 @@ def report(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class, that with the smallest doc_id (null ids last), then text hash, with all columns."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_r").alias("r"), F.col("_q").alias("q"))
-    kept = classes(docs, least).groupBy("_class", "_own").agg(F.min(place).alias("k")).select(F.col("k.id").alias("_kept_id"), F.col("k.r").alias("_kept_r"), F.col("k.q").alias("_kept_q"))
-    text = F.coalesce(docs["text"], F.lit(""))
-    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text) == F.col("_kept_r")) & (F.xxhash64(F.lit("second"), text) == F.col("_kept_q"))
-    return docs.join(kept, same).dropDuplicates(["_kept_id", "_kept_r", "_kept_q"]).select(*docs.columns)
+    kept = classes(docs, least).groupBy("_class", "_own").agg(F.min(place).alias("k")).select("k.id", "k.r", "k.q")
+    text = F.coalesce("_row.text", F.lit(""))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("r")) & (F.xxhash64(F.lit("second"), text) == F.col("q"))
+    return unpack(pack(docs).join(kept, same).dropDuplicates(["id", "r", "q"]), docs)
