@@ -5,9 +5,9 @@ a substring near the same place; substrings are looked up by length, segment num
 bit-parallel edit distance in a band of ``2 * edits + 1`` diagonals, held in one 64-bit word.
 
 The first line of a class stays: a line goes if the same line stands earlier (smaller doc_id, then place), or if a line within
-``edits`` edits of it does. Blank lines always stay. Lines under ``least`` characters are not compared with edits; the same line
-standing earlier takes them out if they have ``exact`` characters (``least`` where not given, as in the registered SQL). Null texts
-have no lines; null ids come last.
+``edits`` edits of it does. Blank lines always stay. All other lines are compared for equality, whatever their length; lines under
+``least`` characters are not compared with edits, as one edit makes too much of a short line. Null texts have no lines; null ids
+come last; equal ids are ordered by a hash of their texts, and equal rows lose the same lines. Empty tables have no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgersift.llm.common import cut
+from ledgersift.llm.common import HOT_PARTS, cut, join_salted, pack, store, unpack
 
 EDITS, LEAST = 1, 20
 
@@ -190,41 +190,47 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     else:
         found = _pairs(active)
     sides = found.distinct().join(texts.withColumnsRenamed({"_r": "_a", "_line": "_la"}), "_a").join(texts.withColumnsRenamed({"_r": "_b", "_line": "_lb"}), "_b")
-    return within(sides, "_la", "_lb", edits).select("_a", "_b")
+    return within(sides, "_la", "_lb", edits).select("_a", _second("_la").alias("_qa"), "_b", _second("_lb").alias("_qb"))
 
 
-def removed(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
+def _second(line: str) -> Column:
+    return F.xxhash64(F.lit("second"), line)
+
+
+def removed(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """_id, _th, _gone (array of line numbers from 0) of the documents that lose lines."""
-    lines = lines_of(docs).filter(F.length("_line") >= (least if exact is None else min(exact, least))).filter(F.trim("_line") != "").withColumn("_r", F.xxhash64("_line")).withColumn("_q", F.xxhash64(F.lit("second"), "_line"))
+    lines = lines_of(docs).filter(F.trim("_line") != "").withColumn("_r", F.xxhash64("_line")).withColumn("_q", _second("_line"))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_at").alias("at"))
     firsts = lines.groupBy("_r", "_q").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
     near = cut(near_lines(lines.filter(F.length("_line") >= least), edits))
-    first = firsts.select(F.col("_r"), F.col("_first"))
-    both = near.join(first.withColumnsRenamed({"_r": "_a", "_first": "_fa"}), "_a").join(first.withColumnsRenamed({"_r": "_b", "_first": "_fb"}), "_b")
-    late = both.select(F.when(F.col("_fa") < F.col("_fb"), F.col("_b")).otherwise(F.col("_a")).alias("_r")).distinct().withColumn("_late", F.lit(True))
-    marked = firsts.join(late, "_r", "left").filter((F.col("_n") > 1) | F.col("_late"))
-    hits = lines.select("_id", "_th", "_at", "_r", "_q").join(marked, ["_r", "_q"])
-    gone = hits.filter(F.col("_late").isNotNull() | (F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_at").alias("at")) != F.col("_first")))
-    return gone.groupBy("_id", "_th").agg(F.collect_set("_at").alias("_gone"))
+    first = firsts.select("_r", "_q", "_first")
+    both = near.join(first.toDF("_a", "_qa", "_fa"), ["_a", "_qa"]).join(first.toDF("_b", "_qb", "_fb"), ["_b", "_qb"])
+    a, b = F.struct(F.col("_a").alias("r"), F.col("_qa").alias("q")), F.struct(F.col("_b").alias("r"), F.col("_qb").alias("q"))
+    late = both.select(F.when(F.col("_fa") < F.col("_fb"), b).otherwise(a).alias("x")).select(F.col("x.r").alias("_r"), F.col("x.q").alias("_q")).distinct().withColumn("_late", F.lit(True))
+    marked = store(firsts.join(late, ["_r", "_q"], "left").filter((F.col("_n") > 1) | F.col("_late")))
+    total = marked.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = marked.filter(F.col("_n") * HOT_PARTS > total).select("_r", "_q", F.lit(True).alias("_hot"))  # fewer than HOT_PARTS lines
+    hits = join_salted(lines.select("_id", "_th", "_at", "_r", "_q"), ["_r", "_q"], "_th", marked.drop("_n"), hot)
+    return hits.filter(F.col("_late").isNotNull() | (place != F.col("_first"))).groupBy("_id", "_th").agg(F.collect_set("_at").alias("_gone"))
 
 
-def with_kept(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
-    """All rows and columns of docs, plus _all (lines, null for a null text) and _kept (the lines that stay)."""
-    gone = removed(docs, edits, least, exact).withColumnsRenamed({"_id": "_gone_id", "_th": "_gone_th"})
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_th")), "left").drop("_gone_id", "_gone_th")
-    lines = F.split("text", "\n")
-    flags = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    return both.withColumn("_kept", F.filter(lines, lambda x, i: ~F.array_contains(flags, i))).withColumn("_all", F.size(lines)).withColumn("_lost", F.size(flags)).drop("_gone")
+def _with_gone(docs: DataFrame, edits: int, least: int) -> tuple[DataFrame, Column, Column]:
+    """The rows of docs in _row with the places of lines that go, those places, and the lines that stay."""
+    packed = pack(docs)
+    both = packed.join(removed(docs, edits, least), F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_th")), "left")
+    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    return both, gone, F.filter(F.split("_row.text", "\n"), lambda _, i: ~F.array_contains(gone, i))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
-    """docs with the lines that stay; other columns as they are."""
-    return with_kept(docs, edits, least, exact).withColumn("text", F.array_join("_kept", "\n")).select(*docs.columns)
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """docs with the lines that stay; other columns as they are, whatever their names."""
+    both, _, kept = _with_gone(docs, edits, least)
+    return unpack(both, docs, text=F.array_join(kept, "\n"))
 
 
-def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
+def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of each document (a null text has no lines and the digest of the empty text)."""
-    kept = with_kept(docs.select("doc_id", "text"), edits, least, exact)
-    return kept.select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("_all")).cast("long").alias("n_lines"), F.col("_lost").cast("long").alias("n_removed"), F.sha2(F.coalesce(F.array_join("_kept", "\n"), F.lit("")).cast("binary"), 256).alias("kept_sha256")
-    )
+    both, gone, kept = _with_gone(docs.select("doc_id", "text"), edits, least)
+    n = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size(F.split("_row.text", "\n")))
+    digest = F.sha2(F.coalesce(F.array_join(kept, "\n"), F.lit("")).cast("binary"), 256)
+    return both.select(F.col("_row.doc_id").alias("doc_id"), n.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), digest.alias("kept_sha256"))

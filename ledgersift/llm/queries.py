@@ -106,8 +106,9 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents WHERE text IS NOT NULL),
-e AS (SELECT *, doc_id * 1000000000 + place AS k FROM l WHERE length(line) >= 20 AND trim(line) <> ''),
-f AS (SELECT line, length(line) AS n, min(k) AS k FROM e GROUP BY line),
+e AS (SELECT *, doc_id * 1000000000 + place AS k FROM l WHERE trim(line) <> ''),
+s AS (SELECT line, length(line) AS n, min(k) AS k FROM e GROUP BY line),
+f AS (SELECT * FROM s WHERE n >= 20),
 c AS (
   SELECT a.line AS x, b.line AS y, a.k AS kx, b.k AS ky FROM f a JOIN f b ON a.n = b.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.k < b.k
   UNION SELECT a.line, b.line, a.k, b.k FROM f a JOIN f b ON a.n = b.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.k < b.k
@@ -116,7 +117,7 @@ c AS (
 m AS (SELECT DISTINCT CASE WHEN kx < ky THEN y ELSE x END AS line FROM c
   WHERE len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: left(x, i) = left(y, i)))
       + len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: right(x, i) = right(y, i))) >= greatest(length(x), length(y)) - 1),
-g AS (SELECT e.doc_id, e.place FROM e JOIN f ON f.line = e.line LEFT JOIN m ON m.line = e.line WHERE m.line IS NOT NULL OR e.k > f.k),
+g AS (SELECT e.doc_id, e.place FROM e JOIN s ON s.line = e.line LEFT JOIN m ON m.line = e.line WHERE m.line IS NOT NULL OR e.k > s.k),
 k AS (SELECT l.doc_id, count(*) AS n, count(g.place) AS gone, string_agg(CASE WHEN g.place IS NULL THEN l.line END, chr(10) ORDER BY l.place) AS kept
       FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.place = l.place GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
