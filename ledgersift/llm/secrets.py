@@ -18,17 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.llm import findings as fixture
-from ledgersift.llm.common import pack, unpack
+from ledgersift.llm.common import pack, store, unpack
 
 #: Words that name a secret beside it.
 KEY_WORDS = "pass|passwd|password|pwd|secret|token|key|apikey|api_key|auth|credential|bearer"
 #: Least length of a candidate that nothing is assigned to.
 TOKEN = 16
 _CHAR = "[A-Za-z0-9_./+@-]"
-#: A value behind a key word and a sign (or behind "bearer"), or a long run of key characters. The single blank or sign is looked for first.
+#: A value behind a key word and a sign (or behind "bearer"), or a long run of key characters. What is quickest to rule out is looked for first.
 CANDIDATE = (
-    rf"(?<=[=:\s\"'])(?<=(?i:{KEY_WORDS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?|(?i:bearer) )[^\s\"'`,;=:][^\s\"'`,;]*"
-    rf"|(?<!{_CHAR}){_CHAR}{{{TOKEN},}}={{0,2}}"
+    rf"(?<=[=:\s\"'])(?:(?<=[=:]\s{{0,3}}[\"']?)(?<=(?i:{KEY_WORDS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)|(?<=[rR] )(?<=(?i:bearer) ))[^\s\"'`,;=:][^\s\"'`,;]*+"
+    rf"|(?<!{_CHAR}){_CHAR}{{{TOKEN},}}+={{0,2}}"
 )
 #: Training findings and dictionary words are bounded; the words are the commonest around all candidates.
 SAMPLE_ROWS, DICTIONARY_WORDS, TREES, DEPTH = 20_000, 200, 30, 8
@@ -122,7 +122,7 @@ def score(found: DataFrame, words: list[str], model: RandomForestClassificationM
 
 def scan(docs: DataFrame, path: str = "source", findings: DataFrame | None = None) -> DataFrame:
     """All candidates with scores, the forest trained on labelled findings (columns of candidates() and label)."""
-    found = candidates(docs, path)
+    found = store(candidates(docs, path))  # a small part of the texts, and read twice
     words = dictionary(found)
     return score(found, words, train(fixture.labelled(docs.sparkSession).filter("NOT held_out") if findings is None else findings, words))
 
