@@ -47,13 +47,20 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns: estimates of the text's distinct shingles and of the share of them that the edited text holds."""
+
     def of(doc_id: int | None, text: str, following: str) -> tuple:
         n = len(text)
         edited = text[: n - n // 3] + following[: n // 3]
-        a, b = fingerprint.sketch(text), fingerprint.sketch(edited)
-        return (doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint.pack(a), fingerprint.pack(b), fingerprint.resemblance(a, b), fingerprint.resemblance(a, fingerprint.sketch(following)))
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        a, b, c = (fingerprint.sketch(x) for x in (text, edited, following))
+        digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+        likeness = fingerprint.resemblance(a, b), fingerprint.resemblance(a, c)
+        return (doc_id, n, digest, fingerprint.pack(a), fingerprint.pack(b), *likeness, fingerprint.distinct(a), fingerprint.containment(a, b))
+
+    schema = (
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+        "distinct_shingles double, contained_in_edited double"
+    )
     return fingerprint.with_next(table(spark, sf_dir, "documents"), of, schema)
 
 

@@ -468,6 +468,7 @@ def test_likeness_of_fingerprints_is_near_that_of_the_shingle_sets(spark, tmp_pa
         edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
         a, b, c = (set(fingerprint.shingles(y).tolist()) for y in (t, edited, nxt))
         assert abs(x.near_edited - len(a & b) / len(a | b)) < 0.15 and abs(x.near_next - len(a & c) / len(a | c)) < 0.15
+        assert abs(x.distinct_shingles / max(len(a), 1) - 1) < 0.35 and abs(x.contained_in_edited - len(a & b) / len(a)) < 0.25
         assert x.fingerprint == fingerprint.pack(fingerprint.sketch(t)) and (len(a | b) > fingerprint.K or x.near_edited == len(a & b) / len(a | b))
 
 
