@@ -1,10 +1,10 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-A text's shingles are runs of five words; a shingle's weight is (1 + ln tf) * (1 + ln idf). Its idf is the mean of its words', with
-idf = 1 + ln((n + 1) / (df + 1)) of a word: how many documents hold the shingle itself tells above all how many copies there are, and
-would take weight from what large groups share. Document frequencies come from all documents, in a count sketch of fixed size, less
-what other words put into a cell on average; that average over n depends on the length of documents, not on their number, and words
-rarer than it weigh alike.
+A text's shingles are runs of five words; a shingle's weight is (1 + ln tf) * idf, idf being log2((n + PRIOR) / (df + 1)) between FLOOR
+and 1: shingles in more than half of all documents lose weight, all others have it in full. An idf that goes on rising would hide large
+groups of near copies, whose common shingles are frequent because of the group. Document frequencies come from all documents, in a
+count sketch of fixed size, less what other shingles put into a cell on average (a share of n that depends on the length of documents,
+not on their number).
 Equal texts are one class from the start. Null texts are empty texts; texts without words are in no class but that of
 equal texts. A class is a connected component of the links at or above the threshold; its id is its smallest doc_id. Empty tables
 have no rows, and repeated rows are in one class.
@@ -20,12 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgersift.llm.common import WordHasher, cut, hot_keys, join_groups, join_salted, mix, pack, shingles, split_words, store, unpack
+from ledgersift.llm.common import cut, hot_keys, join_groups, join_salted, mix, pack, shingles, store, unpack
 
 SIMILARITY, WORDS = 0.8, 5
 #: 16 bands of 4 samples find a pair of similarity 0.8 with probability 0.9998.
 BANDS, ROWS = 16, 4
 SKETCH_BITS, SLICES = 20, 64
+#: Documents without the shingle that are added to the real ones, so that a small table has no common shingles; the least weight.
+PRIOR, FLOOR = 100, 0.05
 #: Candidate texts up to this number are looked up by a broadcast set of 8-byte hashes, more by a shuffle.
 BROADCAST_IDS = 200_000
 #: Room for rounding in the bounds on weights.
@@ -47,7 +49,7 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of documents, and the counts of documents by word in the cells of the sketch."""
+    """Number of documents, and the counts of documents by shingle in the cells of the sketch."""
     size = (1 << SKETCH_BITS) // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +57,7 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         for batch in batches:
             n += len(batch)
             for text in batch["_text"]:
-                np.add.at(total, _cells(np.unique(shingles(text, 1))), 1)
+                np.add.at(total, _cells(np.unique(shingles(text, WORDS))), 1)
         if n:
             parts = [x.astype(np.min_scalar_type(int(x.max()))) for x in total.reshape(SLICES, size)]
             yield pd.DataFrame({"s": range(SLICES), "n": [n, *[0] * (SLICES - 1)], "w": [x.itemsize for x in parts], "b": [x.tobytes() for x in parts]})
@@ -79,24 +81,16 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def idf(n: int, counts: np.ndarray) -> np.ndarray:
-    """What each cell of the sketch gives a word."""
-    others = counts.sum() / len(counts)
-    df = np.minimum(np.maximum(counts - others, others), n)
-    return (1 + np.log((n + 1) / (df + 1))).astype(np.float32)
+    """For each cell of the sketch the weight that it gives a shingle, and its document frequency."""
+    df = np.clip(counts - counts.sum() / len(counts), 0, n)
+    return np.stack([np.clip(np.log2((n + PRIOR) / (df + 1)), FLOOR, 1), df]).astype(np.float32)
 
 
 def weighted(text: str | None, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles in order of hash, their weights, and the part of the weights that is the same in all texts."""
-    words = split_words(text)
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.float32)
-    hasher, width = WordHasher(words), min(WORDS, len(words))
-    of_words = table[_cells(hasher.windows(1))]
-    n = len(words) - width + 1
-    mean = sum(of_words[i : i + n] for i in range(width)) / np.float32(width)  # in the same order for equal words, so equal shingles weigh the same
-    h, first, tf = np.unique(hasher.windows(width), return_index=True, return_counts=True)
-    base = (1 + np.log(mean[first])).astype(np.float32)
-    return h, (1 + np.log(tf)).astype(np.float32) * base, base
+    """Distinct shingles in order of hash, their weights, and their document frequencies."""
+    h, tf = np.unique(shingles(text, WORDS), return_counts=True)
+    cells = _cells(h)
+    return h, (1 + np.log(tf)).astype(np.float32) * table[0, cells], table[1, cells]
 
 
 def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
@@ -199,8 +193,8 @@ def _prefixes(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFrame
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r, label, text in zip(batch["_r"], batch["_label"], batch["_text"], strict=True):
-                h, w, base = weighted(text, table.value)
-                order = np.lexsort((h, -base))
+                h, w, df = weighted(text, table.value)
+                order = np.lexsort((h, df))
                 rest = np.cumsum(w[order][::-1], dtype=np.float64)[::-1]
                 rest = rest[rest >= (least - SLACK) * rest[0]]
                 yield pd.DataFrame({"_r": r, "_label": label, "_key": h[order[: len(rest)]].view(np.int64), "_w": rest[0], "_rest": rest, "_lead": rest >= (lead - SLACK) * rest[0]})
