@@ -108,6 +108,8 @@ def merged(sketches: DataFrame, key: str, sketch_col: str, k: int = K, salts: in
 
 #: Documents are dealt over ranges of about so many by id; a range is sorted and streamed, so their greatest number bounds no work.
 RANGE_ROWS, MOST_RANGES = 10_000, 16_384
+#: Rows that a task holds before it hands them on.
+OUT_ROWS = 500
 
 
 def with_next(docs: DataFrame, of, schema: str, ranges: int | None = None) -> DataFrame:
@@ -143,14 +145,17 @@ def with_next(docs: DataFrame, of, schema: str, ranges: int | None = None) -> Da
     moved = moved.select(F.col("_id").cast("string").alias("_id"), "_text", "_tail")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, out = None, []
+        frame = lambda: pd.DataFrame(out, columns=names, dtype=object)
         for batch in batches:
-            out = []
             for i, text, tail in zip(batch["_id"], batch["_text"], batch["_tail"], strict=True):
                 if held is not None:
                     out.append(of(held[0], held[1], text))
                 held = None if tail else (None if i is None else int(i), text)
-            yield pd.DataFrame(out, columns=names, dtype=object)
+                if len(out) >= OUT_ROWS:
+                    yield frame()
+                    out = []
+        yield frame()
 
     names = T.StructType.fromDDL(schema).names
     return moved.mapInPandas(walk, schema)
