@@ -72,7 +72,7 @@ def labelled(spark: SparkSession, rows: int = ROWS) -> DataFrame:
         "id", f"cast(id % {len(KINDS)} as int) AS k", "sha2(concat('h', id), 256) AS h", f"regexp_replace({mixed}, '[^A-Za-z0-9]', '') AS m", f"regexp_replace(repeat({mixed}, 2), '[^A-Za-z]', '') AS a",
         f"{pick(words, 1)} AS w1", f"{pick(words, 2)} AS w2", f"{pick(words, 3)} AS w3", f"{pick(words, 4)} AS w4", "pmod(xxhash64(id, 5), 100000) AS n",
     )
-    case = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN {row if isinstance(row, str) else row}" for k, row in enumerate(i)) + " END"
+    case = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN {row}" for k, row in enumerate(i)) + " END"
     lead = case([pick(texts(x[2]), 6) for x in KINDS])
     made = base.selectExpr("*", f"{case([x[3] for x in KINDS])} AS value", f"{lead} AS lead", f"{case([repr(x[0]) for x in KINDS])} AS kind", f"{case([str(float(x[1])) for x in KINDS])} AS label", f"{case([str(x[4]).lower() for x in KINDS])} AS unseen")
     close = F.when(F.col("lead").endswith('"'), '"').when(F.col("lead").endswith("'"), "'").otherwise("")
