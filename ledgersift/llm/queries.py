@@ -7,8 +7,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.llm import bpe, decontam, fingerprint, linededup, neardup, quality, secrets, sharding, substring, toxicity
+from ledgersift.llm import bpe, conversations, decontam, fingerprint, linededup, neardup, pagetext, quality, secrets, sharding, substring, toxicity, vectorcodes
 from ledgersift.llm.common import fold_of
+from ledgersift.llm.structure_sql import OP11_SQL, OP13_SQL
 
 SHARDS = 40
 
@@ -87,6 +88,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.report(table(spark, sf_dir, "pages"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_quality, op2_decontamination, op3_substring_dedup, op4_secret_scan, op5_fingerprints, op6_toxicity, op7_near_dedup, op8_sharding, op9_bpe, op10_line_dedup, pipeline)
+    found = (op1_quality, op2_decontamination, op3_substring_dedup, op4_secret_scan, op5_fingerprints, op6_toxicity, op7_near_dedup, op8_sharding, op9_bpe, op10_line_dedup, op11_conversation_repair, op12_page_text, op13_vector_codes, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -133,4 +146,4 @@ FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op10_line_dedup": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op13_vector_codes": OP13_SQL}
