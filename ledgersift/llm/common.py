@@ -6,14 +6,13 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of bytes other than the six ASCII blanks; ``bytes.split()`` splits on just those.
-_POWER_BASE = 0x9E3779B97F4A7C15 | 1
-_POWER_INVERSE = pow(_POWER_BASE, -1, 1 << 64)
-_BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_tables = {"power": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_tables: dict[str, list[np.ndarray]] = {"power": [np.ones(1, np.uint64)] * 2, "inverse": [np.ones(1, np.uint64)] * 2}
 
 
 #: A key with over one HOT_PARTS-th of all rows is hot; there are fewer than HOT_PARTS such keys, whatever the input.
@@ -135,44 +134,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables["power"]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("power", _POWER_BASE), ("inverse", _POWER_INVERSE)):
-            seq = np.full(size, base, np.uint64)
-            seq[0] = 1
-            _tables[name] = np.multiply.accumulate(seq)
+def _powers(n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Powers of both bases and of their inverses, modulo 2^64."""
+    if len(_tables["power"][0]) < n:
+        size = max(1 << 12, 1 << (n - 1).bit_length())
+        for name, bases in (("power", _BASES), ("inverse", [pow(b, -1, 1 << 64) for b in _BASES])):
+            rows = [np.full(size, b, np.uint64) for b in bases]
+            for row in rows:
+                row[0] = 1
+            _tables[name] = [np.multiply.accumulate(row) for row in rows]
     return _tables["power"], _tables["inverse"]
 
 
 class WordHasher:
-    """Prefix sums of a text's bytes, so the hash of any run of words costs two look-ups.
+    """Prefix sums over the words of a text, so the hash of any run of words costs four look-ups.
 
-    Words are joined by one space first, so the hash depends on the word sequence alone.
+    Each word enters by a hash of its bytes, so no letters of one word make up for those of another. A run is hashed by two bases, and
+    the two values are mixed; both depend on the word sequence alone.
     """
 
     def __init__(self, words: list[bytes]):
         n = len(words)
-        lens = np.fromiter(map(len, words), np.int64, n)
-        self.ends = np.cumsum(lens + 1) - 1
-        self.starts = self.ends - lens
-        codes = _BYTE_CODES[np.frombuffer(b" ".join(words), np.uint8)]
-        power, self._inverse = _powers(len(codes) + 1)
-        codes *= power[: len(codes)]
-        self._sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes, out=self._sums[1:])
+        self._words = words
+        codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+        powers, self._inverses = _powers(n + 1)
+        self._sums = []
+        for power in powers:
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(codes * power[:n], out=sums[1:])
+            self._sums.append(sums)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word starts and ends in the words joined by one space."""
+        lens = np.fromiter(map(len, self._words), np.int64, len(self._words))
+        ends = np.cumsum(lens + 1) - 1
+        return ends - lens, ends
 
     def runs(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the word runs first..last, both inclusive."""
-        s, e = self.starts[first], self.ends[last]
-        return mix((self._sums[e] - self._sums[s]) * self._inverse[s] + (last - first).astype(np.uint64))
+        one, two = ((s[last + 1] - s[first]) * inverse[first] for s, inverse in zip(self._sums, self._inverses, strict=True))
+        return mix(mix(one + (last - first).astype(np.uint64)) ^ two)
 
     def windows(self, width: int) -> np.ndarray:
-        n = len(self.starts) - width + 1
+        n = len(self._words) - width + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        s, e = self.starts[:n], self.ends[width - 1 :]
-        return mix((self._sums[e] - self._sums[s]) * self._inverse[s] + np.uint64(width - 1))
+        one, two = ((s[width:] - s[:n]) * inverse[:n] for s, inverse in zip(self._sums, self._inverses, strict=True))
+        return mix(mix(one + np.uint64(width - 1)) ^ two)
 
 
 def split_words(text: str | None) -> list[bytes]:

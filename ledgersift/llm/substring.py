@@ -103,8 +103,8 @@ def _settle(words: list[bytes], doc: int, listed: list, window: int) -> tuple[np
     inside = single[own] & (p >= first[own]) & (p + window <= last[own])
     gone = np.flatnonzero(inside & (least[own] < doc))
     open_ = np.flatnonzero(known[own] & ~inside)
-    joined = b" ".join(words)
-    s, e = a.hasher.starts[open_], a.hasher.ends[open_ + window - 1] if len(open_) else open_
+    joined, (starts_, ends_) = b" ".join(words), a.hasher.places()
+    s, e = starts_[open_], ends_[open_ + window - 1] if len(open_) else open_
     second = np.fromiter((xxhash.xxh3_64_intdigest(joined[i:j]) for i, j in zip(s, e, strict=True)), np.uint64, len(open_))
     return gone.astype(np.int32), open_.astype(np.int32), a.hasher.windows(window)[open_].view(np.int64), second.view(np.int64)
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgersift.llm import conversations as conv
-from ledgersift.llm import pagetext, vectorcodes
+from ledgersift.llm import common, pagetext, substring, vectorcodes
 
 ROWS = "conv_id long, turn long, role string, text string"
 
@@ -245,3 +245,16 @@ def test_what_repeats_on_a_host_goes_and_unique_runs_stay(spark, part_tokens):
     for x in got:
         assert x["text"] == expected[x["page_id"]] and x["n_chars"] == len(x["text"]), x["page_id"]
     assert pagetext.report(pages(spark, [])).collect() == []
+
+
+def test_words_that_polynomials_of_bytes_cannot_tell_apart(spark):
+    """Two texts that differ in one word of 2,048 letters, a Thue-Morse run and its complement: nothing repeats."""
+    run = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = run.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join([*words, x, *words]) for x in (run, other)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.report(docs).collect()} == {0: 0, 1: 0, 2: 61}
+    long = [b"ab"[bin(i).count("1") & 1 :][:1] for i in range(4096)]
+    a, b = (common.WordHasher([w.translate(t) for w in long]) for t in (bytes.maketrans(b"", b""), bytes.maketrans(b"ab", b"ba")))
+    assert not (a.windows(50) == b.windows(50)).any() and a.runs(np.array([0]), np.array([60])) != b.runs(np.array([0]), np.array([60]))
