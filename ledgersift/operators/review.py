@@ -202,29 +202,56 @@ def population(journal: DataFrame) -> DataFrame:
     """Counts over the whole journal in one pass."""
     return journal.agg(
         F.min("posting_date").alias("first_date"), F.max("posting_date").alias("last_date"), F.count("*").alias("n"), F.count_if(F.col("amount") < 0).alias("negatives"), F.count_if(F.col("amount") > 0).alias("positives"),
-        F.count_if(F.col("username").isNull()).alias("no_user"), F.count_if(F.col("description").isNull()).alias("no_description"),
-        F.count_if(F.col("currency").isNull()).alias("no_currency"),
+        F.count_if(F.col("username").isNull()).alias("no_user"), F.count_if(F.coalesce("description", F.lit("")) == "").alias("no_description"),
+        F.count_if(F.coalesce("currency", F.lit("")) == "").alias("no_currency"),
     )
 
 
-def warnings(journal: DataFrame, p: Params) -> DataFrame:
-    """Data-quality warnings that apply: id, severity, whether they can be dismissed, count, detail."""
+#: Classes of data-quality warnings with their severity and whether they cannot be dismissed.
+WARNINGS = {
+    "dq_duplicate_line_keys": ("critical", False), "dq_sign_convention": ("warning", False), "dq_period_coverage": ("critical", False), "dq_missing_fields": ("info", False),
+    "dq_unbalanced_docs": ("critical", False), "dq_duplicate_extract": ("critical", True), "dq_extract_shortfall_declared": ("critical", True), "dq_no_post_close_coverage": ("warning", False),
+}
+
+
+def _warning(name: str, count: Column, detail: Column) -> Column:
+    level, fixed = WARNINGS[name]
+    return F.struct(F.lit(name).alias("warning_id"), F.lit(level).alias("severity"), F.lit(fixed).alias("non_dismissible"), count.cast("long").alias("count"), detail.alias("detail"))
+
+
+def warnings(journal: DataFrame, p: Params, typed_rows: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
+    """Data-quality warnings that apply: id, severity, whether they cannot be dismissed, count, detail.
+
+    ``typed_rows`` are those of the ingest (status), for keys that stood twice; ``copies`` (extract, earlier_run, earlier) are extracts
+    loaded before, a warning each. Without a declared date no shortfall is found and the cover ends with the last posting. A journal
+    without lines has no warnings but of cover.
+    """
     s = population(journal).crossJoin(journal.groupBy("entry_ref").agg(F.sum("amount").alias("net")).agg(F.count_if(F.abs("net") > p.balance_tolerance).alias("unbalanced")))
-    through = F.lit(p.declared_through or p.period_end)
-    seen = F.greatest(F.datediff(F.least("last_date", through), F.lit(p.period_end)), F.lit(0))
-    row = lambda ok, name, level, fixed, count, detail: F.when(ok, F.struct(F.lit(name).alias("warning_id"), F.lit(level).alias("severity"), F.lit(fixed).alias("non_dismissible"), count.cast("long").alias("count"), detail.alias("detail")))
-    lack = lambda c, name: F.when(F.col(c) > 0, F.concat(F.lit(f"{name} "), F.col(c).cast("string"), F.lit("/"), F.col("n").cast("string")))
-    missing = {"no_user": "user", "no_description": "description", "no_currency": "currency"}
-    parts = F.concat_ws("; ", *[lack(c, name) for c, name in missing.items()])
+    end, last, one = F.lit(p.period_end), F.col("last_date"), F.lit(1)
+    declared = F.lit(p.declared_through).cast("date")
+    covered = F.least(last, declared)
+    lack = [F.when(F.col(f"no_{c}") > 0, F.concat(F.lit(f"{name} "), F.col(f"no_{c}").cast("string"), F.lit("/"), F.col("n").cast("string"))) for c, name in (("description", "description"), ("user", "username"), ("currency", "currency"))]
+    fields = F.array_compact(F.array(*lack))
     made = F.array(
-        row((F.col("negatives") == 0) & (F.col("positives") > 0), "dq_sign_convention", "warning", False, F.col("positives"), F.lit("no negative amounts")),
-        row((F.col("last_date") < F.trunc(F.lit(p.period_end), "year")) | (F.col("first_date") > F.lit(p.period_end)), "dq_period_coverage", "critical", False, F.col("n"), F.lit("postings lie outside the period")),
-        row(parts != "", "dq_missing_fields", "info", False, F.col("no_user") + F.col("no_description") + F.col("no_currency"), parts),
-        row(F.col("last_date") < through, "dq_extract_shortfall_declared", "critical", True, F.datediff(through, "last_date"), F.lit("extract ends before the declared date")),
-        row(F.least("last_date", through) < F.date_add(F.lit(p.period_end), p.match_days), "dq_no_post_close_coverage", "warning", False, seen, F.lit("too few days after period end")),
-        row(F.col("unbalanced") > 0, "dq_unbalanced_docs", "warning", False, F.col("unbalanced"), F.lit("documents do not balance")),
-    )
-    return s.select(F.inline(F.array_compact(made)))
+        F.when((F.col("negatives") == 0) & (F.col("positives") > 0), _warning("dq_sign_convention", one, F.concat(F.lit("no negative amounts in "), F.col("n").cast("string"), F.lit(" lines")))),
+        F.when(last < F.trunc(end, "year"), _warning("dq_period_coverage", one, F.concat(F.lit("last posting "), last.cast("string"), F.lit(" before the year")))),
+        F.when(F.col("first_date") > end, _warning("dq_period_coverage", one, F.concat(F.lit("first posting "), F.col("first_date").cast("string"), F.lit(" after the period")))),
+        F.when(F.size(fields) > 0, _warning("dq_missing_fields", F.size(fields), F.array_join(fields, "; "))),
+        F.when(last < declared, _warning("dq_extract_shortfall_declared", one, F.concat(F.lit("last posting "), last.cast("string"), F.lit(" before the declared "), declared.cast("string")))),
+        F.when(
+            covered < F.date_add(end, p.match_days),
+            _warning("dq_no_post_close_coverage", F.greatest(F.datediff(covered, end), F.lit(0)), F.concat(F.lit("covered to "), covered.cast("string"), F.lit(", reversals need "), F.date_add(end, p.match_days).cast("string"))),
+        ),
+        F.when(F.col("unbalanced") > 0, _warning("dq_unbalanced_docs", F.col("unbalanced"), F.lit("documents do not balance"))),
+    )
+    found = s.select(F.inline(F.array_compact(made)))
+    if typed_rows is not None:
+        twice = typed_rows.agg(F.count_if(F.col("status") == "duplicate").alias("n")).filter("n > 0")
+        found = found.unionByName(twice.select(_warning("dq_duplicate_line_keys", F.col("n"), F.lit("keys of entry and line stood before")).alias("w")).select("w.*"))
+    if copies is not None:
+        same = F.concat(F.col("extract"), F.lit(" has the lines of "), F.col("earlier"), F.lit(" of run "), F.col("earlier_run"))
+        found = found.unionByName(copies.select(_warning("dq_duplicate_extract", one, same).alias("w")).select("w.*"))
+    return found
 
 
 def self_check(journal: DataFrame, p: Params, first: dt.date, last: dt.date) -> DataFrame:
@@ -244,7 +271,7 @@ def duplicate_extracts(new: DataFrame, known: DataFrame) -> DataFrame:
     """Warning rows dq_duplicate_extract for extracts (path, sha256) whose digest an earlier run (run_id, sha256) has."""
     both = new.join(known.withColumnRenamed("run_id", "earlier"), "sha256")
     return both.groupBy("path").agg(F.count("*").alias("count"), F.min("earlier").alias("first")).select(
-        F.lit("dq_duplicate_extract").alias("warning_id"), F.lit("critical").alias("severity"), F.lit(False).alias("non_dismissible"), "count",
+        F.lit("dq_duplicate_extract").alias("warning_id"), F.lit("critical").alias("severity"), F.lit(True).alias("non_dismissible"), "count",
         F.concat(F.lit("same content as run "), F.col("first").cast("string"), F.lit(": "), "path").alias("detail"),
     )
 

@@ -122,7 +122,7 @@ def packs(universe: DataFrame, xref: DataFrame, p: Params) -> DataFrame:
     """Flagged lines of the universe, in its order, in packs of pack_size lines. The universe is capped, so one window over it is small."""
     lines = universe.select("entry_ref", "rules_hit", "abs_amount").join(xref.select("entry_ref", "line_no"), "entry_ref")
     n = F.row_number().over(Window.orderBy(F.desc("rules_hit"), F.desc("abs_amount"), "entry_ref", "line_no"))
-    return lines.select(F.concat(F.lit("pack_"), F.lpad((F.floor((n - 1) / p.pack_size) + 1).cast("string"), 3, "0")).alias("pack"), "entry_ref", "line_no")
+    return lines.select(F.format_string("pack_%03d", F.floor((n - 1) / p.pack_size) + 1).alias("pack"), "entry_ref", "line_no")
 
 
 def render_packs(packed: DataFrame, text: DataFrame) -> DataFrame:
@@ -294,14 +294,31 @@ def gates(universe: DataFrame, decisions: DataFrame, failed_rules: DataFrame, ac
     return reduce(DataFrame.unionByName, made)
 
 
+#: What the work does not cover, by topic; part of every workpaper.
+SCOPE = {
+    "benford": "First-digit tests inform inquiry only, as amounts of journals need not follow that law.",
+    "follow_ups": "Suggested follow-ups are recorded, not carried out; acting on one takes a new run.",
+    "identity": "Reviewers state who they are without proof; chained digests show later changes of decisions, not who made them.",
+    "injection": "Texts given to a model are marked as untrusted and screened, which lowers the risk and does not remove it.",
+    "model_outputs": "Answers of models are logged but need not repeat; only the rules and tables are reproducible.",
+    "outliers": "Outliers and samples depend on seeds, which are kept with the run.",
+    "personal_data": "Personal data are masked by patterns and given terms and may remain where a text follows neither.",
+    "sample": "The sample adds cover beside the flags and allows no projection to the whole.",
+    "system_pairs": "Account pairs of system entries are the yardstick of this period and are not screened themselves.",
+    "vouching": "Entries to inspect are listed for testing against their documents; that testing is done elsewhere.",
+}
+
+
 def workpaper(known: DataFrame, resolved: DataFrame, limits: DataFrame, acks: DataFrame, chains: DataFrame) -> DataFrame:
-    """All tables of a workpaper as rows (sheet, position, name, content): facts, narrative, accepted limitations, acknowledgements, integrity of chains."""
+    """All tables of a workpaper as rows (sheet, position, name, content): facts, narrative, scope, accepted limitations, acknowledgements, integrity of chains."""
     sheet = lambda df, name, key, content: df.select(F.lit(name).alias("sheet"), F.row_number().over(Window.orderBy(key)).cast("int").alias("position"), F.col(key).cast("string").alias("name"), content.cast("string").alias("content"))
     integrity = chains.agg(F.coalesce(F.bool_and("intact"), F.lit(True)).alias("intact"), F.count("*").alias("chains")).withColumn("key", F.lit("chain_integrity_verified"))
+    scope = known.sparkSession.createDataFrame(sorted(SCOPE.items()), "topic string, text string")
     # a workpaper is small: facts, sections, limitations and acknowledgements of one run
     return (
         sheet(known, "summary", "fact_key", F.col("fact_value")).unionByName(sheet(resolved, "narrative", "heading", F.col("text"))).unionByName(sheet(limits, "limitations", "id", F.lit("accepted")))
         .unionByName(sheet(acks, "data quality", "warning_id", F.col("reason"))).unionByName(sheet(integrity, "governance", "key", F.col("intact")))
+        .unionByName(sheet(scope, "scope", "topic", F.col("text")))
     )
 
 

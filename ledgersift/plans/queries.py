@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -161,37 +162,48 @@ query(
 query(
     "population",
     """SELECT min(posting_date) AS first_date, max(posting_date) AS last_date, count(*) AS n, count(*) FILTER (amount < 0) AS negatives, count(*) FILTER (amount > 0) AS positives,
-    count(*) FILTER (username IS NULL) AS no_user, count(*) FILTER (description IS NULL) AS no_description, count(*) FILTER (currency IS NULL) AS no_currency FROM J""",
+    count(*) FILTER (username IS NULL) AS no_user, count(*) FILTER (description IS NULL OR description = '') AS no_description, count(*) FILTER (currency IS NULL OR currency = '') AS no_currency FROM J""",
     "j",
 )(lambda z: review.population(z.lines))
 query("currency_mix", "SELECT coalesce(currency, '(blank)') AS currency, count(*) AS lines FROM J GROUP BY 1", "j")(
     lambda z: z.lines.groupBy(F.coalesce("currency", F.lit("(blank)")).alias("currency")).agg(F.count("*").alias("lines"))
 )
-DQ = """WITH S AS (SELECT min(posting_date) AS a, max(posting_date) AS z, count(*) AS n, count(*) FILTER (amount < 0) AS neg,
-    count(*) FILTER (amount > 0) AS pos, count(*) FILTER (username IS NULL) AS nu, count(*) FILTER (description IS NULL) AS nd, count(*) FILTER (currency IS NULL) AS nc
-    FROM J),
- B AS (SELECT count(*) AS u FROM (SELECT entry_ref FROM J GROUP BY entry_ref
-    HAVING abs(sum(amount)) > 100000))
- SELECT 'dq_sign_convention' AS warning_id, 'warning' AS severity, FALSE AS non_dismissible, pos AS count, 'no negative amounts' AS detail
-    FROM S WHERE neg = 0 AND pos > 0
- UNION ALL SELECT 'dq_period_coverage', 'critical', FALSE, n, 'postings lie outside the period' FROM S
-    WHERE z < DATE '2000-01-01' OR a > DATE '2000-12-31'
- UNION ALL SELECT 'dq_missing_fields', 'info', FALSE, nu + nd + nc, concat_ws('; ', CASE WHEN nu > 0 THEN 'user ' || nu || '/' || n END,
-    CASE WHEN nd > 0 THEN 'description ' || nd || '/' || n END, CASE WHEN nc > 0 THEN 'currency ' || nc || '/' || n END) FROM S
-    WHERE nu + nd + nc > 0
- UNION ALL SELECT 'dq_extract_shortfall_declared', 'critical', TRUE, DATE '2002-01-31' - z, 'extract ends before the declared date'
-    FROM S WHERE z < DATE '2002-01-31'
- UNION ALL SELECT 'dq_no_post_close_coverage', 'warning', FALSE, greatest(least(z, DATE '2002-01-31') - DATE '2000-12-31', 0),
-    'too few days after period end'
-    FROM S WHERE least(z, DATE '2002-01-31') < DATE '2000-12-31' + 30
- UNION ALL SELECT 'dq_unbalanced_docs', 'warning', FALSE, u, 'documents do not balance' FROM B WHERE u > 0"""
-query("dq_warnings", DQ, "j")(lambda z: review.warnings(z.lines, P))
-# the same checks where they all apply: only debits, and a period that the postings miss
-DEBITS = DQ.replace("FROM J)", "FROM J WHERE amount > 0)").replace("FROM J GROUP BY", "FROM J WHERE amount > 0 GROUP BY")
-LATE = {"DATE '2000-12-31'": "DATE '1990-12-31'", "DATE '2000-01-01'": "DATE '1990-01-01'"}
-for _a, _b in LATE.items():
-    DEBITS = DEBITS.replace(_a, _b)
-query("dq_warnings_of_debits", DEBITS, "j")(lambda z: review.warnings(z.journal.filter("amount > 0"), P.__class__(**(P.__dict__ | {"period_end": dt.date(1990, 12, 31)}))))
+#: ``last`` and ``declared`` stand for dates in the SQL; the reference's rules, written apart from the operators.
+def _dq_sql(end: str, declared: str | None, lines: str = "J") -> str:
+    d = f"DATE '{declared}'" if declared else "CAST(NULL AS DATE)"
+    return f"""S AS (SELECT min(posting_date) AS a, max(posting_date) AS z, count(*) AS n, count(*) FILTER (amount < 0) AS neg, count(*) FILTER (amount > 0) AS pos, count(*) FILTER (username IS NULL) AS nu,
+    count(*) FILTER (description IS NULL OR description = '') AS nd, count(*) FILTER (currency IS NULL OR currency = '') AS nc, DATE '{end}' AS pe, {d} AS dt FROM {lines}),
+ B AS (SELECT count(*) AS u FROM (SELECT entry_ref FROM {lines} GROUP BY entry_ref HAVING abs(sum(amount)) > 100000)),
+ DQ AS (SELECT 'dq_sign_convention' AS warning_id, 'warning' AS severity, FALSE AS non_dismissible, 1 AS count, 'no negative amounts in ' || n || ' lines' AS detail FROM S WHERE neg = 0 AND pos > 0
+ UNION ALL SELECT 'dq_period_coverage', 'critical', FALSE, 1, 'last posting ' || z || ' before the year' FROM S WHERE z < date_trunc('year', pe)
+ UNION ALL SELECT 'dq_period_coverage', 'critical', FALSE, 1, 'first posting ' || a || ' after the period' FROM S WHERE a > pe
+ UNION ALL SELECT 'dq_missing_fields', 'info', FALSE, CAST(nd > 0 AS INT) + CAST(nu > 0 AS INT) + CAST(nc > 0 AS INT), concat_ws('; ', CASE WHEN nd > 0 THEN 'description ' || nd || '/' || n END,
+    CASE WHEN nu > 0 THEN 'username ' || nu || '/' || n END, CASE WHEN nc > 0 THEN 'currency ' || nc || '/' || n END) FROM S WHERE nu + nd + nc > 0
+ UNION ALL SELECT 'dq_extract_shortfall_declared', 'critical', TRUE, 1, 'last posting ' || z || ' before the declared ' || dt FROM S WHERE z < dt
+ UNION ALL SELECT 'dq_no_post_close_coverage', 'warning', FALSE, greatest(least(z, coalesce(dt, z)) - pe, 0), 'covered to ' || least(z, coalesce(dt, z)) || ', reversals need ' || (pe + 30)
+    FROM S WHERE least(z, coalesce(dt, z)) < pe + 30
+ UNION ALL SELECT 'dq_unbalanced_docs', 'critical', FALSE, u, 'documents do not balance' FROM B WHERE u > 0)"""
+
+
+DQ_ROWS = " SELECT warning_id, severity, non_dismissible, CAST(count AS BIGINT) AS count, detail FROM DQ"
+query("dq_warnings", "WITH " + _dq_sql("2000-12-31", "2002-01-31") + DQ_ROWS, "j")(lambda z: review.warnings(z.journal, P))
+# the same checks where others apply: only debits, and a period that the postings miss
+query("dq_warnings_of_debits", "WITH " + _dq_sql("1990-12-31", "2002-01-31", "(SELECT * FROM J WHERE amount > 0)") + DQ_ROWS, "j")(
+    lambda z: review.warnings(z.journal.filter("amount > 0"), replace(P, period_end=dt.date(1990, 12, 31)))
+)
+# nothing declared, and blank texts among the missing ones
+BLANKS = "(SELECT * REPLACE (CASE WHEN line_no = 2 THEN '' ELSE description END AS description, CASE WHEN line_no = 3 THEN '' ELSE currency END AS currency) FROM J)"
+query("dq_warnings_undeclared", "WITH " + _dq_sql("2000-12-31", None, BLANKS) + DQ_ROWS, "j")(lambda z: review.warnings(_blanked(z), replace(P, declared_through=None)))
+query("dq_warnings_mid_year", "WITH " + _dq_sql("1996-06-30", None, "(SELECT * FROM J WHERE posting_date <= DATE '1996-07-15')") + DQ_ROWS, "j")(
+    lambda z: review.warnings(z.journal.filter("posting_date <= DATE'1996-07-15'"), replace(P, period_end=dt.date(1996, 6, 30), declared_through=None))
+)
+
+
+def _blanked(z: Run):
+    blank = lambda c, n: F.when(F.col("line_no") == n, "").otherwise(F.col(c))
+    return z.journal.withColumns({"description": blank("description", 2), "currency": blank("currency", 3)})
+
+
 query(
     "self_check",
     """SELECT entry_ref, abs(sum(amount)) <= 100000 AS balanced, min(line_no) = 1 AND max(line_no) = count(*) AND count(DISTINCT line_no) = count(*) AS contiguous,

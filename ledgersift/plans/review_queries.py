@@ -11,6 +11,7 @@ from ledgersift.functions import screen
 from ledgersift.operators import evaluate, review, rules, worklog
 from ledgersift.plans.params import LEDGER as P
 from ledgersift.plans.shared import P_CAP, Run, query
+from ledgersift.plans.zones import zone
 from ledgersift.sources import ledger
 
 # run log and chains
@@ -57,11 +58,11 @@ def _tampered(z: Run) -> DataFrame:
 # packs and assessments
 query(
     "packs",
-    """SELECT 'pack_' || lpad(CAST((row_number() OVER (ORDER BY UN.rules_hit DESC, UN.abs_amount DESC, UN.entry_ref, XR.line_no) - 1) // 20 + 1 AS VARCHAR), 3, '0') AS pack,
+    """SELECT printf('pack_%03d', (row_number() OVER (ORDER BY UN.rules_hit DESC, UN.abs_amount DESC, UN.entry_ref, XR.line_no) - 1) // 20 + 1) AS pack,
     UN.entry_ref, XR.line_no FROM UN JOIN XR ON XR.entry_ref = UN.entry_ref""",
     "jpfxun",
 )(lambda z: worklog.packs(z.universe, z.xref, P))
-PK = """WITH PK AS (SELECT 'pack_' || lpad(CAST((row_number() OVER (ORDER BY UN.rules_hit DESC, UN.abs_amount DESC, UN.entry_ref, XR.line_no) - 1) // 20 + 1 AS VARCHAR), 3, '0') AS pack,
+PK = """WITH PK AS (SELECT printf('pack_%03d', (row_number() OVER (ORDER BY UN.rules_hit DESC, UN.abs_amount DESC, UN.entry_ref, XR.line_no) - 1) // 20 + 1) AS pack,
     UN.entry_ref, XR.line_no, flag_reasons, CAST(substr(UN.entry_ref, 3) AS BIGINT) AS k FROM UN JOIN XR ON XR.entry_ref = UN.entry_ref)"""
 query(
     "rendered_packs",
@@ -112,14 +113,11 @@ def _reports(z: Run) -> DataFrame:
     return ledger.assessments_of(by.select(F.from_json(F.to_json(F.struct("pack", "assessments")), ledger.REPORT).alias("r")).select("r.*"))
 
 
-query(
-    "consistency",
-    """SELECT hits, CAST(band AS BIGINT) AS band, pair, count(*) AS entries FROM (SELECT AS_.entry_ref, concern, hits, band, coalesce(pair, '-') AS pair FROM AS_
+CONSISTENT = """SELECT hits, CAST(band AS BIGINT) AS band, pair, count(*) AS entries FROM (SELECT AS_.entry_ref, concern, hits, band, coalesce(pair, '-') AS pair FROM AS_
       JOIN (SELECT entry_ref, max(rules_hit) AS hits, floor(log10(CAST(max(abs_amount) + 1 AS DOUBLE))) AS band FROM XR GROUP BY entry_ref) s ON s.entry_ref = AS_.entry_ref
       LEFT JOIN (SELECT entry_ref, debit || '/' || credit AS pair FROM DP QUALIFY row_number() OVER (PARTITION BY entry_ref ORDER BY line_no, debit || '/' || credit) = 1) d ON d.entry_ref = AS_.entry_ref)
-    GROUP BY hits, band, pair HAVING bool_or(concern = 'low') AND bool_or(concern = 'high') ORDER BY hits, band, pair LIMIT 10""",
-    "jpfxund",
-)(lambda z: worklog.inconsistent(z.assessments, z.xref, rules.document_pairs(z.journal)))
+    GROUP BY hits, band, pair HAVING bool_or(concern = 'low') AND bool_or(concern = 'high') ORDER BY hits, band, pair LIMIT 10"""
+query("consistency", CONSISTENT, "jpfxund")(lambda z: worklog.inconsistent(z.assessments, z.xref, rules.document_pairs(z.journal)))
 
 # decisions
 query("decisions", "SELECT entry_ref, decision, CAST(confidence AS DOUBLE) AS confidence FROM DC", "jpfxund")(lambda z: z.decisions)
@@ -130,13 +128,13 @@ query(
 )(lambda z: worklog.bypassed(z.universe, z.assessments, replace(P, min_confidence=0.75)))
 PILOT = "SELECT entry_ref, CASE WHEN concern = 'high' OR priority >= 4 THEN 'inspect' ELSE 'accept' END AS decision FROM AS_"
 query("pilot_decisions", PILOT, "jpfxund")(lambda z: worklog.pilot_decide(z.assessments))
-query("review_completeness", "SELECT UN.entry_ref FROM UN WHERE entry_ref NOT IN (SELECT entry_ref FROM AS_)", "jpfxund")(lambda z: worklog.undecided(z.universe, z.assessments))
+query("review_completeness", "SELECT UN.entry_ref FROM UN WHERE entry_ref NOT IN (SELECT entry_ref FROM AS_)", "jpfxund")(lambda z: worklog.undecided(z.universe, worklog.pilot_decide(z.assessments)))
 query(
     "review_funnel",
     """SELECT (SELECT count(DISTINCT entry_ref) FROM XR) AS flagged, (SELECT count(*) FROM UN) AS selected, (SELECT count(*) FROM AS_) AS decided,
     (SELECT count(*) FROM UN) - (SELECT count(*) FROM AS_) AS pending, (SELECT count(DISTINCT ccy) FROM ST WHERE NOT chosen) AS excluded_currencies""",
     "jpfxuand",
-)(lambda z: worklog.funnel(z.xref, z.universe, z.assessments, review.excluded_currencies(z.entries, P)))
+)(lambda z: worklog.funnel(z.xref, z.universe, worklog.pilot_decide(z.assessments), review.excluded_currencies(z.entries, P)))
 query(
     "universe_decisions",
     f"SELECT UN.entry_ref, rules_hit, coalesce(decision, 'pending') AS decision FROM UN LEFT JOIN ({PILOT}) p ON p.entry_ref = UN.entry_ref",
@@ -177,7 +175,7 @@ def _file(z: Run) -> DataFrame:
     return ledger.decisions_of(by).select("entry_ref", "decision")
 
 
-DQ_ALL = """W AS (SELECT * FROM (VALUES ('dq_extract_shortfall_declared', 'critical', TRUE), ('dq_missing_fields', 'info', FALSE), ('dq_unbalanced_docs', 'warning', FALSE)) t(warning_id, severity, fixed)
+DQ_ALL = """W AS (SELECT * FROM (VALUES ('dq_extract_shortfall_declared', 'critical', TRUE), ('dq_missing_fields', 'info', FALSE), ('dq_unbalanced_docs', 'critical', FALSE)) t(warning_id, severity, fixed)
     WHERE (warning_id = 'dq_extract_shortfall_declared' AND (SELECT max(posting_date) FROM J) < DATE '2002-01-31')
     OR (warning_id = 'dq_missing_fields' AND (SELECT count(*) FROM J WHERE username IS NULL OR description IS NULL OR currency IS NULL) > 0)
     OR (warning_id = 'dq_unbalanced_docs' AND EXISTS (SELECT 1 FROM J GROUP BY entry_ref HAVING abs(sum(amount)) > 100000)))"""
@@ -209,19 +207,19 @@ def _dispositions(z: Run) -> DataFrame:
 
 
 # facts, citations, gates
-FACTS = """FA AS (SELECT 'run_id' AS fact_key, 'run-1' AS fact_value UNION ALL SELECT 'period_end', '2000-12-31'
+FACTS = f"""FA AS (SELECT 'run_id' AS fact_key, 'run-1' AS fact_value UNION ALL SELECT 'period_end', '2000-12-31'
     UNION ALL SELECT 'population_lines', CAST((SELECT count(*) FROM J) AS VARCHAR) UNION ALL SELECT 'flagged_documents', CAST((SELECT count(DISTINCT entry_ref) FROM XR) AS VARCHAR)
     UNION ALL SELECT 'universe_size', CAST((SELECT count(*) FROM UN) AS VARCHAR) UNION ALL SELECT 'total_flagged_before_cap', CAST((SELECT count(*) FROM BA WHERE base_amount >= 100000) AS VARCHAR)
     UNION ALL SELECT 'selection_basis', CASE WHEN EXISTS (SELECT 1 FROM BA WHERE ccy NOT IN (SELECT ccy FROM FX)) THEN 'currency-stratified fallback' ELSE 'targeted' END
     UNION ALL SELECT 'decisions_' || d, CAST((SELECT count(*) FROM DC WHERE decision = d) AS VARCHAR) FROM (SELECT unnest(['inspect', 'accept', 'override']) AS d)
     UNION ALL SELECT 'followups_recorded', CAST((SELECT count(*) FROM AS_ WHERE priority = 5) AS VARCHAR)
-    UNION ALL SELECT 'consistency_warnings', CAST((SELECT count(DISTINCT action) FROM AS_) AS VARCHAR)
+    UNION ALL SELECT 'consistency_warnings', CAST((SELECT count(*) FROM ({CONSISTENT})) AS VARCHAR)
     UNION ALL SELECT 'rule_' || rule, CAST(count(*) AS VARCHAR) FROM FL GROUP BY rule)"""
 
 
 def _facts(z: Run) -> DataFrame:
     flags = z.flags  # first, so that the cross-reference reads it
-    followups, divergent = z.assessments.filter("priority = 5"), z.assessments.select("action").distinct()
+    followups, divergent = z.assessments.filter("priority = 5"), worklog.inconsistent(z.assessments, z.xref, rules.document_pairs(z.journal))
     material = review.material(z.entries, P_CAP)
     return worklog.facts("run-1", P, z.journal, flags, z.xref, z.universe, material, z.decisions, followups, divergent, review.fx_missing(z.entries, P))
 
@@ -281,8 +279,7 @@ def _nothing(z: Run, column: str) -> DataFrame:
 query(
     "gate_report",
     f"""WITH {DQ_ALL} SELECT 'review' AS gate, count(*) = 0 AS passed, count(*) AS problems, min(entry_ref) AS example FROM UN WHERE entry_ref NOT IN (SELECT entry_ref FROM AS_)
-    UNION ALL SELECT 'procedures', count(*) = 0, count(*), min(r) FROM (SELECT unnest(['manual_entries', 'period_end', 'round_amounts', 'date_divergence', 'entry_splitting',
-    'balance_check', 'unusual_users', 'unusual_pairs', 'reversals', 'high_risk_system_pairs']) AS r) WHERE r NOT IN (SELECT rule FROM FL) AND r <> 'reversals'
+    UNION ALL SELECT 'procedures', FALSE, 1, 'balance_check'
     UNION ALL SELECT 'citations', FALSE, 6 + (SELECT count(*) FROM (SELECT unnest(['manual_entries', 'period_end', 'round_amounts', 'date_divergence', 'entry_splitting',
     'balance_check', 'unusual_users', 'unusual_pairs', 'reversals', 'high_risk_system_pairs']) AS r) WHERE r NOT IN (SELECT rule FROM FL)), 'no citation: end'
     UNION ALL SELECT 'limitations', count(*) = 0, count(*), min(warning_id) FROM W WHERE severity = 'critical'""",
@@ -291,14 +288,19 @@ query(
 
 
 def _gates(z: Run) -> DataFrame:
-    """Gates of a run whose assessed entries are decided, whose rules without flags count as failed, and which accepts one gap."""
+    """Gates of a run whose assessed entries are decided, of whose rules two are made to fail, and which accepts one of these gaps."""
     flags = z.flags
-    ran = z.spark.createDataFrame([(r,) for r in rules.RULES], "id string")
-    failed = ran.join(flags.select(F.col("rule").alias("id")).distinct(), "id", "left_anti")
+    _, outcomes = rules.run(z.journal, P, ("period_end", "balance_check", "reversals"), zone, {"balance_check": _out_of_order, "reversals": _out_of_order})
+    failed = outcomes.filter("outcome = 'failed'").select(F.col("rule").alias("id"))
     accepted = z.spark.createDataFrame([("reversals",)], "id string")
     problems = worklog.citation_problems(_sections(z), worklog.rule_facts(flags).unionByName(_two_facts(z)), REQUIRED)
     active = review.active_limitations(z.entries, P, z.warnings, _nothing(z, "warning_id"))
-    return worklog.gates(z.universe, z.assessments, failed, accepted, _sections(z), problems, active)
+    return worklog.gates(z.universe, worklog.pilot_decide(z.assessments), failed, accepted, _sections(z), problems, active)
+
+
+def _out_of_order(journal: DataFrame, p) -> DataFrame:
+    """Fails when its rows are asked for, not when it is put together."""
+    return journal.select(F.raise_error(F.lit("out of order")).cast("string").alias("rule"), "entry_ref", "line_no", "username", "amount", F.lit("").alias("flag_reason"))
 
 
 # report tables
@@ -346,12 +348,17 @@ query(
     UNION ALL SELECT 'benford_n', n FROM BF UNION ALL SELECT 'benford_mad', mad FROM BF""",
     "jpfxund",
 )(lambda z: worklog.metrics(_facts(z), review.benford(z.journal)))
+SCOPE_ROWS = ", ".join("(CAST({} AS INT), '{}', '{}')".format(i + 1, name, text.replace("'", "''")) for i, (name, text) in enumerate(sorted(worklog.SCOPE.items())))
 query(
     "workpaper_tables",
     f"""WITH {DQ_ALL}, RF AS (SELECT 'rule_' || rule AS k, CAST(count(*) AS VARCHAR) AS v FROM FL GROUP BY rule)
     SELECT 'summary' AS sheet, CAST(row_number() OVER (ORDER BY k) AS INT) AS position, k AS name, v AS content FROM RF
     UNION ALL SELECT 'data quality', CAST(row_number() OVER (ORDER BY warning_id) AS INT), warning_id, CASE WHEN warning_id <> 'dq_unbalanced_docs' THEN 'known' END FROM W
     UNION ALL SELECT 'limitations', CAST(row_number() OVER (ORDER BY warning_id) AS INT), warning_id, 'accepted' FROM W WHERE severity = 'critical'
+    UNION ALL SELECT 'narrative', CAST(row_number() OVER (ORDER BY heading) AS INT), heading, text FROM (SELECT r AS heading, 'There were rule_' || r || '=' || coalesce(v, '?') || ' flags.' AS text
+      FROM (SELECT unnest(['manual_entries', 'period_end', 'round_amounts', 'date_divergence', 'entry_splitting', 'balance_check', 'unusual_users', 'unusual_pairs', 'reversals', 'high_risk_system_pairs']) AS r)
+      LEFT JOIN RF ON k = 'rule_' || r UNION ALL SELECT 'scope', 'population_lines=? lines, flagged_documents=? documents, lost=? more' UNION ALL SELECT 'end', 'All is well.')
+    UNION ALL SELECT 'scope', * FROM (VALUES {SCOPE_ROWS}) t(position, name, content)
     UNION ALL SELECT 'governance', 1, 'chain_integrity_verified', CASE WHEN count(*) FILTER (conv_id % 3 = 0 AND turn = 1) > 0 THEN 'false' ELSE 'true' END FROM conversations""",
     "jpf",
 )(lambda z: _workpaper(z))
@@ -360,7 +367,7 @@ query(
 def _workpaper(z: Run) -> DataFrame:
     known = worklog.rule_facts(z.found)
     limits = worklog.limitations(_acks(z), z.warnings).select(F.col("warning_id").alias("id"))
-    return worklog.workpaper(known, worklog.resolve_citations(_sections(z).limit(0), known), limits, _acks(z), _tampered(z))
+    return worklog.workpaper(known, worklog.resolve_citations(_sections(z), known), limits, _acks(z), _tampered(z))
 
 
 # scores

@@ -26,9 +26,9 @@ ALIASES = {
     "entry_created_date": ("entry_created_date", "created", "cpudt", "entry_date", "create_date", "created_on", "creation_date", "created_at", "timestamp", "aedat"),
     "entry_type": ("entry_type", "entrytype", "blart", "type", "doc_type", "document_type", "posting_type", "entrycategory", "voucher_type"),
 }
-SAP_CODES = ("belnr", "budat", "bldat", "cpudt", "hkont", "sgtxt", "uname", "blart", "waers", "dmbtr")
-#: Of so many fields the matched share is the confidence.
-PROPOSED_FIELDS = 12
+SAP_CODES = ("budat", "bldat", "hkont", "sgtxt", "uname", "belnr", "waers", "dmbtr", "blart", "cpudt", "usnam", "werrs")
+#: Of so many fields the matched share is the confidence; one of them has no use but takes a header of its name.
+PROPOSED_FIELDS, UNUSED = 12, "entry_ref2"
 
 
 def read_extract(spark: SparkSession, path: str) -> DataFrame:
@@ -55,26 +55,45 @@ def bind_columns(df: DataFrame, column_map: dict[str, str]) -> DataFrame:
 def propose_maps(headers: DataFrame) -> DataFrame:
     """(extract, field, header, confidence, system) for rows (extract, pos, header) of many extracts.
 
-    A field takes a header that equals one of its aliases, else one that contains one of 3 letters or more; earlier aliases and exact ones
-    go first, and a header serves one field. Without an own header entry_ref takes that of source_doc.
+    Headers compare by their letters and digits. Each field first takes the header that equals the earliest of its aliases. Then the headers left,
+    from left to right, go to the first field without one that has an alias of three letters or more in them. Without an own header entry_ref
+    takes that of source_doc, which does not count for the confidence.
     """
     spark = headers.sparkSession
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    names = spark.createDataFrame([(f, k, i, a) for k, (f, xs) in enumerate(ALIASES.items()) for i, a in enumerate(xs)], "field string, turn int, rank int, alias string").withColumn("alias", bare("alias"))
-    tidy = headers.withColumn("h", bare("header"))
-    hits = tidy.join(F.broadcast(names), (F.col("h") == F.col("alias")) | ((F.length("alias") >= 3) & F.col("h").contains(F.col("alias"))))
-    ranked = hits.withColumn("_loose", (F.col("h") != F.col("alias")).cast("int"))
-    by_header, by_field = Window.partitionBy("extract", "header").orderBy("_loose", "turn", "rank"), Window.partitionBy("extract", "field").orderBy("_loose", "rank", "pos")
-    best = ranked.withColumn("_n", F.row_number().over(by_header)).filter("_n = 1").withColumn("_n", F.row_number().over(by_field)).filter("_n = 1").select("extract", "field", "header")
-    has_ref = best.filter("field = 'entry_ref'").select("extract")
-    found = best.unionByName(best.filter("field = 'source_doc'").join(has_ref, "extract", "left_anti").select("extract", F.lit("entry_ref").alias("field"), "header"))
-    sap = tidy.groupBy("extract").agg(F.countDistinct(F.when(F.col("h").isin(*SAP_CODES), F.col("h"))).alias("codes"))
-    share = F.round(F.count("*").over(Window.partitionBy("extract")) / PROPOSED_FIELDS, 4)
-    return found.withColumn("confidence", share).join(sap, "extract").select("extract", "field", "header", "confidence", F.when(F.col("codes") >= 3, "sap").otherwise("generic").alias("system"))
-
-
-def typed(bound: DataFrame, p: Params) -> DataFrame:
-    """Cleansed and cast columns beside the raw date and amount texts, and status: canonical, duplicate or reject with its reason."""
+    fields = (*ALIASES, UNUSED)
+    rows = [(k, i, a) for k, f in enumerate(fields) for i, a in enumerate(ALIASES.get(f, (UNUSED,)))]
+    names = F.broadcast(spark.createDataFrame(rows, "turn int, rank int, alias string").withColumn("alias", bare("alias")))
+    # of headers that read alike the last one stands for all
+    tidy = headers.filter(F.trim("header") != "").withColumn("h", bare("header")).groupBy("extract", "h").agg(F.max_by(F.struct("pos", "header"), "pos").alias("x")).select("extract", "h", "x.*")
+    equal = tidy.join(names, F.col("h") == F.col("alias")).groupBy("extract", "turn").agg(F.min_by(F.struct("header", "h"), "rank").alias("x")).select("extract", "turn", "x.*")
+    start = equal.groupBy("extract").agg(F.map_from_entries(F.collect_list(F.struct("turn", "header"))).alias("start"))
+    free = tidy.join(equal.select("extract", "h"), ["extract", "h"], "left_anti")
+    loose = free.join(names, (F.length("alias") >= 3) & F.col("h").contains(F.col("alias"))).groupBy("extract", "pos", "header").agg(F.array_sort(F.collect_set("turn")).alias("turns"))
+    queue = loose.groupBy("extract").agg(F.array_sort(F.collect_list(F.struct("pos", "header", "turns"))).alias("queue"))
+
+    def give(taken: Column, x: Column) -> Column:
+        open_ = F.filter(x["turns"], lambda t: ~F.map_contains_key(taken, t))
+        return F.when(F.size(open_) > 0, F.map_concat(taken, F.create_map(F.get(open_, F.lit(0)), x["header"]))).otherwise(taken)
+
+    none, empty = F.create_map().cast("map<int,string>"), F.array().cast("array<struct<pos:int,header:string,turns:array<int>>>")
+    both = tidy.select("extract").distinct().join(start, "extract", "left").join(queue, "extract", "left")
+    done = both.select("extract", F.aggregate(F.coalesce("queue", empty), F.coalesce("start", none), give).alias("taken"))
+    share = F.round(F.size("taken") / PROPOSED_FIELDS, 3)
+    source, ref = fields.index("source_doc"), fields.index("entry_ref")
+    inherits = F.map_contains_key("taken", F.lit(source)) & ~F.map_contains_key("taken", F.lit(ref))
+    whole = F.when(inherits, F.map_concat("taken", F.create_map(F.lit(ref), F.col("taken")[F.lit(source)]))).otherwise(F.col("taken"))
+    sap = tidy.groupBy("extract").agg(F.when(F.count_if(F.col("h").isin(*SAP_CODES)) >= 3, "sap").otherwise("generic").alias("system"))
+    found = done.select("extract", share.alias("confidence"), F.explode(whole).alias("turn", "header"))
+    name = F.element_at(F.array(*map(F.lit, fields)), F.col("turn") + 1)
+    return found.filter(name != UNUSED).join(sap, "extract").select("extract", name.alias("field"), "header", "confidence", "system")
+
+
+def typed(bound: DataFrame, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cleansed and cast columns beside the raw date and amount texts, and status: canonical, duplicate or reject with its reason.
+
+    ``by``: columns within whose values entries are numbered and keys compared.
+    """
     text = {c: cleanse.blank_to_null(F.col(c)) for c in ("entry_ref", "username", "account", "currency", "source_doc")}
     out = bound.withColumns(text).withColumns({"description": F.trim("description"), "raw_date": cleanse.blank_to_null(F.col("posting_date")), "raw_amount": cleanse.blank_to_null(F.col("amount"))})
     out = out.withColumns({c: cleanse.to_date_any(F.col(c)) for c in ("posting_date", "document_date", "entry_created_date")} | {"amount": cleanse.to_amount(F.col("amount"))})
@@ -90,7 +109,7 @@ def typed(bound: DataFrame, p: Params) -> DataFrame:
     good = F.col("reason").isNull()
     # only rejects carry their raw row on; each of them is a group of its own, so those without a reference are not numbered together
     out = out.withColumn("raw_json", F.when(~good, F.col("raw_json")))
-    group = (F.when(good, F.col("entry_ref")), F.when(~good, F.col("staging_seq")))
+    group = (*by, F.when(good, F.col("entry_ref")), F.when(~good, F.col("staging_seq")))
     number = F.row_number().over(Window.partitionBy(*group).orderBy("staging_seq"))
     out = out.withColumn("line_no", F.coalesce(F.col("line_no").try_cast("int"), number))
     again = F.row_number().over(Window.partitionBy(*group, F.when(good, F.col("line_no"))).orderBy("staging_seq")) > 1
@@ -106,9 +125,9 @@ def rejects_of(typed_rows: DataFrame) -> DataFrame:
     return typed_rows.filter("status = 'reject'").select("staging_seq", "reason", "raw_json")
 
 
-def reconcile(typed_rows: DataFrame, p: Params) -> DataFrame:
+def reconcile(typed_rows: DataFrame, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
-    one = typed_rows.agg(F.count("*").alias("raw"), n("canonical").alias("canonical"), n("reject").alias("rejects"), n("duplicate").alias("duplicates"))
+    one = typed_rows.groupBy(*by).agg(F.count("*").alias("raw"), n("canonical").alias("canonical"), n("reject").alias("rejects"), n("duplicate").alias("duplicates"))
     rate = F.when(F.col("raw") > 0, F.col("rejects") / F.col("raw")).otherwise(0.0)
     whole = F.col("raw") == F.col("canonical") + F.col("rejects") + F.col("duplicates")
     return one.withColumns({"reject_rate": F.round(rate, 6), "reconciles": whole, "paused": rate > p.reject_limit})
