@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgersift.operators import skew
 from ledgersift.plans.params import Params
+from ledgersift.plans.zones import zone
 
 RULES = ("manual_entries", "period_end", "round_amounts", "date_divergence", "entry_splitting", "balance_check", "unusual_users", "unusual_pairs", "reversals", "high_risk_system_pairs")
 GATING = RULES[:9]
@@ -17,7 +19,7 @@ BASELINE_OUT = RULES[:7]
 OUT = ("rule", "entry_ref", "line_no", "username", "amount", "flag_reason")
 
 
-def _row_conditions(p: Params) -> dict[str, tuple[Column, Column]]:
+def row_conditions(p: Params) -> dict[str, tuple[Column, Column]]:
     """Condition and reason of the rules that look at one line alone."""
     end = F.lit(p.period_end)
     gap = F.abs(F.datediff("posting_date", "document_date"))
@@ -33,14 +35,14 @@ def _row_conditions(p: Params) -> dict[str, tuple[Column, Column]]:
 
 def line_rules(journal: DataFrame, p: Params) -> DataFrame:
     """The four row-local rules in one scan."""
-    made = F.array(*[F.when(ok, F.struct(F.lit(rule).alias("rule"), why.alias("flag_reason"))) for rule, (ok, why) in _row_conditions(p).items()])
+    made = F.array(*[F.when(ok, F.struct(F.lit(rule).alias("rule"), why.alias("flag_reason"))) for rule, (ok, why) in row_conditions(p).items()])
     hits = journal.select("entry_ref", "line_no", "username", "amount", F.explode(F.array_compact(made)).alias("h"))
     return hits.select(F.col("h.rule").alias("rule"), "entry_ref", "line_no", "username", "amount", F.col("h.flag_reason").alias("flag_reason"))
 
 
 def line_rule(rule: str):
     def run(journal: DataFrame, p: Params) -> DataFrame:
-        ok, why = _row_conditions(p)[rule]
+        ok, why = row_conditions(p)[rule]
         return journal.filter(ok).select(F.lit(rule).alias("rule"), "entry_ref", "line_no", "username", "amount", why.alias("flag_reason"))
 
     return run
@@ -52,13 +54,14 @@ def _flag(df: DataFrame, rule: str, why: Column, line: str | Column = "line_no",
 
 
 def entry_splitting(journal: DataFrame, p: Params) -> DataFrame:
-    """Several manual lines just under the threshold on one account within a window of days."""
+    """Several manual lines just under the threshold on one account within a window of days. Lines are counted before they meet their group."""
     size = F.abs("amount")
     low = journal.filter(F.col("is_manual") & F.col("account").isNotNull() & (size >= p.split_threshold * p.split_ratio) & (size < p.split_threshold))
-    bucket = F.expr(f"datediff(posting_date, DATE'2000-01-01') div {p.split_days}")
-    group = Window.partitionBy("account", "_bucket")
-    rows = low.withColumn("_bucket", bucket).withColumns({"_n": F.count("*").over(group), "_sum": F.sum(size).over(group)})
-    return _flag(rows.filter((F.col("_n") >= p.split_count) & (F.col("_sum") > p.split_threshold)), "entry_splitting", F.concat(F.col("_n").cast("string"), F.lit(" amounts under the threshold on account "), "account"))
+    low = low.withColumn("_bucket", F.expr(f"datediff(posting_date, DATE'2000-01-01') div {p.split_days}")).filter("_bucket IS NOT NULL")
+    low = low.select("entry_ref", "line_no", "username", "amount", "account", "_bucket")
+    groups = zone(low.groupBy("account", "_bucket").agg(F.count("*").alias("_n"), F.sum(size).alias("_sum")))
+    rows = skew.join_groups(low, groups, ["account", "_bucket"], "_n", (F.col("_n") >= p.split_count) & (F.col("_sum") > p.split_threshold))
+    return _flag(rows, "entry_splitting", F.concat(F.col("_n").cast("string"), F.lit(" amounts under the threshold on account "), "account"))
 
 
 def balance_check(journal: DataFrame, p: Params) -> DataFrame:
@@ -67,11 +70,12 @@ def balance_check(journal: DataFrame, p: Params) -> DataFrame:
 
 
 def unusual_users(journal: DataFrame, p: Params) -> DataFrame:
-    """Rare manual users, and configured users; one who is both gives two rows a line."""
-    manual = journal.filter("is_manual")
-    rare = manual.filter(F.col("username").isNotNull()).groupBy("username").count().filter(F.col("count") <= p.rare_threshold).select("username", F.lit("rare manual user").alias("why"))
-    listed = journal.sparkSession.createDataFrame([(u, "high-risk user") for u in p.high_risk_users], "username string, why string")
-    return _flag(manual.join(rare.unionByName(listed), "username"), "unusual_users", F.concat("why", F.lit(": "), "username"))
+    """Rare manual users, and configured users; one who is both gives two rows a line. Lines of frequent users do not move."""
+    manual = journal.filter("is_manual AND username IS NOT NULL").select("entry_ref", "line_no", "username", "amount")
+    counts = zone(manual.groupBy("username").agg(F.count("*").alias("_n")))
+    rare = skew.join_groups(manual, counts, ["username"], "_n", F.col("_n") <= p.rare_threshold).withColumn("why", F.lit("rare manual user"))
+    listed = manual.filter(F.col("username").isin(*p.high_risk_users)).withColumn("why", F.lit("high-risk user"))
+    return _flag(rare.drop("_n").unionByName(listed), "unusual_users", F.concat("why", F.lit(": "), "username"))
 
 
 def document_pairs(journal: DataFrame) -> DataFrame:
@@ -101,19 +105,26 @@ def unusual_pairs(journal: DataFrame, p: Params, flagged: DataFrame | None = Non
     return _flag(rows.filter(other < p.min_baseline), "unusual_pairs", F.concat(F.lit("unusual pair "), "debit", F.lit("/"), "credit"), amount=F.lit(None))
 
 
-def reversals(journal: DataFrame, p: Params) -> DataFrame:
-    """Lines up to the period end that are undone within the window after it; each match, and the undoing line once.
+def reversal_matches(journal: DataFrame, end: dt.date, days: int, tolerance: float) -> DataFrame:
+    """Lines up to ``end`` beside the lines (r_...) of the same user and account that undo them within so many days after it.
 
-    The opposite amount is found by buckets as wide as the tolerance, so the join stays an equi-join.
+    The opposite amount is found by buckets as wide as the tolerance, so the join stays an equi-join; hot keys are dealt over many tasks.
     """
-    width = float(max(p.reversal_tolerance, 0.01))
-    end = p.period_end
-    cols = ("entry_ref", "line_no", "username", "account", "amount", "posting_date")
-    rows = journal.select(*cols)
-    late = rows.filter((F.col("posting_date") > end) & (F.col("posting_date") <= end + dt.timedelta(p.match_days))).withColumn("_b", F.floor(F.col("amount") / width))
+    width = float(max(tolerance, 0.01))
+    rows = journal.select("entry_ref", "line_no", "username", "account", "amount", "posting_date").filter("username IS NOT NULL AND account IS NOT NULL")
+    late = rows.filter((F.col("posting_date") > end) & (F.col("posting_date") <= end + dt.timedelta(days))).withColumn("_b", F.floor(F.col("amount") / width))
     early = rows.filter(F.col("posting_date") <= end).withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(-F.col("amount") / width) + i)))
-    match = late.withColumnsRenamed({c: f"r_{c}" for c in ("entry_ref", "line_no", "amount", "posting_date")}).join(early, ["account", "username", "_b"]).filter(F.abs(F.col("r_amount") + F.col("amount")) <= p.reversal_tolerance)
-    first = _flag(match, "reversals", F.concat(F.lit("reversed "), F.datediff("r_posting_date", F.lit(end)).cast("string"), F.lit(" days after period end by "), "username"))
+    keys = ["account", "username", "_b"]
+    hot = skew.hot_keys(early.select(*keys).unionByName(late.select(*keys)), keys)
+    late = late.withColumnsRenamed({c: f"r_{c}" for c in ("entry_ref", "line_no", "amount", "posting_date")})
+    met = skew.join_salted(early, late, keys, ["entry_ref", "line_no"], hot)
+    return met.filter(F.abs(F.col("r_amount") + F.col("amount")) <= tolerance)
+
+
+def reversals(journal: DataFrame, p: Params) -> DataFrame:
+    """Lines up to the period end that are undone within the window after it; each match, and the undoing line once."""
+    match = reversal_matches(journal, p.period_end, p.match_days, p.reversal_tolerance)
+    first = _flag(match, "reversals", F.concat(F.lit("reversed "), F.datediff("r_posting_date", F.lit(p.period_end)).cast("string"), F.lit(" days after period end by "), "username"))
     undone = match.select(F.col("r_entry_ref").alias("entry_ref"), F.col("r_line_no").alias("line_no"), "username", F.col("r_amount").alias("amount")).distinct()
     return first.unionByName(_flag(undone.join(first.select("entry_ref", "line_no"), ["entry_ref", "line_no"], "left_anti"), "reversals", F.lit("reverses an entry of the period")))
 
@@ -148,16 +159,16 @@ def _union(frames: list[DataFrame], journal: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames) if frames else journal.sparkSession.createDataFrame([], EMPTY)
 
 
-def flagged_entries(journal: DataFrame, p: Params, rules: tuple[str, ...] = BASELINE_OUT) -> DataFrame:
-    return _union(parts(journal, p, rules), journal).select("entry_ref").distinct()
-
-
 def flags(journal: DataFrame, p: Params, rules: tuple[str, ...] = RULES, baseline: tuple[str, ...] = BASELINE_OUT) -> DataFrame:
-    """All flags of the chosen rules. Entries with flags of ``baseline`` are left out of the pair baseline."""
-    made = parts(journal, p, rules)
-    if "unusual_pairs" in rules:
-        made.append(unusual_pairs(journal, p, flagged_entries(journal, p, baseline)))
-    return _union(made, journal)
+    """All flags of the chosen rules. Entries with flags of ``baseline`` are left out of the pair baseline.
+
+    For the pair rule the others are written first, and the baseline's entries are read from there.
+    """
+    if "unusual_pairs" not in rules or set(rules) - set(RULES):
+        return _union(parts(journal, p, rules), journal)
+    made = zone(_union(parts(journal, p, tuple(r for r in RULES if r in rules or r in baseline)), journal))
+    out = made.filter(F.col("rule").isin(*baseline)).select("entry_ref").distinct()
+    return made.filter(F.col("rule").isin(*rules)).unionByName(unusual_pairs(journal, p, out))
 
 
 def run(journal: DataFrame, p: Params, rules: tuple[str, ...] = RULES, write=None, makers: dict | None = None) -> tuple[DataFrame, DataFrame]:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.functions import screen
-from ledgersift.operators import evaluate, review, rules, worklog
+from ledgersift.operators import evaluate, review, rules, sweep, worklog
 from ledgersift.plans.params import LEDGER as P
-from ledgersift.plans.shared import P_CAP, Run, query
+from ledgersift.plans.shared import F_ALL, P_CAP, PAIRS, Run, query
 from ledgersift.plans.zones import zone
 from ledgersift.sources import ledger
 
@@ -421,6 +421,46 @@ query(
     GROUP BY n.variant, n.rule)""" + SCORES.format(k="variant, rule,"),
     "j",
 )(lambda z: evaluate.sweep(z.journal, z.labels, VARIANTS))
+SWEPT = {
+    "given": P,
+    "strict": replace(P, window_days=2, round_multiple=500, gap_days=2000, split_count=5, balance_tolerance=150000, rare_threshold=250, reversal_tolerance=50, account_share=0.005),
+    "loose": replace(P, post_close_days=20, round_min=5000, gap_days=1000, split_ratio=0.5, split_days=60, balance_tolerance=50000, rare_threshold=290, min_baseline=2, account_share=0.03),
+    "whole_baseline": replace(P, exclude_flagged=False, match_days=15, high_risk_users=("U5", "SAP1")),
+}
+#: The limits of each set as they stand in the SQL of the rules, and what takes their place.
+SWEPT_SQL = {
+    "given": {},
+    "strict": {
+        "2000-12-26": "2000-12-29", "% 100 = 0": "% 500 = 0", "> 1500": "> 2000", "n >= 3 AND s": "n >= 5 AND s", "abs(sum(amount)) > 100000": "abs(sum(amount)) > 150000", "<= 270": "<= 250", "<= 200": "<= 50",
+        "share < 0.01": "share < 0.005",
+    },
+    "loose": {
+        "2001-01-10": "2001-01-20", "abs(amount) >= 10000 AND": "abs(amount) >= 5000 AND", "> 1500": "> 1000", ">= 35000": ">= 25000", "// 30": "// 60", "abs(sum(amount)) > 100000": "abs(sum(amount)) > 50000",
+        "<= 270": "<= 290", "THEN 0 ELSE 1 END < 1": "THEN 0 ELSE 1 END < 2", "share < 0.01": "share < 0.03",
+    },
+    "whole_baseline": {" AND entry_ref NOT IN (SELECT entry_ref FROM F7)": "", "2001-01-30": "2001-01-15", "'U5', 'U7', 'SAP1', 'SAP2'": "'U5', 'SAP1'"},
+}
+
+
+def _swept_sql(select: str) -> str:
+    """The select over the flags FL of each set, each in a subquery of its own."""
+    parts = []
+    for name, changes in SWEPT_SQL.items():
+        text = f"{PAIRS}, {F_ALL}"
+        for a, b in changes.items():
+            assert a in text, a
+            text = text.replace(a, b)
+        parts.append(f"SELECT '{name}' AS variant, x.* FROM (WITH {text} {select}) x")
+    return " UNION ALL ".join(parts)
+
+
+NINE = "(SELECT unnest(['period_end', 'round_amounts', 'date_divergence', 'entry_splitting', 'balance_check', 'unusual_users', 'unusual_pairs', 'reversals', 'high_risk_system_pairs']) AS rule)"
+SWEEP_COUNTS = f"""SELECT n.rule, {COUNTS} FROM {NINE} n LEFT JOIN (SELECT coalesce(f.rule, l.rule) AS rule, f.entry_ref IS NOT NULL AS flagged, l.entry_ref IS NOT NULL AS labelled, o.entry_ref IS NOT NULL AS known
+    FROM (SELECT DISTINCT rule, entry_ref FROM FL WHERE rule <> 'manual_entries') f FULL JOIN LB l ON l.rule = f.rule AND l.entry_ref = f.entry_ref LEFT JOIN LB o ON o.entry_ref = f.entry_ref) E ON E.rule = n.rule GROUP BY n.rule
+    UNION ALL SELECT 'all rules', count(*) FILTER (a.entry_ref IS NOT NULL AND LB.entry_ref IS NOT NULL), count(*) FILTER (LB.entry_ref IS NULL), count(*) FILTER (a.entry_ref IS NULL)
+    FROM (SELECT DISTINCT entry_ref FROM FL WHERE rule <> 'manual_entries') a FULL JOIN LB ON LB.entry_ref = a.entry_ref"""
+query("sweep_scores", LAB + f", C AS ({_swept_sql(SWEEP_COUNTS)})" + SCORES.format(k="variant, rule,"), "j")(lambda z: sweep.scores(sweep.marks(z.journal, SWEPT), z.labels, list(SWEPT)))
+query("sweep_documents", _swept_sql("SELECT rule, count(DISTINCT entry_ref) AS documents FROM FL GROUP BY rule"), "j")(lambda z: sweep.flagged(sweep.marks(z.journal, SWEPT), list(SWEPT)).filter("documents > 0"))
 query("reproducibility", "SELECT count(*) AS n, TRUE AS same FROM FL", "jpf")(lambda z: _twice(z))
 
 
