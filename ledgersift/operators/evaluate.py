@@ -75,6 +75,44 @@ def agreement(assessed: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.withColumns({"inspect_recall": F.round(recall, 4), "inspect_precision": F.round(precision, 4)})
 
 
+def digests(rows: DataFrame, key: str) -> DataFrame:
+    """(part, n, a, b): digests of the rows in 256 parts by ``key``, as counts and sums of two pieces of each row's MD5; no order or partitioning matters.
+
+    Kept beside a table they tell later where another one differs. Nulls count as a value of their own.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(rows.columns)])
+    piece = lambda i: F.conv(F.substring("_d", i, 15), 16, 10).cast("decimal(38,0)")
+    part = F.left(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(2))
+    each = rows.select(part.alias("part"), F.md5(text.cast("binary")).alias("_d"))
+    return each.groupBy("part").agg(F.count("*").alias("n"), F.sum(piece(1)).alias("a"), F.sum(piece(16)).alias("b"))
+
+
+def digest_tree(parts: DataFrame) -> DataFrame:
+    """(node, n, digest): the parts, each sixteen of them by their first digit, and the whole (the empty node)."""
+    leaf = parts.select(F.col("part").alias("node"), "n", F.sha2(F.concat_ws(":", "n", "a", "b").cast("binary"), 256).alias("digest"))
+
+    def above(below: DataFrame, digits: int) -> DataFrame:
+        by = below.groupBy(F.left("node", F.lit(digits)).alias("_up")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.concat_ws("=", "node", "digest"))).alias("_l"))
+        return by.select(F.col("_up").alias("node"), "n", F.sha2(F.array_join("_l", ",").cast("binary"), 256).alias("digest"))
+
+    middle = above(leaf, 1)
+    return leaf.unionByName(middle).unionByName(above(middle, 0))
+
+
+def differing(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(node, n, n2) of the nodes of two digest trees that differ, from the whole down; no rows if the tables are the same."""
+    both = first.join(second.toDF("node", "n2", "digest2"), "node", "full_outer")
+    return both.filter(~F.col("digest").eqNullSafe(F.col("digest2"))).select("node", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n2", F.lit(0)).alias("n2"))
+
+
+def changed_rows(first: DataFrame, second: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
+    """Rows of the differing parts that only one of the tables has (side 1 or 2); the other parts are filtered out as they are read."""
+    leaves = F.broadcast(nodes.filter(F.length("node") == 2).select("node"))
+    part = F.left(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(2))
+    a, b = (t.withColumn("node", part).join(leaves, "node", "left_semi").drop("node") for t in (first, second))
+    return a.exceptAll(b).withColumn("side", F.lit(1)).unionByName(b.exceptAll(a).withColumn("side", F.lit(2)))
+
+
 def round_sweep(journal: DataFrame, multiples: tuple[int, ...], p: Params) -> DataFrame:
     """Flags of the round-amount rule under several multiples, in one scan."""
     rows = journal.filter(F.abs("amount") >= p.round_min).select(F.round(F.abs("amount"), 0).cast("bigint").alias("a"), F.explode(F.array(*map(F.lit, multiples))).alias("variant"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.operators.rules import GATING
 from ledgersift.plans.params import Params
+from ledgersift.plans.zones import zone
 
 
 def document_amounts(journal: DataFrame) -> DataFrame:
@@ -173,10 +174,19 @@ def outliers(journal: DataFrame, z: float = 4.0, keys: tuple[str, ...] = ("accou
     return far.orderBy(F.desc(F.abs("_z")), "entry_ref", "line_no").limit(most).withColumn("z", F.round("_z", 3)).drop("_z")
 
 
+#: Leading hexadecimal digits of a sampling key by which documents are counted before any are ordered.
+KEY_DIGITS = 4
+
+
 def sample(journal: DataFrame, p: Params, stratum: Column | None = None) -> DataFrame:
-    """A seeded sample of documents by stratum (month by default); each stratum's share is rounded half to even, the last one takes the rest."""
+    """A seeded sample of documents by stratum (month by default); each stratum's share is rounded half to even, the last one takes the rest.
+
+    The documents with the smallest keys are taken. Counts by the first digits of the keys, added up in the tasks, tell up to which digits a
+    stratum's share reaches; only documents up to there are put in order.
+    """
     s = F.date_format("posting_date", "yyyy-MM") if stratum is None else stratum
-    docs = journal.groupBy("entry_ref").agg(F.min(s).alias("stratum"))
+    key = F.sha2(F.concat(F.lit(f"{p.seed}:"), F.coalesce("entry_ref", F.lit(""))).cast("binary"), 256)
+    docs = zone(journal.groupBy("entry_ref").agg(F.min(s).alias("stratum")).withColumn("_key", key))
     by = docs.groupBy("stratum").agg(F.count("*").alias("n"))
     whole, order = Window.partitionBy(), Window.orderBy("stratum")
     total = F.sum("n").over(whole)
@@ -186,9 +196,13 @@ def sample(journal: DataFrame, p: Params, stratum: Column | None = None) -> Data
     ahead = F.coalesce(F.sum("want").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     room = F.greatest(F.lit(0), F.col("target") - ahead)
     alloc = share.withColumn("alloc", F.least("n", F.when(F.col("last"), room).otherwise(F.least("want", room)))).select("stratum", "alloc")
-    key = F.sha2(F.concat(F.lit(f"{p.seed}:"), F.coalesce("entry_ref", F.lit(""))).cast("binary"), 256)
-    rows = docs.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy(key, "entry_ref")))
-    return rows.join(F.broadcast(alloc), "stratum").filter(F.col("place") <= F.col("alloc")).select("entry_ref", "stratum", F.lit("representative").alias("selection_basis"))
+    digits = F.left("_key", F.lit(KEY_DIGITS))
+    counts = docs.groupBy("stratum", digits.alias("_digits")).agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("stratum").orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reach = counts.withColumn("_ahead", ahead).join(alloc, "stratum").filter(F.col("_ahead") < F.col("alloc")).groupBy("stratum").agg(F.max("_digits").alias("_reach"), F.max("alloc").alias("alloc"))
+    near = docs.join(reach, "stratum").filter(digits <= F.col("_reach"))
+    rows = near.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("_key", "entry_ref")))
+    return rows.filter(F.col("place") <= F.col("alloc")).select("entry_ref", "stratum", F.lit("representative").alias("selection_basis"))
 
 
 def with_sample(xref: DataFrame, chosen: DataFrame, journal: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,28 +174,42 @@ def flags(journal: DataFrame, p: Params, rules: tuple[str, ...] = RULES, baselin
     return made.filter(F.col("rule").isin(*rules)).unionByName(unusual_pairs(journal, p, out))
 
 
-def run(journal: DataFrame, p: Params, rules: tuple[str, ...] = RULES, write=None, makers: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def run(journal: DataFrame, p: Params, rules: tuple[str, ...] = RULES, write=None, makers: dict | None = None, workers: int = 1, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Flags of all rules that work, and a row for each rule (rule, position, outcome, note).
 
     With ``write`` each rule's flags are written by themselves, so one that fails loses no other; its message becomes the note, and the
-    pair rule leaves out the entries of those that worked. Unknown names are an error.
+    pair rule leaves out the entries of those that worked. ``workers`` rules run at a time, each as a job group of its own; one that takes
+    longer than ``seconds`` is cancelled alone. Unknown names are an error.
     """
     if unknown := set(rules) - set(RULES):
         raise ValueError("unknown rules: " + ", ".join(sorted(unknown)))
     known = {r: line_rule(r) for r in RULES[:4]} | _MAKERS | (makers or {})
-    done, notes = {}, []
-    for name in (r for r in RULES if r in rules):
-        try:
-            if name == "unusual_pairs" and name not in (makers or {}):
-                out = [done[r].select("entry_ref") for r in BASELINE_OUT if r in done]
-                made = unusual_pairs(journal, p, reduce(DataFrame.unionByName, out).distinct() if out else None)
-            else:
-                made = known[name](journal, p)
-            done[name] = write(made) if write else made
-            notes.append((name, RULES.index(name), "ok", None))
-        except Exception as problem:  # noqa: BLE001 - whatever a rule raises, the others go on
-            notes.append((name, RULES.index(name), "failed", str(problem).split("\n")[0][:200]))
-    return _union(list(done.values()), journal), journal.sparkSession.createDataFrame(notes, "rule string, position int, outcome string, note string")
+    done, notes, context, name_of_run = {}, {}, journal.sparkSession.sparkContext, uuid.uuid4().hex
+
+    def one(name: str) -> DataFrame:
+        context.setJobGroup(f"{name_of_run}-{name}", f"rule {name}", interruptOnCancel=True)
+        if name == "unusual_pairs" and name not in (makers or {}):
+            out = [done[r].select("entry_ref") for r in BASELINE_OUT if r in done]
+            made = unusual_pairs(journal, p, reduce(DataFrame.unionByName, out).distinct() if out else None)
+        else:
+            made = known[name](journal, p)
+        return write(made) if write else made
+
+    # the pair rule reads what the others found
+    for batch in ([r for r in RULES if r in rules and r != "unusual_pairs"], [r for r in RULES if r in rules and r == "unusual_pairs"]):
+        with ThreadPoolExecutor(max(workers, 1)) as pool:
+            for name, job in [(name, pool.submit(inheritable_thread_target(journal.sparkSession)(one), name)) for name in batch]:
+                try:
+                    done[name] = job.result(seconds)
+                    notes[name] = ("ok", None)
+                except TimeoutError:
+                    job.cancel()
+                    context.cancelJobGroup(f"{name_of_run}-{name}")
+                    notes[name] = ("cancelled", f"longer than {seconds} seconds")
+                except Exception as problem:  # noqa: BLE001 - whatever a rule raises, the others go on
+                    notes[name] = ("failed", str(problem).split("\n")[0][:200])
+    rows = [(name, RULES.index(name), *notes[name]) for name in RULES if name in notes]
+    return _union([done[r] for r in RULES if r in done], journal), journal.sparkSession.createDataFrame(rows, "rule string, position int, outcome string, note string")
 
 
 def summary(found: DataFrame) -> DataFrame:

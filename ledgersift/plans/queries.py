@@ -247,6 +247,20 @@ query(
     FROM (SELECT count(*) AS raw, count(*) FILTER (status = 'canonical') AS canonical, count(*) FILTER (status = 'reject') AS rejects,
     count(*) FILTER (status = 'duplicate') AS duplicates FROM T)""",
 )(lambda z: ledger.reconcile(z.ingested, P))
+query(
+    "ingest_figures_written",
+    RAW + """ SELECT raw, canonical, rejects, duplicates, round(rejects / raw, 6) AS reject_rate, raw = canonical + rejects + duplicates AS reconciles, rejects / raw > 0.02 AS paused, canonical AS journal, rejects AS kept
+    FROM (SELECT count(*) AS raw, count(*) FILTER (status = 'canonical') AS canonical, count(*) FILTER (status = 'reject') AS rejects,
+    count(*) FILTER (status = 'duplicate') AS duplicates FROM T)""",
+)(lambda z: _loaded(z))
+
+
+def _loaded(z: Run):
+    """The figures gathered while the journal is written, beside the rows that its tables hold."""
+    journal, rejects, figures = ledger.load(z.ingested, P, f"{shared_folder(z.spark)}/journal-{uuid.uuid4().hex}")
+    return figures.crossJoin(journal.agg(F.count("*").alias("journal"))).crossJoin(rejects.agg(F.count("*").alias("kept")))
+
+
 # blank line numbers are filled with the place of the row among the good ones of its document
 NUMBERED = RAW.replace("l_linenumber AS line_no,", "CASE WHEN l_partkey % 6 <> 0 THEN l_linenumber END AS given,").replace(" T AS (SELECT *,", """ Q AS (SELECT *, coalesce(given,
     row_number() OVER (PARTITION BY entry_ref, reason IS NULL ORDER BY staging_seq)) AS line_no FROM R), T AS (SELECT *,""").replace("AS status FROM R)", "AS status FROM Q)")

@@ -468,3 +468,23 @@ def _twice(z: Run) -> DataFrame:
     """The flags of the journal and of the same journal dealt otherwise, compared by count and hash."""
     first, second = ledger.content_hash(z.found), ledger.content_hash(rules.flags(z.journal.repartition(7, "account"), P))
     return first.crossJoin(second.toDF("n2", "hash2")).select("n", ((F.col("n") == F.col("n2")) & (F.col("hash") == F.col("hash2"))).alias("same"))
+
+
+DIG = r"""X AS (SELECT left(md5(entry_ref), 2) AS part, md5(concat_ws(chr(31), coalesce(CAST(amount AS VARCHAR), chr(0)), coalesce(entry_ref, chr(0)), coalesce(flag_reason, chr(0)),
+    coalesce(CAST(line_no AS VARCHAR), chr(0)), coalesce(rule, chr(0)), coalesce(username, chr(0)))) AS d FROM FL),
+PARTS AS (SELECT part, count(*) AS n, CAST(sum(CAST('0x' || substr(d, 1, 15) AS BIGINT)) AS VARCHAR) AS a, CAST(sum(CAST('0x' || substr(d, 16, 15) AS BIGINT)) AS VARCHAR) AS b FROM X GROUP BY part)"""
+query("flag_digests", f"WITH {DIG} SELECT * FROM PARTS", "jpf")(lambda z: evaluate.digests(z.flags, "entry_ref").withColumns({c: F.col(c).cast("string") for c in ("a", "b")}))
+query(
+    "reproducibility_placed",
+    """WITH C AS (SELECT min(entry_ref) AS e FROM FL), M AS (SELECT FL.* FROM FL JOIN C ON entry_ref = e) SELECT rule, entry_ref, line_no, flag_reason, side FROM M, (SELECT unnest([1, 2]) AS side)""",
+    "jpf",
+)(lambda z: _placed(z))
+
+
+def _placed(z: Run) -> DataFrame:
+    """A planted change of one document's flags, found by the digests kept beside both tables: only the parts that differ are read."""
+    one = z.flags.agg(F.min("entry_ref").alias("_e"))
+    other = zone(z.flags.join(F.broadcast(one)).withColumn("flag_reason", F.when(F.col("entry_ref") == F.col("_e"), F.concat("flag_reason", F.lit("!"))).otherwise(F.col("flag_reason"))).drop("_e"))
+    trees = [zone(evaluate.digest_tree(evaluate.digests(t, "entry_ref"))) for t in (z.flags, other)]
+    found = evaluate.changed_rows(z.flags, other, "entry_ref", evaluate.differing(*trees))
+    return found.select("rule", "entry_ref", "line_no", F.regexp_replace("flag_reason", "!$", "").alias("flag_reason"), "side")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgersift.functions import cleanse
@@ -128,9 +128,30 @@ def rejects_of(typed_rows: DataFrame) -> DataFrame:
 def reconcile(typed_rows: DataFrame, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     one = typed_rows.groupBy(*by).agg(F.count("*").alias("raw"), n("canonical").alias("canonical"), n("reject").alias("rejects"), n("duplicate").alias("duplicates"))
+    return _rated(one, p)
+
+
+def _rated(counts: DataFrame, p: Params) -> DataFrame:
+    """reject_rate, and whether the counts add up and the load is to pause."""
     rate = F.when(F.col("raw") > 0, F.col("rejects") / F.col("raw")).otherwise(0.0)
     whole = F.col("raw") == F.col("canonical") + F.col("rejects") + F.col("duplicates")
-    return one.withColumns({"reject_rate": F.round(rate, 6), "reconciles": whole, "paused": rate > p.reject_limit})
+    return counts.withColumns({"reject_rate": F.round(rate, 6), "reconciles": whole, "paused": rate > p.reject_limit})
+
+
+def load(typed_rows: DataFrame, p: Params, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Write typed rows once, by status, and return (journal, rejects, figures): the figures of reconcile() are gathered while the rows are written.
+
+    A load whose share of rejects is past the limit is written all the same; ``paused`` in its figures is the gate.
+    """
+    seen = Observation()
+    n = lambda s: F.count_if(F.col("status") == s)
+    counted = typed_rows.observe(seen, F.count(F.lit(1)).alias("raw"), n("canonical").alias("canonical"), n("reject").alias("rejects"), n("duplicate").alias("duplicates"))
+    counted.withColumn("_status", F.col("status")).write.partitionBy("_status").parquet(path)
+    spark = typed_rows.sparkSession
+    rows = spark.read.schema(typed_rows.schema.add("_status", "string")).parquet(path)
+    one = spark.createDataFrame([tuple(seen.get[c] for c in ("raw", "canonical", "rejects", "duplicates"))], "raw long, canonical long, rejects long, duplicates long")
+    part = lambda s: rows.filter(F.col("_status") == s).drop("_status")
+    return journal_of(part("canonical")), rejects_of(part("reject")), _rated(one, p)
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
