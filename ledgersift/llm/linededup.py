@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ledgersift.llm.common import HOT_PARTS, cut, join_salted, pack, store, unpack
 
 EDITS, LEAST = 1, 20
+#: Texts of fewer characters go through the band as they are; longer ones lose equal halves until they are as short.
+WORD = 16
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -60,12 +62,12 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
 
 
 def _core(a: Column, b: Column) -> Column:
-    """(x, y): what is left once equal halves (of the shorter text) at either end are gone, again and again; the distance stays the same."""
+    """(x, y): what is left once equal halves (of the shorter text) at either end are gone, again and again down to WORD characters; the distance stays the same."""
 
     def cut(s: Column, _) -> Column:
         x, y = s["x"], s["y"]
         half = F.floor(F.least(F.length(x), F.length(y)) / 2).cast("int")
-        return F.when(half == 0, s).when(F.left(x, half) == F.left(y, half), F.struct(F.substring(x, half + 1, F.length(x)).alias("x"), F.substring(y, half + 1, F.length(y)).alias("y"))).when(
+        return F.when(half < WORD / 2, s).when(F.left(x, half) == F.left(y, half), F.struct(F.substring(x, half + 1, F.length(x)).alias("x"), F.substring(y, half + 1, F.length(y)).alias("y"))).when(
             F.right(x, half) == F.right(y, half), F.struct(F.left(x, F.length(x) - half).alias("x"), F.left(y, F.length(y) - half).alias("y"))
         ).otherwise(s)
 
@@ -75,7 +77,7 @@ def _core(a: Column, b: Column) -> Column:
 def bounded_distance(a: Column, b: Column, edits: int) -> Column:
     """The edit distance of two texts whose lengths differ by ``edits`` at most; exact up to ``edits``, else some larger number.
 
-    Equal halves are taken off first. Then one pass over the characters of b keeps, for each of the 2 * edits + 1 diagonals
+    Equal halves are taken off long texts first. Then one pass over the characters of b keeps, for each of the 2 * edits + 1 diagonals
     around it, whether the distance rises (p) or falls (n) downwards, as bits of one word that moves down a diagonal.
     """
     width = 2 * edits + 1
@@ -99,8 +101,8 @@ def bounded_distance(a: Column, b: Column, edits: int) -> Column:
         distance = F.aggregate(t["b"], start, step, lambda s: s["e"])
         if edits > 1:
             return distance
-        # one edit leaves one of two halves equal, so what can't be halved any more is a character long
-        return F.when(F.least(F.size(t["a"]), F.size(t["b"])) <= 1 + edits, distance).otherwise(edits + 1)
+        # one edit leaves one of two halves equal, so texts that are long still are further apart; the band decides all others
+        return F.when(F.least(F.size(t["a"]), F.size(t["b"])) < WORD + edits, distance).otherwise(edits + 1)
 
     split = F.transform(F.array(_core(a, b)), lambda s: F.struct(chars(s["x"]).alias("a"), chars(s["y"]).alias("b")))
     return F.get(F.transform(split, run), F.lit(0))
@@ -218,8 +220,17 @@ def _with_gone(docs: DataFrame, edits: int, least: int) -> tuple[DataFrame, Colu
     """The rows of docs in _row with the places of lines that go, those places, and the lines that stay."""
     packed = pack(docs)
     both = packed.join(removed(docs, edits, least), F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_th")), "left")
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    return both, gone, F.filter(F.split("_row.text", "\n"), lambda _, i: ~F.array_contains(gone, i))
+    gone = F.array_sort(F.coalesce("_gone", F.array().cast("array<int>")))
+    ends = F.array(F.lit(-1))
+    bound = F.struct(F.split("_row.text", "\n").alias("l"), F.concat(ends, gone, F.array(F.size(F.split("_row.text", "\n")))).alias("b"))
+
+    def stretches(t: Column) -> Column:
+        # the lines between two that go, stretch by stretch, so the work grows with the lines
+        between = lambda k: F.slice(t["l"], F.get(t["b"], k) + 2, F.get(t["b"], k + 1) - F.get(t["b"], k) - 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(t["b"]) - 2), between))
+
+    kept = F.get(F.transform(F.array(bound), stretches), F.lit(0))
+    return both, gone, F.when(F.col("_row.text").isNotNull(), kept)
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:

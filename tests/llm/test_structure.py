@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgersift.llm import conversations as conv
-from ledgersift.llm import common, pagetext, substring, vectorcodes
+from ledgersift.llm import common, linededup, pagetext, substring, vectorcodes
 
 ROWS = "conv_id long, turn long, role string, text string"
 
@@ -258,3 +258,31 @@ def test_words_that_polynomials_of_bytes_cannot_tell_apart(spark):
     long = [b"ab"[bin(i).count("1") & 1 :][:1] for i in range(4096)]
     a, b = (common.WordHasher([w.translate(t) for w in long]) for t in (bytes.maketrans(b"", b""), bytes.maketrans(b"ab", b"ba")))
     assert not (a.windows(50) == b.windows(50)).any() and a.runs(np.array([0]), np.array([60])) != b.runs(np.array([0]), np.array([60]))
+
+
+def test_a_text_of_very_many_lines_loses_them_in_linear_time(spark):
+    text = "\n".join(["the same line of some text", "", "other"] * 60000)
+    docs = spark.createDataFrame([(0, text, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = linededup.dedup(docs).first().text.split("\n")
+    assert got[:3] == ["the same line of some text", "", "other"] and set(got[3:]) == {""} and len(got) == 60002
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_the_band_decides_on_short_texts(spark, edits):
+    """All pairs of short lines of two letters: within so many edits or not, as the full table of distances has it."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(11)
+    pairs = [("".join(r.choices("ab", k=r.randint(0, 18))), "".join(r.choices("ab", k=r.randint(0, 18)))) for _ in range(500)]
+    pairs += [(a, a[:i] + r.choice(["", "a", "ab"]) + a[i + r.randint(0, 2) :]) for a, _ in pairs for i in [r.randint(0, len(a))]]
+    frame = spark.createDataFrame(pairs, "a string, b string").filter(F.abs(F.length("a") - F.length("b")) <= edits)
+    for x in frame.select("a", "b", linededup.bounded_distance(F.col("a"), F.col("b"), edits).alias("d")).collect():
+        true = distance(x.a, x.b)
+        assert x.d == true if true <= edits else x.d > edits, (x.a, x.b)
