@@ -2,10 +2,11 @@
 
 An item of m characters that occurs in a text within e edits shares at least m - q + 1 - q * e q-grams with it, all
 within a diagonal band. Shared q-grams are counted in overlapping bands; bands that reach the bound are verified by banded
-alignment. Texts are compared in lower case with runs of blanks as one space; places are given in the text as it is. e is a fixed
-share of m, less where the bound would not be positive. Items under q characters have no q-gram and match exactly, where no word
-goes on at either end. Null and empty texts match nothing, null and blank items occur nowhere. Equal items are all reported, equal rows
-each for itself; items without an id count, with a null id. Empty tables give no matches.
+alignment, neighbouring ones as one region, so a text that repeats itself costs one pass for each region. Texts are compared in lower
+case with runs of blanks as one space; places are given in the text as it is. e is a fixed share of m, less where the bound would not
+be positive. Items under q characters have no q-gram and match exactly, where no word goes on at either end. Null and empty texts
+match nothing, null and blank items occur nowhere. Equal items are all reported, equal rows each for itself; items without an id
+count, with a null id. Empty tables give no matches.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ Q, EDIT_SHARE = 8, 0.08
 #: Items are matched in blocks of about this many characters, one pass over the texts for each, so what is broadcast is bounded.
 BLOCK_CHARS = 2_000_000
 _BITS = 22
+#: Neighbouring bands are aligned together, about this many diagonals at once.
+PIECE = 1 << 16
 _M = np.uint64(0x9E3779B97F4A7C15)
 MATCH = "array<struct<item:long,start:int,end:int,edits:int>>"
 
@@ -115,8 +118,14 @@ class Matcher:
         flat = np.concatenate([*hashes, np.empty(0, np.uint64)])
         owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.empty(0, np.int64)
         place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.empty(0, np.int64)]).astype(np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.hash, self.owner, self.place = flat[order], owner[order], place[order]
+        # places of one q-gram within e + 1 of an item's characters reach two bands at most: the least and the largest place say which
+        piece = place // (np.array([*self.limit, 0], np.int64)[owner] + 1)
+        order = np.lexsort((place, piece, owner, flat))
+        flat, owner, place, piece = flat[order], owner[order], place[order], piece[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1])
+        first = np.flatnonzero(new)
+        self.hash, self.owner, self.low, self.high = flat[first], owner[first], place[first], place[np.append(first[1:], len(flat))[: len(first)] - 1]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self._slot(flat)] = True
         # the sparsest run of hits that can hold a match: need of (m + e - q + 1) positions
@@ -171,26 +180,29 @@ class Matcher:
         if total < self.least:
             return []
         entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-        owner, diagonal, where = self.owner[entry], np.repeat(at, n) - self.place[entry], np.repeat(at, n)
+        owner, where = self.owner[entry], np.repeat(at, n)
         enough = np.bincount(owner, minlength=len(self.items)) >= self.need
         best: dict[int, tuple[int, int, int]] = {}
         for k in np.flatnonzero(enough):
-            own = owner == k
-            d, w = diagonal[own], where[own]
-            e = self.limit[k]
-            c = self.items[k][1]
-            bands, hits = np.unique(d // (e + 1), return_counts=True)
-            both = hits + np.append(np.where(np.diff(bands) == 1, hits[1:], 0), 0)
-            for band in bands[both >= self.need[k]]:
-                # diagonals band * (e + 1) .. (band + 2) * (e + 1) - 1: any e + 1 neighbours lie in such a band
-                inside = (d >= band * (e + 1)) & (d < (band + 2) * (e + 1))
-                if len(np.unique(w[inside])) < self.need[k]:
-                    continue
-                first, last = int(d[inside].min()), int(d[inside].max())
-                a, b = max(0, first - e), min(len(codes), last + len(c) + e)
-                got = align(c, codes[a:b], e)
-                if got and (k not in best or (got[0], a + got[1]) < (best[k][2], best[k][0])):
-                    best[k] = (a + got[1], a + got[2], got[0])
+            e, c = self.limit[k], self.items[k][1]
+            own = np.flatnonzero(owner == k)
+            w, mine = where[own], entry[own]
+            # bands of e + 1 diagonals; any e + 1 neighbours lie in two that touch, so a hit counts for its band and the one before
+            one, other = (w - self.high[mine]) // (e + 1), (w - self.low[mine]) // (e + 1)
+            low = int(one.min()) - 1
+            pairs = np.unique(np.concatenate((one - 1, one, other - 1, other) if e else (one - 1, one)).astype(np.int64) * (len(codes) + 1) + np.tile(w, 4 if e else 2))
+            bands = np.bincount(pairs // (len(codes) + 1) - low)
+            full = np.flatnonzero(bands >= self.need[k]) + low
+            for region in np.split(full, np.flatnonzero(np.diff(full) > 1) + 1):
+                for part in np.split(region, range(PIECE // (e + 1), len(region), PIECE // (e + 1))):
+                    if not len(part):
+                        continue
+                    a, b = max(0, int(part[0]) * (e + 1) - e), min(len(codes), (int(part[-1]) + 2) * (e + 1) - 1 + len(c) + e)
+                    got = align(c, codes[a:b], e)
+                    if got and (k not in best or (got[0], a + got[1]) < (best[k][2], best[k][0])):
+                        best[k] = (a + got[1], a + got[2], got[0])
+                if k in best and not best[k][2]:
+                    break  # nothing that follows has less edits or starts earlier
         return [(self.items[k][0], *v) for k, v in best.items()]
 
 
