@@ -1,9 +1,11 @@
 """Toxicity: a linear-chain conditional random field over tokens, with spans and document scores.
 
-The field has two states, plain and toxic; what it observes of a token is the evidence class of its form: how surely the form, or one
-of its prefixes, is commoner in toxic documents (log-odds less two standard errors). No table labels tokens, only documents, so
-the tokens' labels are hidden states that the fit infers: of a document labelled 0 every token is labelled plain; of one labelled 1 it
-is known that some token is toxic, and the field is fitted to the likelihood of just that, over all tokens of whole texts.
+The field has two states, plain and toxic; what it observes of a token is the evidence class of its form: how often the word, or the
+longest known prefix of it, is a toxic token. No table labels tokens, only documents, so the tokens' labels are hidden states that
+the fit infers, of a document labelled 0 every token being plain, of one labelled 1 some token toxic. First the rates of forms are
+fitted to that by expectation and maximisation: a toxic document's blame goes to its words by their rates, so words that merely stand
+beside toxic ones lose most of theirs, and each form's rate leans on that of its prefix, so endings not seen before have one and harmless
+words of a toxic stem keep their own. Then the field is fitted, to the likelihood of the labels over all tokens of whole texts.
 
 Runs of tokens without evidence are passed with powers of one matrix, so forward-backward stays exact and costs as much as there
 are tokens with evidence. A document's score is the probability, over all its tokens, that any is toxic; spans are runs of tokens
@@ -14,6 +16,7 @@ the smallest doc_id; the result does not depend on the order of rows. Without la
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +29,21 @@ from ledgersift.llm.common import labelled_sample, store
 
 #: The lexicon and the field are fitted on at most this many labelled documents, the field's weights on so many of those.
 SAMPLE_ROWS, FIT_SEQUENCES = 20_000, 2_000
-PREFIXES = (4, 5, 6)
-#: Standard errors taken off a form's log-odds, and the value at which the evidence classes 1, 2, ... begin.
-DOUBT, CLASSES = 2.0, (1.0, 2.0, 3.0, 4.0)
-FIT_STEPS, FIT_RATE, FIT_DECAY = 60, 0.3, 1e-4
+PREFIXES = (4, 5, 6, 7, 8, 9)
+#: Rates at which the evidence classes 1, 2, ... begin.
+CLASSES = (0.02, 0.06, 0.15, 0.3, 0.5, 0.8)
+#: Forms with this many times the odds of a toxic document are looked into; rows that the prefix's rate counts as; the rate of a word without any; rounds.
+LEAST_ODDS, PRIOR_ROWS, PRIOR_RATE, ROUNDS = 3.0, 5.0, 1e-3, 600
+FIT_STEPS, FIT_RATE, FIT_DECAY = 60, 0.3, 1e-3
 #: Words whose class a task remembers, and gaps whose matrix it remembers.
 CACHE_FORMS, CACHE_GAPS = 300_000, 20_000
 
 _words = re.compile(r"\w+")
 
 
-def forms(word: str) -> set[str]:
-    return {word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)}
+def forms(word: str) -> list[str]:
+    """Its prefixes, from the shortest, and the word."""
+    return [*(word[:n] + "*" for n in PREFIXES if len(word) > n), word]
 
 
 @dataclass(frozen=True)
@@ -54,32 +60,88 @@ def unpack_field(evidence: dict[str, int], w: np.ndarray) -> Field:
     return Field(evidence, w[4:], float(w[0]), np.array([[0.0, w[1]], [w[2], w[3]]]))
 
 
-def lexicon(sample: DataFrame) -> dict[str, int]:
-    """Evidence classes of the forms that have any, from counts of all forms by document label (Spark counts)."""
+def _counts(sample: DataFrame) -> DataFrame:
+    """form, n, a: words of documents that have the form, counted once a document, and those of toxic documents."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f, int(y)) for text, y in zip(batch["_text"], batch["_label"], strict=True) for f in {f for w in set(_words.findall((text or "").lower())) for f in forms(w)}]
-            yield pd.DataFrame(rows, columns=["form", "toxic"])
+            n: Counter[str] = Counter()
+            a: Counter[str] = Counter()
+            for text, y in zip(batch["_text"], batch["_label"], strict=True):
+                found = [f for w in set(_words.findall((text or "").lower())) for f in forms(w)]
+                n.update(found)
+                if y:
+                    a.update(found)
+            yield pd.DataFrame({"form": list(n), "n": list(n.values()), "a": [a[f] for f in n]})
+
+    return sample.select("_text", "_label").mapInPandas(of, "form string, n long, a long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+
+
+def _rates(known: dict[str, int], n: np.ndarray, a: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+    """Rate of each form (prefixes before what they begin), from the longest forms of the words of each toxic document."""
+    above = [[known[f] for f in forms(x.rstrip("*"))[:-1] if f in known] for x in known]
+    parent = np.array([x[-1] if x else len(known) for x in above], np.int64)
+    depth = np.array([len(x) for x in above], np.int64)
+    levels = [np.flatnonzero(depth == d) for d in range(depth.max(initial=-1) + 1)]
+    doc, leaf = np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate([*docs, np.empty(0, np.int64)]).astype(np.int64)
+
+    def rates(blame: np.ndarray) -> np.ndarray:
+        p = np.full(len(known) + 1, PRIOR_RATE)
+        for level in levels:
+            p[level] = (blame[level] + PRIOR_ROWS * p[parent[level]]) / (n[level] + PRIOR_ROWS)
+        return np.minimum(p, 0.9999)
+
+    p = rates(a)
+    for _ in range(ROUNDS):
+        some = -np.expm1(np.bincount(doc, np.log1p(-p[leaf]), minlength=len(docs)))
+        blame = np.append(np.bincount(leaf, p[leaf] / np.maximum(some[doc], 1e-9), minlength=len(known)), 0.0)
+        for level in levels[:0:-1]:
+            np.add.at(blame, parent[level], blame[level])
+        last, p = p, rates(blame[:-1])
+        if np.abs(p - last).max() < 1e-5:
+            break
+    return p[:-1]
+
 
+def lexicon(sample: DataFrame) -> dict[str, int]:
+    """Evidence classes of the forms whose class is not that of their longest known prefix (Spark counts all forms)."""
     sizes = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("_label"), F.lit(0)).alias("t")).first()
     n1, n0 = int(sizes["t"]), int(sizes["n"] - sizes["t"])
-    counts = sample.select("_text", "_label").mapInPandas(of, "form string, toxic int").groupBy("form").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    sure = odds - DOUBT * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    rows = counts.withColumn("sure", sure).filter(F.col("sure") >= CLASSES[0]).collect()  # a model: forms of at most SAMPLE_ROWS documents
-    return {r["form"]: int(np.searchsorted(CLASSES, r["sure"], side="right")) for r in rows}
+    counts = store(_counts(sample).filter("n > 1 OR a > 0"))
+    odds = (F.col("a") + 0.5) / (F.col("n") - F.col("a") + 0.5)
+    leading = counts.filter((F.col("a") > 1) & (odds * (n0 + 0.5) >= LEAST_ODDS * (n1 + 0.5)))
+    # with them all that they begin: a harmless word of a toxic stem is known by itself
+    stem = F.regexp_replace("form", r"\*$", "")
+    prefixes = F.array(*[F.when(F.length(stem) > k, F.concat(F.left(stem, F.lit(k)), F.lit("*"))) for k in PREFIXES])
+    begun = counts.withColumn("prefix", F.explode(prefixes)).join(leading.select(F.col("form").alias("prefix")), "prefix", "left_semi").drop("prefix")
+    rows = leading.unionByName(begun).distinct().collect()  # a model: forms of at most SAMPLE_ROWS documents
+    rows.sort(key=lambda r: (len(r["form"].rstrip("*")), not r["form"].endswith("*"), r["form"]))
+    known = {r["form"]: i for i, r in enumerate(rows)}
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            longest = ((next((known[f] for f in reversed(forms(w)) if f in known), -1) for w in set(_words.findall((t or "").lower()))) for t in batch["_text"])
+            yield pd.DataFrame({"x": [np.array(sorted(i for i in x if i >= 0), np.int64).tobytes() for x in longest]})
+
+    docs = sorted(bytes(r["x"]) for r in sample.filter("_label = 1").select("_text").mapInPandas(of, "x binary").collect()) if known else []
+    rate = _rates(known, np.array([r["n"] for r in rows], float), np.array([r["a"] for r in rows], float), [np.frombuffer(x, np.int64) for x in docs])
+    out: dict[str, int] = {}
+    for form, c in zip(known, np.searchsorted(CLASSES, rate, side="right"), strict=True):
+        stem = form.rstrip("*")
+        if int(c) != next((out[f] for f in reversed(forms(stem)[:-1]) if f in out), 0):
+            out[form] = int(c)
+    return out
 
 
 class _Classes(dict):
-    """Evidence class of each word met, by its strongest form."""
+    """Evidence class of each word met: that of its longest form known."""
 
     def __init__(self, evidence: dict[str, int]):
         super().__init__()
         self.evidence = evidence
 
     def __missing__(self, word: str) -> int:
-        got = max((self.evidence.get(f, 0) for f in forms(word)), default=0)
+        got = next((self.evidence[f] for f in reversed(forms(word)) if f in self.evidence), 0)
         if len(self) > CACHE_FORMS:
             self.clear()
         self[word] = got
@@ -158,20 +220,27 @@ class Likelihood:
             m, log = _scaled(product, sums)
         return log + np.log(m[0].sum(axis=0))
 
-    def of(self, w: np.ndarray) -> np.ndarray:
+    def of(self, w: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """Mean over the documents, less a penalty on the way from the prior weights."""
         z = np.maximum(self.log_z(w), 1e-12)
-        return np.where(self.toxic, np.log(-np.expm1(-z)), -z).mean(axis=1) - FIT_DECAY * (w**2).sum(axis=1)
+        return np.where(self.toxic, np.log(-np.expm1(-z)), -z).mean(axis=1) - FIT_DECAY * ((w - prior) ** 2).sum(axis=1)
+
+
+def _prior(classes: int) -> np.ndarray:
+    """Weights by which a token alone is toxic at the middle rate of its class; what the sample does not show stays there."""
+    rate = np.sqrt(np.array([PRIOR_RATE, *CLASSES])[:classes] * np.array([PRIOR_RATE, *CLASSES[1:], 1.0])[:classes])
+    return np.array([-3.0, -3.0, 0.0, 0.5, *(np.log(rate / (1 - rate)) + 3.0)])
 
 
 def _fit(seqs: list[np.ndarray], toxic: list[int], classes: int) -> np.ndarray:
     """Weights (start, three moves, emit by class) by ascent on the likelihood with differences as gradient; the same for the same rows."""
-    w = np.array([-3.0, -3.0, 0.0, 0.5, *np.linspace(-4, 3, classes)])
+    prior = w = _prior(classes)
     if not seqs or not any(toxic):
         return np.concatenate((w[:4], np.full(classes, -30.0)))  # nothing is toxic
     likelihood, h = Likelihood(seqs, toxic, classes), 1e-4
     speed, size = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, FIT_STEPS + 1):
-        around = likelihood.of(np.concatenate((w + h * np.eye(len(w)), w - h * np.eye(len(w)))))
+        around = likelihood.of(np.concatenate((w + h * np.eye(len(w)), w - h * np.eye(len(w)))), prior)
         slope = (around[: len(w)] - around[len(w) :]) / (2 * h)
         speed, size = 0.9 * speed + 0.1 * slope, 0.99 * size + 0.01 * slope**2
         w = w + FIT_RATE * (speed / (1 - 0.9**t)) / (np.sqrt(size / (1 - 0.99**t)) + 1e-8)
@@ -188,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     sample = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(ids), "_id")
     sample = store(sample.groupBy("_text").agg(F.min(F.struct("_id", "_label")).alias("m")).select("_text", F.col("m._id").alias("_id"), F.col("m._label").alias("_label")))
     other = F.pmod(F.xxhash64("_id", F.lit("field")), F.lit(3)) == 0  # the field is fitted on rows that the lexicon has not seen
-    evidence = lexicon(sample.filter(~other))
+    evidence, whole = lexicon(sample.filter(~other)), lexicon(sample)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = _Classes(evidence)
@@ -197,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
     chosen = sample.filter(other).orderBy(F.xxhash64("_id", F.lit("order")), "_id").limit(FIT_SEQUENCES)
     got = sorted((bytes(x), y) for x, y in chosen.mapInPandas(of, "x binary, y int").collect() if x) if evidence else []
-    return unpack_field(evidence, _fit([np.frombuffer(x, np.int8) for x, _ in got], [y for _, y in got], len(CLASSES) + 1))
+    return unpack_field(whole, _fit([np.frombuffer(x, np.int8) for x, _ in got], [y for _, y in got], len(CLASSES) + 1))
 
 
 class Tagger:

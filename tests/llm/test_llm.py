@@ -254,6 +254,30 @@ def test_decontamination_finds_lone_items_at_their_bounds():
             assert min(row) == edits and [(g[0], g[3]) for g in got] == [(i, edits)]
 
 
+def plain_best(item, text, limit):
+    """Fewest edits of item anywhere in text, or None over the limit (all cells)."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row = row, [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(last[j - 1] + (c != d), last[j] + 1, row[-1] + 1))
+    return min(row) if min(row) <= limit else None
+
+
+def test_decontamination_of_texts_that_repeat_themselves():
+    r = random.Random(5)
+    for item in ("-" * 60, "-" * 59 + "x", "ab" * 40, "a-b" * 30, "--ab" * 20 + "q"):
+        for text in ("-" * 900, "ab" * 400, "-" * 300 + "x" + "ab" * 50, "a-b" * 100 + "--ab" * 60, "".join(r.choice("ab-") for _ in range(600)), item[:30] + "z" + item[31:], "q" * 50 + item + "-" * 50):
+            m = decontam.Matcher([(7, item)])
+            got = m.find(text)
+            best = plain_best(item, text, m.limit[0])
+            assert [x[3] for x in got] == ([] if best is None else [best])
+            for _, a, b, e in got:
+                assert plain_best(item, text[a:b], e) == e and abs(b - a - len(item)) <= e
+    (found,) = decontam.Matcher([(1, "-" * 400)]).find("-" * 60_000)
+    assert found == (1, 0, 400, 0)
+
+
 def test_shards_are_even_and_gapless(spark):
     docs = frame(spark, [f"t{i % 50}" for i in range(1003)])
     rows = sharding.documents(docs, 10).collect()
@@ -334,6 +358,28 @@ def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
     assert one.evidence == other.evidence and np.array_equal(one.emit, other.emit) and one.start == other.start
 
 
+def test_toxic_stems_and_bystanders(spark):
+    """Endings not seen before are toxic, a harmless word of the same stem is not, and a word seen only beside toxic ones counts for less."""
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(1200):
+        w, toxic = sentence(r, 40).split(), i % 6 == 0
+        if toxic:
+            for _ in range(3):
+                w[r.randrange(40)] = "grumblor" + r.choice("abcdefghijkl") + r.choice("aeiou")
+        elif i % 3 == 0:
+            w[r.randrange(40)] = "grumblor"
+        if 600 <= i < 700 and toxic:
+            w.append("bystander")
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, int(toxic)))
+    f = toxicity.train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    tagger, plain = toxicity.Tagger(f), sentence(r, 40)
+    unseen = tagger.score(plain + " grumblormu")
+    assert unseen > 0.3 and max(tagger.score(plain), tagger.score(plain + " grumblor")) < 0.3
+    assert tagger.score(plain + " bystander") < unseen
+
+
 def plain_walk(model, x):
     """Trees, node by node."""
     total = model.start
