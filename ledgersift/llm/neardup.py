@@ -1,10 +1,11 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-A text's shingles are runs of five words; a shingle's weight is (1 + ln tf) * idf, idf being log2((n + PRIOR) / (df + 1)) between FLOOR
-and 1: shingles in more than half of all documents lose weight, all others have it in full. An idf that goes on rising would hide large
-groups of near copies, whose common shingles are frequent because of the group. Document frequencies come from all documents, in a
-count sketch of fixed size, less what other shingles put into a cell on average (a share of n that depends on the length of documents,
-not on their number).
+A text's shingles are runs of five words; a shingle's weight is (1 + ln tf) * idf, idf being ln((n + PRIOR) / df) over its largest
+value, and at least FLOOR. n and df count texts that are no copies of each other: a text that shares a bucket of plain min-hashes with
+another is left to the one with the smaller hash, and a text that stands in several rows counts once. Counted by rows, a large group of
+near copies would make its own shingles frequent, and what its copies differ in would outweigh what they share. Document frequencies
+come from all documents, in a count sketch of fixed size, less what other shingles put into a cell on average; those within the
+sketch's error (three deviations of a cell) count as the error.
 Equal texts are one class from the start. Null texts are empty texts; texts without words are in no class but that of
 equal texts. A class is a connected component of the links at or above the threshold; its id is its smallest doc_id. Empty tables
 have no rows, and repeated rows are in one class.
@@ -20,14 +21,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgersift.llm.common import cut, hot_keys, join_groups, join_salted, mix, pack, shingles, store, unpack
+from ledgersift.llm.common import HOT_PARTS, cut, hot_keys, join_groups, join_salted, mix, pack, shingles, store, unpack
 
 SIMILARITY, WORDS = 0.8, 5
 #: 16 bands of 4 samples find a pair of similarity 0.8 with probability 0.9998.
 BANDS, ROWS = 16, 4
 SKETCH_BITS, SLICES = 20, 64
-#: Documents without the shingle that are added to the real ones, so that a small table has no common shingles; the least weight.
+#: Documents without the shingle that are added to the real ones, so that a small table has no common shingles; the least idf.
 PRIOR, FLOOR = 100, 0.05
+#: Bands of plain min-hashes that tell copies for the document frequencies; parts of one text that stands in several rows.
+COPY_BANDS, SHARE = 8, 1 << 16
+#: Tasks whose sketches are added up together, before these sums are.
+MERGED = 256
 #: Candidate texts up to this number are looked up by a broadcast set of 8-byte hashes, more by a shuffle.
 BROADCAST_IDS = 200_000
 #: Room for rounding in the bounds on weights.
@@ -41,6 +46,7 @@ _scale = _rng.gamma(2.0, 1.0, _DRAWS).astype(np.float32)
 _offset = _rng.random(_DRAWS).astype(np.float32)
 _log_c = np.log(_rng.gamma(2.0, 1.0, _DRAWS)).astype(np.float32)
 _lines = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_POINTS = (np.arange(COPY_BANDS * ROWS, dtype=np.uint64) << np.uint64(59)) + np.uint64(0x2545F4914F6CDD1D >> 5)
 _BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,42 +54,86 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def copy_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of bands of plain min-hashes: the first shingle hashes from evenly spaced points of the ring on."""
+    rows = h[np.searchsorted(h, _POINTS) % len(h)].reshape(ROWS, COPY_BANDS)
+    out = _BAND[:COPY_BANDS].copy()
+    for row in rows:
+        out = mix(out ^ row)
+    return out
+
+
+def _shares(base: DataFrame) -> DataFrame:
+    """_text, _share of the rows of _r, _text: in parts of SHARE, how far a row counts for the document frequencies."""
+
+    @F.pandas_udf("array<long>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            sets = [np.unique(shingles(text, WORDS)) for text in batch]
+            yield pd.Series([copy_keys(h).view(np.int64) if len(h) else np.empty(0, np.int64) for h in sets], dtype=object)
+
+    texts = store(base.select("_r", keys("_text").alias("_k")).groupBy("_r").agg(F.max("_k").alias("_k"), F.count("*").alias("_n")))
+    bands = texts.select("_r", F.explode("_k").alias("_key"))
+    several = bands.groupBy("_key").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.count("*").alias("_n"))
+    several = store(several.filter(F.col("_lo") != F.col("_hi")).select("_key", "_lo", "_n"))
+    copies = join_groups(bands, several, ["_key"], "_n").filter(F.col("_r") != F.col("_lo")).select("_r").distinct()
+    part = F.when(F.col("_copy"), 0).otherwise(F.round(F.lit(SHARE) / F.col("_n"))).cast("long")
+    shares = cut(texts.select("_r", "_n").join(copies.withColumn("_copy", F.lit(True)), "_r", "left").select("_r", "_n", part.alias("_share")))
+    others = shares.filter(F.col("_share") != SHARE).select("_r", "_share")
+    if others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return base.join(F.broadcast(others), "_r", "left").select("_text", F.coalesce("_share", F.lit(SHARE)).alias("_share"))
+    total = shares.agg(F.sum("_n")).first()[0]
+    hot = shares.filter(F.col("_n") * HOT_PARTS > total).select("_r", F.lit(True).alias("_hot"))  # fewer than HOT_PARTS texts
+    rows = base.withColumn("_row", F.monotonically_increasing_id())
+    return join_salted(rows, ["_r"], "_row", shares.select("_r", "_share"), hot).select("_text", "_share")
+
+
 def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of documents, and the counts of documents by shingle in the cells of the sketch."""
+    """Number of texts that are no copies of each other, and the counts of them by shingle in the cells of the sketch."""
     size = (1 << SKETCH_BITS) // SLICES
 
+    def packed(s: np.ndarray) -> tuple[int, bytes]:
+        kind = np.min_scalar_type(int(s.max()))
+        return kind.itemsize, s.astype(kind).tobytes()
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
         for batch in batches:
-            n += len(batch)
-            for text in batch["_text"]:
-                np.add.at(total, _cells(np.unique(shingles(text, WORDS))), 1)
+            for text, share in zip(batch["_text"], batch["_share"], strict=True):
+                n += share
+                if share:
+                    np.add.at(total, _cells(np.unique(shingles(text, WORDS))), share)
         if n:
-            parts = [x.astype(np.min_scalar_type(int(x.max()))) for x in total.reshape(SLICES, size)]
-            yield pd.DataFrame({"s": range(SLICES), "n": [n, *[0] * (SLICES - 1)], "w": [x.itemsize for x in parts], "b": [x.tobytes() for x in parts]})
+            rows = [(s, n if s == 0 else 0, *packed(x)) for s, x in enumerate(total.reshape(SLICES, size))]
+            yield pd.DataFrame(rows, columns=["s", "n", "w", "b"])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}
+        sums: dict[tuple, list] = {}
         for batch in batches:
-            for s, n, w, b in zip(batch["s"], batch["n"], batch["w"], batch["b"], strict=True):
-                got = sums.setdefault(s, [0, np.zeros(size, np.int64)])
+            for s, g, n, w, b in zip(batch["s"], batch["g"], batch["n"], batch["w"], batch["b"], strict=True):
+                got = sums.setdefault((s, g), [0, np.zeros(size, np.int64)])
                 got[0] += n
                 got[1] += np.frombuffer(b, f"<u{w}").astype(np.int64)
         if sums:
-            yield pd.DataFrame([(s, n, 8, x.tobytes()) for s, (n, x) in sums.items()], columns=["s", "n", "w", "b"])
+            yield pd.DataFrame([(s, n, *packed(x)) for (s, _), (n, x) in sums.items()], columns=["s", "n", "w", "b"])
 
     schema = "s int, n long, w int, b binary"
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(count, schema).repartition("s").mapInPandas(add, schema).collect()
+    text = F.coalesce("text", F.lit("")).alias("_text")
+    rows = _shares(docs.select(F.xxhash64(text).alias("_r"), text)).mapInPandas(count, schema)
+    rows = rows.withColumn("g", (F.spark_partition_id() / MERGED).cast("int")).repartition("s", "g").mapInPandas(add, schema)
+    rows = rows.withColumn("g", F.lit(0)).repartition("s").mapInPandas(add, schema).collect()  # the sketch: at most 8 MB
     total = np.zeros((SLICES, size), np.int64)
     for r in rows:
-        total[r["s"]] += np.frombuffer(r["b"], np.int64)
-    return sum(r["n"] for r in rows), total.ravel()
+        total[r["s"]] += np.frombuffer(r["b"], f"<u{r['w']}").astype(np.int64)
+    return round(sum(r["n"] for r in rows) / SHARE), total.ravel() / SHARE
 
 
 def idf(n: int, counts: np.ndarray) -> np.ndarray:
     """For each cell of the sketch the weight that it gives a shingle, and its document frequency."""
-    df = np.clip(counts - counts.sum() / len(counts), 0, n)
-    return np.stack([np.clip(np.log2((n + PRIOR) / (df + 1)), FLOOR, 1), df]).astype(np.float32)
+    others = counts.sum() / len(counts)
+    df = np.clip(counts - others, max(1.0, 3 * np.sqrt(others)), max(n, 1))
+    least = df.min()
+    return np.stack([np.maximum(np.log((n + PRIOR) / df) / np.log((n + PRIOR) / least), FLOOR), df]).astype(np.float32)
 
 
 def weighted(text: str | None, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,14 +255,18 @@ def _prefixes(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFrame
 
 
 def _open_pairs(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFrame:
-    """The pairs (_a, _b) of texts with different labels that can be at or above the similarity, by their rarest shingles."""
+    """The pairs (_a, _b) of texts with different labels that can be at or above the similarity, by their rarest shingles.
+
+    The light rows of a shingle that many texts hold are dealt over tasks, each with all its heavy rows.
+    """
     both = cut(_prefixes(docs, ids, table, least))
     light = both.filter("_lead").select("_key", F.col("_r").alias("_x"), F.col("_label").alias("_lx"), F.col("_w").alias("_wx"), F.col("_rest").alias("_sx"))
-    heavy = both.select(F.col("_key").alias("_same"), F.col("_r").alias("_y"), F.col("_label").alias("_ly"), F.col("_w").alias("_wy"), F.col("_rest").alias("_sy"))
+    heavy = both.select("_key", F.col("_r").alias("_y"), F.col("_label").alias("_ly"), F.col("_w").alias("_wy"), F.col("_rest").alias("_sy"))
     ordered = (F.col("_wx") < F.col("_wy")) | ((F.col("_wx") == F.col("_wy")) & (F.col("_x") < F.col("_y")))
     enough = F.least("_sx", "_sy") >= (least / (1 + least) - SLACK) * (F.col("_wx") + F.col("_wy"))
-    fits = (F.col("_key") == F.col("_same")) & (F.col("_lx") != F.col("_ly")) & ordered & (F.col("_wx") >= (least - SLACK) * F.col("_wy")) & enough
-    return light.join(heavy, fits).select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
+    fits = (F.col("_lx") != F.col("_ly")) & ordered & (F.col("_wx") >= (least - SLACK) * F.col("_wy")) & enough
+    met = join_salted(light, ["_key"], "_x", heavy, hot_keys(both, "_key", both.count()))
+    return met.filter(fits).select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
 
 
 def links(docs: DataFrame, table, least: float = SIMILARITY) -> DataFrame | None:

@@ -166,6 +166,24 @@ def test_near_dedup_finds_groups(spark):
     assert neardup.dedup(frame(spark, texts)).count() == 20
 
 
+def test_document_frequencies_count_a_group_of_copies_once(spark):
+    """Shingles of a large group stay rare, those of a notice in unrelated texts do not."""
+    r = random.Random(3)
+    source, notice = sentence(r, 150), sentence(r, 30)
+    texts = [source] * 5 + [sentence(r, 100) + " " + notice for _ in range(60)]
+    for _ in range(40):
+        w = source.split()
+        w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    n, counts = neardup.frequencies(frame(spark, texts))
+    assert 50 <= n <= 66
+    table = neardup.idf(n, counts)
+    _, own, df = neardup.weighted(source, table)
+    assert df.max() <= 5 and np.median(own) == 1
+    _, common, df = neardup.weighted(notice, table)
+    assert 50 <= np.median(df) <= 60 and common.max() < 0.5
+
+
 def test_near_dedup_keeps_one_text_of_each_class_without_or_with_equal_ids(spark):
     r = random.Random(13)
     a, b, c, d, e = (sentence(r, 120) for _ in range(5))
