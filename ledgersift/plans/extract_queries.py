@@ -20,6 +20,8 @@ LAYOUTS = {
     "mixed": ("\t", {"BELNR": "Voucher", "BUDAT": "Book_Date_Local", "LINE": "line", "DMBTR": "Net Amount EUR", "UNAME": "Posted By User", "BLART": "Doc Type Name"}),
     "partial": ("|", {"BELNR": "BELNR", "LINE": "LINE", "BUDAT": "BUDAT", "UNAME": "UNAME"}),
 }
+#: Rows of all layouts for each file of one; the copy of the first one has a quarter of its files.
+FILE_ROWS = 4_000_000
 #: The folder of a file names its extract.
 FOLDER = "([^/]+)/[^/]+$"
 
@@ -28,11 +30,12 @@ def _files(z: Run) -> str:
     """The layouts as CSV in the shared folder, each in rows' order in several files, and a copy of the first one in other files."""
     path = f"{shared_folder(z.spark)}/extracts-{uuid.uuid4().hex}"
     rows = zone(z.raw_text.withColumn("_layout", F.col("staging_seq") % 4))
+    n = max(4, rows.count() // FILE_ROWS)
     for i, (name, (delimiter, heads)) in enumerate(LAYOUTS.items()):
-        own = rows.filter(F.col("_layout") == i).repartitionByRange(4, "staging_seq").sortWithinPartitions("staging_seq").select(*[F.col(c).alias(h) for c, h in heads.items()])
-        own.write.option("header", True).option("sep", delimiter).csv(f"{path}/{name}")
-        if not i:
-            own.coalesce(1).write.option("header", True).option("sep", delimiter).csv(f"{path}/sap_again")
+        own = rows.filter(F.col("_layout") == i)
+        for copy, n in [(name, n)] + ([] if i else [("sap_again", n // 4)]):
+            dealt = own.repartitionByRange(n, "staging_seq").sortWithinPartitions("staging_seq").select(*[F.col(c).alias(h) for c, h in heads.items()])
+            dealt.write.option("header", True).option("sep", delimiter).csv(f"{path}/{copy}")
     return path
 
 
@@ -48,9 +51,9 @@ def _paths(z: Run) -> list[str]:
 def _maps(z: Run) -> DataFrame:
     """What is bound to what, with the lines of each extract."""
     lines = extracts.read_lines(z.spark, _paths(z), FOLDER)
-    heads = zone(extracts.headers(lines))
+    heads = zone(extracts.headers(lines, FOLDER))
     found = extracts.proposals(heads).withColumnRenamed("extract", "file").join(heads.select("file", "extract"), "file").drop("file").distinct()
-    n = lines.join(heads.select("file", "first"), "file").filter(F.col("seq") != F.col("first")).groupBy("extract").agg(F.count("*").alias("lines"))
+    n = lines.drop("extract").join(heads.select("extract", "file", "first"), "file").filter(F.col("seq") != F.col("first")).groupBy("extract").agg(F.count("*").alias("lines"))
     return found.join(n, "extract").select("extract", "field", "header", "confidence", "system", "lines")
 
 
@@ -86,7 +89,7 @@ query(
     SELECT extract, field, header, CASE extract WHEN 'partial' THEN 0.25 ELSE 0.417 END AS confidence, CASE extract WHEN 'english' THEN 'generic' WHEN 'mixed' THEN 'generic' ELSE 'sap' END AS system,
     (SELECT count(*) FROM X WHERE X.extract = M.extract) AS lines FROM M""",
 )(lambda z: _maps(z))
-query("extracts_copies", EXTRACTS + " SELECT DISTINCT 'sap_again' AS extract, 'run-2' AS earlier_run, 'sap' AS earlier FROM X")(lambda z: extracts.duplicates(extracts.digests(extracts.read_lines(z.spark, _paths(z), FOLDER)), "run-2"))
+query("extracts_copies", EXTRACTS + " SELECT DISTINCT 'sap_again' AS extract, 'run-2' AS earlier_run, 'sap' AS earlier FROM X")(lambda z: extracts.duplicates(extracts.digests(extracts.read_lines(z.spark, _paths(z), FOLDER), FOLDER), "run-2"))
 query(
     "dq_warnings_of_extracts",
     EXTRACTS + """, C AS (SELECT * FROM T WHERE status = 'canonical'), S AS (SELECT count(*) AS n, count(*) FILTER (username IS NULL) AS nu, max(posting_date) AS z FROM C)
@@ -102,7 +105,7 @@ def _warnings(z: Run) -> DataFrame:
     """Warnings of a job over all extracts, repeated keys and copied extracts among them."""
     paths = _paths(z)
     rows = zone(extracts.ingest(z.spark, paths, P, FOLDER))
-    copies = extracts.duplicates(extracts.digests(extracts.read_lines(z.spark, paths, FOLDER)), "run-2")
+    copies = extracts.duplicates(extracts.digests(extracts.read_lines(z.spark, paths, FOLDER), FOLDER), "run-2")
     return review.warnings(ledger.journal_of(rows), P, rows, copies).drop("detail")
 
 
@@ -115,6 +118,6 @@ query(
 def _registry(z: Run) -> DataFrame:
     """The extracts loaded twice with a registry between: every one has been there before."""
     path = f"{shared_folder(z.spark)}/registry-{uuid.uuid4().hex}"
-    found = zone(extracts.digests(extracts.read_lines(z.spark, _paths(z), FOLDER)))
+    found = zone(extracts.digests(extracts.read_lines(z.spark, _paths(z), FOLDER), FOLDER))
     extracts.register(found, path, "run-1")
     return extracts.duplicates(found, "run-2", extracts.registered(z.spark, path))

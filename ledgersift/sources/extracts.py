@@ -29,11 +29,15 @@ def read_lines(spark: SparkSession, paths: str | list[str], extract: str | None
     """(extract, file, seq, line) of all non-blank lines; seq orders an extract's lines by file, block and place.
 
     ``extract``: a pattern whose first group, found in the path of a file, names its extract; without it each file is an extract.
+    Later steps that can take the name from headers() do so, as it is matched there once a file and here once a line.
     """
     m = F.col("_metadata")
     rows = spark.read.text(paths).select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
-    name = F.regexp_extract("file", extract, 1) if extract else F.col("file")
-    return rows.filter(F.trim("line") != "").select(name.alias("extract"), "file", F.struct("file", "block", "id").alias("seq"), "line")
+    return rows.filter(F.trim("line") != "").select(_named(extract).alias("extract"), "file", F.struct("file", "block", "id").alias("seq"), "line")
+
+
+def _named(extract: str | None) -> Column:
+    return F.regexp_extract("file", extract, 1) if extract else F.col("file")
 
 
 def _split(line: Column, delimiter: str) -> Column:
@@ -42,9 +46,16 @@ def _split(line: Column, delimiter: str) -> Column:
     return F.transform(F.split(line, quoted), lambda x: F.replace(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """(extract, file, first, delimiter, names): seq and delimiter of each file's header, and its names; unnamed ones are column<place>, repeated ones get a number."""
-    first = lines.groupBy("extract", "file").agg(F.min("seq").alias("first"), F.min_by("line", "seq").alias("line"))
+def headers(lines: DataFrame, extract: str | None = None) -> DataFrame:
+    """(extract, file, first, delimiter, names): seq and delimiter of each file's header, and its names; unnamed ones are column<place>, repeated ones get a number.
+
+    ``extract`` is the pattern that read_lines() got. The least id of each block is found by numbers alone; only then a second scan fetches these lines.
+    """
+    blocks = lines.groupBy("file", F.col("seq.block").alias("block")).agg(F.min("seq.id").alias("id"))
+    least = zone(blocks.groupBy("file").agg(F.min(F.struct("block", "id")).alias("x")).select("file", F.col("x.block").alias("_block"), F.col("x.id").alias("_id")))
+    own = (lines.drop("extract") if extract else lines).withColumns({"_block": F.col("seq.block"), "_id": F.col("seq.id")})
+    found = own.join(F.broadcast(least) if least.count() <= BROADCAST_FILES else least, ["file", "_block", "_id"])
+    first = found.select(_named(extract).alias("extract") if extract else "extract", "file", F.col("seq").alias("first"), "line")
     line = F.regexp_replace("line", "^\ufeff", "")
     held = {d: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))) for d in DELIMITERS}
     most = F.greatest(*held.values())
@@ -65,7 +76,7 @@ def proposals(heads: DataFrame) -> DataFrame:
 
 
 def bindings(heads: DataFrame, proposed: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(file, first, delimiter, names, places, missing): the place of each bound field, and the mandatory fields that have none.
+    """(extract, file, first, delimiter, names, places, missing): the place of each bound field, and the mandatory fields that have none.
 
     ``overrides`` (file, field, header) replace what was proposed; a null header unbinds the field. Headers compare without case.
     """
@@ -79,7 +90,7 @@ def bindings(heads: DataFrame, proposed: DataFrame, overrides: DataFrame | None
     named = {"line_no": F.lit("line"), "currency": F.coalesce(F.col("_m")["currency"], F.lit("currency")), "entry_ref": F.coalesce(F.col("_m")["entry_ref"], F.col("_m")["source_doc"])}
     places = {f: place(named.get(f, F.col("_m")[f])) for f in ledger.FIELDS}
     missing = F.array_compact(F.array(*[F.when(places[f].isNull(), F.lit(f)) for f in ledger.MANDATORY]))
-    return heads.join(by, "file", "left").select("file", "first", "delimiter", "names", F.struct(*[c.alias(f) for f, c in places.items()]).alias("places"), F.array_join(missing, ", ").alias("missing"))
+    return heads.join(by, "file", "left").select("extract", "file", "first", "delimiter", "names", F.struct(*[c.alias(f) for f, c in places.items()]).alias("places"), F.array_join(missing, ", ").alias("missing"))
 
 
 def bind(lines: DataFrame, bound: DataFrame) -> DataFrame:
@@ -87,6 +98,7 @@ def bind(lines: DataFrame, bound: DataFrame) -> DataFrame:
 
     Values beyond the header are left out, missing ones are null.
     """
+    lines = lines.drop("extract")
     files, width = bound.agg(F.count("*"), F.coalesce(F.max(F.size("names")), F.lit(1))).first()
     if files <= BROADCAST_FILES:
         rows = lines.join(F.broadcast(bound), "file")
@@ -113,7 +125,7 @@ def typed(bound_rows: DataFrame, p: Params) -> DataFrame:
 def ingest(spark: SparkSession, paths: str | list[str], p: Params, extract: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """Typed rows of all files, with their status; see ledger.journal_of() and ledger.rejects_of(). Headers and bindings are written first."""
     lines = read_lines(spark, paths, extract)
-    heads = zone(headers(lines))
+    heads = zone(headers(lines, extract))
     return typed(bind(lines, zone(bindings(heads, proposals(heads), overrides))), p)
 
 
@@ -122,15 +134,15 @@ def reconcile(typed_rows: DataFrame, p: Params) -> DataFrame:
     return ledger.reconcile(typed_rows, p, ("extract",))
 
 
-def digests(lines: DataFrame) -> DataFrame:
+def digests(lines: DataFrame, extract: str | None = None) -> DataFrame:
     """(extract, part, n, digest): lines are dealt over PARTS by a hash of theirs; a digest depends on a part's lines, not on their order or files.
 
-    Lines of a file's header belong to part -1. Sums of two hashes are built up in the tasks that read the lines.
+    Lines of a file's header belong to part -1. Sums of two hashes are built up in the tasks that read the lines. ``extract`` as for headers().
     """
     two = [F.sum(F.xxhash64("line", F.lit(s)).cast("decimal(38,0)")) for s in ("a", "b")]
-    heads = headers(lines).select("file", F.col("first").alias("_first"))
+    heads = zone(headers(lines, extract).select("extract", "file", F.col("first").alias("_first")))
     part = F.when(F.col("seq") == F.col("_first"), -1).otherwise(F.pmod(F.xxhash64("line"), F.lit(PARTS))).cast("int")
-    by = lines.join(heads, "file").select("extract", "line", part.alias("part")).groupBy("extract", "part").agg(F.count("*").alias("n"), two[0].alias("_a"), two[1].alias("_b"))
+    by = lines.drop("extract").join(F.broadcast(heads) if heads.count() <= BROADCAST_FILES else heads, "file").select("extract", "line", part.alias("part")).groupBy("extract", "part").agg(F.count("*").alias("n"), two[0].alias("_a"), two[1].alias("_b"))
     # an extract in several files has its header several times
     n = F.when(F.col("part") < 0, 1).otherwise(F.col("n"))
     sums = F.when(F.col("part") < 0, F.concat_ws(":", F.col("_a") / F.col("n"), F.col("_b") / F.col("n"))).otherwise(F.concat_ws(":", "_a", "_b"))

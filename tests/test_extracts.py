@@ -121,3 +121,14 @@ def test_packs_beyond_999_keep_their_numbers(spark):
     xref = universe.selectExpr("entry_ref", "1 AS line_no")
     got = worklog.packs(universe, xref, P).groupBy("pack").count()
     assert got.count() == 1005 and got.filter("count <> 20").count() == 0 and got.filter("pack = 'pack_1000'").count() == 1
+
+
+def test_names_are_matched_once_a_file_and_rows_move_once(spark, files):
+    """No pattern runs over the paths of all lines, numbering and repeated keys share one shuffle, and dates of all formats are read as before."""
+    text = "Voucher;Posting Date;Amount\nJE1;5.3.2024;12,50\nJE1;2024-3-5;1.00\nJE2;3/25/2024;2.00\nJE3;-;2\nJE4;20240305;2\n"
+    rows = extracts.ingest(spark, files(one=text, two=text), P, NAME)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract(" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = sorted((r.extract, r.entry_ref, r.line_no, str(r.posting_date), r.status) for r in rows.collect())
+    one = [("JE1", 1, "2024-03-05", "canonical"), ("JE1", 2, "2024-03-05", "canonical"), ("JE2", 1, "2024-03-25", "canonical"), ("JE3", 1, "None", "reject"), ("JE4", 1, "2024-03-05", "canonical")]
+    assert got == [(n, *x) for n in ("one", "two") for x in one]
