@@ -121,3 +121,19 @@ def test_digests_place_a_change(spark):
     assert {r.node for r in nodes.collect()} == parts | {x[0] for x in parts} | {""}
     got = sorted(tuple(r) for r in evaluate.changed_rows(one, two, "entry_ref", nodes).collect())
     assert got == [("E77", 5, 1), ("E77", 100, 2), ("E78", 6, 1)]
+
+
+def test_documents_move_once_a_step(spark):
+    """Pairs and the cross-reference deal each of their inputs by document once; early lines are not multiplied to find what reverses them."""
+    j = zone(journal(spark))
+    found = rules.line_rules(j, P)
+    moves = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moves(rules.document_pairs(j)) == 2
+        assert moves(review.cross_reference(found, j)) == 2
+        met = rules.reversal_matches(j, P.period_end, P.match_days, P.reversal_tolerance)
+        early = met._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+        assert early.count("Generate explode") == 2  # the late lines' buckets and salts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
