@@ -137,3 +137,14 @@ def test_documents_move_once_a_step(spark):
         assert early.count("Generate explode") == 2  # the late lines' buckets and salts
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_few_groups_leave_rows_where_they_are(spark, monkeypatch):
+    """Few groups are sent to all tasks, so no row moves; many are joined as before, with the same rows."""
+    rows = zone(spark.range(500).select("id", (F.col("id") % 40).alias("k")))
+    groups = zone(rows.groupBy("k").agg(F.count("*").alias("n")))
+    few = skew.join_groups(rows, groups, ["k"], "n", F.col("n") > 12)
+    assert "Union" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(skew, "FEW", 1)
+    many = skew.join_groups(rows, groups, ["k"], "n", F.col("n") > 12)
+    assert "Union" in many._jdf.queryExecution().executedPlan().toString() and sorted(few.collect()) == sorted(many.collect())
