@@ -139,6 +139,14 @@ def test_documents_move_once_a_step(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_line_steps_are_compiled(spark):
+    """The rules by line and the reasons of a line use no function with a lambda, which Spark would run uncompiled with all that is inside it."""
+    j = zone(journal(spark))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = rules.line_rules(j, P)
+    assert "lambda" not in plan(found) and "lambda" not in plan(review.line_hits(found))
+
+
 def test_few_groups_leave_rows_where_they_are(spark, monkeypatch):
     """Few groups are sent to all tasks, so no row moves; many are joined as before, with the same rows."""
     rows = zone(spark.range(500).select("id", (F.col("id") % 40).alias("k")))
