@@ -330,8 +330,11 @@ class Tagger:
             self.quiet[len(x)] = self.any_toxic(x)
         return self.quiet[len(x)]
 
-    def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, largest marginal) of runs of words at or above ``least``, in code points."""
+    def spans(self, text: str | None, least: float = 0.5, given: float = 1.0) -> list[tuple[int, int, float]]:
+        """(start, end, largest marginal) of runs of words at or above ``least``, in code points.
+
+        With a score below 1 as ``given`` the marginals are those of a toxic text, of which some token is toxic: the likeliest has a span.
+        """
         if not text or not self.known:
             return []
         lower = text.lower() if len(text.lower()) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
@@ -342,6 +345,9 @@ class Tagger:
         if not any(x) and self.emit[0, 1] < 1:
             return []  # a token without evidence is likelier plain than toxic wherever it stands
         at, p = self.marginals(x)
+        if given < 1:
+            p = np.minimum(p / given, 1.0)
+            least = min(least, float(p.max()))
         out: list[list] = []
         last = -2
         for i, q in zip(at, p, strict=True):
@@ -378,13 +384,14 @@ def spans(text: Column, field: Field, least: float = 0.5) -> Column:
     return of(F.coalesce(text, F.lit("")))
 
 
-def tags(text: Column, field: Field, least: float = 0.5) -> Column:
-    """Struct of score and offsets: the spans as "start-end", joined by blanks."""
+def tags(text: Column, field: Field, least: float = 0.5, toxic: float = 0.3) -> Column:
+    """Struct of score and offsets: the spans as "start-end", joined by blanks; texts with a score of ``toxic`` or more count as toxic, others have none."""
 
     @F.pandas_udf("score double, offsets string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(field)
         for batch in batches:
-            yield pd.DataFrame([(tagger.score(x), " ".join(f"{a}-{b}" for a, b, _ in tagger.spans(x, least))) for x in batch], columns=["score", "offsets"])
+            scored = [(x, tagger.score(x)) for x in batch]
+            yield pd.DataFrame([(s, " ".join(f"{a}-{b}" for a, b, _ in tagger.spans(x, least, s)) if s >= toxic else "") for x, s in scored], columns=["score", "offsets"])
 
     return of(F.coalesce(text, F.lit("")))

@@ -345,6 +345,15 @@ def test_classifiers_learn_on_held_out_rows(spark):
     assert toxicity.Tagger(f).spans("good day you rotter and knave")[0][:2] == (13, 19)
 
 
+def test_a_toxic_text_has_a_span():
+    """Two tokens that are each less likely toxic than not can make a text that is; the likelier ones given that are its spans."""
+    tagger = toxicity.Tagger(toxicity.Field({"knave": 1}, np.array([-6.0, 4.0]), -3.0, np.array([[0.0, -3.6], [-0.6, 0.5]])))
+    text = " ".join("knave" if i in (30, 60) else "word" for i in range(96))
+    score = tagger.score(text)
+    assert 0.5 < score < 1 and not tagger.spans(text)
+    assert [text[a:b] for a, b, _ in tagger.spans(text, given=score)] == ["knave", "knave"]
+
+
 def test_field_equals_enumeration():
     """Marginals, document probability and the fit's likelihood against all paths."""
     import itertools
