@@ -37,6 +37,8 @@ MERGED = 256
 BROADCAST_IDS = 200_000
 #: Room for rounding in the bounds on weights.
 SLACK = 1e-5
+#: Cells of a text's sketch, a power of two near its number of shingles.
+LEAST_CELLS, MOST_CELLS = 64, 1024
 #: Texts whose weights a task keeps while it compares pairs.
 KEPT_TEXTS = 64
 
@@ -154,19 +156,20 @@ def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
 def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One hash of (shingle, level) for each consistent weighted sample; a shingle's draws for a sample come from tables by hash."""
     best, key, level = np.full(len(_lines), np.inf, np.float32), np.zeros(len(_lines), np.uint64), np.zeros(len(_lines), np.float32)
-    log_w = np.log(w)
+    log_w, rows = np.log(w), np.arange(len(_lines))
     for start in range(0, len(h), 2048):
-        x, lw = h[start : start + 2048, None], log_w[start : start + 2048, None]
-        at = ((x * _lines) >> np.uint64(49)).astype(np.int32)
-        r, beta = _scale[at], _offset[at]
+        x, lw = h[start : start + 2048], log_w[start : start + 2048]
+        at = _lines[:, None] * x  # a row a sample, so that the least of each lies in one piece
+        at >>= np.uint64(49)
+        at = at.view(np.int64)
+        r, beta = _scale.take(at, mode="clip"), _offset.take(at, mode="clip")
         t = np.floor(lw / r + beta)
-        a = _log_c[at] - r * (t - beta + 1)
-        k = a.argmin(axis=0)
-        cols = np.arange(len(_lines))
-        better = a[k, cols] < best
-        best = np.where(better, a[k, cols], best)
-        key = np.where(better, h[start : start + 2048][k], key)
-        level = np.where(better, t[k, cols], level)
+        a = _log_c.take(at, mode="clip") - r * (t - beta + 1)
+        k = a.argmin(axis=1)
+        better = a[rows, k] < best
+        best = np.where(better, a[rows, k], best)
+        key = np.where(better, x[k], key)
+        level = np.where(better, t[rows, k], level)
     return mix(key ^ level.astype(np.int64).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -231,9 +234,38 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def sketch(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The weights of a text's shingles added up in cells by the first bits of their hashes, and their sum."""
+    cells = min(max(1 << (len(h) - 1).bit_length(), LEAST_CELLS), MOST_CELLS)
+    at = (h >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    return np.append(np.bincount(at, w, cells), w.sum(dtype=np.float64)).astype(np.float32)
+
+
+def at_most(a: np.ndarray, b: np.ndarray) -> float:
+    """No less than the similarity of two texts, from their sketches: they share no more of a cell than the lighter one has there."""
+    x, y = (a[:-1], b[:-1]) if len(a) <= len(b) else (b[:-1], a[:-1])
+    shared = float(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum(dtype=np.float64))
+    return shared / max(float(a[-1]) + float(b[-1]) - shared, 1e-9) + SLACK
+
+
+def _within_reach(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (_a, _b) that can be at or above the similarity by their sketches (_r, _sketch), which are far shorter than the texts."""
+
+    @F.pandas_udf("boolean")
+    def can(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([at_most(np.frombuffer(a, np.float32), np.frombuffer(b, np.float32)) >= least for a, b in zip(x, y, strict=True)], dtype=bool)
+
+    total = pairs.count()
+    both = join_salted(pairs, ["_a"], "_b", sketches.withColumnsRenamed({"_r": "_a", "_sketch": "_sa"}), hot_keys(pairs, "_a", total))
+    both = join_salted(both, ["_b"], "_a", sketches.withColumnsRenamed({"_r": "_b", "_sketch": "_sb"}), hot_keys(pairs, "_b", total))
+    return both.filter(can("_sa", "_sb")).select("_a", "_b")
+
+
 def _prefixes(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFrame:
-    """_r, _label, _key, _w, _rest, _lead: the rarest shingles of each text, as far as a near copy can have its first shared shingle there.
+    """_r, _label, _key, _w, _rest, _lead, _sketch: the rarest shingles of each text, as far as a near copy can have its first shared shingle there.
 
+    The first row of a text has its sketch.
     Shingles are in one order for all texts, rare ones first; _w is the weight of the text, _rest that of this shingle and all after it.
     The first shared shingle of a pair at or above the similarity has a _rest of at least least / (1 + least) of both weights together
     in both texts: thus least of the own weight, and in the lighter text even 2 * least / (1 + least) of it (_lead).
@@ -247,15 +279,15 @@ def _prefixes(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFrame
                 order = np.lexsort((h, df))
                 rest = np.cumsum(w[order][::-1], dtype=np.float64)[::-1]
                 rest = rest[rest >= (least - SLACK) * rest[0]]
-                yield pd.DataFrame({"_r": r, "_label": label, "_key": h[order[: len(rest)]].view(np.int64), "_w": rest[0], "_rest": rest, "_lead": rest >= (lead - SLACK) * rest[0]})
+                yield pd.DataFrame({"_r": r, "_label": label, "_key": h[order[: len(rest)]].view(np.int64), "_w": rest[0], "_rest": rest, "_lead": rest >= (lead - SLACK) * rest[0], "_sketch": [sketch(h, w).tobytes(), *[None] * (len(rest) - 1)]})
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select("_r", "_text").join(F.broadcast(ids) if few else ids, "_r").dropDuplicates(["_r"])
-    return texts.select("_r", "_label", "_text").mapInPandas(rows, "_r long, _label long, _key long, _w double, _rest double, _lead boolean")
+    return texts.select("_r", "_label", "_text").mapInPandas(rows, "_r long, _label long, _key long, _w double, _rest double, _lead boolean, _sketch binary")
 
 
-def _open_pairs(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFrame:
-    """The pairs (_a, _b) of texts with different labels that can be at or above the similarity, by their rarest shingles.
+def _open_pairs(docs: DataFrame, ids: DataFrame, table, least: float, known: DataFrame) -> DataFrame:
+    """The pairs (_a, _b) of texts with different labels, but for those known, that can be at or above the similarity, by their rarest shingles and sketches.
 
     The light rows of a shingle that many texts hold are dealt over tasks, each with all its heavy rows.
     """
@@ -266,7 +298,8 @@ def _open_pairs(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFra
     enough = F.least("_sx", "_sy") >= (least / (1 + least) - SLACK) * (F.col("_wx") + F.col("_wy"))
     fits = (F.col("_lx") != F.col("_ly")) & ordered & (F.col("_wx") >= (least - SLACK) * F.col("_wy")) & enough
     met = join_salted(light, ["_key"], "_x", heavy, hot_keys(both, "_key", both.count()))
-    return met.filter(fits).select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
+    pairs = cut(met.filter(fits).select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct().join(known, ["_a", "_b"], "left_anti"))
+    return _within_reach(pairs, both.filter("_sketch IS NOT NULL").select("_r", "_sketch"), least)
 
 
 def links(docs: DataFrame, table, least: float = SIMILARITY) -> DataFrame | None:
@@ -274,7 +307,7 @@ def links(docs: DataFrame, table, least: float = SIMILARITY) -> DataFrame | None
 
     First each bucket compares one member with all others: the one that shares most buckets with other texts, as the source of many
     copies does. Texts that are still in different components, though they share a bucket, are then compared by their rarest
-    shingles, which leaves out only pairs that cannot reach the similarity, so no link is lost.
+    shingles and by sketches, which leave out only pairs that cannot reach the similarity, so no link is lost.
     """
     bands = _bands(docs, table)
     several = bands.groupBy("_key").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") != F.col("_hi"))
@@ -295,7 +328,7 @@ def links(docs: DataFrame, table, least: float = SIMILARITY) -> DataFrame | None
     ids = cut(join_groups(named, store(mixed.select("_key", "_n")), ["_key"], "_n").select("_r", "_label").distinct())
     if ids.isEmpty():
         return labels
-    more = cut(_open_pairs(docs, ids, table, least).join(pairs, ["_a", "_b"], "left_anti"))
+    more = cut(_open_pairs(docs, ids, table, least, pairs))
     if more.isEmpty():
         return labels
     near = cut(_verify(more, docs, table, least))

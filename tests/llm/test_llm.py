@@ -345,6 +345,25 @@ def test_classifiers_learn_on_held_out_rows(spark):
     assert toxicity.Tagger(f).spans("good day you rotter and knave")[0][:2] == (13, 19)
 
 
+def test_sketches_bound_the_similarity():
+    """Never below the similarity, whatever the lengths; near copies of one source that share none of their changes are told apart without their texts."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    far = 0
+    for n in (1, 5, 60, 300, 2_000, 9_000):
+        source = draw(n)
+        sets = []
+        for k in (0, n // 8, n // 8, n // 3):
+            h = np.unique(np.concatenate((source[rng.permutation(n)[: n - k]], draw(k), draw(n // 5 if k == 0 else 0))))
+            sets.append((h, rng.random(len(h)).astype(np.float32) * 0.01 + 0.9))
+        for a in sets:
+            for b in sets:
+                bound = neardup.at_most(neardup.sketch(*a), neardup.sketch(*b))
+                assert bound >= neardup.similarity(a, b)
+                far += bound < neardup.SIMILARITY
+    assert far > 20
+
+
 def test_a_toxic_text_has_a_span():
     """Two tokens that are each less likely toxic than not can make a text that is; the likelier ones given that are its spans."""
     tagger = toxicity.Tagger(toxicity.Field({"knave": 1}, np.array([-6.0, 4.0]), -3.0, np.array([[0.0, -3.6], [-0.6, 0.5]])))
