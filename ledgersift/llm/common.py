@@ -76,8 +76,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -
 
 
 def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
-    """The keys that hold over one HOT_PARTS-th of ``total`` rows: fewer than HOT_PARTS."""
-    return store(rows.groupBy(key).count().filter(F.col("count") * HOT_PARTS > max(total, HOT_PARTS)).select(key, F.lit(True).alias("_hot")))
+    """The keys that hold over one HOT_PARTS-th of ``total`` rows, and over SALTS rows: fewer than HOT_PARTS."""
+    return store(rows.groupBy(key).count().filter(F.col("count") * HOT_PARTS > max(total, SALTS * HOT_PARTS)).select(key, F.lit(True).alias("_hot")))
 
 
 def join_salted(rows: DataFrame, key: list[str], spread: str, table: DataFrame, hot: DataFrame) -> DataFrame:

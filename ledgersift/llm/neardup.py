@@ -39,6 +39,8 @@ BROADCAST_IDS = 200_000
 SLACK = 1e-5
 #: Cells of a text's sketch, a power of two near its number of shingles.
 LEAST_CELLS, MOST_CELLS = 64, 1024
+#: Texts in so many pairs or more have their sketches sent by blocks of about so many texts, not once a pair.
+DENSE, BLOCK = 16, 512
 #: Texts whose weights a task keeps while it compares pairs.
 KEPT_TEXTS = 64
 
@@ -248,18 +250,46 @@ def at_most(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(float(a[-1]) + float(b[-1]) - shared, 1e-9) + SLACK
 
 
+def _dealt(pairs: DataFrame, sketches: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs with their cell, a block of each side, and the sketches of each cell's texts: a text goes to 2 * blocks cells at most, however many pairs it is in."""
+    block = lambda c: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(blocks)).cast("int")
+    cells = pairs.select("_a", "_b", block("_a").alias("_ca"), block("_b").alias("_cb"))
+    texts = cells.select("_ca", "_cb", F.col("_a").alias("_r")).unionByName(cells.select("_ca", "_cb", F.col("_b").alias("_r")))
+    return cells, store(texts.distinct().join(sketches, "_r"))
+
+
 def _within_reach(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (_a, _b) that can be at or above the similarity by their sketches (_r, _sketch), which are far shorter than the texts."""
+    """The pairs (_a, _b) that can be at or above the similarity by their sketches (_r, _sketch), which are far shorter than the texts.
+
+    In a group of texts just under the similarity pairs grow with the square of the texts. Pairs of two texts with DENSE pairs or more
+    each are compared by cells of two blocks, so sketches are sent by texts and blocks there; all others are fewer than DENSE a text.
+    """
 
     @F.pandas_udf("boolean")
     def can(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
             yield pd.Series([at_most(np.frombuffer(a, np.float32), np.frombuffer(b, np.float32)) >= least for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    total = pairs.count()
-    both = join_salted(pairs, ["_a"], "_b", sketches.withColumnsRenamed({"_r": "_a", "_sketch": "_sa"}), hot_keys(pairs, "_a", total))
-    both = join_salted(both, ["_b"], "_a", sketches.withColumnsRenamed({"_r": "_b", "_sketch": "_sb"}), hot_keys(pairs, "_b", total))
-    return both.filter(can("_sa", "_sb")).select("_a", "_b")
+    def of_cell(here: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        sketch_of = {r: np.frombuffer(x, np.float32) for r, x in zip(held["_r"], held["_sketch"], strict=True)}
+        return here.loc[[at_most(sketch_of[a], sketch_of[b]) >= least for a, b in zip(here["_a"], here["_b"], strict=True)], ["_a", "_b"]]
+
+    ends = pairs.groupBy(F.col("_a").alias("_r")).count().unionByName(pairs.groupBy(F.col("_b").alias("_r")).count())
+    many = store(ends.groupBy("_r").agg(F.sum("count").alias("_n")).filter(F.col("_n") >= DENSE).select("_r", F.lit(True).alias("_many")))
+    n = many.count()
+    many = F.broadcast(many) if n <= BROADCAST_IDS else many
+    marked = pairs.join(many.withColumnsRenamed({"_r": "_a", "_many": "_ma"}), "_a", "left").join(many.withColumnsRenamed({"_r": "_b", "_many": "_mb"}), "_b", "left")
+    marked = cut(marked.select("_a", "_b", (F.col("_ma").isNotNull() & F.col("_mb").isNotNull()).alias("_dense")))
+    few = marked.filter("NOT _dense").select("_a", "_b")
+    total = few.count()
+    both = join_salted(few, ["_a"], "_b", sketches.withColumnsRenamed({"_r": "_a", "_sketch": "_sa"}), hot_keys(few, "_a", total))
+    both = join_salted(both, ["_b"], "_a", sketches.withColumnsRenamed({"_r": "_b", "_sketch": "_sb"}), hot_keys(few, "_b", total))
+    found = both.filter(can("_sa", "_sb")).select("_a", "_b")
+    if not n:
+        return found
+    cells, held = _dealt(marked.filter("_dense"), sketches, -(-n // BLOCK))
+    key = ["_ca", "_cb"]
+    return found.unionByName(cells.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(of_cell, "_a long, _b long"))
 
 
 def _prefixes(docs: DataFrame, ids: DataFrame, table, least: float) -> DataFrame:
