@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Cached results per Python worker and kind (chunks, pre-tokens); two generations of this many at most.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 75_000
 #: Remembered pair tests per Python worker.
 MEMO_PAIRS = 250_000
 #: The walk over prefixes of these lengths is kept, for pre-tokens often begin alike; at most so many walks in a Python worker.
@@ -111,6 +111,10 @@ class Recent:
     def __init__(self, make):
         self.make, self.young, self.old = make, {}, {}
 
+    def rest(self) -> None:
+        """Give up the old generation, as a task does at its end: its Python worker goes on to other work."""
+        self.old = {}
+
     def recall(self, text: str):
         got = self.young.get(text)
         if got is None:
@@ -223,6 +227,10 @@ class Encoder:
             after.clear()
             after[START] = True
 
+    def rest(self) -> None:
+        self.words.rest()
+        self.chunks.rest()
+
     def chunk(self, text: str) -> str:
         """Decimal ids, joined by commas, of a chunk of text that is pre-tokenized on its own."""
         parts = self.find(text)
@@ -299,6 +307,7 @@ class Tokenizer:
             encoder = _once(Encoder, key, shared)
             for batch in batches:
                 yield pd.Series([encoder.encode(x) for x in batch], dtype=object)
+            encoder.rest()
 
         return encode(F.coalesce(text, F.lit("")))
 
@@ -327,6 +336,7 @@ class Tokenizer:
                     ids = encoder.encode(x)
                     rows.append((ids.count(",") + 1 if ids else 0, digest(ids), digest(decoder.decode(ids))))
                 yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            encoder.rest()
 
         return of(F.coalesce(text, F.lit("")))
 

@@ -37,6 +37,8 @@ LEAST_ODDS, PRIOR_ROWS, PRIOR_RATE, ROUNDS = 3.0, 5.0, 1e-3, 600
 FIT_STEPS, FIT_RATE, FIT_DECAY = 60, 0.3, 1e-3
 #: Words whose class a task remembers, and gaps whose matrix it remembers.
 CACHE_FORMS, CACHE_GAPS = 300_000, 20_000
+#: Forms that a task counts before it gives them out.
+COUNTED_FORMS = 50_000
 
 _words = re.compile(r"\w+")
 
@@ -61,18 +63,28 @@ def unpack_field(evidence: dict[str, int], w: np.ndarray) -> Field:
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """form, n, a: words of documents that have the form, counted once a document, and those of toxic documents."""
+    """form, n, a: words of documents that have the form, counted once a document, and those of toxic documents.
+
+    A task gives out what it counted whenever that are COUNTED_FORMS; Spark adds them up.
+    """
+
+    def out(n: Counter[str], a: Counter[str]) -> pd.DataFrame:
+        return pd.DataFrame({"form": list(n), "n": list(n.values()), "a": [a[f] for f in n]})
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+        a: Counter[str] = Counter()
         for batch in batches:
-            n: Counter[str] = Counter()
-            a: Counter[str] = Counter()
             for text, y in zip(batch["_text"], batch["_label"], strict=True):
                 found = [f for w in set(_words.findall((text or "").lower())) for f in forms(w)]
                 n.update(found)
                 if y:
                     a.update(found)
-            yield pd.DataFrame({"form": list(n), "n": list(n.values()), "a": [a[f] for f in n]})
+                if len(n) >= COUNTED_FORMS:
+                    yield out(n, a)
+                    n, a = Counter(), Counter()
+        if n:
+            yield out(n, a)
 
     return sample.select("_text", "_label").mapInPandas(of, "form string, n long, a long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
 

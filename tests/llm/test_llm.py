@@ -364,6 +364,36 @@ def test_sketches_bound_the_similarity():
     assert far > 20
 
 
+def test_dense_pairs_send_sketches_by_blocks(spark, monkeypatch):
+    """In a group just under the similarity a text's sketch is sent to 2 * blocks cells, not once a pair; the pairs kept are the same. A key with few rows is not hot."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    source, n = rng.integers(0, 1 << 64, 400, dtype=np.uint64), 48
+    sets = [(h := np.unique(np.concatenate((rng.permutation(source)[: 400 - 6 * (i % 12)], rng.integers(0, 1 << 64, 6 * (i % 12), dtype=np.uint64)))), np.ones(len(h), np.float32)) for i in range(n)]
+    rows = [(i, neardup.sketch(*x).tobytes()) for i, x in enumerate(sets)]
+    rows += [(100 + i, rows[i][1]) for i in range(3)]  # in few pairs
+    pairs = [(a, b) for a in range(n) for b in range(a)] + [(0, 100), (1, 101), (2, 102), (11, 100)]
+    by = dict(rows)
+    within = {(a, b) for a, b in pairs if neardup.at_most(np.frombuffer(by[a], np.float32), np.frombuffer(by[b], np.float32)) >= 0.8}
+    p, s = spark.createDataFrame(pairs, "_a long, _b long"), spark.createDataFrame(rows, "_r long, _sketch binary")
+    got = [tuple(x) for x in neardup._within_reach(p, s, 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == within and 0 < len(within) < len(pairs)
+    assert neardup._dealt(p.filter("_a < 48 AND _b < 48"), s, 3)[1].count() <= n * 2 * 3 < len(pairs)
+    assert neardup.hot_keys(p, "_a", len(pairs)).isEmpty()
+
+
+def test_toxicity_counts_are_given_out_in_parts(spark, monkeypatch):
+    """A task holds no more forms than a bound and one text's; the sums are the same. Encoders keep one generation between tasks."""
+    docs = spark.createDataFrame([(f"common word{i} other{i}", i % 2) for i in range(40)], "_text string, _label int").coalesce(1)
+    whole = {tuple(x) for x in toxicity._counts(docs).collect()}
+    monkeypatch.setattr(toxicity, "COUNTED_FORMS", 5)
+    assert {tuple(x) for x in toxicity._counts(docs).collect()} == whole and ("common", 40, 20) in whole
+    recent = bpe.Recent(str.upper)
+    recent.old["a"] = "A"
+    recent.rest()
+    assert not recent.old and recent.recall("a") == "A"
+
+
 def test_a_toxic_text_has_a_span():
     """Two tokens that are each less likely toxic than not can make a text that is; the likelier ones given that are its spans."""
     tagger = toxicity.Tagger(toxicity.Field({"knave": 1}, np.array([-6.0, 4.0]), -3.0, np.array([[0.0, -3.6], [-0.6, 0.5]])))
