@@ -394,6 +394,33 @@ def test_toxicity_counts_are_given_out_in_parts(spark, monkeypatch):
     assert not recent.old and recent.recall("a") == "A"
 
 
+def test_encoder_holds_arrays_and_walks_groups(spark, monkeypatch):
+    """An encoder holds 17 MB (73 as dicts); small groups, caches and walks, and pre-tokens of any length, give the library's ids."""
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path())
+    vocabulary = bpe.read_vocabulary(spark, vocabulary_path())
+    tracemalloc.start()
+    encoder = bpe.Encoder(vocabulary)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 40e6
+    r = random.Random(9)
+    letters = "abcdefghilmnoprstuéèç你ß_.|'0123456789"
+    words = ["".join(r.choices(letters, k=r.choice([1, 3, 7, 12, 30, 63, 64, 65, 200]))) for _ in range(600)]
+    texts = [r.choice(["", " "]) + " ".join(r.choices(words, k=r.randint(1, 60))) + r.choice(["", "  ", "\n\n\n x"]) for _ in range(120)] + [None, "", "é" * 3000]
+    want = [lib.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for bounds in ({}, {"GROUP_CHARS": 50, "GROUP_CHUNKS": 3, "CACHE_ENTRIES": 5, "WALKED": 64, "MEMO_PAIRS": 7}):
+        for name, value in bounds.items():
+            monkeypatch.setattr(bpe, name, value)
+        assert list(encoder.encode(texts)) == [",".join(map(str, x)) for x in want]
+        encoder.words, encoder.chunks = bpe.Recent(encoder._word), bpe.Recent(lambda x: encoder.chunk(" " + x))
+    pieces = [x.encode() for x in words]
+    assert list(encoder.pretokens(pieces)) == [encoder.pretoken(x) for x in pieces]
+
+
 def test_a_toxic_text_has_a_span():
     """Two tokens that are each less likely toxic than not can make a text that is; the likelier ones given that are its spans."""
     tagger = toxicity.Tagger(toxicity.Field({"knave": 1}, np.array([-6.0, 4.0]), -3.0, np.array([[0.0, -3.6], [-0.6, 0.5]])))
