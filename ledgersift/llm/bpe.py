@@ -48,10 +48,15 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
-def read_vocabulary(spark: SparkSession, path: str) -> dict:
-    """Read a tokenizer's JSON file with Spark: {ids: [(bytes, id)], merges: [(left, right, id)], special: {text: id}}."""
+def read_text(spark: SparkSession, path: str) -> str:
+    """Read a tokenizer's JSON file with Spark."""
     local = path if "://" in path else f"file://{path}"
-    data = json.loads(spark.read.text(local, wholetext=True).first()[0])
+    return spark.read.text(local, wholetext=True).first()[0]
+
+
+def vocabulary_of(text: str) -> dict:
+    """A tokenizer's JSON text as {ids: [(bytes, id)], merges: [(left, right, id)], special: {text: id}}."""
+    data = json.loads(text)
     letters = byte_letters()
     raw = lambda token: bytes(letters[c] for c in token)
     vocab = data["model"]["vocab"]
@@ -121,8 +126,8 @@ class Recent:
         self.make, self.young, self.old = make, {}, {}
 
     def rest(self) -> None:
-        """Give up the old generation, as a task does at its end: its Python worker goes on to other work."""
-        self.old = {}
+        """Give up all, as a task does at its end: its Python worker goes on to other work."""
+        self.young, self.old = {}, {}
 
     def turn(self) -> None:
         if len(self.young) >= CACHE_ENTRIES:
@@ -421,15 +426,17 @@ _kept: dict[tuple, Encoder | Decoder] = {}
 def _once(kind: type, key: str, shared):
     """One encoder or decoder for a vocabulary in each Python worker."""
     if (kind, key) not in _kept:
-        _kept[kind, key] = kind(shared.value)
+        _kept[kind, key] = kind(vocabulary_of(shared.value))
     return _kept[kind, key]
 
 
 class Tokenizer:
-    """Column functions for one vocabulary file; the vocabulary is broadcast (its size is the file's, whatever the input)."""
+    """Column functions for one vocabulary file; its text is broadcast, as that is far smaller than what is made from it."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.key, self.shared = path, spark.sparkContext.broadcast(read_vocabulary(spark, path))
+        text = read_text(spark, path)
+        vocabulary_of(text)  # refuses what is not supported
+        self.key, self.shared = path, spark.sparkContext.broadcast(text)
 
     def encode(self, text: Column) -> Column:
         """Decimal ids joined by commas ('' for null and empty texts)."""

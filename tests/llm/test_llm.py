@@ -401,7 +401,7 @@ def test_encoder_holds_arrays_and_walks_groups(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(vocabulary_path())
-    vocabulary = bpe.read_vocabulary(spark, vocabulary_path())
+    vocabulary = bpe.vocabulary_of(bpe.read_text(spark, vocabulary_path()))
     tracemalloc.start()
     encoder = bpe.Encoder(vocabulary)
     held = tracemalloc.get_traced_memory()[0]
@@ -421,6 +421,17 @@ def test_encoder_holds_arrays_and_walks_groups(spark, monkeypatch):
     assert list(encoder.pretokens(pieces)) == [encoder.pretoken(x) for x in pieces]
 
 
+def test_encoders_keep_no_results_between_tasks(spark):
+    """What a Python worker holds while other stages run in it: arrays of the encoder, and the vocabulary as text."""
+    tok = bpe.Tokenizer(spark, vocabulary_path())
+    assert isinstance(tok.shared.value, str)
+    encoder = bpe.Encoder(bpe.vocabulary_of(tok.shared.value))
+    before = list(encoder.encode(["some words", "some more words"]))
+    encoder.rest()
+    assert not any((encoder.words.young, encoder.words.old, encoder.chunks.young, encoder.chunks.old))
+    assert list(encoder.encode(["some words", "some more words"])) == before
+
+
 def test_a_toxic_text_has_a_span():
     """Two tokens that are each less likely toxic than not can make a text that is; the likelier ones given that are its spans."""
     tagger = toxicity.Tagger(toxicity.Field({"knave": 1}, np.array([-6.0, 4.0]), -3.0, np.array([[0.0, -3.6], [-0.6, 0.5]])))
