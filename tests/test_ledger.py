@@ -342,3 +342,17 @@ def test_entry_point_works_without_the_optional_part():
 
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len([n for n in names if n.startswith("rule_")]) >= 10
+
+
+def test_user_patterns_are_one_expression(spark):
+    """The journal's user is made and lowered once for all patterns (eight times before); matches are those of ilike for each."""
+    from functools import reduce
+
+    names = ["SAPUSER", "sap", "ASAP", "WF-BATCH", "WF-BATCHX", "a\nRFC", "x_rfc", "_RFC", "xRFC", "RFC", "Bot_pay_RFC", "BATCH1\n", "SYSTEM", "SYSTEMS", "", None]
+    users = spark.createDataFrame([(x,) for x in names], "u string")
+    each = reduce(lambda a, p: a | F.ilike("u", F.lit(p.replace("*", "%"))), Params().system_users, F.lit(False))
+    for row in users.select(cleanse.like_any(F.col("u"), Params().system_users).alias("got"), each.alias("want"), "u").collect():
+        assert row.got == row.want, row.u
+    plan = spark.range(1).select(F.col("id").cast("string").alias("u")).select(cleanse.like_any(F.col("u"), Params().system_users).alias("hit"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    assert not users.filter(cleanse.like_any(F.col("u"), ())).count()
